@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .lines import OP1_SQL, op1_line_dedup
+from .mixing import op9_mixing
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op8_bpe": op8_bpe,
+    "op9_mixing": op9_mixing,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+}
