@@ -121,3 +121,15 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def add_at(into: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    """into[keys] += values, rows of values, also where keys repeat."""
+    for k in range(values.shape[1]):
+        into[:, k] += np.bincount(keys, values[:, k], minlength=len(into)).astype(into.dtype)
+
+
+def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many flags are set between each two offsets."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return total[offs[1:]] - total[offs[:-1]]

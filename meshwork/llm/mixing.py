@@ -36,10 +36,13 @@ MOST_BLOCKS = 65_536
 LEVELS = 4  # 16 output shards
 SEED = 20240917
 
-SIZE = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 KEY = ["__s", "__n"]
 
 
+def n_words(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+
+
 def _h(*cols: Column | str | int) -> Column:
     return F.xxhash64(F.lit(SEED), *(F.lit(c) if isinstance(c, int) else F.lit(c) if isinstance(c, str) else c for c in cols))
 
@@ -107,10 +110,10 @@ def _quotas(copies: DataFrame, levels: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << levels)).alias("shard"), F.inline("items")).filter("q > 0")
 
 
-def plan(docs: DataFrame, levels: int = LEVELS, size: Column = SIZE) -> DataFrame:
+def plan(docs: DataFrame, levels: int = LEVELS, size: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target, n_copies and shards (the output
     shard of each copy).  ``size``: a document's words, counted if not given."""
-    sized = docs.withColumn("size", size).withColumn("__s", F.coalesce("source", F.lit(""))).withColumn("__n", F.col("source").isNull())
+    sized = docs.withColumn("size", n_words() if size is None else size).withColumn("__s", F.coalesce("source", F.lit(""))).withColumn("__n", F.col("source").isNull())
     per = written(targets(sized.select(*KEY, "size")), "mix-sources")
     n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
     sized = sized.join(per.select(*KEY, "source_size", "target", n_blocks.alias("__n_blocks")), KEY)
@@ -148,6 +151,6 @@ def mix(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = written(load(spark, sf_dir).select("doc_id", "source", SIZE.alias("__words")), "mix-sizes")
+    docs = written(load(spark, sf_dir).select("doc_id", "source", n_words().alias("__words")), "mix-sizes")
     out = plan(docs, size=F.col("__words"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies", "shards")

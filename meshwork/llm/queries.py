@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .lines import OP1_SQL, op1_line_dedup
 from .mixing import op9_mixing
+from .quality import op5_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_quality": op5_quality,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
 }
