@@ -1,0 +1,25 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and label, the smallest node that it reaches, of links (a, b).
+
+    Each step takes the smallest label among the neighbours and then the label
+    of that label; labels only fall, and the loop ends when none does."""
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    now = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        step = now.join(near, now["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        up = now.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        step = written(step.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), "labels")
+        now = step.select("node", "label")
+        if step.filter("label < was").isEmpty():
+            return now

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .lines import OP1_SQL, op1_line_dedup
+from .minhash import op7_minhash
 from .mixing import op9_mixing
 from .quality import op5_quality
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op5_quality": op5_quality,
+    "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
 }
