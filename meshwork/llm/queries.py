@@ -7,9 +7,11 @@ from .lines import OP1_SQL, op1_line_dedup
 from .minhash import op7_minhash
 from .mixing import op9_mixing
 from .quality import op5_quality
+from .webp import op3_webp
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_webp": op3_webp,
     "op5_quality": op5_quality,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
