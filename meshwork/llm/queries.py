@@ -6,6 +6,7 @@ from .bpe import op8_bpe
 from .lines import OP1_SQL, op1_line_dedup
 from .minhash import op7_minhash
 from .mixing import op9_mixing
+from .pii import op10_pii
 from .quality import op5_quality
 from .webp import op3_webp
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
