@@ -8,12 +8,14 @@ from .minhash import op7_minhash
 from .mixing import op9_mixing
 from .pii import op10_pii
 from .quality import op5_quality
+from .suffix import op6_suffix_array
 from .webp import op3_webp
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_webp": op3_webp,
     "op5_quality": op5_quality,
+    "op6_suffix_array": op6_suffix_array,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op9_mixing": op9_mixing,
