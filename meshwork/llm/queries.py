@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .lines import OP1_SQL, op1_line_dedup
+from .lm import op2_log_bilinear
 from .minhash import op7_minhash
 from .mixing import op9_mixing
 from .pii import op10_pii
@@ -13,6 +14,7 @@ from .webp import op3_webp
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_log_bilinear": op2_log_bilinear,
     "op3_webp": op3_webp,
     "op5_quality": op5_quality,
     "op6_suffix_array": op6_suffix_array,
