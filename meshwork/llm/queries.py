@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .licences import op4_licences
 from .lines import OP1_SQL, op1_line_dedup
 from .lm import op2_log_bilinear
 from .minhash import op7_minhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_log_bilinear": op2_log_bilinear,
     "op3_webp": op3_webp,
+    "op4_licences": op4_licences,
     "op5_quality": op5_quality,
     "op6_suffix_array": op6_suffix_array,
     "op7_minhash": op7_minhash,
