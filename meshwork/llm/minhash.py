@@ -8,12 +8,13 @@ collections agree: 4 in 10,000; at 0.85, 1 in 100,000.
 
 Equal shingle sets are one class, named by its smallest doc_id.  A collection's
 value that only one class has can make no candidate; so tables are formed only
-from values that two classes share.  In a bucket no list of all pairs is made:
-in each round a few leaders are compared with the bucket's members, where these
-are not in one component already; the leaders then leave the bucket, and the
-next round takes four times as many, until every bucket is of one component or
-has no pair left to compare.  All links are confirmed on the full sets, which
-only the documents of some candidate pair make.
+from values that two classes share.  Buckets are not turned into pairs: each
+links its members to its first, and what such links reach is a cluster, whose
+documents make their full sets.  Within clusters similarity is computed exactly
+on these, by an inverted index over blocks of members: all pairs of a small
+cluster; in a large one all members against the one that shares most buckets,
+then those that are not similar to it against all.  Tasks return the links of a
+spanning forest, never more than they have members.
 
 Null or empty texts and texts without words have the empty set and link with
 nothing.  Repeated rows are copies of each other; rows that share an id are one
@@ -36,7 +37,8 @@ from .graph import components
 
 WIDTH, COLLECTIONS = 4, 20
 PERCENT = 80
-MORE = 4  # times as many leaders in the next round
+SMALL, PACK, BLOCK = 64, 512, 256  # members of a small cluster, of a pack of such, of a block of a large one
+BROADCAST_IDS = 2_000_000  # 16 MB
 
 _rng = np.random.Generator(np.random.PCG64(77001))
 _FLIP = _rng.integers(0, 1 << 63, WIDTH * COLLECTIONS, dtype=np.uint64) * np.uint64(2)
@@ -111,27 +113,6 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, members binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(_full_sets(docs.join(ids, "doc_id", "left_semi"), k), "near-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("of_a")), "a")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for r, (x, y) in enumerate(zip(column(batch, "of_a"), column(batch, "of_b"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    good.append(r)
-            rows = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "a").take(rows), column(batch, "b").take(rows)], names=["a", "b"])
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
 def _buckets(classes: DataFrame) -> DataFrame:
     """key and node of every table entry that two classes share."""
     single = classes.select("node", F.posexplode("c").alias("j", "v"))
@@ -141,50 +122,132 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return left.filter(F.size("vs") > 1).select("node", F.explode(pairs).alias("key"))
 
 
+def _clusters(classes: DataFrame) -> DataFrame:
+    """node, c and hits: classes that share buckets, by the smallest node that
+    such links reach, and how many companions a node meets in all its buckets."""
+    entries = written(_buckets(classes), "near-buckets")
+    keys = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    # of buckets with the same members one is enough
+    keys = keys.groupBy("n", "leader", "members").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    met = written(entries.join(keys.select("key", "leader", "n", "times"), "key").groupBy("leader", "node").agg(F.sum(F.col("n") * F.col("times")).alias("hits")), "near-met")
+    reach = components(met.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    return met.groupBy("node").agg(F.sum("hits").alias("hits")).join(reach, "node").select("node", F.col("label").alias("c"), "hits")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by an
+    inverted index of the right ones."""
+    flat = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for k, x in enumerate(left):
+        low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+        n = high - low
+        if n.any():
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            out[k] = np.bincount(owner[at], minlength=len(right))
+    return out
+
+
+def _forest(left: list, right: list, left_sets: list[np.ndarray], right_sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Links that connect what all similar pairs of left and right connect."""
+    common = _overlaps(left_sets, right_sets)
+    sizes = np.array([len(x) for x in left_sets])[:, None] + np.array([len(x) for x in right_sets])[None, :]
+    root: dict = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x] = root.get(root[x], root[x])
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(100 * common >= percent * (sizes - common)), strict=True):
+        a, b = top(left[i]), top(right[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((left[i], right[j]))
+    return links
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) within clusters, from (c, node, size, members):
+    enough of them to connect what all similar pairs of a cluster connect.
+
+    Small clusters are packed, and all their pairs compared.  Of a large one the
+    member that meets most others is compared with all; those that are not
+    similar to it are compared with all, block by block."""
+    kind = members.schema["node"].dataType
+    link = f"a {kind.simpleString()}, b {kind.simpleString()}"
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())]) if kind.simpleString() == "bigint" else None
+
+    def table(links: list[tuple]) -> pa.Table:
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": list(a), "b": list(b)}, schema=arrow) if arrow or links else pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+
+    def sets(t: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_py(), np.uint64) for x in t.column("members")]
+
+    def pack(t: pa.Table) -> pa.Table:
+        by: dict = {}
+        nodes, every = t.column("node").to_pylist(), sets(t)
+        for k, c in enumerate(t.column("c").to_pylist()):
+            by.setdefault(c, []).append(k)
+        links = []
+        for rows in by.values():
+            own, mine = [nodes[k] for k in rows], [every[k] for k in rows]
+            links += _forest(own, own, mine, mine, percent)
+        return table(links)
+
+    small = members.filter(F.col("size") <= SMALL)
+    n = small.count()
+    packs = max(1, n // PACK)
+    out = small.withColumn("pack", F.pmod(F.xxhash64("c"), F.lit(packs))).groupBy("pack").applyInArrow(pack, link)
+    large = members.filter(F.col("size") > SMALL)
+    if large.isEmpty():
+        return out
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return table([])
+        return table(_forest(left.column("node").to_pylist(), right.column("node").to_pylist(), sets(left), sets(right), percent))
+
+    def compared(some: DataFrame) -> DataFrame:
+        """Links of some members of large clusters (with ``some``, how many
+        there are in the cluster) with all members, in blocks of both."""
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        left = some.withColumn("lb", F.pmod(F.xxhash64("node"), blocks("some"))).withColumn("rb", every("size"))
+        counts = some.groupBy("c").agg(F.first("some").alias("some"))
+        right = large.join(counts, "c").withColumn("rb", F.pmod(F.xxhash64("node"), blocks("size")).cast("int")).withColumn("lb", every("some"))
+        cells = ["c", "lb", "rb"]
+        cast = lambda d: d.withColumn("lb", F.col("lb").cast("int")).select(*cells, "node", "members")
+        return cast(left).groupBy(*cells).cogroup(cast(right).groupBy(*cells)).applyInArrow(cell, link)
+
+    heads = large.groupBy("c").agg(F.max_by("node", F.struct("hits", "node")).alias("node"))
+    star = written(compared(large.join(heads, ["c", "node"]).withColumn("some", F.lit(1))), "near-star")
+    linked = star.select(F.col("a").alias("node")).union(star.select("b")).union(heads.select("node")).distinct()
+    rest = large.join(linked, "node", "left_anti")
+    rest = written(rest.join(rest.groupBy("c").agg(F.count("*").alias("some")), "c"), "near-rest")
+    return out.union(star).union(compared(rest))
+
+
 def near_groups(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     rows = written(_sketches(docs, k), "near-sketches")
-    classes = written(rows.filter(F.col("s1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("c").alias("c")), "near-classes")
-    sizes = classes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    open_ = written(_buckets(classes), "near-buckets")
-    links = tried = labels = None
-    leaders = 1
-    while True:
-        now = open_.withColumn("label", F.col("node")) if labels is None else open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # buckets of several components, their leaders from the smallest of these
-        parts = now.groupBy("key", "label").agg(F.count("*").alias("size"))
-        several = parts.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-        now = now.join(several, "key")
-        if leaders == 1:
-            first = now.groupBy("key").agg(F.min("node").alias("leader"))
-        else:
-            ranked = now.join(parts, ["key", "label"]).withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("size", "node")))
-            first = ranked.filter(F.col("rank") <= leaders).select("key", F.col("node").alias("leader"))
-        heads = first if leaders == 1 else first.join(now.select("key", F.col("node").alias("leader"), F.col("label").alias("of")), ["key", "leader"])
-        heads = heads.withColumn("of", F.col("leader")) if leaders == 1 else heads
-        met = now.join(heads, "key").filter((F.col("label") != F.col("of")) & (F.col("node") != F.col("leader")))
-        pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")), side)
-        fits = (F.col("most_b") * 100 >= F.col("least_a") * percent) & (F.col("most_a") * 100 >= F.col("least_b") * percent)
-        pairs = written(pairs.filter(fits).select("a", "b"), "near-pairs")
-        rest = written(now.select("key", "node").join(first.withColumnRenamed("leader", "node"), ["key", "node"], "left_anti"), "near-buckets")
-        if not pairs.isEmpty():
-            found = written(_confirmed(pairs, docs, k, percent), "near-links")
-            links = found if links is None else links.union(found)
-            tried = pairs if tried is None else tried.union(pairs)
-            labels = components(links)
-        if rest.isEmpty():
-            break
-        open_, leaders = rest, leaders * MORE
-    named = classes.select("s1", "s2", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
-    else:
-        named = named.withColumnRenamed("node", "label")
+    classes = written(rows.filter(F.col("s1").isNotNull() & F.col("doc_id").isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("c").alias("c")), "near-classes")
+    clusters = written(_clusters(classes), "near-clusters")
+    n = clusters.count()
+    # only the clusters' documents make their sets: their ids are broadcast if so few, else joined
+    ids = clusters.select(F.col("node").alias("doc_id"))
+    wanted = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sizes = clusters.groupBy("c").agg(F.count("*").alias("size"))
+    about = clusters.join(sizes, "c").withColumnRenamed("node", "doc_id")
+    members = written(_full_sets(wanted, k).join(about, "doc_id").withColumnRenamed("doc_id", "node"), "near-members")
+    labels = components(written(_links(members, percent), "near-links"))
+    named = classes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.coalesce(F.col("label"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
