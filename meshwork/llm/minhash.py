@@ -222,8 +222,9 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
         counts = some.groupBy("c").agg(F.first("some").alias("some"))
         right = large.join(counts, "c").withColumn("rb", F.pmod(F.xxhash64("node"), blocks("size")).cast("int")).withColumn("lb", every("some"))
         cells = ["c", "lb", "rb"]
-        cast = lambda d: d.withColumn("lb", F.col("lb").cast("int")).select(*cells, "node", "members")
-        return cast(left).groupBy(*cells).cogroup(cast(right).groupBy(*cells)).applyInArrow(cell, link)
+        # both come from the same table: columns of their own for each
+        own = lambda d: d.select(*(F.col(x).cast("int").alias(x) if x in ("lb", "rb") else F.col(x).alias(x) for x in (*cells, "node", "members")))
+        return own(left).groupBy(*cells).cogroup(own(right).groupBy(*cells)).applyInArrow(cell, link)
 
     heads = large.groupBy("c").agg(F.max_by("node", F.struct("hits", "node")).alias("node"))
     star = written(compared(large.join(heads, ["c", "node"]).withColumn("some", F.lit(1))), "near-star")
