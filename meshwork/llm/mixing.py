@@ -5,7 +5,7 @@ are dealt to blocks by hash.  A source whose target is p whole passes and a
 rest takes every block p times and, in the hash order of its blocks, as many
 more as fit the rest; of the block that crosses it, the documents in hash order that
 fit, and the one that fills the gap best.  These
-exact block quotas are split over the output shards by a binary tree: a node
+exact block quotas (of documents that the rest can hold) are split over the output shards by a binary tree: a node
 deals half of its block copies to its left child by an urn draw without
 replacement over the sources (which is the multivariate hypergeometric law),
 the others to the right.  Shards then draw disjoint ranges of every source's
@@ -34,6 +34,7 @@ MOST = 3
 BLOCK_DOCS = 64
 MOST_BLOCKS = 65_536
 LEVELS = 4  # 16 output shards
+TURNS = 3
 SEED = 20240917
 
 KEY = ["__s", "__n"]
@@ -65,21 +66,21 @@ def targets(sized: DataFrame) -> DataFrame:
     open_ = F.col("level") * F.col("weight") < F.col("cap")
     level = F.min(F.when(open_, F.struct(F.col("cap") / F.col("weight"), F.col("__n"), F.col("__s"), F.col("level")))).over(W.partitionBy())
     per = per.withColumn("__level", level["level"])
-    return per.select(*KEY, "docs", "source_size", "weight", F.when(F.col("__level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("__level") * F.col("weight"))).alias("target"))
+    per = per.select(*KEY, "docs", "source_size", "weight", F.when(F.col("__level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("__level") * F.col("weight"))).alias("target"))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    return per.withColumn("passes", passes).withColumn("need", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
 
 
 def _blocks(sized: DataFrame, per: DataFrame) -> DataFrame:
     """One row for each block: how often it is taken whole, and the words that
     its hash-ordered documents still give (``rest``, null if none)."""
-    b = sized.groupBy(*KEY, "__block").agg(F.sum("size").alias("words"))
-    b = b.join(per.select(*KEY, "source_size", "target"), KEY)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    b = b.withColumn("passes", passes).withColumn("need", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    b = sized.groupBy(*KEY, "__block").agg(F.sum(F.when(F.col("size") <= F.col("need"), F.col("size")).otherwise(0)).alias("words"))
+    b = b.join(per.select(*KEY, "passes", "need"), KEY)
     order = W.partitionBy(*KEY).orderBy(_h("block", F.col("__s"), F.col("__n"), F.col("__block")), F.col("__block"))
     b = b.withColumn("upto", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    whole = (F.col("upto") <= F.col("need")).cast("int")
+    whole = ((F.col("upto") <= F.col("need")) & (F.col("words") > 0)).cast("int")
     crosses = (F.col("upto") > F.col("need")) & (F.col("upto") - F.col("words") < F.col("need"))
-    return b.select(*KEY, "__block", (F.col("passes") + whole).alias("whole"), F.when(crosses, F.col("need") - (F.col("upto") - F.col("words"))).alias("rest"))
+    return b.select(*KEY, "__block", F.col("passes").alias("__passes"), whole.alias("__more"), (F.col("passes") + whole).alias("whole"), F.when(crosses, F.col("need") - (F.col("upto") - F.col("words"))).alias("rest"))
 
 
 def _quotas(copies: DataFrame, levels: int) -> DataFrame:
@@ -116,9 +117,9 @@ def plan(docs: DataFrame, levels: int = LEVELS, size: Column | None = None) -> D
     sized = docs.withColumn("size", n_words() if size is None else size).withColumn("__s", F.coalesce("source", F.lit(""))).withColumn("__n", F.col("source").isNull())
     per = written(targets(sized.select(*KEY, "size")), "mix-sources")
     n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
-    sized = sized.join(per.select(*KEY, "source_size", "target", n_blocks.alias("__n_blocks")), KEY)
+    sized = sized.join(per.select(*KEY, "source_size", "target", F.col("need").alias("__need"), n_blocks.alias("__n_blocks")), KEY)
     sized = sized.withColumn("__h", _h("doc", F.col("doc_id"))).withColumn("__block", F.pmod(_h("deal", F.col("doc_id")), F.col("__n_blocks")))
-    blocks = written(_blocks(sized.select(*KEY, "__block", "size"), per), "mix-blocks")
+    blocks = written(_blocks(sized.select(*KEY, "__block", "size", F.col("__need").alias("need")), per), "mix-blocks")
     copies = blocks.select(*KEY, "__block", F.explode(F.sequence(F.lit(0), F.col("whole") + F.col("rest").isNotNull().cast("int"))).alias("copy")).filter(F.col("copy") > 0)
     quotas = _quotas(copies, levels)
     of_source = W.partitionBy(*KEY)
@@ -129,17 +130,24 @@ def plan(docs: DataFrame, levels: int = LEVELS, size: Column | None = None) -> D
     dealt = dealt.groupBy(*KEY, "__block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("__shards"))
     blocks = written(blocks.join(dealt, [*KEY, "__block"], "left"), "mix-shards")
     out = sized.join(blocks, [*KEY, "__block"])
-    # the block that crosses the rest gives its documents in hash order as far as they fit, and the one that fills the gap best
+    # the block that crosses the rest gives documents in hash order as far as they fit, by turns of those
+    # that the gap still holds, and at last the one that fills the gap best
     block = W.partitionBy(*KEY, "__block")
-    order = block.orderBy("__h", "doc_id", "size")
-    out = out.withColumn("__k", F.row_number().over(order)).withColumn("__cum", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    fits = F.col("rest").isNotNull() & (F.col("__cum") <= F.col("rest"))
-    out = out.withColumn("__gap", F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("__cum"))).over(block), F.lit(0)))
+    upto = block.orderBy("__h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = out.withColumn("__k", F.row_number().over(block.orderBy("__h", "doc_id", "size"))).withColumn("__gap", F.col("rest")).withColumn("__part", F.lit(False))
+    for _ in range(TURNS):
+        able = ~F.col("__part") & (F.col("size") > 0) & (F.col("size") <= F.col("__gap"))
+        out = out.withColumn("__cum", F.when(able, F.sum(F.when(able, F.col("size"))).over(upto)))
+        fits = F.coalesce(F.col("__cum") <= F.col("__gap"), F.lit(False))
+        filled = F.coalesce(F.max(F.when(fits, F.col("__cum"))).over(block), F.lit(0))
+        out = out.withColumn("__part", F.col("__part") | fits).withColumn("__gap", F.col("__gap") - filled)
     off = F.abs(F.col("size") - F.col("__gap"))
-    out = out.withColumn("__best", F.min(F.when(~fits & F.col("rest").isNotNull() & (off < F.col("__gap")), F.struct(off.alias("off"), F.col("__k").alias("k")))).over(block)["k"])
-    n = F.col("whole") + (fits & (F.col("size") > 0)).cast("int") + F.coalesce((F.col("__best") == F.col("__k")).cast("int"), F.lit(0))
+    out = out.withColumn("__best", F.min(F.when(~F.col("__part") & (off < F.col("__gap")), F.struct(off.alias("off"), F.col("__k").alias("k")))).over(block)["k"])
+    # a document larger than the rest of its source takes no part in it
+    more = F.when((F.col("size") > 0) & (F.col("size") <= F.col("__need")), F.col("__more")).otherwise(0)
+    n = F.col("__passes") + more + F.col("__part").cast("int") + F.coalesce((F.col("__best") == F.col("__k")).cast("int"), F.lit(0))
     out = out.withColumn("n_copies", n).withColumn("shards", F.coalesce(F.slice("__shards", F.lit(1), F.col("n_copies")), F.array().cast("array<int>")))
-    return out.drop(*KEY, "__block", "__n_blocks", "__h", "__shards", "__k", "__cum", "__gap", "__best", "whole", "rest")
+    return out.drop(*KEY, "__block", "__n_blocks", "__h", "__shards", "__passes", "__more", "__need", "__k", "__cum", "__gap", "__part", "__best", "whole", "rest")
 
 
 def mix(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
