@@ -34,7 +34,7 @@ from .common import column, load, mix64, pieces, word_hashes, written
 
 TOP = 131_072
 ITEMS, CLASSES, DIMS, CONTEXT = 4094, 64, 16, 4
-NOISE, BATCH, RATE = 32, 8192, 0.1
+NOISE, BATCH, RATE = 32, 2048, 0.1
 ROUNDS = 2
 SHARD_BYTES, SHARD_ASKS = 50_000_000, 2_000_000
 SLOTS = 20  # bits of the table of frequent words
@@ -333,10 +333,9 @@ def score(docs: DataFrame, training) -> DataFrame:
     n_all, v_all = total + ends, distinct + (ends > 0)
     frequent = Frequent(h, n)
     other = total - int(n[:ITEMS].sum())
-    unigram = np.full(ITEMS + 2, 0.5)
-    unigram[: min(ITEMS, len(n))] += n[:ITEMS]
-    unigram[OTHER] += other
-    unigram[END] += ends
+    unigram = np.full(ITEMS + 2, 1e-6)  # items that no word takes
+    unigram[: min(ITEMS, len(n))] = n[:ITEMS] + 0.5
+    unigram[OTHER], unigram[END] = other + 0.5, ends + 0.5
     unigram /= unigram.sum()
     model = train(learnt, frequent, unigram)
     sc = spark.sparkContext
