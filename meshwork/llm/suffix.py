@@ -17,7 +17,7 @@ contain, and the one that starts with its first string, up to the end of its
 last.  Where the second repeats, so do all its strings; where not even the first
 does, none can.  Then only the suffixes between are
 asked for one by one (at the ends of matches), with one representative of each
-repeated second one, for them to be found.  A batch of rows asks for each
+repeated second one, for them to be found.  A pack of rows asks for each
 fingerprint once, so that a passage of a third of all documents is no hot key.
 
 Null and empty texts have no bytes.  Equal rows are copies of each other; other
@@ -28,10 +28,12 @@ result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,14 +174,20 @@ class Family:
         self.levels.append(level)
 
 
-ASK = "k1 long, k2 long, shard int, prints binary, told binary"
-_ASK = ["k1", "k2", "shard", "prints", "told"]
+ASK = "pack long, shard int, prints binary, cuts binary, keys binary, told binary"
+_ASK = pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("prints", pa.binary()), ("cuts", pa.binary()), ("keys", pa.binary()), ("told", pa.binary())])
 
 
-def _questions(keys: list[tuple[int, int]], prints: np.ndarray, begin: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """Asks for each fingerprint of a batch of rows once, by shard.  What the
-    batch itself tells goes with it: GONE, or REPEATED (it isn't asked for) or
-    SHOWN (asked for, in the name of the batch's others)."""
+def packs() -> Iterator[int]:
+    """Numbers for this task's packs, the same when it runs again."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
+def _questions(pack: int, keys: list[tuple[int, int]], prints: np.ndarray, begin: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Asks for each fingerprint of a pack of rows once: one row for each shard,
+    with how many each of the pack's rows asks (``cuts``).  What the pack itself
+    tells goes in a row with the keys: GONE, or REPEATED (it isn't asked for) or
+    SHOWN (asked for, in the name of the pack's others)."""
     if not len(prints):
         return
     order = np.argsort(prints, kind="stable")
@@ -187,53 +195,51 @@ def _questions(keys: list[tuple[int, int]], prints: np.ndarray, begin: np.ndarra
     same = np.concatenate([[False], s[1:] == s[:-1]])
     told = np.zeros(len(prints), np.uint8)
     told[order[same]] = REPEATED
-    heads = np.append(same[1:], False) & ~same
-    told[order[heads]] = SHOWN
-    rows: list[tuple] = []
-    shard = (prints % np.uint64(shards)).astype(np.int32)
-    for row, (k1, k2) in enumerate(keys):
-        a, b = int(begin[row]), int(begin[row + 1])
-        if a == b:
-            continue
-        mine, where, own = prints[a:b], shard[a:b], told[a:b]
-        if own.any():
-            rows.append((k1, k2, k2 % shards, b"", own.tobytes()))
-        sent = own != REPEATED
-        mine, where = mine[sent], where[sent]
-        by = np.argsort(where, kind="stable")
-        mine, where = mine[by], where[by]
-        cut = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)] if len(where) else [0]
-        for c, d in zip(cut[:-1], cut[1:], strict=True):
-            rows.append((k1, k2, int(where[c]), mine[c:d].tobytes(), None))
-    for k in range(0, len(rows), 20_000):
-        cols = list(zip(*rows[k : k + 20_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=_ASK)
+    told[order[np.append(same[1:], False) & ~same]] = SHOWN
+    rows = [{"pack": pack, "shard": pack % shards, "cuts": np.diff(begin).astype(np.int32).tobytes(), "keys": np.array(keys, np.int64).tobytes(), "told": told.tobytes()}]
+    sent = np.flatnonzero(told != REPEATED)
+    row = np.repeat(np.arange(len(keys)), np.diff(begin))[sent]
+    where = (prints[sent] % np.uint64(shards)).astype(np.int32)
+    for k in range(shards):
+        mine = np.flatnonzero(where == k)
+        if len(mine):
+            rows.append({"pack": pack, "shard": k, "prints": prints[sent[mine]].tobytes(), "cuts": np.bincount(row[mine], minlength=len(keys)).astype(np.int32).tobytes()})
+    yield pa.RecordBatch.from_pylist(rows, _ASK)
 
 
 def _answers(asked: DataFrame) -> DataFrame:
-    """By row (k1, k2): a list of the shards' verdicts (shard -1: the row's own batch)."""
+    """By row (k1, k2): a list of the shards' verdicts (shard -1: its own pack's)."""
 
     def family(t: pa.Table) -> pa.Table:
-        prints = [x.as_py() for x in t.column("prints")]
+        prints = [x.as_py() or b"" for x in t.column("prints")]
         sizes = np.array([len(x) // 8 for x in prints])
         begin = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.frombuffer(b"".join(prints), np.uint64)
         index = Family(len(flat))
         for at in range(0, len(flat), BATCH):
             index.add(flat[at : at + BATCH], at)
-        rows, marks, shard = [], [], []
-        for k, own in enumerate(t.column("told")):
-            own = own.as_py()
-            v = own if own is not None else index.verdict[begin[k] : begin[k + 1]].tobytes()
-            if v.count(0) < len(v):
-                rows.append(k)
-                marks.append(v)
-                shard.append(-1 if own is not None else t.column("shard")[k].as_py())
-        rows = pa.array(rows, pa.int64())
-        return pa.table({"k1": t.column("k1").take(rows), "k2": t.column("k2").take(rows), "shard": pa.array(shard, pa.int32()), "marks": pa.array(marks, pa.binary())})
-
-    got = asked.groupBy("shard").applyInArrow(family, "k1 long, k2 long, shard int, marks binary")
-    return got.groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "marks")).alias("answers"))
+        own = [x.as_py() for x in t.column("told")]
+        marks = [o if o is not None else index.verdict[begin[k] : begin[k + 1]].tobytes() for k, o in enumerate(own)]
+        shard = [-1 if o is not None else x for o, x in zip(own, t.column("shard").to_pylist(), strict=True)]
+        return pa.table({"pack": t.column("pack"), "shard": pa.array(shard, pa.int32()), "cuts": t.column("cuts"), "keys": t.column("keys"), "marks": pa.array(marks, pa.binary())})
+
+    def by_row(t: pa.Table) -> pa.Table:
+        """A pack's verdicts, by its rows."""
+        keys, out = None, {}
+        for r in t.to_pylist():
+            if r["keys"] is not None:
+                keys = np.frombuffer(r["keys"], np.int64).reshape(-1, 2)
+            end = np.cumsum(np.frombuffer(r["cuts"], np.int32))
+            marks = np.frombuffer(r["marks"], np.uint8)
+            for k in np.unique(np.searchsorted(end, np.flatnonzero(marks), "right")).tolist():
+                out.setdefault(k, []).append({"shard": r["shard"], "marks": marks[end[k - 1] if k else 0 : end[k]].tobytes()})
+        rows = sorted(out)
+        some = keys[rows] if rows else np.zeros((0, 2), np.int64)
+        return pa.table({"k1": pa.array(some[:, 0]), "k2": pa.array(some[:, 1]), "answers": pa.array([out[k] for k in rows], pa.list_(pa.struct([("shard", pa.int32()), ("marks", pa.binary())])))})
+
+    kind = "array<struct<shard: int, marks: binary>>"
+    got = asked.groupBy("shard").applyInArrow(family, "pack long, shard int, cuts binary, keys binary, marks binary")
+    return got.groupBy("pack").applyInArrow(by_row, f"k1 long, k2 long, answers {kind}").groupBy("k1", "k2").agg(F.flatten(F.collect_list("answers")).alias("answers"))
 
 
 def _verdicts(prints: np.ndarray, answers: list[dict] | None, shards: int) -> np.ndarray:
@@ -290,6 +296,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     shards = 1 + int(total * 4 // (SPAN * SHARD))
 
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = packs()
         for batch in batches:
             keys, prints, begin, n = [], [], [np.zeros(1, np.int64)], 0
             every = _keys(batch)
@@ -300,7 +307,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 begin.append(cut[1:] + n)
                 n += len(got)
             if n:
-                yield from _questions(keys, np.concatenate(prints), np.concatenate(begin), shards)
+                yield from _questions(next(number), keys, np.concatenate(prints), np.concatenate(begin), shards)
 
     answers = written(_answers(rows.mapInArrow(ask_anchors, ASK)), "suffix-anchors")
 
@@ -341,6 +348,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         return Prints(data).of(at, at + LENGTH) if len(at) else np.zeros(0, np.uint64)
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = packs()
         for batch in batches:
             every, runs = _keys(batch), column(batch, "ask")
             keys, prints, begin = [], [], [0]
@@ -350,10 +358,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 prints.append(got)
                 begin.append(begin[-1] + len(got))
                 if begin[-1] > 2_000_000:
-                    yield from _questions(keys, np.concatenate(prints), np.array(begin), more)
+                    yield from _questions(next(number), keys, np.concatenate(prints), np.array(begin), more)
                     keys, prints, begin = [], [], [0]
             if keys:
-                yield from _questions(keys, np.concatenate(prints), np.array(begin), more)
+                yield from _questions(next(number), keys, np.concatenate(prints), np.array(begin), more)
 
     last = written(_answers(open_.filter("asks > 0").select("k1", "k2", "text", "ask").mapInArrow(ask_windows, ASK)), "suffix-windows")
 
