@@ -23,10 +23,12 @@ the scores those of the untrained model.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -368,39 +370,49 @@ def score(docs: DataFrame, training) -> DataFrame:
 
     scored = written(rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, k1 long, k2 long, n_tokens long, known long, base double, score double, ask binary"), "lm-scored")
 
+    n_asks = (scored.agg(F.sum(F.octet_length("ask"))).first()[0] or 0) // 8
+    split = 1 + int(n_asks // shards // SHARD_ASKS)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            out = []
-            for k1, k2, ask in zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), column(batch, "ask"), strict=True):
-                h = np.frombuffer(ask.as_py(), np.uint64)
-                where = _shard(h, shards)
-                # a shard's questions are dealt on by more bits of the hash
-                fine = where * split + (h % np.uint64(split)).astype(np.int32)
-                out += [(k1, k2, s // split, s % split, h[k].tobytes()) for s, k in _by_shard(fine)]
-            for a in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[a : a + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["k1", "k2", "shard", "part", "ask"])
-
-    n_asks = scored.agg(F.sum(F.octet_length("ask"))).first()[0] or 0
-    split = 1 + int(n_asks // 8 // shards // SHARD_ASKS)
-    asked = scored.filter(F.octet_length("ask") > 0).select("k1", "k2", "ask").mapInArrow(deal, "k1 long, k2 long, shard int, part int, ask binary")
+            asks = [x.as_py() for x in column(batch, "ask")]
+            h = np.frombuffer(b"".join(asks), np.uint64)
+            row = np.repeat(np.arange(len(asks)), [len(x) // 8 for x in asks])
+            pack = next(number)
+            # a shard's questions are dealt on by more bits of the hash
+            cell = _shard(h, shards) * split + (h % np.uint64(split)).astype(np.int32)
+            rows = [{"pack": pack, "shard": c // split, "part": c % split, "ask": h[k].tobytes(), "cuts": np.bincount(row[k], minlength=len(asks)).astype(np.int32).tobytes()} for c, k in _by_shard(cell)]
+            if rows:
+                rows[0]["keys"] = np.stack([column(batch, c).to_numpy() for c in ("k1", "k2")], axis=1).tobytes()
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("part", pa.int32()), ("ask", pa.binary()), ("cuts", pa.binary()), ("keys", pa.binary())]))
+
+    asked = scored.filter(F.octet_length("ask") > 0).select("k1", "k2", "ask").mapInArrow(deal, "pack long, shard int, part int, ask binary, cuts binary, keys binary")
     held = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
 
     def answer(asking: pa.Table, held: pa.Table) -> pa.Table:
-        asks = [x.as_py() for x in asking.column("ask")] if asking.num_rows else []
-        flat = np.frombuffer(b"".join(asks), np.uint64)
-        begin = np.concatenate([[0], np.cumsum([len(x) // 8 for x in asks])]).astype(np.int64)
-        c = np.zeros(len(flat), np.int64)
-        if held.num_rows and len(flat):
-            h, n = np.frombuffer(held.column("hashes")[0].as_py(), np.uint64), np.frombuffer(held.column("counts")[0].as_py(), np.int64)
-            at = np.minimum(np.searchsorted(h, flat), len(h) - 1)
-            c = np.where(h[at] == flat, n[at], 0)
-        logs, known = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.5))]), np.concatenate([[0], np.cumsum(c > 0)])
-        return pa.table({"k1": asking.column("k1"), "k2": asking.column("k2"), "cell": pa.array(asking.column("shard").to_numpy().astype(np.int64) * split + asking.column("part").to_numpy()) if asks else pa.array([], pa.int64()), "logs": pa.array(logs[begin[1:]] - logs[begin[:-1]]), "found": pa.array((known[begin[1:]] - known[begin[:-1]]).astype(np.int64))})
-
-    answers = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(answer, "k1 long, k2 long, cell long, logs double, found long")
-    # equal rows ask alike: one answer of each shard counts
-    one = answers.groupBy("k1", "k2", "cell").agg(F.max("logs").alias("logs"), F.max("found").alias("found"))
-    per = one.groupBy("k1", "k2").agg(F.sum("logs").alias("logs"), F.sum("found").alias("found"))
+        h, n = (np.frombuffer(held.column(c)[0].as_py(), k) if held.num_rows else np.zeros(0, k) for c, k in (("hashes", np.uint64), ("counts", np.int64)))
+        out = []
+        for r in asking.to_pylist():
+            flat, cuts = np.frombuffer(r["ask"], np.uint64), np.frombuffer(r["cuts"], np.int32)
+            c = np.zeros(len(flat), np.int64)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, flat), len(h) - 1)
+                c = np.where(h[at] == flat, n[at], 0)
+            row = np.repeat(np.arange(len(cuts)), cuts)
+            out.append({"pack": r["pack"], "keys": r["keys"], "logs": np.bincount(row, np.log10(c + 0.5), len(cuts)).tobytes(), "found": np.bincount(row, c > 0, len(cuts)).astype(np.int64).tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("pack", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary()), ("found", pa.binary())]))
+
+    def by_row(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.int64).reshape(-1, 2)
+        logs = np.sum([np.frombuffer(r["logs"], np.float64) for r in rows], axis=0)
+        found = np.sum([np.frombuffer(r["found"], np.int64) for r in rows], axis=0)
+        return pa.table({"k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "logs": pa.array(logs), "found": pa.array(found)})
+
+    answers = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(answer, "pack long, keys binary, logs binary, found binary")
+    # equal rows ask alike, and get the same answer
+    per = answers.groupBy("pack").applyInArrow(by_row, "k1 long, k2 long, logs double, found long").groupBy("k1", "k2").agg(F.max("logs").alias("logs"), F.max("found").alias("found"))
     out = scored.drop("ask").join(per, ["k1", "k2"], "left")
     more = F.coalesce("logs", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
