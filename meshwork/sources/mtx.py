@@ -151,13 +151,13 @@ def read_complex(spark: SparkSession, path: str) -> DataFrame:
 
 def entry_lines(m: SparseMatrix, pattern: bool = False) -> DataFrame:
     """The data lines of a coordinate file."""
-    cols = [F.col("i") + 1, F.col("j") + 1]
-    return m.df.select(F.format_string("%d %d", *cols).alias("value")) if pattern else m.df.select(F.format_string("%d %d %.16g", *cols, F.col("v")).alias("value"))
+    cols = [F.col("i") + 1, F.col("j") + 1, *([] if pattern else [F.col("v")])]
+    return m.df.select(F.concat_ws(" ", *(c.cast("string") for c in cols)).alias("value"))
 
 
 def write(m: SparseMatrix, path: str, pattern: bool = False) -> None:
-    """A folder of part files that read in order as one coordinate file; the
-    header is a part of its own, before the others."""
+    """A folder of part files that make one coordinate file, end to end by their
+    names; the header is the first part."""
     spark = m.df.sparkSession
     body = entry_lines(m, pattern).cache()
     nnz = body.count()
