@@ -44,8 +44,8 @@ GRAM = 16
 SPAN = 150
 #: Bytes from the anchor on that all its strings contain.
 SHORT = LENGTH - (SPAN - GRAM)
-SHARD = 4_000_000  # suffixes of a shard
-BATCH = 500_000  # suffixes of a batch
+SHARD = 1_000_000  # suffixes of a shard
+BATCH = 125_000  # suffixes of a batch
 GONE, REPEATED, SHOWN = 0, 1, 2  # verdicts: alone; repeated; repeated, and it stands for the others
 
 _rng = np.random.Generator(np.random.PCG64(31337))
@@ -174,8 +174,8 @@ class Family:
         self.levels.append(level)
 
 
-ASK = "pack long, shard int, prints binary, cuts binary, keys binary, told binary"
-_ASK = pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("prints", pa.binary()), ("cuts", pa.binary()), ("keys", pa.binary()), ("told", pa.binary())])
+ASK = "pack long, shard int, prints binary, rows binary, keys binary, told binary"
+_ASK = pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("prints", pa.binary()), ("rows", pa.binary()), ("keys", pa.binary()), ("told", pa.binary())])
 
 
 def packs() -> Iterator[int]:
@@ -185,7 +185,7 @@ def packs() -> Iterator[int]:
 
 def _questions(pack: int, keys: list[tuple[int, int]], prints: np.ndarray, begin: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """Asks for each fingerprint of a pack of rows once: one row for each shard,
-    with how many each of the pack's rows asks (``cuts``).  What the pack itself
+    with the row of each (``rows``).  What the pack itself
     tells goes in a row with the keys: GONE, or REPEATED (it isn't asked for) or
     SHOWN (asked for, in the name of the pack's others)."""
     if not len(prints):
@@ -196,15 +196,16 @@ def _questions(pack: int, keys: list[tuple[int, int]], prints: np.ndarray, begin
     told = np.zeros(len(prints), np.uint8)
     told[order[same]] = REPEATED
     told[order[np.append(same[1:], False) & ~same]] = SHOWN
-    rows = [{"pack": pack, "shard": pack % shards, "cuts": np.diff(begin).astype(np.int32).tobytes(), "keys": np.array(keys, np.int64).tobytes(), "told": told.tobytes()}]
+    row = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(begin))
+    yield pa.RecordBatch.from_pylist([{"pack": pack, "shard": pack % shards, "rows": row.tobytes(), "keys": np.array(keys, np.int64).tobytes(), "told": told.tobytes()}], _ASK)
     sent = np.flatnonzero(told != REPEATED)
-    row = np.repeat(np.arange(len(keys)), np.diff(begin))[sent]
     where = (prints[sent] % np.uint64(shards)).astype(np.int32)
-    for k in range(shards):
-        mine = np.flatnonzero(where == k)
-        if len(mine):
-            rows.append({"pack": pack, "shard": k, "prints": prints[sent[mine]].tobytes(), "cuts": np.bincount(row[mine], minlength=len(keys)).astype(np.int32).tobytes()})
-    yield pa.RecordBatch.from_pylist(rows, _ASK)
+    by = np.argsort(where, kind="stable")
+    sent, where = sent[by], where[by]
+    cut = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
+    rows = [{"pack": pack, "shard": int(where[c]), "prints": prints[sent[c:d]].tobytes(), "rows": row[sent[c:d]].tobytes()} for c, d in zip(cut[:-1], cut[1:], strict=True)]
+    for k in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], _ASK)
 
 
 def _answers(asked: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def _answers(asked: DataFrame) -> DataFrame:
         own = [x.as_py() for x in t.column("told")]
         marks = [o if o is not None else index.verdict[begin[k] : begin[k + 1]].tobytes() for k, o in enumerate(own)]
         shard = [-1 if o is not None else x for o, x in zip(own, t.column("shard").to_pylist(), strict=True)]
-        return pa.table({"pack": t.column("pack"), "shard": pa.array(shard, pa.int32()), "cuts": t.column("cuts"), "keys": t.column("keys"), "marks": pa.array(marks, pa.binary())})
+        return pa.table({"pack": t.column("pack"), "shard": pa.array(shard, pa.int32()), "rows": t.column("rows"), "keys": t.column("keys"), "marks": pa.array(marks, pa.binary())})
 
     def by_row(t: pa.Table) -> pa.Table:
         """A pack's verdicts, by its rows."""
@@ -229,16 +230,16 @@ def _answers(asked: DataFrame) -> DataFrame:
         for r in t.to_pylist():
             if r["keys"] is not None:
                 keys = np.frombuffer(r["keys"], np.int64).reshape(-1, 2)
-            end = np.cumsum(np.frombuffer(r["cuts"], np.int32))
-            marks = np.frombuffer(r["marks"], np.uint8)
-            for k in np.unique(np.searchsorted(end, np.flatnonzero(marks), "right")).tolist():
-                out.setdefault(k, []).append({"shard": r["shard"], "marks": marks[end[k - 1] if k else 0 : end[k]].tobytes()})
+            row, marks = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["marks"], np.uint8)
+            some = np.unique(row[marks > 0])  # rows stand in order
+            for k, c, d in zip(some.tolist(), np.searchsorted(row, some).tolist(), np.searchsorted(row, some, "right").tolist(), strict=True):
+                out.setdefault(k, []).append({"shard": r["shard"], "marks": marks[c:d].tobytes()})
         rows = sorted(out)
         some = keys[rows] if rows else np.zeros((0, 2), np.int64)
         return pa.table({"k1": pa.array(some[:, 0]), "k2": pa.array(some[:, 1]), "answers": pa.array([out[k] for k in rows], pa.list_(pa.struct([("shard", pa.int32()), ("marks", pa.binary())])))})
 
     kind = "array<struct<shard: int, marks: binary>>"
-    got = asked.groupBy("shard").applyInArrow(family, "pack long, shard int, cuts binary, keys binary, marks binary")
+    got = asked.groupBy("shard").applyInArrow(family, "pack long, shard int, rows binary, keys binary, marks binary")
     return got.groupBy("pack").applyInArrow(by_row, f"k1 long, k2 long, answers {kind}").groupBy("k1", "k2").agg(F.flatten(F.collect_list("answers")).alias("answers"))
 
 
