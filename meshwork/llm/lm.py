@@ -378,39 +378,38 @@ def score(docs: DataFrame, training) -> DataFrame:
         for batch in batches:
             asks = [x.as_py() for x in column(batch, "ask")]
             h = np.frombuffer(b"".join(asks), np.uint64)
-            row = np.repeat(np.arange(len(asks)), [len(x) // 8 for x in asks])
+            row = np.repeat(np.arange(len(asks), dtype=np.int32), [len(x) // 8 for x in asks])
             pack = next(number)
             # a shard's questions are dealt on by more bits of the hash
             cell = _shard(h, shards) * split + (h % np.uint64(split)).astype(np.int32)
-            rows = [{"pack": pack, "shard": c // split, "part": c % split, "ask": h[k].tobytes(), "cuts": np.bincount(row[k], minlength=len(asks)).astype(np.int32).tobytes()} for c, k in _by_shard(cell)]
+            rows = [{"pack": pack, "shard": c // split, "part": c % split, "ask": h[k].tobytes(), "rows": row[k].tobytes()} for c, k in _by_shard(cell)]
             if rows:
                 rows[0]["keys"] = np.stack([column(batch, c).to_numpy() for c in ("k1", "k2")], axis=1).tobytes()
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("part", pa.int32()), ("ask", pa.binary()), ("cuts", pa.binary()), ("keys", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("part", pa.int32()), ("ask", pa.binary()), ("rows", pa.binary()), ("keys", pa.binary())]))
 
-    asked = scored.filter(F.octet_length("ask") > 0).select("k1", "k2", "ask").mapInArrow(deal, "pack long, shard int, part int, ask binary, cuts binary, keys binary")
+    asked = scored.filter(F.octet_length("ask") > 0).select("k1", "k2", "ask").mapInArrow(deal, "pack long, shard int, part int, ask binary, rows binary, keys binary")
     held = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
 
     def answer(asking: pa.Table, held: pa.Table) -> pa.Table:
         h, n = (np.frombuffer(held.column(c)[0].as_py(), k) if held.num_rows else np.zeros(0, k) for c, k in (("hashes", np.uint64), ("counts", np.int64)))
         out = []
         for r in asking.to_pylist():
-            flat, cuts = np.frombuffer(r["ask"], np.uint64), np.frombuffer(r["cuts"], np.int32)
+            flat, row = np.frombuffer(r["ask"], np.uint64), np.frombuffer(r["rows"], np.int32)
             c = np.zeros(len(flat), np.int64)
             if len(h):
                 at = np.minimum(np.searchsorted(h, flat), len(h) - 1)
                 c = np.where(h[at] == flat, n[at], 0)
-            row = np.repeat(np.arange(len(cuts)), cuts)
-            out.append({"pack": r["pack"], "keys": r["keys"], "logs": np.bincount(row, np.log10(c + 0.5), len(cuts)).tobytes(), "found": np.bincount(row, c > 0, len(cuts)).astype(np.int64).tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("pack", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary()), ("found", pa.binary())]))
+            some = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))  # rows stand in order
+            out.append({"pack": r["pack"], "keys": r["keys"], "rows": row[some].tobytes(), "logs": np.add.reduceat(np.log10(c + 0.5), some).tobytes(), "found": np.add.reduceat((c > 0).astype(np.int64), some).tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("pack", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("logs", pa.binary()), ("found", pa.binary())]))
 
     def by_row(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.int64).reshape(-1, 2)
-        logs = np.sum([np.frombuffer(r["logs"], np.float64) for r in rows], axis=0)
-        found = np.sum([np.frombuffer(r["found"], np.int64) for r in rows], axis=0)
-        return pa.table({"k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "logs": pa.array(logs), "found": pa.array(found)})
+        parts = t.to_pylist()
+        keys = np.frombuffer(next(r["keys"] for r in parts if r["keys"] is not None), np.int64).reshape(-1, 2)
+        row, logs, found = (np.concatenate([np.frombuffer(r[c], k) for r in parts]) for c, k in (("rows", np.int32), ("logs", np.float64), ("found", np.int64)))
+        return pa.table({"k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]), "logs": pa.array(np.bincount(row, logs, len(keys))), "found": pa.array(np.bincount(row, found, len(keys)).astype(np.int64))})
 
-    answers = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(answer, "pack long, keys binary, logs binary, found binary")
+    answers = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(answer, "pack long, keys binary, rows binary, logs binary, found binary")
     # equal rows ask alike, and get the same answer
     per = answers.groupBy("pack").applyInArrow(by_row, "k1 long, k2 long, logs double, found long").groupBy("k1", "k2").agg(F.max("logs").alias("logs"), F.max("found").alias("found"))
     out = scored.drop("ask").join(per, ["k1", "k2"], "left")
