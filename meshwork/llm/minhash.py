@@ -130,7 +130,9 @@ def _clusters(classes: DataFrame) -> DataFrame:
     # of buckets with the same members one is enough
     keys = keys.groupBy("n", "leader", "members").agg(F.min("key").alias("key"), F.count("*").alias("times"))
     met = written(entries.join(keys.select("key", "leader", "n", "times"), "key").groupBy("leader", "node").agg(F.sum(F.col("n") * F.col("times")).alias("hits")), "near-met")
-    reach = components(met.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    # a node's leaders reach each other through the least of them: nodes share such links of leaders
+    first = met.select("leader", "node", F.min("leader").over(W.partitionBy("node")).alias("a"))
+    reach = components(first.select("a", F.col("node").alias("b")).union(first.select("a", F.col("leader").alias("b"))).distinct())
     return met.groupBy("node").agg(F.sum("hits").alias("hits")).join(reach, "node").select("node", F.col("label").alias("c"), "hits")
 
 
