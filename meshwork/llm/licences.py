@@ -1,10 +1,13 @@
 """License scans: what licence a file states, or inherits from a directory.
 
-Method: sparse TF-IDF cosine to templates.  Every line of a file, its first
-``HEADER`` lines together and, of files short enough to be a licence text, the
-whole are compared with each template over the templates' terms; inverse
-document frequencies are counted over all files, and words that no template
-has weigh as the rarest.  A licence file (by its name, or because the statement
+Method: sparse TF-IDF cosine to templates.  Every line of a file, the whole and,
+over the words of the whole, lines joined, every run of a template's length and
+of half as many words more are compared with each template over the templates'
+terms; inverse document frequencies are counted over all files, and words that
+no template has weigh as the rarest.  A run within other words needs two of the
+template's telling words (``marks``).  Sums over the words bound the similarity
+of all runs at once, so that only runs that can reach ``LEAST`` are compared in
+full.  A licence file (by its name, or because the statement
 is at least ``SHARE`` of its words) gives its directory a licence: the most
 similar one, then the first path.  A file without a statement of its own
 inherits from the nearest ancestor directory that has one; that is found for
@@ -23,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import column, load, written
 
-LEAST, SHARE, HEADER, WHOLE = 0.5, 0.3, 30, 3000
+LEAST, SHARE = 0.5, 0.3
 #: The usual statements of common licences.
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -64,9 +68,9 @@ class Scanner:
         for name, texts in TEMPLATES.items():
             for x in texts:
                 v = {t: n * self.idf[t] for t, n in Counter(terms(x)).items()}
-                self.templates.append((name, v, math.sqrt(sum(w * w for w in v.values()))))
+                self.templates.append((name, v, math.sqrt(sum(w * w for w in v.values())), len(terms(x))))
         # a text like a template has a term that carries a share of its weight
-        self.marks = {t for _, v, norm in self.templates for t, w in v.items() if w / norm >= LEAST / math.sqrt(len(v))}
+        self.marks = {t for _, v, norm, _ in self.templates for t, w in v.items() if w / norm >= LEAST / math.sqrt(len(v))}
 
     def best(self, words: list[str]) -> tuple[float, str | None]:
         counts = Counter(words)
@@ -74,21 +78,49 @@ class Scanner:
         if not any(t in self.marks for t in mine):
             return 0.0, None
         norm = math.sqrt(sum(w * w for w in mine.values()) + sum((n * self.rarest) ** 2 for t, n in counts.items() if t not in self.idf))
-        scored = [(sum(w * v.get(t, 0.0) for t, w in mine.items()) / (norm * size), name) for name, v, size in self.templates]
+        scored = [(sum(w * v.get(t, 0.0) for t, w in mine.items()) / (norm * size), name) for name, v, size, _ in self.templates]
         top = max(s for s, _ in scored)
         return top, min(n for s, n in scored if s == top)
 
+    def windows(self, words: list[str]) -> tuple[float, str | None, int]:
+        """The most similar run of about as many words as a template has:
+        similarity, licence and length."""
+        best, seen = (0.0, None, 0), set(words)
+        some = [x for x in self.templates if sum(w * w for t, w in x[1].items() if t in seen) >= (LEAST * x[2]) ** 2]
+        if not some:
+            return best
+        ids: dict[str, int] = {}
+        codes = np.array([ids.setdefault(t, len(ids)) for t in words])
+        weight = np.array([self.idf.get(t, self.rarest) for t in ids])
+        squares = np.concatenate([[0.0], np.cumsum(weight[codes] ** 2)])
+        for name, v, size, n in some:
+            dots = np.concatenate([[0.0], np.cumsum((np.array([v.get(t, 0.0) for t in ids]) * weight)[codes])])
+            telling = [k for t, k in ids.items() if t in v and t in self.marks]
+            for length in (n, n + n // 2):
+                if length >= len(words):
+                    continue
+                dot, square = dots[length:] - dots[:-length], squares[length:] - squares[:-length]
+                # a word that a run repeats only lowers its similarity
+                can = np.flatnonzero((dot >= (LEAST - 1e-9) * size * np.sqrt(square)) & (dot > 0))
+                for a in range(0, len(can), 1024):
+                    at = can[a : a + 1024]
+                    run = codes[at[:, None] + np.arange(length)]
+                    norm = np.sqrt(((weight[run] ** 2)[:, :, None] * (run[:, :, None] == run[:, None, :])).sum(axis=(1, 2)))
+                    told = sum(((run == k).any(axis=1).astype(int) for k in telling), np.zeros(len(run), int)) > 1
+                    top = round(float(np.where(told, dot[at] / (norm * size), 0.0).max()), 9)
+                    if (top, length) > (best[0], best[2]) or ((top, length) == (best[0], best[2]) and name < (best[1] or name)):
+                        best = (top, name, length)
+        return best
+
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """Licence, similarity, and the statement's share of the words."""
         lines = [terms(x) for x in text.split("\n")]
-        total = sum(map(len, lines))
-        tries = [x for x in lines if x]
+        words = [t for x in lines for t in x]
+        tries = [(*self.best(x), len(x)) for x in lines if x]
         if len(lines) > 1:
-            tries.append([t for x in lines[:HEADER] for t in x])
-            if HEADER < len(lines) and total <= WHOLE:
-                tries.append([t for x in lines for t in x])
-        score, name, size = max(((*self.best(x), len(x)) for x in tries), key=lambda x: (x[0], x[2]), default=(0.0, None, 0))
-        return (name, round(score, 6), size / total) if name and score >= LEAST else (None, 0.0, 0.0)
+            tries.append((*self.best(words), len(words)))
+        score, name, size = max([*tries, self.windows(words)], key=lambda x: (round(x[0], 9), x[2]))
+        return (name, round(score, 6), size / len(words)) if name and score >= LEAST else (None, 0.0, 0.0)
 
 
 def _frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, int]]:

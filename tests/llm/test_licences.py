@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from meshwork.llm import licences
 
 from .helpers import empty
@@ -39,3 +43,38 @@ def test_templates_find_themselves():
     for name, texts in licences.TEMPLATES.items():
         for t in texts:
             assert s.scan("first line of a file\n" + t + "\nlast line")[0] == name
+
+
+def test_statements_among_other_words():
+    common = dict.fromkeys(("the", "of", "and", "to", "in", "is", "a", "this", "by"), 900)
+    s = licences.Scanner(1000, common)
+    filler = " ".join(f"w{k}" for k in range(4000))
+    for text, name in (
+        ("Copyright 2024 Jane Doe. Released under the MIT License.", "mit"),
+        ("This file is part of the example tool and is released under the MIT License.", "mit"),
+        ("Photos by Jane Doe and John Roe, licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
+    ):
+        assert s.scan(text)[:2] == (name, 1.0)
+        assert s.scan(f"{filler} {text} {filler}")[:2] == (name, 1.0)
+        # over line ends, far down in a long file
+        assert s.scan("work = 1\n" * 2000 + text.replace(" ", "\n") + "\n" + filler)[:2] == (name, 1.0)
+    for text in ("one of the reserved seats", "a person who has the licensed key", filler):
+        assert s.scan(f"{filler} {text} {filler}") == (None, 0.0, 0.0)
+
+
+def test_windows_as_one_by_one():
+    s = licences.Scanner(1000, dict.fromkeys(("the", "of", "and", "to", "in", "is", "a"), 900))
+    rnd = random.Random(4)
+    bits = licences.terms("released under the mit license all rights reserved of work licensed cc by 4.0 x y z")
+    for _ in range(150):
+        words = [rnd.choice(bits) for _ in range(rnd.randint(1, 30))]
+        want = 0.0
+        for _, v, size, n in s.templates:
+            for length in {n, n + n // 2}:
+                for a in range(len(words) - length + 1 if length < len(words) else 0):
+                    run = Counter(words[a : a + length])
+                    if len([t for t in run if t in v and t in s.marks]) > 1:
+                        mine = {t: c * s.idf.get(t, s.rarest) for t, c in run.items()}
+                        want = max(want, sum(w * v.get(t, 0) for t, w in mine.items()) / (size * math.sqrt(sum(w * w for w in mine.values()))))
+        got = s.windows(words)[0]
+        assert abs(got - want) < 1e-6 if want >= licences.LEAST else got < licences.LEAST
