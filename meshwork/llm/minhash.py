@@ -17,9 +17,10 @@ then those that are not similar to it against all.  Tasks return the links of a
 spanning forest, never more than they have members.
 
 Null or empty texts and texts without words have the empty set and link with
-nothing.  Repeated rows are copies of each other; rows that share an id are one
-document wherever that id names its class.  An empty table gives an empty
-result.  Other columns are carried by ``dedup``.
+nothing.  Repeated rows are copies of each other; to ``near_groups`` rows that
+share an id are one document wherever that id names its class, ``dedup`` tells
+rows apart by id and text.  An empty table gives an empty result.  Other columns
+are carried by ``dedup``.
 """
 
 from __future__ import annotations
@@ -257,11 +258,17 @@ def near_groups(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFram
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` less all but one document of each group; of rows that repeat the
-    kept document's id, one stays."""
-    kept = near_groups(docs, k, percent).filter("kept").select("doc_id").distinct()
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").withColumn("__one", one).filter("__one = 1").drop("__one")
+    """``docs`` less all but one document of each group: the one of the smallest
+    doc_id, null last.  A row is known by its id and its text together, so rows
+    with null or equal ids are as separate as any others; of rows that repeat
+    the kept id and text, one stays."""
+    at = F.col("doc_id")
+    keyed = docs.withColumn("__key", F.xxhash64(at, at.isNull(), "text", F.col("text").isNull()))
+    groups = near_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent)
+    groups = groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct()
+    kept = keyed.select("__key", "doc_id").join(groups, "__key").groupBy("__group").agg(F.min_by("__key", F.struct(at.isNull(), at, F.col("__key"))).alias("__key"))
+    one = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
+    return keyed.join(kept.select("__key"), "__key", "left_semi").withColumn("__one", one).filter("__one = 1").select(*docs.columns)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

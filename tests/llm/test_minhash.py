@@ -63,6 +63,21 @@ def test_dedup_keeps_one_of_each(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == set(roots)
 
 
+def test_dedup_of_null_and_equal_ids(spark):
+    rnd = random.Random(8)
+    clean = [babble(rnd, 60, 3000) for _ in range(12)]
+    near = clean[0].split()
+    near[-1] = "changed"
+    texts = [*clean[:5], " ".join(near), clean[5], clean[6], clean[5], clean[7], clean[7], None, "", clean[0]]
+    ids = [None, None, None, None, None, None, 1, 1, 0, 2, 2, None, None, None]
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.dedup(table(spark, texts, ids=ids)).collect()), key=str)
+    # of the near copies without an id either may stay
+    first = [x for x in left if x[1] in (clean[0], " ".join(near))]
+    assert len(first) == 1
+    want = [*((None, x) for x in (*clean[1:5], None, "")), (1, clean[6]), (0, clean[5]), (2, clean[7])]
+    assert sorted(x for x in map(str, left) if x != str(first[0])) == sorted(map(str, want))
+
+
 def test_edges(spark):
     assert minhash.near_groups(empty(spark)).count() == 0
     rows = minhash.near_groups(table(spark, ["a b c"] * 40 + ["q r s"], ids=[*range(38), 0, None, 99])).collect()
