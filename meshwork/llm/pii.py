@@ -3,8 +3,9 @@
 Method: bootstrapped contextual extraction.  What the fixed patterns find are
 the seeds.  Their contexts (the two words before, and the word before with the
 word after) are lexical patterns; tokens with a digit or an @ that no fixed
-pattern takes are candidate instances of the same contexts.  Spark scores the
-graph of patterns and instances in ``ROUNDS`` rounds: a pattern's confidence
+pattern takes, adjacent numbers as one, are candidate instances of the same
+contexts.  Spark scores the graph
+of patterns and instances in ``ROUNDS`` rounds: a pattern's confidence
 for a kind is the mean score of its distinct instances (smoothed by one
 instance of score 0), an instance's score the noisy-or of the confident
 patterns it stands in; seeds keep 1.  A pattern counts once it has
@@ -44,6 +45,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKS = re.compile(r"[0-9@]")
+_NUMBER = re.compile(r"[0-9()\[\]+./,:;-]++")
 _EDGES = "\"'`.,;:!?()[]{}<>|*"
 _SEARCHED = np.zeros(256, bool)
 _SEARCHED[list(b"0123456789@")] = True
@@ -95,7 +97,7 @@ def occurrences(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]
     """Seeds and candidates with their patterns."""
     found = [(s, e, kind) for kind in KINDS for s, e in base[kind]]
     taken = sorted((s, e) for s, e, _ in found)
-    starts, k = [], 0
+    starts, k, last = [], 0, None
     for m in _TOKEN.finditer(text):
         if _MARKS.search(m[0]):
             word = m[0]
@@ -104,7 +106,19 @@ def occurrences(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]
             while k < len(taken) and taken[k][1] <= m.start():
                 k += 1
             if s < e and not any(a < e and s < b for a, b in taken[k : k + 8]):
-                starts.append((s, e, None))
+                number = bool(_NUMBER.fullmatch(word))
+                if number and ")" in word and text[s - 1 : s] == "(" and s > m.start():
+                    s -= 1
+                if number and last is not None and not text[last : m.start()].strip("\x20\t"):
+                    starts[-1] = (starts[-1][0], e, None)
+                else:
+                    starts.append((s, e, None))
+                # after a comma or the like another instance begins
+                last = m.end() if number and word[-1] not in ",;.:" else None
+            else:
+                last = None
+        else:
+            last = None
     out = []
     for s, e, kind in sorted(found + starts, key=lambda x: x[:2]):
         before, after = _words_before(text, s), _TOKEN.search(text[e : e + 4 * LONGEST])

@@ -45,6 +45,20 @@ def test_learns_from_contexts(spark):
     assert all(got[k]["added"] is None for k in range(14, 19))
 
 
+def test_adjacent_numbers_are_one_instance():
+    spans = lambda t: [(t[o["start"] : o["end"]], o["patterns"]) for o in pii.occurrences(t, pii.base_spans(t))]
+    assert spans("please dial 555 012 3456 today") == [("555 012 3456", ["dial _ today", "please dial _"])]
+    assert [x for x, _ in spans("please dial (555) 012-3456 today")] == ["(555) 012-3456"]
+    assert [x for x, _ in spans("a room 12, 14 and ext-55123 77 or 5\n6")] == ["12", "ext-55123", "77", "5"]
+    assert [x for x, _ in spans("write a@b.c 55 now")] == ["a@b.c", "55"]
+
+
+def test_learns_numbers_with_blanks(spark):
+    rows = [f"please dial +1 (555) 010-{k:04d} today" for k in range(12)] + ["please dial 555 012 3456 today"]
+    got = {r["doc_id"]: r["added"] for r in pii.extract(table(spark, rows)).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[12]] == [("phone", 12, 24)]
+
+
 def test_copies_give_no_confidence(spark):
     rows = ["please dial +1 (555) 010-0001 today"] * 30 + ["please dial ext-55123 today"]
     assert pii.extract(table(spark, rows)).filter("added IS NOT NULL").count() == 0
