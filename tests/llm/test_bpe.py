@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,8 +39,21 @@ def test_encode_and_decode(spark, library):
 
 
 def test_long_words_merge_alike():
+    """Rows of arrays and the heap, and words at the arrays' widths."""
     with open(bpe.vocabulary_path(), encoding="utf-8") as f:
         c = bpe.Codec(f.read())
-    for word in ("abcabcabc" * 9, "onntlyedtheinth" * 7, "zzzzzzzzzzzzzz" * 5):
-        parts = [c._inner[b] for b in word.encode()]
-        assert c.merge(list(parts)) == c._merge_long(list(parts))
+    words = ["abcabcabc" * 9, "onntlyedtheinth" * 7, "zzzzzzzzzzzzzz" * 5, *("interrogations"[:k] for k in range(1, 15)), "a" * 16, "é" * 8, "the" * 11]
+    want = [c._merge_long([*(c._inner[b] for b in w.encode()[:-1]), c._last[w.encode()[-1]]]) for w in words]
+    assert [np.frombuffer(x, np.int32).tolist() for x in c.merge_all([w.encode() for w in words])] == want
+    assert c.merge_all([]) == []
+
+
+def test_memory_is_bounded(library, monkeypatch):
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        c = bpe.Codec(f.read())
+    monkeypatch.setattr(bpe, "REMEMBER", 20_000)
+    c.forget()
+    for k in range(0, 3000, 100):
+        texts = [f"word{j} again" for j in range(k, k + 100)]
+        assert [np.frombuffer(x, np.int32).tolist() for x in c.packed(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(c._packed) <= 250
