@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.tables import fresh_path
 from ..operators import matrix, partition, spmv
 from ..operators.matrix import SparseMatrix
-from ..sources import generate, mtx, results
+from ..sources import generate, mtx, results, summaries
 from . import scaling
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +29,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _n_parts(spark: SparkSession, sf_dir: str) -> int:
-    return _read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return _size(spark, sf_dir, "part", "p_partkey")
+
+
+def _size(spark: SparkSession, sf_dir: str, table: str, key: str) -> int:
+    """One more than the greatest key; 0 for an empty table."""
+    return _read(spark, sf_dir, table).agg(F.coalesce(F.max(key) + 1, F.lit(0))).first()[0]
 
 
 def op_matrix(spark: SparkSession, sf_dir: str) -> SparseMatrix:
     df = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
-    n = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
-    return SparseMatrix(df, n, _n_parts(spark, sf_dir))
+    return SparseMatrix(df, _size(spark, sf_dir, "orders", "o_orderkey"), _n_parts(spark, sf_dir))
 
 
 def pp_matrix(spark: SparkSession, sf_dir: str) -> SparseMatrix:
@@ -96,7 +101,7 @@ def _pick(names: tuple[str, ...], k: str) -> str:
 _E, _R = "event_id", "rank"
 _RANKED = "SELECT event_id, CAST(event_id % 4 + 1 AS INT) AS \"P\", CAST(r AS INT) AS rank FROM events, (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ranks WHERE r <= event_id % 4"
 _FIELDS = f"""event_id, "P", rank, {_pick(COMMS, "(event_id // 4) % 8")} AS comm, {_pick(KERNELS, "(event_id // 32) % 2")} AS kernel,
-  concat('m', CAST((event_id // 64) % 5 AS VARCHAR)) AS matrix,
+  concat('m', CAST((event_id // 64) % 5 AS VARCHAR), '.mtx') AS matrix,
   CAST(400 + rank AS BIGINT) AS nrows_local, CAST(1600 AS BIGINT) AS ncols_global, CAST(1000 + (event_id * 13 + rank * 17) % 500 AS BIGINT) AS nnz_local, CAST((event_id * 5 + rank * 3) % 300 AS BIGINT) AS n_ghost,
   CAST(1 + (event_id * 37 + rank * 101) % 97 AS DOUBLE) AS compute_avg_ms, CAST(1 + (event_id * 11 + rank * 7) % 53 AS DOUBLE) AS comm_avg_ms,
   CAST(2 + (event_id * 37 + rank * 101) % 97 + (event_id * 11 + rank * 7) % 53 AS DOUBLE) AS total_avg_ms,
@@ -106,6 +111,10 @@ reps AS (SELECT *, dense_rank() OVER (PARTITION BY matrix, comm, kernel, "P" ORD
 RECORD_KEYS = ("comm", "kernel", "matrix", "P", "rank", "nrows_local", "ncols_global", "nnz_local", "n_ghost", "compute_avg_ms", "comm_avg_ms", "total_avg_ms", "effective_gflops")
 
 
+def _matrix(k) -> Column:
+    return F.concat(F.lit("m"), k.cast("string"), F.lit(".mtx"))
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     e = _read(spark, sf, "events").select("event_id", (F.col("event_id") % 4 + 1).cast("int").alias("P"))
     r = e.withColumn("rank", F.explode(F.sequence(F.lit(0), F.col("P") - 1)))
@@ -114,7 +123,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     div = lambda n: F.floor(eid / n)
     compute, comm = 1 + (eid * 37 + rank * 101) % 97, 1 + (eid * 11 + rank * 7) % 53
     return r.select(
-        "event_id", "P", "rank", k(COMMS, div(4) % 8).alias("comm"), k(KERNELS, div(32) % 2).alias("kernel"), F.concat(F.lit("m"), (div(64) % 5).cast("string")).alias("matrix"),
+        "event_id", "P", "rank", k(COMMS, div(4) % 8).alias("comm"), k(KERNELS, div(32) % 2).alias("kernel"), _matrix(div(64) % 5).alias("matrix"),
         (400 + rank).cast("long").alias("nrows_local"), F.lit(1600).cast("long").alias("ncols_global"), (1000 + (eid * 13 + rank * 17) % 500).alias("nnz_local"), ((eid * 5 + rank * 3) % 300).alias("n_ghost"),
         compute.cast("double").alias("compute_avg_ms"), comm.cast("double").alias("comm_avg_ms"), (compute + comm).cast("double").alias("total_avg_ms"), ((1 + (eid * 3 + rank) % 64) / 16.0).alias("effective_gflops"),
     )
@@ -133,24 +142,74 @@ def reps(spark: SparkSession, sf: str) -> DataFrame:
     return results.repetitions(results.parse(log_lines(spark, sf)))
 
 
-def _on_reps(f: Callable[[DataFrame], DataFrame], *rounded: str) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = f(reps(spark, sf))
-        return out.withColumns({c: F.round(c, 9) for c in rounded})
+def _on(rows: Callable[[SparkSession, str], DataFrame]) -> Callable[..., Query]:
+    def make(f: Callable[[DataFrame], DataFrame], *rounded: str) -> Query:
+        return lambda spark, sf: f(rows(spark, sf)).withColumns({c: F.round(c, 9) for c in rounded})
 
-    return run
+    return make
+
+
+_on_reps = _on(reps)
+_on_records = _on(lambda spark, sf: results.parse(log_lines(spark, sf)))
+
+
+def log_files(spark: SparkSession, sf: str) -> str:
+    """The log lines as text files of a folder, in the files' and lines' order."""
+    path = fresh_path(spark, "logs")
+    lines = log_lines(spark, sf).repartitionByRange(8, "line_no").sortWithinPartitions("line_no")
+    lines.select("line").write.text(path)
+    return path
+
+
+def _file_repetitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Repetitions of records that are read from log files."""
+    rows = results.repetitions(results.parse(results.numbered_lines(spark, log_files(spark, sf), "RESULT ")))
+    return rows.select("matrix", "comm", "kernel", "P", "rank", "nnz_local", "total_avg_ms", "rep")
+
+
+def _mtx_file(spark: SparkSession, sf: str) -> DataFrame:
+    """PP written as a Matrix Market file and read again."""
+    path = fresh_path(spark, "matrix")
+    mtx.write(pp_matrix(spark, sf), path)
+    m = mtx.read(spark, path)
+    return m.df.groupBy("i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("n"), F.lit(m.nrows).cast("long").alias("nrows"))
+
+
+STRONG_KEYS = ("matrix", "comm", "kernel", "P")
+
+
+def _summary_file(spark: SparkSession, df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    path = fresh_path(spark, "summary")
+    summaries.write(df, path, keys)
+    return summaries.read(spark, path, name)
+
+
+def _strong_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The strong-scaling summary written as CSV and read again."""
+    return _summary_file(spark, QUERIES["strong_scaling"](spark, sf), "strong_scaling", STRONG_KEYS)
+
+
+def _baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Serial speed-ups by the times of two summary files, of which the later
+    one has other times for the matrices m0 and m1; a third does not exist."""
+    strong = _strong_file(spark, sf)
+    large = strong.filter(F.col("matrix").isin("m0.mtx", "m1.mtx")).withColumn("T_median_ms", F.col("T_median_ms") * 2)
+    large = large.select("*", *(F.lit(None).cast(k).alias(c) for c, k in (("nnz_min", "long"), ("nnz_max", "long"), ("nnz_avg", "double"), ("imbalance", "double"))))
+    missing = summaries.read(spark, fresh_path(spark, "absent"), "strong_scaling", required=False)
+    times = summaries.merged([strong, _summary_file(spark, large, "large_matrices", STRONG_KEYS), missing], STRONG_KEYS)
+    return scaling.baseline_speedups(_serial(spark, sf), times).withColumns({n: F.round(n, 9) for n in scaling.BASELINES})
 
 
 TIMES_SQL = f"""{RECORDS_SQL}, per_rep AS (SELECT matrix, comm, kernel, "P", rep, max(total_avg_ms) AS t, sum(nnz_local) AS nnz, avg(effective_gflops) AS mg FROM reps GROUP BY ALL),
 times AS (SELECT matrix, comm, kernel, "P", median(t) AS tm, min(t) AS tl, max(t) AS th, median(nnz * 2.0 / (t * 1e6)) AS gf, median(mg) AS mg FROM per_rep GROUP BY ALL),
 based AS (SELECT *, max(CASE WHEN "P" = 1 THEN tm END) OVER (PARTITION BY matrix, comm, kernel) AS t1 FROM times)"""
-WEAK_SQL = f"""{RECORDS_SQL}, weak_reps AS (SELECT comm, kernel, "P", matrix, rep, total_avg_ms, nnz_local, effective_gflops FROM reps),
+WEAK_SQL = f"""{RECORDS_SQL}, weak_reps AS (SELECT comm, kernel, "P", total_avg_ms, nnz_local, effective_gflops, (row_number() OVER (PARTITION BY comm, kernel, "P" ORDER BY event_id, rank) - 1) // "P" AS rep FROM records),
 per_rep AS (SELECT comm, kernel, "P", rep, max(total_avg_ms) AS t, sum(nnz_local) AS nnz, avg(effective_gflops) AS mg FROM weak_reps GROUP BY ALL),
 times AS (SELECT comm, kernel, "P", median(t) AS tm, min(t) AS tl, max(t) AS th, median(nnz * 2.0 / (t * 1e6)) AS gf, median(mg) AS mg FROM per_rep GROUP BY ALL),
 weak AS (SELECT comm, kernel, "P", tm AS "T_median_ms", tl AS "T_min_ms", th AS "T_max_ms", round(t1 / tm, 9) AS "E_weak", round(mg, 9) AS mean_rank_effective_gflops, round(gf, 9) AS aggregate_gflops FROM (SELECT *, max(CASE WHEN "P" = 1 THEN tm END) OVER (PARTITION BY comm, kernel) AS t1 FROM times) WHERE t1 IS NOT NULL)"""
-FIRST_SQL = "SELECT * FROM reps WHERE rep = 0"
-VOLUME_SQL = """vol AS (SELECT matrix, "P", avg(CASE WHEN comm = 'bcast' THEN ncols_global * 4.0 END) AS naive_bytes, avg(CASE WHEN comm = 'ghost_nccl' THEN n_ghost * 4.0 END) AS ghost_bytes,
- avg(CASE WHEN comm = 'checkerboard_nccl' THEN ncols_global * 4.0 / ("P" / (CASE WHEN "P" = 4 THEN 2 ELSE 1 END)) + nrows_local * 4.0 END) AS checkerboard_bytes FROM reps WHERE rep = 0 GROUP BY matrix, "P")"""
+VOLUME_SQL = """placed AS (SELECT *, row_number() OVER (PARTITION BY comm, matrix, "P" ORDER BY event_id, rank) AS k FROM records), opening AS (SELECT *, CASE WHEN "P" = 4 THEN 2 ELSE "P" END AS pc FROM placed WHERE k <= "P"),
+moved AS (SELECT matrix, "P", comm, min(event_id) AS began, avg(ncols_global * 4.0) AS naive, avg(n_ghost * 4.0) AS ghost, avg((ncols_global // pc + (CASE WHEN rank % pc < ncols_global % pc THEN 1 ELSE 0 END) + nrows_local) * 4.0) AS board FROM opening GROUP BY ALL),
+vol AS (SELECT matrix, "P", max(naive) FILTER (WHERE comm = 'bcast') AS naive_bytes, arg_min(ghost, began) FILTER (WHERE comm IN ('ghost_mpi', 'ghost_nccl')) AS ghost_bytes, arg_min(board, began) FILTER (WHERE comm IN ('checkerboard_mpi', 'checkerboard_nccl')) AS checkerboard_bytes FROM moved WHERE comm IN ('bcast', 'ghost_mpi', 'ghost_nccl', 'checkerboard_mpi', 'checkerboard_nccl') GROUP BY ALL)"""
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +228,7 @@ READS_SQL = "reads AS (SELECT event_id, concat('m', CAST(event_id % 7 AS VARCHAR
 
 
 def _serial(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "events").select(F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string")).alias("matrix"), (500 + F.col("event_id") % 101).cast("double").alias("avg_ms"))
+    return _read(spark, sf, "events").select(_matrix(F.col("event_id") % 5).alias("matrix"), (500 + F.col("event_id") % 101).cast("double").alias("avg_ms"))
 
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,10 +260,15 @@ def _embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a generated matrix, one part of it for each supplier."""
-    parts = _read(spark, sf, "supplier").count()
-    m = generate.uniform(spark, parts, 100, 20, 42)
-    return m.df.groupBy("i").agg(F.count("*").alias("nnz"), F.bool_and((F.col("j") >= 0) & (F.col("j") < m.ncols) & (F.abs("v") < 1)).alias("inside"))
+    """Both generated families with a row for each part key: entries a row,
+    whether they lie inside, and the vectors' value at the row."""
+    n, out = _n_parts(spark, sf), None
+    for family, (_, per_row, seed) in (("dense", generate.DENSE), ("low_degree", generate.LOW_DEGREE)):
+        m = generate.uniform(spark, 1, n, per_row, seed)
+        rows = m.df.groupBy("i").agg(F.count("*").alias("nnz"), F.bool_and((F.col("j") >= 0) & (F.col("j") < m.ncols) & (F.abs("v") < 1)).alias("inside"))
+        rows = rows.join(x_vector(spark, sf).withColumnRenamed("j", "i"), "i").select(F.lit(family).alias("family"), "i", "nnz", "inside", "x")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _ghost_fraction(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,21 +337,24 @@ QUERIES: dict[str, Query] = {
     "bench_stats": _stats,
     "run_figures": _figures,
     "strong_scaling": _on_reps(scaling.strong_scaling, "speedup", "efficiency", "aggregate_effective_gflops"),
-    "weak_scaling": _on_reps(scaling.weak_scaling, "E_weak", "mean_rank_effective_gflops", "aggregate_gflops"),
+    "weak_scaling": _on_records(scaling.weak_scaling, "E_weak", "mean_rank_effective_gflops", "aggregate_gflops"),
     "large_matrices": _on_reps(scaling.large_matrices, "speedup", "efficiency", "aggregate_effective_gflops", "nnz_avg", "imbalance"),
-    "run_balance": _on_reps(scaling.balance, "nnz_avg", "nnz_stdev", "max_over_avg", "max_over_min"),
-    "run_volume": _on_reps(scaling.volume, "naive_bytes", "ghost_bytes", "checkerboard_bytes", *RATIOS),
-    "baseline_speedup": lambda spark, sf: scaling.baseline_speedups(_serial(spark, sf), reps(spark, sf)).withColumns({n: F.round(n, 9) for n in scaling.BASELINES}),
+    "run_balance": _on_records(scaling.balance, "nnz_avg", "nnz_stdev", "max_over_avg", "max_over_min"),
+    "run_volume": _on_records(scaling.volume, "naive_bytes", "ghost_bytes", "checkerboard_bytes", *RATIOS),
+    "baseline_speedup": _baseline,
+    "summary_csv": _strong_file,
+    "result_files": _file_repetitions,
+    "mtx_file": _mtx_file,
     "kernel_isolation": _on_reps(scaling.kernel_isolation),
-    "weak_partitioned": _on_reps(scaling.weak_partitioned, "E_weak", "mean_rank_effective_gflops", "aggregate_gflops", "speedup_vs_cyclic_ghost_nccl"),
+    "weak_partitioned": _on_records(scaling.weak_partitioned, "E_weak", "mean_rank_effective_gflops", "aggregate_gflops", "speedup_vs_cyclic_ghost_nccl"),
     "mtx_read_summary": lambda spark, sf: scaling.reading(results.parse_reads(reads(spark, sf))).withColumn("speedup_chunked_over_serial", F.round("speedup_chunked_over_serial", 9)),
     "mtx_read_check": lambda spark, sf: scaling.read_check(results.parse_reads(reads(spark, sf))),
     "mtx_read_skipped": lambda spark, sf: results.old_reads(reads(spark, sf)),
     "nccl_vs_mpi": _on_reps(scaling.nccl_vs_mpi, "mpi_over_nccl"),
-    "weak_efficiency_series": _on_reps(scaling.weak_series, "E_weak"),
-    "structured_vs_unstructured": _on_reps(scaling.structure, "ghost_over_naive", "bcast_over_ghost"),
-    "partitioner_throughput": _on_reps(scaling.partitioner_throughput, "gflops"),
-    "partitioner_breakdown": _on_reps(scaling.partitioner_breakdown),
+    "weak_efficiency_series": _on_records(scaling.weak_series, "E_weak"),
+    "structured_vs_unstructured": _on_records(lambda r: scaling.structure(r, ("m0.mtx", "m2.mtx"), ("m3.mtx",)), "ghost_over_naive", "bcast_over_ghost"),
+    "partitioner_throughput": _on_reps(lambda r: scaling.partitioner_throughput(r, ("m0.mtx", "m1.mtx", "m3.mtx")), "gflops"),
+    "partitioner_breakdown": _on_reps(lambda r: scaling.partitioner_breakdown(r, ("m4.mtx",))),
     "matrix_order": _on_reps(scaling.matrix_order),
 }
 for _comm in ("rcm", "fennel", "block"):
@@ -359,7 +426,7 @@ SELECT 0 AS p, CAST(0 AS BIGINT) AS start, x1 AS stop FROM s3 UNION ALL SELECT 1
     "verify_almost_equal": f"WITH {PP_SQL}, y AS (SELECT pp.i, sum(pp.v * x.x) AS a FROM pp JOIN x ON pp.j = x.j GROUP BY pp.i), z AS (SELECT i, a, CASE WHEN i % 7 = 0 THEN a * 1.5 + 1 ELSE a + 0.001 END AS b FROM y) SELECT abs(a - b) <= 0.01 OR abs(a - b) <= 0.01 * greatest(abs(a), abs(b)) AS ok, count(*) AS n FROM z GROUP BY 1",
     "first_mismatches": f"WITH {PP_SQL}, y AS (SELECT pp.i, sum(pp.v * x.x) AS a FROM pp JOIN x ON pp.j = x.j GROUP BY pp.i), z AS (SELECT i, a AS y1, CASE WHEN i % 7 = 0 THEN a * 1.5 + 1 ELSE a + 0.001 END AS y2 FROM y) SELECT i, y1, y2 FROM z WHERE NOT (abs(y1 - y2) <= 0.01 OR abs(y1 - y2) <= 0.01 * greatest(abs(y1), abs(y2))) ORDER BY i LIMIT 10",
     "mtx_entries": "SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2",
-    "generated_rows": "SELECT unnest(range((SELECT count(*) FROM supplier) * 100)) AS i, CAST(20 AS BIGINT) AS nnz, true AS inside",
+    "generated_rows": "SELECT family, p_partkey AS i, CAST(k AS BIGINT) AS nnz, true AS inside, CAST((p_partkey * 7919) % 1000 - 500 AS DOUBLE) AS x FROM part, (SELECT 'dense' AS family, 20 AS k UNION ALL SELECT 'low_degree', 2)",
     "embedding_spmv": "SELECT i, sum(round(CAST(v AS DOUBLE) * 1024) * (j - 33)) AS y FROM (SELECT vec_id AS i, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM embeddings) GROUP BY i",
     "result_records": f"WITH {RECORDS_SQL} SELECT event_id * 8 + rank AS line_no, {', '.join(chr(34) + k + chr(34) for k in RECORD_KEYS)} FROM records",
     "result_lines": f"WITH {RECORDS_SQL} SELECT 'RESULT comm=' || comm || ' kernel=' || kernel || ' matrix=' || matrix || ' P=' || \"P\" || ' rank=' || rank || ' nnz_local=' || nnz_local AS line FROM records",
@@ -369,13 +436,16 @@ SELECT 0 AS p, CAST(0 AS BIGINT) AS start, x1 AS stop FROM s3 UNION ALL SELECT 1
     "strong_scaling": f'WITH {TIMES_SQL} SELECT matrix, comm, kernel, "P", tm AS "T_median_ms", tl AS "T_min_ms", th AS "T_max_ms", round(t1 / tm, 9) AS speedup, round(t1 / tm / "P", 9) AS efficiency, round(gf, 9) AS aggregate_effective_gflops FROM based WHERE t1 IS NOT NULL',
     "weak_scaling": f"WITH {WEAK_SQL} SELECT * FROM weak",
     "large_matrices": f'WITH {TIMES_SQL}, f AS (SELECT matrix, comm, kernel, "P", min(nnz_local) AS nnz_min, max(nnz_local) AS nnz_max, avg(nnz_local) AS nnz_avg FROM reps WHERE rep = 0 GROUP BY ALL) SELECT matrix, comm, kernel, "P", tm AS "T_median_ms", tl AS "T_min_ms", th AS "T_max_ms", round(t1 / tm, 9) AS speedup, round(t1 / tm / "P", 9) AS efficiency, round(gf, 9) AS aggregate_effective_gflops, nnz_min, nnz_max, round(nnz_avg, 9) AS nnz_avg, round(nnz_max / nnz_avg, 9) AS imbalance FROM based JOIN f USING (matrix, comm, kernel, "P")',
-    "run_balance": f"""WITH {RECORDS_SQL}, f AS (SELECT *, CASE WHEN comm IN ('bcast', 'ghost_mpi', 'ghost_nccl') THEN '1d_cyclic' WHEN comm LIKE 'checkerboard%' THEN '2d_checkerboard' END AS family FROM reps WHERE rep = 0),
-g AS (SELECT *, dense_rank() OVER (PARTITION BY family, matrix, "P" ORDER BY comm, kernel) AS k FROM f WHERE family IS NOT NULL)
-SELECT family, matrix, "P", min(nnz_local) AS nnz_min, round(avg(nnz_local), 9) AS nnz_avg, max(nnz_local) AS nnz_max, round(coalesce(stddev_samp(nnz_local), 0.0), 9) AS nnz_stdev, round(max(nnz_local) / avg(nnz_local), 9) AS max_over_avg, round(max(nnz_local) / CAST(min(nnz_local) AS DOUBLE), 9) AS max_over_min FROM g WHERE k = 1 GROUP BY family, matrix, "P" """,
+    "run_balance": f"""WITH {RECORDS_SQL}, f AS (SELECT *, CASE WHEN comm IN ('bcast', 'ghost_mpi', 'ghost_nccl') THEN '1d_cyclic' WHEN comm LIKE 'checkerboard%' THEN '2d_checkerboard' END AS family FROM records),
+g AS (SELECT *, row_number() OVER (PARTITION BY family, matrix, "P" ORDER BY event_id, rank) AS k FROM f WHERE family IS NOT NULL)
+SELECT family, matrix, "P", min(nnz_local) AS nnz_min, round(avg(nnz_local), 9) AS nnz_avg, max(nnz_local) AS nnz_max, round(coalesce(stddev_samp(nnz_local), 0.0), 9) AS nnz_stdev, round(max(nnz_local) / avg(nnz_local), 9) AS max_over_avg, round(max(nnz_local) / CAST(min(nnz_local) AS DOUBLE), 9) AS max_over_min FROM g WHERE k <= "P" GROUP BY family, matrix, "P" """,
     "run_volume": f'WITH {RECORDS_SQL}, {VOLUME_SQL} SELECT matrix, "P", round(naive_bytes, 9) AS naive_bytes, round(ghost_bytes, 9) AS ghost_bytes, round(checkerboard_bytes, 9) AS checkerboard_bytes, round(ghost_bytes / nullif(naive_bytes, 0), 9) AS ghost_over_naive, round(checkerboard_bytes / nullif(naive_bytes, 0), 9) AS checkerboard_over_naive, round(checkerboard_bytes / nullif(ghost_bytes, 0), 9) AS checkerboard_over_ghost FROM vol',
-    "baseline_speedup": f"WITH {TIMES_SQL}, cpu AS (SELECT concat('m', CAST(event_id % 5 AS VARCHAR)) AS matrix, median(CAST(500 + event_id % 101 AS DOUBLE)) AS cpu_avg_ms FROM events GROUP BY 1), w AS (SELECT matrix, "
-    + ", ".join(f"max(CASE WHEN comm = '{c}' AND kernel = '{k}' AND \"P\" = {p} THEN tm END) AS {n}" for n, (c, k, p) in scaling.BASELINES.items())
-    + " FROM times GROUP BY matrix) SELECT cpu.matrix, cpu_avg_ms, "
+    "summary_csv": f'WITH {TIMES_SQL} SELECT matrix, comm, kernel, "P", tm AS "T_median_ms", tl AS "T_min_ms", th AS "T_max_ms", round(t1 / tm, 9) AS speedup, round(t1 / tm / "P", 9) AS efficiency, round(gf, 9) AS aggregate_effective_gflops FROM based WHERE t1 IS NOT NULL',
+    "result_files": f'WITH {RECORDS_SQL} SELECT matrix, comm, kernel, "P", rank, nnz_local, total_avg_ms, rep FROM reps',
+    "mtx_file": f"WITH {PP_SQL} SELECT i, j, sum(v) AS v, count(*) AS n, (SELECT n FROM n) AS nrows FROM pp GROUP BY i, j",
+    "baseline_speedup": f"WITH {TIMES_SQL}, cpu AS (SELECT concat('m', CAST(event_id % 5 AS VARCHAR), '.mtx') AS matrix, median(CAST(500 + event_id % 101 AS DOUBLE)) AS cpu_avg_ms FROM events GROUP BY 1), w AS (SELECT matrix, "
+    + ", ".join(f"max(CASE WHEN comm = '{c}' AND kernel = '{k}' AND \"P\" = {p} THEN tm * (CASE WHEN matrix IN ('m0.mtx', 'm1.mtx') THEN 2 ELSE 1 END) END) AS {n}" for n, (c, k, p) in scaling.BASELINES.items())
+    + " FROM based WHERE t1 IS NOT NULL GROUP BY matrix) SELECT cpu.matrix, cpu_avg_ms, "
     + ", ".join(f"round(cpu_avg_ms / {n}, 9) AS {n}" for n in scaling.BASELINES)
     + " FROM cpu LEFT JOIN w ON cpu.matrix = w.matrix",
     "kernel_isolation": f"WITH {TIMES_SQL}, w AS (SELECT matrix, \"P\", {_at('ghost_nccl', 'acc')} AS ca, {_at('ghost_nccl', 'cusparse')} AS cc, " + ", ".join(f"{_at(c + '_nccl', k)} AS {c}_{k}" for c in ("rcm", "fennel", "block") for k in KERNELS) + ' FROM times GROUP BY matrix, "P") ' + " UNION ALL ".join(f"SELECT '{c}' AS prototype, matrix, \"P\", ca AS \"T_cyclic_acc_ms\", cc AS \"T_cyclic_cusparse_ms\", {c}_acc AS \"T_prototype_acc_ms\", {c}_cusparse AS \"T_prototype_cusparse_ms\" FROM w WHERE {c}_acc IS NOT NULL OR {c}_cusparse IS NOT NULL" for c in ("rcm", "fennel", "block")),
@@ -384,12 +454,15 @@ SELECT family, matrix, "P", min(nnz_local) AS nnz_min, round(avg(nnz_local), 9)
     "mtx_read_check": f'WITH {READS_SQL} SELECT matrix, "P", CAST(0 AS BIGINT) AS mismatches, bool_and(nnz_s = 1000) AS ok FROM reads GROUP BY matrix, "P"',
     "mtx_read_skipped": "SELECT count(*) FILTER (WHERE event_id % 11 = 0) AS skipped FROM events",
     "nccl_vs_mpi": f"WITH {TIMES_SQL}, r AS (SELECT matrix, \"P\", {_at('ghost_mpi', 'cusparse')} / {_at('ghost_nccl', 'cusparse')} AS r FROM times GROUP BY matrix, \"P\") SELECT \"P\", round(median(r), 9) AS mpi_over_nccl, count(*) AS n_matrices FROM r WHERE r IS NOT NULL GROUP BY \"P\"",
-    "weak_efficiency_series": f"WITH {WEAK_SQL} SELECT comm, \"P\", \"E_weak\" FROM weak WHERE kernel = 'acc'",
-    "structured_vs_unstructured": f"WITH {TIMES_SQL}, {VOLUME_SQL}, t AS (SELECT matrix, {_at('bcast', 'cusparse')} / {_at('ghost_nccl', 'cusparse')} AS r FROM times WHERE \"P\" = 4 GROUP BY matrix) SELECT t.matrix, round(ghost_bytes / nullif(naive_bytes, 0), 9) AS ghost_over_naive, round(r, 9) AS bcast_over_ghost FROM t LEFT JOIN vol ON t.matrix = vol.matrix AND vol.\"P\" = 4",
-    "partitioner_throughput": f"WITH {TIMES_SQL} SELECT matrix, comm AS method, \"P\", round(gf, 9) AS gflops FROM times WHERE kernel = 'acc' AND comm IN ('ghost_nccl', 'rcm_nccl', 'fennel_nccl', 'block_nccl')",
-    "partitioner_breakdown": f"""WITH {RECORDS_SQL}, r AS (SELECT matrix, comm, rep, max(total_avg_ms) AS t, max(compute_avg_ms) AS a, max(comm_avg_ms) AS b FROM reps WHERE "P" = 4 AND kernel = 'acc' GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY matrix, comm ORDER BY t, rep) AS k, count(*) OVER (PARTITION BY matrix, comm) AS n FROM r), m AS (SELECT DISTINCT matrix FROM records), c AS (SELECT unnest(['ghost_nccl', 'rcm_nccl', 'fennel_nccl', 'block_nccl']) AS method)
-SELECT m.matrix, c.method, k.a AS compute_ms, k.b AS comm_ms, CASE WHEN k.a IS NULL THEN 'OOM' END AS label FROM m CROSS JOIN c LEFT JOIN k ON m.matrix = k.matrix AND c.method = k.comm AND k.k = k.n // 2 + 1""",
-    "matrix_order": f"WITH {TIMES_SQL}, t AS (SELECT matrix, max(CASE WHEN comm = 'bcast' AND kernel = 'cusparse' AND \"P\" = 1 THEN tm END) AS t1 FROM times GROUP BY matrix) SELECT matrix, t1, row_number() OVER (ORDER BY t1 IS NULL, t1, matrix) AS place FROM t",
+    "weak_efficiency_series": f"WITH {WEAK_SQL} SELECT comm, \"P\", \"E_weak\" FROM weak WHERE kernel = 'cusparse' AND comm IN ('ghost_nccl', 'checkerboard_nccl', 'rcm_nccl', 'block_nccl')",
+    "structured_vs_unstructured": f"""WITH {TIMES_SQL}, r AS (SELECT matrix, avg(n_ghost) FILTER (WHERE comm = 'ghost_nccl') / avg(ncols_global) FILTER (WHERE comm = 'bcast') AS v FROM records WHERE "P" = 4 AND kernel = 'cusparse' AND matrix IN ('m0.mtx', 'm2.mtx', 'm3.mtx') GROUP BY matrix),
+t AS (SELECT matrix, {_at('bcast', 'cusparse')} / {_at('ghost_nccl', 'cusparse')} AS b FROM times WHERE "P" = 4 GROUP BY matrix)
+SELECT replace(r.matrix, '.mtx', '') AS matrix, CASE WHEN r.matrix = 'm3.mtx' THEN 'unstructured' ELSE 'structured' END AS category, round(v, 9) AS ghost_over_naive, round(b, 9) AS bcast_over_ghost FROM r LEFT JOIN t ON r.matrix = t.matrix""",
+    "partitioner_throughput": f"WITH {TIMES_SQL} SELECT replace(matrix, '.mtx', '') AS matrix, CASE comm WHEN 'ghost_nccl' THEN 'cyclic' WHEN 'rcm_nccl' THEN 'rcm' ELSE 'block' END AS method, \"P\", round(gf, 9) AS gflops FROM times WHERE kernel = 'cusparse' AND comm IN ('ghost_nccl', 'rcm_nccl', 'block_nccl') AND matrix IN ('m0.mtx', 'm1.mtx', 'm3.mtx')",
+    "partitioner_breakdown": f"""WITH {RECORDS_SQL}, c AS (SELECT * FROM (VALUES ('cyclic', 'ghost_nccl'), ('rcm', 'rcm_nccl'), ('block', 'block_nccl')) c(method, comm)), s AS (SELECT reps.*, method FROM reps JOIN c ON reps.comm = c.comm WHERE kernel = 'cusparse' AND matrix <> 'm4.mtx'),
+r AS (SELECT matrix, method, rep, max(total_avg_ms) AS t, max(compute_avg_ms) AS a, max(comm_avg_ms) AS b FROM s WHERE "P" = 4 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY matrix, method ORDER BY t, rep) AS k, count(*) OVER (PARTITION BY matrix, method) AS n FROM r), m AS (SELECT DISTINCT matrix FROM s)
+SELECT replace(m.matrix, '.mtx', '') AS matrix, c.method, k.a AS compute_ms, k.b AS comm_ms, CASE WHEN k.a IS NULL THEN 'OOM' END AS label FROM m CROSS JOIN c LEFT JOIN k ON m.matrix = k.matrix AND c.method = k.method AND k.k = k.n // 2 + 1""",
+    "matrix_order": f"WITH {TIMES_SQL}, t AS (SELECT matrix, max(CASE WHEN comm = 'ghost_nccl' AND kernel = 'cusparse' AND \"P\" = 1 THEN tm END) AS t1 FROM times GROUP BY matrix) SELECT matrix, t1, row_number() OVER (ORDER BY t1 IS NULL, t1, matrix) AS place FROM t",
     **{f"{c}_vs_cyclic": _versus(c) for c in ("rcm", "fennel", "block")},
 }

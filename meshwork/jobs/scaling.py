@@ -8,10 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import grid_rows
+from ..sources.results import repetitions
+
 GROUP = ("matrix", "comm", "kernel", "P")
 #: What the exchanges are called in the balance table.
 FAMILIES = {"bcast": "1d_cyclic", "ghost_mpi": "1d_cyclic", "ghost_nccl": "1d_cyclic", "checkerboard_mpi": "2d_checkerboard", "checkerboard_nccl": "2d_checkerboard"}
-BASELINES = {"speedup_bcast_P1": ("bcast", "cusparse", 1), "speedup_ghost_mpi_P4": ("ghost_mpi", "cusparse", 4), "speedup_ghost_nccl_P4": ("ghost_nccl", "cusparse", 4), "speedup_checkerboard_nccl_P4": ("checkerboard_nccl", "cusparse", 4)}
+#: The runs that the serial time is compared with.
+BASELINES = {"speedup_bcast_cusparse_P1": ("bcast", "cusparse", 1), "speedup_ghost_cusparse_P1": ("ghost_mpi", "cusparse", 1), "speedup_ghost_cusparse_P4": ("ghost_mpi", "cusparse", 4), "speedup_ghost_nccl_cusparse_P4": ("ghost_nccl", "cusparse", 4)}
+#: The methods and matrices that the figures show.
+WEAK_COMMS = ("ghost_nccl", "checkerboard_nccl", "rcm_nccl", "block_nccl")
+METHODS = {"cyclic": "ghost_nccl", "rcm": "rcm_nccl", "block": "block_nccl"}
+STRUCTURED, UNSTRUCTURED = ("Queen_4147.mtx", "nlpkkt240.mtx"), ("webbase-2001.mtx", "com-Orkut.mtx")
+THROUGHPUT = ("Queen_4147.mtx", "arabic-2005.mtx", "europe_osm.mtx", "mycielskian19.mtx", "nlpkkt240.mtx", "uk-2005.mtx")
+LEFT_OUT = ("mawi_201512020330.mtx", "webbase-2001.mtx")
 
 
 def times(reps: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
@@ -32,10 +42,12 @@ def strong_scaling(reps: DataFrame) -> DataFrame:
     return t.select(*GROUP, "T_median_ms", "T_min_ms", "T_max_ms", speedup.alias("speedup"), (speedup / F.col("P")).alias("efficiency"), F.col("aggregate_gflops").alias("aggregate_effective_gflops"))
 
 
-def weak_scaling(reps: DataFrame) -> DataFrame:
-    """Efficiency when the matrix grows with the ranks; matrices are pooled."""
+def weak_scaling(records: DataFrame) -> DataFrame:
+    """Efficiency when the matrix grows with the ranks.  Matrices are pooled:
+    repetitions follow each other in the file by exchange, kernel and P alone,
+    whatever their matrix.  Takes records, not their repetitions by matrix."""
     keys = ("comm", "kernel", "P")
-    t = times(reps, keys).withColumn("t1", _single(("comm", "kernel"))).filter("t1 IS NOT NULL")
+    t = times(repetitions(records, keys), keys).withColumn("t1", _single(("comm", "kernel"))).filter("t1 IS NOT NULL")
     return t.select(*keys, "T_median_ms", "T_min_ms", "T_max_ms", F.try_divide("t1", "T_median_ms").alias("E_weak"), "mean_rank_effective_gflops", "aggregate_gflops")
 
 
@@ -52,37 +64,41 @@ def large_matrices(reps: DataFrame) -> DataFrame:
     return out.select(*GROUP, "T_median_ms", "T_min_ms", "T_max_ms", speedup.alias("speedup"), (speedup / F.col("P")).alias("efficiency"), F.col("aggregate_gflops").alias("aggregate_effective_gflops"), "nnz_min", "nnz_max", "nnz_avg", F.try_divide("nnz_max", "nnz_avg").alias("imbalance"))
 
 
-def balance(reps: DataFrame) -> DataFrame:
-    """Entries of the ranks by family, matrix and P, of the first repetition of
-    the family's first exchange and kernel (by name)."""
+def balance(records: DataFrame) -> DataFrame:
+    """Entries of the ranks by family, matrix and P, of the first repetition in
+    the files, whatever its exchange and kernel.  Takes records."""
     family = F.create_map(*(F.lit(x) for kv in FAMILIES.items() for x in kv))
-    rows = first_rep(reps).withColumn("family", F.element_at(family, F.col("comm"))).filter("family IS NOT NULL")
     keys = ("family", "matrix", "P")
-    rows = rows.withColumn("__first", F.min(F.struct("comm", "kernel")).over(W.partitionBy(*keys))).filter("struct(comm, kernel) = __first")
+    rows = repetitions(records.withColumn("family", F.element_at(family, F.col("comm"))).filter("family IS NOT NULL"), keys).filter("rep = 0")
     s = rows.groupBy(*keys).agg(F.min("nnz_local").alias("nnz_min"), F.avg("nnz_local").alias("nnz_avg"), F.max("nnz_local").alias("nnz_max"), F.coalesce(F.stddev_samp("nnz_local"), F.lit(0.0)).alias("nnz_stdev"))
     return s.select("*", F.try_divide("nnz_max", "nnz_avg").alias("max_over_avg"), F.try_divide("nnz_max", "nnz_min").alias("max_over_min"))
 
 
-def volume(reps: DataFrame) -> DataFrame:
-    """Mean bytes a rank receives, from the logs of the first repetition."""
-    rows = first_rep(reps)
-    naive = F.when(F.col("comm") == "bcast", F.col("ncols_global") * 4.0)
-    ghost = F.when(F.col("comm") == "ghost_nccl", F.col("n_ghost") * 4.0)
-    # largest divisor up to the root: ranks are few
-    rows_of = F.array_max(F.filter(F.sequence(F.lit(1), F.floor(F.sqrt("P")).cast("int")), lambda d: F.col("P") % d == 0))
-    board = F.when(F.col("comm") == "checkerboard_nccl", F.col("ncols_global") * 4.0 / (F.col("P") / rows_of) + F.col("nrows_local") * 4.0)
-    per = rows.groupBy("matrix", "P").agg(F.avg(naive).alias("naive_bytes"), F.avg(ghost).alias("ghost_bytes"), F.avg(board).alias("checkerboard_bytes"))
+def volume(records: DataFrame) -> DataFrame:
+    """Mean bytes a rank receives, from the first repetition of each exchange,
+    matrix and P (of any kernel).  Of the MPI and the NCCL runs the one that
+    comes first in the files counts.  Takes records."""
+    rows = repetitions(records, ("comm", "matrix", "P")).filter("rep = 0")
+    cols = F.col("P") / grid_rows(F.col("P"))
+    segment = F.floor(F.col("ncols_global") / cols) + (F.col("rank") % cols < F.col("ncols_global") % cols).cast("int")
+    kind = F.when(F.col("comm") == "bcast", "naive").when(F.col("comm").isin("ghost_mpi", "ghost_nccl"), "ghost").when(F.col("comm").isin("checkerboard_mpi", "checkerboard_nccl"), "checkerboard")
+    moved = F.when(F.col("comm") == "bcast", F.col("ncols_global")).when(kind == "ghost", F.col("n_ghost")).otherwise(segment + F.col("nrows_local"))
+    per = rows.filter(kind.isNotNull()).groupBy("matrix", "P", kind.alias("kind"), "comm").agg(F.avg(moved * 4.0).alias("bytes"), F.min(F.struct("file", "line_no")).alias("first"))
+    at = lambda k: F.min_by("bytes", F.when(F.col("kind") == k, F.col("first"))).alias(f"{k}_bytes")
+    per = per.groupBy("matrix", "P").agg(at("naive"), at("ghost"), at("checkerboard"))
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
     return per.select("*", ratio("ghost_bytes", "naive_bytes").alias("ghost_over_naive"), ratio("checkerboard_bytes", "naive_bytes").alias("checkerboard_over_naive"), ratio("checkerboard_bytes", "ghost_bytes").alias("checkerboard_over_ghost"))
 
 
-def baseline_speedups(serial: DataFrame, reps: DataFrame) -> DataFrame:
+def baseline_speedups(serial: DataFrame, scaling: DataFrame | None) -> DataFrame:
     """Median serial time of each matrix (matrix, avg_ms), and how many times
-    faster the configured runs are."""
+    faster the configured runs are, by their T_median_ms in scaling summaries
+    (matrix, comm, kernel, P: see ``sources.summaries``); null without one."""
     cpu = serial.groupBy("matrix").agg(F.median("avg_ms").alias("cpu_avg_ms"))
-    t = times(reps)
+    if scaling is None:
+        return cpu.select("matrix", "cpu_avg_ms", *(F.lit(None).cast("double").alias(n) for n in BASELINES))
     picks = [F.max(F.when((F.col("comm") == c) & (F.col("kernel") == k) & (F.col("P") == p), F.col("T_median_ms"))).alias(name) for name, (c, k, p) in BASELINES.items()]
-    both = cpu.join(t.groupBy("matrix").agg(*picks), "matrix", "left")
+    both = cpu.join(scaling.groupBy("matrix").agg(*picks), "matrix", "left")
     return both.select("matrix", "cpu_avg_ms", *(F.try_divide(F.col("cpu_avg_ms"), F.col(n)).alias(n) for n in BASELINES))
 
 
@@ -106,9 +122,9 @@ def kernel_isolation(reps: DataFrame, comms: tuple[str, ...] = ("rcm_nccl", "fen
     return rows.select("prototype", "matrix", "P", F.col("ca").alias("T_cyclic_acc_ms"), F.col("cc").alias("T_cyclic_cusparse_ms"), F.col("a").alias("T_prototype_acc_ms"), F.col("c").alias("T_prototype_cusparse_ms"))
 
 
-def weak_partitioned(reps: DataFrame) -> DataFrame:
+def weak_partitioned(records: DataFrame) -> DataFrame:
     """Weak scaling with the cyclic time at the same kernel and ranks."""
-    t = weak_scaling(reps)
+    t = weak_scaling(records)
     base = t.filter("comm = 'ghost_nccl'").select("kernel", "P", F.col("T_median_ms").alias("T_cyclic_ghost_nccl_median_ms"))
     own = t.filter(F.col("comm").isin("rcm_nccl", "fennel_nccl", "block_nccl"))
     return own.join(base, ["kernel", "P"], "left").select(*t.columns, "T_cyclic_ghost_nccl_median_ms", F.try_divide("T_cyclic_ghost_nccl_median_ms", "T_median_ms").alias("speedup_vs_cyclic_ghost_nccl"))
@@ -137,36 +153,52 @@ def nccl_vs_mpi(reps: DataFrame, kernel: str = "cusparse") -> DataFrame:
     return t.withColumn("r", F.try_divide("m", "n")).filter("r IS NOT NULL").groupBy("P").agg(F.median("r").alias("mpi_over_nccl"), F.count("*").alias("n_matrices"))
 
 
-def weak_series(reps: DataFrame, kernel: str = "acc") -> DataFrame:
-    return weak_scaling(reps).filter(F.col("kernel") == kernel).select("comm", "P", "E_weak")
+def short_name(matrix: Column) -> Column:
+    """A matrix file's name without its suffix."""
+    return F.replace(matrix, F.lit(".mtx"), F.lit(""))
+
+
+def weak_series(records: DataFrame, kernel: str = "cusparse") -> DataFrame:
+    return weak_scaling(records).filter((F.col("kernel") == kernel) & F.col("comm").isin(*WEAK_COMMS)).select("comm", "P", "E_weak")
+
+
+def structure(records: DataFrame, structured: tuple[str, ...] = STRUCTURED, unstructured: tuple[str, ...] = UNSTRUCTURED, parts: int = 4) -> DataFrame:
+    """For matrices of two categories: ghost volume (over all rows of the
+    ghost and the full exchange) against full broadcast, and what it gains in time."""
+    rows = records.filter((F.col("P") == parts) & (F.col("kernel") == "cusparse") & F.col("matrix").isin(*structured, *unstructured))
+    at = lambda c, x: F.when(F.col("comm") == c, F.col(x))
+    v = rows.groupBy("matrix").agg(F.try_divide(F.avg(at("ghost_nccl", "n_ghost")), F.avg(at("bcast", "ncols_global"))).alias("ghost_over_naive"))
+    t = times(repetitions(rows)).groupBy("matrix").agg(F.try_divide(F.max(at("bcast", "T_median_ms")), F.max(at("ghost_nccl", "T_median_ms"))).alias("bcast_over_ghost"))
+    category = F.when(F.col("matrix").isin(*structured), "structured").otherwise("unstructured")
+    return v.join(t, "matrix", "left").select(short_name(F.col("matrix")).alias("matrix"), category.alias("category"), "ghost_over_naive", "bcast_over_ghost")
 
 
-def structure(reps: DataFrame, parts: int = 4) -> DataFrame:
-    """Ghost volume against full broadcast, and what it gains in time."""
-    at = lambda c: F.max(F.when((F.col("comm") == c) & (F.col("kernel") == "cusparse"), F.col("T_median_ms")))
-    t = times(reps).filter(F.col("P") == parts).groupBy("matrix").agg(at("bcast").alias("b"), at("ghost_nccl").alias("g"))
-    v = volume(reps).filter(F.col("P") == parts).select("matrix", "ghost_over_naive")
-    return t.join(v, "matrix", "left").select("matrix", "ghost_over_naive", F.try_divide("b", "g").alias("bcast_over_ghost"))
+def _method() -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for name, c in METHODS.items() for x in (c, name))), F.col("comm"))
 
 
-def partitioner_throughput(reps: DataFrame, kernel: str = "acc") -> DataFrame:
-    keep = ("ghost_nccl", "rcm_nccl", "fennel_nccl", "block_nccl")
-    return times(reps).filter((F.col("kernel") == kernel) & F.col("comm").isin(*keep)).select("matrix", F.col("comm").alias("method"), "P", F.col("aggregate_gflops").alias("gflops"))
+def partitioner_throughput(reps: DataFrame, matrices: tuple[str, ...] = THROUGHPUT, kernel: str = "cusparse") -> DataFrame:
+    """Throughput of the methods by P, for the given matrices."""
+    rows = times(reps).filter((F.col("kernel") == kernel) & F.col("comm").isin(*METHODS.values()) & F.col("matrix").isin(*matrices))
+    return rows.select(short_name(F.col("matrix")).alias("matrix"), _method().alias("method"), "P", F.col("aggregate_gflops").alias("gflops"))
 
 
-def partitioner_breakdown(reps: DataFrame, parts: int = 4, kernel: str = "acc") -> DataFrame:
-    """Compute and exchange time of the upper-median repetition (by time); all
-    pairs of matrix and method, those that did not run labelled OOM."""
-    keep = ("ghost_nccl", "rcm_nccl", "fennel_nccl", "block_nccl")
-    rep = reps.filter((F.col("P") == parts) & (F.col("kernel") == kernel) & F.col("comm").isin(*keep)).groupBy("matrix", F.col("comm").alias("method"), "rep").agg(F.max("total_avg_ms").alias("t"), F.max("compute_avg_ms").alias("compute_ms"), F.max("comm_avg_ms").alias("comm_ms"))
+def partitioner_breakdown(reps: DataFrame, left_out: tuple[str, ...] = LEFT_OUT, parts: int = 4, kernel: str = "cusparse") -> DataFrame:
+    """Compute and exchange time of the upper-median repetition (by time), for
+    all pairs of method and matrix that any method ran; those that did not run
+    at ``parts`` are labelled OOM."""
+    rows = reps.filter((F.col("kernel") == kernel) & F.col("comm").isin(*METHODS.values()) & ~F.col("matrix").isin(*left_out))
+    rep = rows.filter(F.col("P") == parts).groupBy("matrix", _method().alias("method"), "rep").agg(F.max("total_avg_ms").alias("t"), F.max("compute_avg_ms").alias("compute_ms"), F.max("comm_avg_ms").alias("comm_ms"))
     w = W.partitionBy("matrix", "method")
     rep = rep.withColumn("k", F.row_number().over(w.orderBy("t", "rep"))).withColumn("n", F.count("*").over(w)).filter("k = floor(n / 2) + 1")
-    every = reps.select("matrix").distinct().withColumn("method", F.explode(F.array(*map(F.lit, keep))))
-    return every.join(rep.select("matrix", "method", "compute_ms", "comm_ms"), ["matrix", "method"], "left").withColumn("label", F.when(F.col("compute_ms").isNull(), "OOM"))
+    every = rows.select("matrix").distinct().withColumn("method", F.explode(F.array(*map(F.lit, METHODS))))
+    out = every.join(rep.select("matrix", "method", "compute_ms", "comm_ms"), ["matrix", "method"], "left")
+    return out.select(short_name(F.col("matrix")).alias("matrix"), "method", "compute_ms", "comm_ms", F.when(F.col("compute_ms").isNull(), "OOM").alias("label"))
 
 
-def matrix_order(reps: DataFrame, comm: str = "bcast", kernel: str = "cusparse") -> DataFrame:
-    """Matrices by their time on one rank, those without it last by name."""
+def matrix_order(reps: DataFrame, comm: str = "ghost_nccl", kernel: str = "cusparse") -> DataFrame:
+    """Matrices by their time on one rank, those without it last by name.  The
+    window has a row for each matrix."""
     t1 = F.max(F.when((F.col("comm") == comm) & (F.col("kernel") == kernel) & (F.col("P") == 1), F.col("T_median_ms")))
     t = times(reps).groupBy("matrix").agg(t1.alias("t1"))
     return t.withColumn("place", F.row_number().over(W.orderBy(F.col("t1").isNull(), "t1", "matrix")).cast("long"))

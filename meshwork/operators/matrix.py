@@ -6,7 +6,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import ranked
@@ -68,8 +67,10 @@ def row_pointers(m: SparseMatrix) -> DataFrame:
 
 
 def csr_entries(m: SparseMatrix) -> DataFrame:
-    """Entries with their slot in the row, by column (equal columns by value)."""
-    return m.df.withColumn("slot", F.row_number().over(W.partitionBy("i").orderBy("j", "v")) - 1)
+    """Entries with their slot in the row, by column (equal columns by value);
+    a row of any length is ranked over several partitions."""
+    slots = ranked(m.df, [F.col("j"), F.col("v")], "slot", by=("i",))
+    return slots.withColumn("slot", F.col("slot").cast("int"))
 
 
 def row_stats(m: SparseMatrix) -> DataFrame:

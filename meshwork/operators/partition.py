@@ -5,15 +5,19 @@ the owner's block).  Ghosts are the entries' columns that another part owns."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import block, cyclic, grid
-from ..functions.tables import ranked, written
+from ..functions.tables import ranked, stored, written
+from .components import components
 from .matrix import SparseMatrix, adjacency, degrees, row_counts
 
 SLACK = 1.10
+CHUNKS, AGAIN = 256, 4
 
 
 def assign_cyclic(spark: SparkSession, n: int, parts: int) -> DataFrame:
@@ -48,24 +52,29 @@ def checkerboard(entries: DataFrame, parts: int) -> DataFrame:
 # ghosts
 
 
-def ghost_need(entries: DataFrame, parts: int) -> DataFrame:
-    """Distinct remote columns of each part: p, owner, lidx at the owner, and
-    the slot among p's ghosts in the order of owner and lidx."""
+def _remote(entries: DataFrame, parts: int) -> DataFrame:
+    """Distinct remote columns of each part: p, owner, lidx at the owner."""
     p, _ = cyclic(F.col("i"), parts)
     owner, lidx = cyclic(F.col("j"), parts)
-    need = entries.select(p.alias("p"), owner.alias("owner"), lidx.alias("lidx")).filter("p <> owner").distinct()
-    return need.withColumn("slot", F.row_number().over(W.partitionBy("p").orderBy("owner", "lidx")) - 1)
+    return entries.select(p.alias("p"), owner.alias("owner"), lidx.alias("lidx")).filter("p <> owner").distinct()
+
+
+def ghost_need(entries: DataFrame, parts: int) -> DataFrame:
+    """Distinct remote columns of each part, and the slot among p's ghosts in
+    the order of owner and lidx.  Parts are few and large: slots are ranked."""
+    slots = ranked(_remote(entries, parts), [F.col("owner"), F.col("lidx")], "slot", by=("p",))
+    return slots.withColumn("slot", F.col("slot").cast("int"))
 
 
 def ghost_counts(entries: DataFrame, parts: int) -> DataFrame:
-    need = ghost_need(entries, parts).groupBy("p", "owner").agg(F.count("*").alias("n"))
-    before = W.partitionBy("p").orderBy("owner").rowsBetween(W.unboundedPreceding, -1)
+    need = _remote(entries, parts).groupBy("p", "owner").agg(F.count("*").alias("n"))
+    before = W.partitionBy("p").orderBy("owner").rowsBetween(W.unboundedPreceding, -1)  # a row for each pair of parts
     return need.withColumn("displacement", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def ghost_requests(entries: DataFrame, parts: int) -> DataFrame:
     """What each owner is asked for: the need, seen from the other side."""
-    return ghost_need(entries, parts).select(F.col("owner").alias("p"), F.col("p").alias("requester"), "lidx")
+    return _remote(entries, parts).select(F.col("owner").alias("p"), F.col("p").alias("requester"), "lidx")
 
 
 def compact_columns(m: SparseMatrix, parts: int) -> DataFrame:
@@ -84,32 +93,35 @@ def compact_columns(m: SparseMatrix, parts: int) -> DataFrame:
 
 def load_balance(m: SparseMatrix, parts_list: tuple[int, ...]) -> DataFrame:
     """Entries of the parts, in one and two dimensions: min, average, max,
-    sample deviation and ratios.  Parts without entries count as 0."""
-    spark, out = m.df.sparkSession, None
+    sample deviation and ratios.  Parts without entries count as 0.  All
+    partitionings are counted in one scan."""
+    spark, at, every = m.df.sparkSession, [], []
     for parts in parts_list:
         rows, cols = grid(parts)
         one = cyclic(F.col("i"), parts)[0]
         two = cyclic(F.col("i"), rows)[0] * cols + cyclic(F.col("j"), cols)[0]
         for family, p in (("1d_cyclic", one), ("2d_checkerboard", two)):
-            per = m.df.groupBy(p.cast("int").alias("p")).agg(F.count("*").alias("nnz"))
-            per = spark.range(parts).select(F.col("id").cast("int").alias("p")).join(per, "p", "left").select(F.coalesce("nnz", F.lit(0)).alias("nnz"))
-            s = per.agg(F.min("nnz").alias("nnz_min"), F.avg("nnz").alias("nnz_avg"), F.max("nnz").alias("nnz_max"), F.coalesce(F.stddev_samp("nnz"), F.lit(0.0)).alias("nnz_stdev"))
-            s = s.select(F.lit(family).alias("family"), F.lit(parts).alias("P"), "*", F.try_divide("nnz_max", "nnz_avg").alias("max_over_avg"), F.try_divide("nnz_max", "nnz_min").alias("max_over_min"))
-            out = s if out is None else out.unionByName(s)
-    return out
+            at.append(F.struct(F.lit(family).alias("family"), F.lit(parts).alias("P"), p.cast("int").alias("part")))
+            every += [(family, parts, k) for k in range(parts)]
+    per = m.df.select(F.inline(F.array(*at))).groupBy("family", "P", "part").agg(F.count("*").alias("nnz"))
+    per = spark.createDataFrame(every, "family string, P int, part int").join(per, ["family", "P", "part"], "left").select("family", "P", F.coalesce("nnz", F.lit(0)).alias("nnz"))
+    s = per.groupBy("family", "P").agg(F.min("nnz").alias("nnz_min"), F.avg("nnz").alias("nnz_avg"), F.max("nnz").alias("nnz_max"), F.coalesce(F.stddev_samp("nnz"), F.lit(0.0)).alias("nnz_stdev"))
+    return s.select("*", F.try_divide("nnz_max", "nnz_avg").alias("max_over_avg"), F.try_divide("nnz_max", "nnz_min").alias("max_over_min"))
 
 
 def comm_volume(m: SparseMatrix, parts_list: tuple[int, ...]) -> DataFrame:
     """Mean bytes of x and y a part moves each product, under full broadcast,
-    ghosts, and the checkerboard (segments of x down, of y across)."""
-    out = None
+    ghosts, and the checkerboard (segments of x down, of y across).  The ghosts
+    of all partitionings are counted in one scan."""
+    plain = []
     for parts in parts_list:
         rows, cols = grid(parts)
-        naive = 4.0 * m.ncols if parts > 1 else 0.0
-        need = ghost_need(m.df, parts).agg((F.count("*") * 4.0 / parts).alias("ghost_bytes"))
         board = 4.0 * ((m.ncols / cols if rows > 1 else 0) + (m.nrows / rows if cols > 1 else 0))
-        row = need.select(F.lit(parts).alias("P"), F.lit(naive).alias("naive_bytes"), "ghost_bytes", F.lit(board).alias("checkerboard_bytes"))
-        out = row if out is None else out.unionByName(row)
+        plain.append((parts, 4.0 * m.ncols if parts > 1 else 0.0, float(board)))
+    at = [F.struct(F.lit(parts).alias("P"), cyclic(F.col("i"), parts)[0].alias("part"), cyclic(F.col("j"), parts)[0].alias("owner")) for parts in parts_list]
+    need = m.df.select("j", F.inline(F.array(*at))).filter("part <> owner").select("P", "part", "j").distinct().groupBy("P").agg(F.count("*").alias("n"))
+    out = m.df.sparkSession.createDataFrame(plain, "P int, naive_bytes double, checkerboard_bytes double").join(need, "P", "left")
+    out = out.select("P", "naive_bytes", (F.coalesce("n", F.lit(0)) * 4.0 / F.col("P")).alias("ghost_bytes"), "checkerboard_bytes")
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
     return out.select("*", ratio("ghost_bytes", "naive_bytes").alias("ghost_over_naive"), ratio("checkerboard_bytes", "naive_bytes").alias("checkerboard_over_naive"), ratio("checkerboard_bytes", "ghost_bytes").alias("checkerboard_over_ghost"))
 
@@ -146,19 +158,6 @@ def _vertices(m: SparseMatrix) -> DataFrame:
     return g.join(row_counts(m.df).withColumnRenamed("i", "g"), "g", "left").join(degrees(m.df).withColumnRenamed("u", "g"), "g", "left").select("g", F.coalesce("nnz", F.lit(0)).alias("nnz"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """g and the smallest index that it reaches."""
-    now = written(nodes.select("g", F.col("g").alias("c")), "components")
-    while True:
-        near = edges.join(now, edges["v"] == now["g"]).groupBy("u").agg(F.min("c").alias("near"))
-        step = now.join(near, now["g"] == near["u"], "left").select("g", F.col("c").alias("was"), F.least("c", F.coalesce("near", "c")).alias("c"))
-        up = now.select(F.col("g").alias("c"), F.col("c").alias("up"))
-        step = written(step.join(up, "c").select("g", "was", F.least("c", "up").alias("c")), "components")
-        now = step.select("g", "c")
-        if step.filter("c < was").isEmpty():
-            return now
-
-
 def rcm_order(m: SparseMatrix) -> DataFrame:
     """g and pos in the reverse Cuthill-McKee order, ties by (degree, index).
 
@@ -169,20 +168,25 @@ def rcm_order(m: SparseMatrix) -> DataFrame:
     m.square()
     nodes = written(_vertices(m), "rcm-nodes")
     edges = written(adjacency(m.df), "rcm-edges")
-    comps = _components(edges, nodes)
-    starts = nodes.join(comps, "g").groupBy("c").agg(F.min(F.struct("degree", "g")).alias("s")).select(F.col("s.g").alias("g"), F.col("s.degree").alias("degree"), "c")
+    comps = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "g")
+    starts = nodes.join(comps, "g", "left").withColumn("c", F.coalesce("label", "g")).groupBy("c").agg(F.min(F.struct("degree", "g")).alias("s")).select(F.col("s.g").alias("g"), F.col("s.degree").alias("degree"), "c")
     # (component's start, level, place in the level): enough to order all
-    front = written(ranked(starts, [F.col("degree"), F.col("g")], "at").select("g", F.col("at").alias("part"), "at"), "rcm-level").withColumn("level", F.lit(0))
-    front, level = front.select("g", "part", "level", "at"), 0
-    seen = front
+    first = ranked(starts, [F.col("degree"), F.col("g")], "at").select("g", F.col("at").alias("part"), F.lit(0).alias("level"), "at")
+    schema, paths = first.schema, [stored(first, "rcm-level")]
+    level_at = lambda k: nodes.sparkSession.read.schema(schema).parquet(paths[k])
     while True:
-        level += 1
+        front = level_at(-1)
         near = edges.join(front.select(F.col("g").alias("u"), "part", "at"), "u").groupBy("v").agg(F.min("at").alias("parent"), F.min("part").alias("part")).withColumnRenamed("v", "g")
-        new = near.join(seen.select("g"), "g", "left_anti").join(nodes.select("g", "degree"), "g")
-        front = written(ranked(new, [F.col("part"), F.col("parent"), F.col("degree"), F.col("g")], "at").select("g", "part", F.lit(level).alias("level"), "at"), "rcm-level")
-        if front.isEmpty():
+        # an edge leads to the same level, the one before or the next
+        for k in (-1, -2):
+            if len(paths) >= -k:
+                near = near.join(level_at(k).select("g"), "g", "left_anti")
+        new = near.join(nodes.select("g", "degree"), "g")
+        new = ranked(new, [F.col("part"), F.col("parent"), F.col("degree"), F.col("g")], "at").select("g", "part", F.lit(len(paths)).alias("level"), "at")
+        paths.append(stored(new, "rcm-level"))
+        if level_at(-1).isEmpty():
             break
-        seen = seen.unionByName(front)
+    seen = nodes.sparkSession.read.schema(schema).parquet(*paths[:-1])
     placed = ranked(seen, [F.col("part"), F.col("level"), F.col("at")], "forward")
     return placed.select("g", (F.lit(m.nrows - 1) - F.col("forward")).cast("long").alias("pos"))
 
@@ -194,35 +198,97 @@ def assign_rcm(m: SparseMatrix, parts: int) -> tuple[DataFrame, list[int]]:
     return split_assignment(placed, starts), starts
 
 
-def assign_greedy(m: SparseMatrix, parts: int, batches: int = 16) -> DataFrame:
+def _admitted(rows: DataFrame, loads: list[float], limits: list[float], scores: str = "scores") -> DataFrame:
+    """g, owner and nnz of ``rows`` (g, nnz, turn, scores: one for each part),
+    each in the best of its parts that has room.
+
+    In rounds: every vertex left asks for its best open part (ties: the lesser
+    load, then by turns, so that equal vertices spread); vertices are admitted in
+    the order of ``turn`` as long as the part's limit holds, and a part that had
+    to turn vertices away is closed.  The limit is found from sums over
+    ``CHUNKS`` ranges of turns, one row for each range and part.  Vertices that
+    no limit holds go to the part with the most room."""
+    spark, parts = rows.sparkSession, len(loads)
+    chunk, room, out = F.floor(F.col("turn") * CHUNKS), [limit - load for limit, load in zip(limits, loads, strict=True)], []
+    open_ = [p for p in range(parts) if room[p] > 0]
+    left = rows
+    while True:
+        if not open_:
+            open_ = [max(range(parts), key=lambda p: room[p])]
+            room[open_[0]] = float("inf")
+        even = F.floor(F.col("turn") * 1_000_003 + F.col("g")) % len(open_)
+        choices = [F.struct(F.col(scores)[p].alias("s"), F.lit(-float(loads[p])).alias("l"), F.pmod(even + k, F.lit(len(open_))).alias("t"), F.lit(-p).alias("p")) for k, p in enumerate(open_)]
+        asks = written(left.withColumn("owner", (-F.array_max(F.array(*choices))["p"]).cast("int")).withColumn("chunk", chunk), "greedy-asks")
+        sums: dict[int, list] = {p: [] for p in open_}
+        for r in asks.groupBy("owner", "chunk").agg(F.sum("nnz").alias("n")).orderBy("chunk").collect():  # CHUNKS x parts rows
+            sums[r["owner"]].append((r["chunk"], r["n"]))
+        cut, closed = {}, []
+        for p in open_:
+            took, upto = 0.0, CHUNKS
+            for c, n in sums[p]:
+                if took + n > room[p]:
+                    upto = c
+                    closed.append(p)
+                    break
+                took += n
+            cut[p] = upto
+            room[p] -= took
+            loads[p] += took
+        admit = F.element_at(F.create_map(*(F.lit(x) for kv in cut.items() for x in kv)), F.col("owner"))
+        out.append(asks.filter(F.col("chunk") < admit).select("g", "owner", "nnz"))
+        if not closed:
+            break
+        left = asks.filter(F.col("chunk") >= admit).drop("owner", "chunk")
+        open_ = [p for p in open_ if p not in closed]
+    return reduce(DataFrame.unionByName, out)
+
+
+def assign_greedy(m: SparseMatrix, parts: int, growth: float = 2.0, passes: int = 1) -> DataFrame:
     """Linear deterministic greedy assignment, in batches.
 
     Vertices come by falling degree; a vertex goes where most of its placed
     neighbours are, discounted by that part's load against its capacity (1.1
-    times the mean entries), ties to the lesser load, then the lower part.  All
-    vertices of a batch see the loads and places that the batches before left,
-    so a batch is one join and one aggregate; a single sequential pass would
-    put the whole graph into one task.  Batches grow geometrically, and within a
-    batch vertices without placed neighbours are dealt by load in turn."""
+    times the mean entries), ties to the lesser load, then the lower part.  A
+    single sequential pass would put the whole graph into one task; here batches
+    grow by ``growth`` and all vertices of a batch see the places and loads that
+    the batches before left, while each part's share of the batch is bounded
+    (``_admitted``).  Then, ``passes`` times, all vertices choose again in
+    ``AGAIN`` batches, knowing where all others are.  A part never takes more
+    than its capacity, except for rows that no part has room for."""
     m.square()
     spark = m.df.sparkSession
-    nodes = written(ranked(_vertices(m), [F.col("degree").desc(), F.col("g")], "rank"), "greedy-nodes")
-    edges = written(adjacency(m.df), "greedy-edges")
-    capacity = max(1.0, SLACK * (nodes.agg(F.sum("nnz")).first()[0] or 0) / parts)
-    placed = spark.createDataFrame([], "g long, owner int, nnz long")
-    loads, low = [0] * parts, 0
-    ends = sorted({min(m.nrows, max(1, m.nrows >> (batches - 1 - b))) for b in range(batches)})
-    for high in ends:
-        some = nodes.filter((F.col("rank") >= low) & (F.col("rank") < high))
-        near = edges.join(some.select(F.col("g").alias("u")), "u").join(placed.select(F.col("g").alias("v"), "owner"), "v").groupBy("u", "owner").agg(F.count("*").alias("near"))
-        per = near.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("owner", "near"))).alias("near")).withColumnRenamed("u", "g")
-        turn = sorted(range(parts), key=lambda p: (loads[p], p))
-        choices = [F.struct((F.coalesce(F.element_at("near", F.lit(p)), F.lit(0)) * (1 - loads[p] / capacity)).alias("s"), F.lit(-loads[p]).alias("l"), F.lit(-p).alias("p")) for p in range(parts)]
-        best = -F.array_max(F.array(*choices))["p"]
-        by_turn = F.element_at(F.array(*map(F.lit, turn)), (F.pmod(F.col("rank"), F.lit(parts)) + 1).cast("int"))
-        got = some.join(per, "g", "left").select("g", F.when(F.col("near").isNull(), by_turn).otherwise(best).cast("int").alias("owner"), "nnz")
-        placed = written(placed.unionByName(got), "greedy")
-        for r in placed.groupBy("owner").agg(F.sum("nnz").alias("n")).collect():  # one row for each part
-            loads[r["owner"]] = r["n"]
-        low = high
-    return placed.select("g", "owner", (F.row_number().over(W.partitionBy("owner").orderBy("g")) - 1).cast("long").alias("lidx"))
+    nodes = ranked(_vertices(m), [F.col("degree").desc(), F.col("g")], "rank")
+    ends = [min(m.nrows, 16 * parts)] if m.nrows else []
+    while ends and ends[-1] < m.nrows:
+        ends.append(min(m.nrows, int(ends[-1] * growth) + 1))
+    batch = F.lit(len(ends) - 1)
+    for k in range(len(ends) - 2, -1, -1):
+        batch = F.when(F.col("rank") < ends[k], k).otherwise(batch)
+    nodes = written(nodes.withColumn("batch", batch.cast("int")), "greedy-nodes")
+    of = lambda c: nodes.select(F.col("g").alias(c), F.col("batch").alias(f"b{c}"))
+    edges = adjacency(m.df).join(of("u"), "u").join(of("v"), "v").withColumn("again", F.pmod(F.xxhash64("u"), F.lit(AGAIN)).cast("int"))
+    # by the batch of u, for each batch to read its own
+    edges = spark.read.schema(edges.schema).parquet(stored(edges, "greedy-edges", "bu", "again"))
+    total = nodes.agg(F.sum("nnz")).first()[0] or 0
+    capacity = max(1.0, SLACK * total / parts)
+    loads, paths, placed = [0.0] * parts, [], spark.createDataFrame([], "g long, owner int, nnz long")
+    scored = lambda some, near: some.join(near, "g", "left").select(
+        "g", "nnz", "turn", F.array(*((F.coalesce(F.element_at("near", F.lit(p)), F.lit(0)) * (1 - loads[p] / capacity)) for p in range(parts))).alias("scores"))
+    counted = lambda links: links.groupBy("u", "owner").agg(F.count("*").alias("n")).groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("owner", "n"))).alias("near")).withColumnRenamed("u", "g")
+    low = 0
+    for k, high in enumerate(ends):
+        some = nodes.filter(F.col("batch") == k).withColumn("turn", (F.col("rank") - low) / F.lit(high - low))
+        weight = some.agg(F.sum("nnz")).first()[0] or 0
+        near = counted(edges.filter((F.col("bu") == k) & (F.col("bv") < k)).join(placed.select(F.col("g").alias("v"), "owner"), "v"))
+        limits = [SLACK * (sum(loads) + weight) / parts] * parts
+        paths.append(stored(_admitted(scored(some, near), loads, limits), "greedy"))
+        placed, low = spark.read.schema(placed.schema).parquet(*paths), high
+    for _ in range(passes if total else 0):
+        for a in range(AGAIN):
+            mine = F.pmod(F.xxhash64("g"), F.lit(AGAIN)) == a
+            for r in placed.filter(mine).groupBy("owner").agg(F.sum("nnz").alias("n")).collect():  # one row for each part
+                loads[r["owner"]] -= r["n"]
+            some = nodes.filter(mine).withColumn("turn", F.col("rank") / F.lit(m.nrows))
+            near = counted(edges.filter(F.col("again") == a).join(placed.select(F.col("g").alias("v"), "owner"), "v"))
+            placed = written(placed.filter(~mine).unionByName(_admitted(scored(some, near), loads, [capacity] * parts)), "greedy")
+    return ranked(placed.select("g", "owner"), [F.col("g")], "lidx", by=("owner",)).select("g", "owner", F.col("lidx").cast("long").alias("lidx"))

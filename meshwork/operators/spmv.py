@@ -8,8 +8,9 @@ The plans move data differently and give the same rows:
 - ``ghost``: only the entries of x that a part refers to and does not own go to it.
 - ``checkerboard``: x segments go down grid columns, partial sums across rows.
 
-Kernels: ``line`` sums by row; ``flat`` first sums tiles of equally many
-entries, so that no row is one task's work."""
+Kernels: ``line`` sums by row; ``flat`` divides rows of more than ``TILE``
+entries into tiles of about so many, sums these and then the row, so that no row
+is one task's work; the others keep their map-side sums."""
 
 from __future__ import annotations
 
@@ -26,12 +27,15 @@ TILE = 1024
 FLAT_NNZ, FLAT_IMBALANCE, FLAT_AVG, ALWAYS_FLAT_AVG = 1_000_000, 32, 8, 128
 
 
-def _summed(products: DataFrame, kernel: str) -> DataFrame:
-    if kernel == "flat":
-        # tiles by hash of the entry: a row of any length is spread, then summed again
-        tile = F.pmod(F.xxhash64("i", "j", "xv"), F.lit(TILE))
-        products = products.groupBy("i", tile.alias("tile")).agg(F.sum("xv").alias("xv"))
-    return products.groupBy("i").agg(F.sum("xv").alias("y"))
+def _summed(products: DataFrame, kernel: str, rows: DataFrame) -> DataFrame:
+    """Products (i, j, xv) summed by row; ``rows``: the entries' i."""
+    if kernel != "flat":
+        return products.groupBy("i").agg(F.sum("xv").alias("y"))
+    # at most nnz / TILE rows are longer than a tile; only these are divided
+    hubs = rows.groupBy("i").agg(F.ceil(F.count("*") / TILE).alias("tiles")).filter("tiles > 1")
+    tile = F.coalesce(F.pmod(F.xxhash64("j", "xv"), F.col("tiles")), F.lit(0))
+    tiles = products.join(hubs, "i", "left").groupBy("i", tile.alias("tile")).agg(F.sum("xv").alias("xv"))
+    return tiles.groupBy("i").agg(F.sum("xv").alias("y"))
 
 
 def dense(y: DataFrame, nrows: int) -> DataFrame:
@@ -46,7 +50,7 @@ def spmv(m: SparseMatrix, x: DataFrame, exchange: str = "plain", kernel: str = "
     a = m.df
     if exchange in ("plain", "broadcast"):
         side = F.broadcast(x) if exchange == "broadcast" and m.ncols <= BROADCAST_ROWS else x
-        return _summed(a.join(side, "j").select("i", "j", (F.col("v") * F.col("x")).alias("xv")), kernel)
+        return _summed(a.join(side, "j").select("i", "j", (F.col("v") * F.col("x")).alias("xv")), kernel, a)
     m.square()
     if exchange == "checkerboard":
         rows, cols = grid(parts)
@@ -67,7 +71,7 @@ def spmv(m: SparseMatrix, x: DataFrame, exchange: str = "plain", kernel: str = "
         xs = x.join(who.withColumnRenamed("g", "j"), "j")
     need = own.select("p", "j").distinct()  # owned columns and ghosts
     local = xs.join(need, "j").select("p", "j", "x")
-    return _summed(own.join(local, ["p", "j"]).select("i", "j", (F.col("v") * F.col("x")).alias("xv")), kernel)
+    return _summed(own.join(local, ["p", "j"]).select("i", "j", (F.col("v") * F.col("x")).alias("xv")), kernel, a)
 
 
 def kernel_choice(m: SparseMatrix) -> DataFrame:

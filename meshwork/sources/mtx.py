@@ -107,24 +107,34 @@ def entries_of(lines: DataFrame, complex_values: bool = False) -> DataFrame:
     return rows.select(*cols, value.alias("v"))
 
 
-HEADER_LINES = 1000
+_LINE = r"^\s*(%.*)?$"  # comments and blank lines
+
+
+def _head(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
+    """The header, and the lines after it.  A file may come in parts: the first
+    by name holds the header.  Its lines are numbered as they are read, and only
+    as much of it is read as there are comments before the sizes."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        raise PrematureEnd(path)
+    first = spark.read.text(files[0]).withColumn("__at", F.monotonically_increasing_id())
+    lines = [r["value"] for r in first.limit(1).collect()]
+    size = first.filter((F.col("__at") > 0) & ~F.col("value").rlike(_LINE)).limit(1).collect()
+    h = header(lines + [r["value"] for r in size])
+    rest = first.filter(F.col("__at") > size[0]["__at"]).select("value")
+    return h, rest.union(spark.read.text(files[1:])) if files[1:] else rest
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    return header([r["value"] for r in spark.read.text(path).limit(HEADER_LINES).collect()])
+    return _head(spark, path)[0]
 
 
 def read(spark: SparkSession, path: str, expand: bool = True) -> SparseMatrix:
     """A coordinate matrix; with ``expand``, the symmetric half is mirrored."""
-    h = read_header(spark, path)
+    h, lines = _head(spark, path)
     if h.format != "coordinate" or h.field == "complex" or h.symmetry == "hermitian":
         raise Unsupported(h.banner)
-    # the size line is the first one that is no comment: three integers, which
-    # as an entry would be (nrows, ncols); it is told by its place in the file
-    text = spark.read.text(path)
-    skip = _size_line(spark, path)
-    first = text.withColumn("__at", F.monotonically_increasing_id())
-    entries = entries_of(first.filter(F.col("__at") > skip))
+    entries = entries_of(lines)
     if h.field == "pattern":
         entries = entries.withColumn("v", F.lit(1.0))
     if expand and h.symmetry != "general":
@@ -132,21 +142,12 @@ def read(spark: SparkSession, path: str, expand: bool = True) -> SparseMatrix:
     return SparseMatrix(entries, h.nrows, h.ncols)
 
 
-def _size_line(spark: SparkSession, path: str) -> int:
-    """Number of the size line: the header is in the first partition, whose
-    rows are numbered from 0."""
-    for k, r in enumerate(spark.read.text(path).limit(HEADER_LINES).collect()):
-        if k and r["value"].strip() and not r["value"].startswith("%"):
-            return k
-    raise PrematureEnd("no sizes")
-
-
 def read_complex(spark: SparkSession, path: str) -> DataFrame:
     """Entries with v = (re, im), unexpanded."""
-    if read_header(spark, path).field != "complex":
+    h, lines = _head(spark, path)
+    if h.field != "complex":
         raise Unsupported("not a complex matrix")
-    skip = _size_line(spark, path)
-    return entries_of(spark.read.text(path).withColumn("__at", F.monotonically_increasing_id()).filter(F.col("__at") > skip), complex_values=True)
+    return entries_of(lines, complex_values=True)
 
 
 def entry_lines(m: SparseMatrix, pattern: bool = False) -> DataFrame:
@@ -157,11 +158,9 @@ def entry_lines(m: SparseMatrix, pattern: bool = False) -> DataFrame:
 
 def write(m: SparseMatrix, path: str, pattern: bool = False) -> None:
     """A folder of part files that make one coordinate file, end to end by their
-    names; the header is the first part."""
+    names; the header is the first part.  Entries are counted by their own scan
+    before they are written."""
     spark = m.df.sparkSession
-    body = entry_lines(m, pattern).cache()
-    nnz = body.count()
-    h = Header(m.nrows, m.ncols, nnz, "coordinate", "pattern" if pattern else "real", "general")
-    head = spark.createDataFrame([(h.banner,), (f"{m.nrows} {m.ncols} {nnz}",)], "value string").coalesce(1)
-    head.unionByName(body).write.text(path)
-    body.unpersist()
+    h = Header(m.nrows, m.ncols, m.df.count(), "coordinate", "pattern" if pattern else "real", "general")
+    head = spark.createDataFrame([(h.banner,), (f"{h.nrows} {h.ncols} {h.nnz_file}",)], "value string").coalesce(1)
+    head.unionByName(entry_lines(m, pattern)).write.text(path)

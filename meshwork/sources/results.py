@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import ranked
+
 #: The typed keys; any other key stays a string.
 INT_KEYS = ("P", "rank")
 LONG_KEYS = ("nrows_local", "ncols_global", "nnz_local", "n_ghost", "M", "N", "nnz_expanded")
@@ -19,52 +21,57 @@ READ_DOUBLES = ("serial_mean_ms", "serial_min_ms", "chunked_mean_ms", "chunked_m
 READ_LONGS = ("nnz_total_serial", "nnz_total_chunked", "spmv_mismatches")
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line_no and line of text files; a log is one row until it is split,
-    which keeps the lines' order."""
-    files = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+def numbered_lines(spark: SparkSession, paths: str | list[str], prefix: str = "RESULT") -> DataFrame:
+    """file, line_no and line of text files (paths or patterns), of the lines
+    that begin with ``prefix``; line_no counts these in each file from 0.
+
+    Files are read in splits: a line's place is its split's offset and its place
+    among the lines of the task, ranked within the file."""
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.ltrim(F.regexp_replace("value", r"\r$", "")).alias("line"))
+    lines = ranked(text.filter(F.startswith("line", F.lit(prefix))), [F.col("__block"), F.col("__id")], "line_no", by=("file",))
+    return lines.select("file", "line_no", "line")
 
 
-def _fields(line: Column, prefix: str) -> Column:
-    """The key=value tokens after the prefix; the last of a key counts."""
-    tokens = F.regexp_extract_all(F.substr(line, F.lit(len(prefix) + 1)), F.lit(r"(\S+=\S+)"), F.lit(1))
-    pairs = F.transform(tokens, lambda t: F.struct(F.regexp_extract(t, r"^(.*)=(\S+)$", 1).alias("k"), F.regexp_extract(t, r"^(.*)=(\S+)$", 2).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+def _fields(line: Column, prefix: str, keys: tuple[str, ...]) -> Column:
+    """The values of ``keys`` among the key=value tokens after the prefix, as
+    strings; the last token of a key counts.  The tokens are put as one JSON
+    object, so that a line is parsed once for all keys."""
+    rest = F.regexp_replace(F.substr(line, F.lit(len(prefix) + 1)), r"[\\\"]", r"\\$0")
+    body = F.regexp_replace(rest, r"\s*(?:(\S+)=(\S+)|\S+)", r'"$1":"$2",')
+    schema = ", ".join(f"`{k}` string" for k in keys)
+    return F.from_json(F.concat(F.lit("{"), F.trim(body), F.lit('"":""}')), schema, {"allowUnquotedControlChars": "true"})
 
 
-def _typed(rows: DataFrame, strings: tuple, ints: tuple, longs: tuple, doubles: tuple) -> DataFrame:
-    f = F.col("fields")
-    cols = [f[k].alias(k) for k in strings]
-    for keys, kind in ((ints, "int"), (longs, "long"), (doubles, "double")):
-        cols += [f[k].try_cast(kind).alias(k) for k in keys]
-    return rows.select("file", "line_no", *cols)
+def _typed(lines: DataFrame, prefix: str, strings: tuple, ints: tuple, longs: tuple, doubles: tuple) -> DataFrame:
+    rows = lines.filter(F.startswith("line", F.lit(prefix)))
+    rows = rows.select("file", "line_no", _fields(F.col("line"), prefix, (*strings, *ints, *longs, *doubles)).alias("fields")).select("file", "line_no", "fields.*")
+    kinds = {**dict.fromkeys(ints, "int"), **dict.fromkeys(longs, "long"), **dict.fromkeys(doubles, "double")}
+    return rows.withColumns({k: F.col(k).try_cast(kind) for k, kind in kinds.items()})
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Records of the lines (file, line_no, line) that begin with ``RESULT ``."""
-    rows = lines.filter(F.startswith("line", F.lit("RESULT "))).withColumn("fields", _fields(F.col("line"), "RESULT "))
-    return _typed(rows, STRING_KEYS, INT_KEYS, LONG_KEYS, DOUBLE_KEYS)
+    return _typed(lines, "RESULT ", STRING_KEYS, INT_KEYS, LONG_KEYS, DOUBLE_KEYS)
 
 
 def parse_reads(lines: DataFrame) -> DataFrame:
     """Read-benchmark records; lines of the old schema are left out."""
-    rows = lines.filter(F.startswith("line", F.lit("RESULT_CSV_READ "))).withColumn("fields", _fields(F.col("line"), "RESULT_CSV_READ "))
-    return _typed(rows.filter(F.col("fields")["chunked_mean_ms"].isNotNull()), ("matrix", "check"), ("P", "reps"), READ_LONGS, READ_DOUBLES)
+    rows = _typed(lines, "RESULT_CSV_READ ", ("matrix", "check"), ("P", "reps"), READ_LONGS, READ_DOUBLES)
+    return rows.filter("chunked_mean_ms IS NOT NULL")
 
 
 def old_reads(lines: DataFrame) -> DataFrame:
     """How many read-benchmark lines have the old schema."""
-    rows = lines.filter(F.startswith("line", F.lit("RESULT_CSV_READ "))).withColumn("fields", _fields(F.col("line"), "RESULT_CSV_READ "))
-    return rows.agg(F.count_if(F.col("fields")["chunked_mean_ms"].isNull()).alias("skipped"))
+    prefix = "RESULT_CSV_READ "
+    rows = lines.filter(F.startswith("line", F.lit(prefix)))
+    return rows.agg(F.count_if(_fields(F.col("line"), prefix, ("chunked_mean_ms",))["chunked_mean_ms"].isNull()).alias("skipped"))
 
 
 def repetitions(records: DataFrame, keys: tuple[str, ...] = ("matrix", "comm", "kernel", "P")) -> DataFrame:
     """Records with ``rep``: each P lines of a group, in file order, are one
-    repetition; a last one of fewer lines is dropped."""
-    group = W.partitionBy(*keys)
-    rows = records.filter(F.col("P") > 0).withColumn("__k", F.row_number().over(group.orderBy("file", "line_no")) - 1).withColumn("rep", F.floor(F.col("__k") / F.col("P")))
+    repetition; a last one of fewer lines is dropped.  The groups are few and
+    large: places in them come from ``ranked``."""
+    rows = ranked(records.filter(F.col("P") > 0), [F.col("file"), F.col("line_no")], "__k", by=keys).withColumn("rep", F.floor(F.col("__k") / F.col("P")))
     return rows.withColumn("__n", F.count("*").over(W.partitionBy(*keys, "rep"))).filter(F.col("__n") == F.col("P")).drop("__k", "__n")
 
 

@@ -84,3 +84,11 @@ def test_write_and_read_in_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert (got.nrows, got.ncols) == (50, 40)
+    # the folder as it is written
+    got = mtx.read(spark, out)
+    assert sorted(map(tuple, got.df.collect())) == sorted(map(tuple, df.collect())) and (got.nrows, got.ncols) == (50, 40)
+
+
+def test_many_comments(spark, tmp_path):
+    text = BANNER + "real general\n" + "% more\n" * 5000 + "2 2 1\n1 2 3\n"
+    assert read(spark, tmp_path, text)[1] == [(0, 1, 3)]

@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.functions import scalars
+from meshwork.functions import scalars, tables
+from meshwork.functions.tables import ranked
 from meshwork.operators import matrix, partition, spmv
+from meshwork.operators.components import components
 from meshwork.operators.matrix import ShapeError, SparseMatrix
 
 N = 23
@@ -186,3 +188,56 @@ def test_blocks_and_grid(spark):
     assert [scalars.grid(p) for p in (1, 2, 3, 4, 6, 8, 12)] == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 4), (3, 4)]
     got = spark.range(1, 13).select("id", scalars.grid_rows(F.col("id")).alias("r")).collect()
     assert all(r["r"] == scalars.grid(r["id"])[0] for r in got)
+
+
+def test_greedy_keeps_its_capacity(spark):
+    """Against the sequential pass: loads within 1.1 of the mean, a cut of about the same size."""
+    rnd, n, parts = random.Random(3), 600, 4
+    e = [(u, (u + rnd.choice((1, 2, 5, 40))) % n, 1.0) for u in range(n) for _ in range(4)] + [(0, k, 1.0) for k in range(0, n, 7)]
+    near, nnz = {k: set() for k in range(n)}, [0] * n
+    for u, v, _ in e:
+        nnz[u] += 1
+        if u != v:
+            near[u].add(v)
+            near[v].add(u)
+    capacity, owner, load = partition.SLACK * len(e) / parts, {}, [0] * parts
+    for u in sorted(range(n), key=lambda u: (-len(near[u]), u)):
+        count = [sum(owner.get(v) == p for v in near[u]) for p in range(parts)]
+        owner[u] = max(range(parts), key=lambda p: (count[p] * (1 - load[p] / capacity), -load[p], -p))
+        load[owner[u]] += nnz[u]
+    m = SparseMatrix(spark.createDataFrame(e, "i long, j long, v double"), n, n)
+    got = {r["g"]: r["owner"] for r in partition.assign_greedy(m, parts).collect()}
+    loads = [sum(nnz[g] for g in got if got[g] == p) for p in range(parts)]
+    assert max(loads) <= capacity
+    cut = lambda where: sum(where[u] != where[v] for u, v, _ in e)
+    assert cut(got) <= 1.1 * cut(owner)
+
+
+def test_greedy_of_few_and_empty_rows(spark):
+    for n, e in ((3, [(0, 1, 1.0)]), (5, []), (0, [])):
+        a = partition.assign_greedy(SparseMatrix(spark.createDataFrame(e, "i long, j long, v double"), n, n), 4).collect()
+        assert sorted(r["g"] for r in a) == list(range(n))
+
+
+def test_ranked_within_groups(spark):
+    rnd = random.Random(5)
+    rows_ = [(rnd.choice(["a", "b", None]), rnd.randrange(1000), rnd.randrange(5)) for _ in range(300)]
+    df = spark.createDataFrame(rows_, "k string, x int, w int")
+    for weight in (None, F.col("w")):
+        got = ranked(df, [F.col("x"), F.col("w")], "at", weight, by=("k",)).collect()
+        for k in ("a", "b", None):
+            mine = sorted((r["x"], r["w"], r["at"]) for r in got if r["k"] == k)
+            upto = 0
+            for _, w, at in mine:
+                assert at == upto
+                upto += 1 if weight is None else w
+    assert ranked(df.limit(0), [F.col("x")], "at", by=("k",)).count() == 0
+
+
+def test_components_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HOT", 5)
+    monkeypatch.setattr(tables.hot_keys, "__defaults__", (5,))
+    links = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 130)] + [(7, 7), (50, 51), (51, 50)]
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), **dict.fromkeys(range(100, 131), 100), 50: 50, 51: 50}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
