@@ -115,8 +115,14 @@ def _matrix(k) -> Column:
     return F.concat(F.lit("m"), k.cast("string"), F.lit(".mtx"))
 
 
+def _event_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys of the events, dealt to as many tasks as run at once: each makes
+    several log lines, of which a small file holds very many."""
+    return _read(spark, sf, "events").select("event_id").repartition(spark.sparkContext.defaultParallelism)
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    e = _read(spark, sf, "events").select("event_id", (F.col("event_id") % 4 + 1).cast("int").alias("P"))
+    e = _event_ids(spark, sf).select("event_id", (F.col("event_id") % 4 + 1).cast("int").alias("P"))
     r = e.withColumn("rank", F.explode(F.sequence(F.lit(0), F.col("P") - 1)))
     k = lambda names, q: F.element_at(F.array(*map(F.lit, names)), (q + 1).cast("int"))
     eid, rank = F.col("event_id"), F.col("rank")
@@ -134,12 +140,17 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     rec = records(spark, sf)
     line = F.concat_ws(" ", F.lit("RESULT"), *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in RECORD_KEYS))
     lines = rec.select(F.lit("events").alias("file"), (F.col("event_id") * 8 + F.col("rank")).alias("line_no"), line.alias("line"))
-    noise = _read(spark, sf, "events").select(F.lit("events").alias("file"), (F.col("event_id") * 8 + 7).alias("line_no"), F.lit("=== next ===").alias("line"))
+    noise = _event_ids(spark, sf).select(F.lit("events").alias("file"), (F.col("event_id") * 8 + 7).alias("line_no"), F.lit("=== next ===").alias("line"))
     return lines.unionByName(noise)
 
 
+def parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of the log lines, with the columns that the summaries need."""
+    return results.parse(log_lines(spark, sf)).select("file", "line_no", *RECORD_KEYS)
+
+
 def reps(spark: SparkSession, sf: str) -> DataFrame:
-    return results.repetitions(results.parse(log_lines(spark, sf)))
+    return results.repetitions(parsed(spark, sf))
 
 
 def _on(rows: Callable[[SparkSession, str], DataFrame]) -> Callable[..., Query]:
@@ -150,7 +161,7 @@ def _on(rows: Callable[[SparkSession, str], DataFrame]) -> Callable[..., Query]:
 
 
 _on_reps = _on(reps)
-_on_records = _on(lambda spark, sf: results.parse(log_lines(spark, sf)))
+_on_records = _on(parsed)
 
 
 def log_files(spark: SparkSession, sf: str) -> str:
@@ -221,7 +232,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
     fields += [("nnz_total_serial", (1000 + e % 3).cast("string")), ("nnz_total_chunked", F.lit("1000")), ("spmv_mismatches", F.lit("0")), ("check", F.when(e % 3 == 0, "OK!").otherwise("MISMATCH!"))]
     new = F.when(e % 11 == 0, F.concat(F.lit("mpiio_ms="), c(e % 9))).otherwise(F.concat(F.lit("chunked_mean_ms="), c(1 + e % 40)))
     line = F.concat_ws(" ", F.lit("RESULT_CSV_READ"), *(F.concat(F.lit(f"{k}="), v) for k, v in fields), new)
-    return _read(spark, sf, "events").select(F.lit("events").alias("file"), e.alias("line_no"), line.alias("line"))
+    return _event_ids(spark, sf).select(F.lit("events").alias("file"), e.alias("line_no"), line.alias("line"))
 
 
 READS_SQL = "reads AS (SELECT event_id, concat('m', CAST(event_id % 7 AS VARCHAR)) AS matrix, CAST((event_id // 7) % 4 + 1 AS INT) AS \"P\", " + ", ".join(f"CAST(1 + (event_id * {3 + k} + {k}) % {50 + k} AS DOUBLE) AS {n}" for k, n in enumerate(results.READ_DOUBLES) if n != "chunked_mean_ms") + ", CAST(1 + event_id % 40 AS DOUBLE) AS chunked_mean_ms, 1000 + event_id % 3 AS nnz_s, CASE WHEN event_id % 3 = 0 THEN 'OK!' ELSE 'MISMATCH!' END AS chk FROM events WHERE event_id % 11 <> 0)"
