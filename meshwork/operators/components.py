@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.tables import hot_keys, looked_up, written
 
 
@@ -17,13 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     values are broadcast (``looked_up``).  Nodes without links are not in the
     result; links of a node with itself are allowed."""
     both = written(links.select(F.col("a").alias("u"), F.col("b").alias("node")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    hubs = written(hot_keys(both, "node"), "hubs")
+    large = both.count() > tables.HOT  # else no key can be hot
+    hubs = written(hot_keys(both, "node"), "hubs") if large else None
     now = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("node")).alias("label")).withColumnRenamed("u", "node"), "labels")
     while True:
-        near = looked_up(both, now, "node", hubs).groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
+        near = (looked_up(both, now, "node", hubs) if large else both.join(now, "node")).groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
         step = written(now.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels")
         up = now.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = written(looked_up(step, up, "label").select("node", "was", F.least("label", "up").alias("label")), "labels")
+        step = written((looked_up(step, up, "label") if large else step.join(up, "label")).select("node", "was", F.least("label", "up").alias("label")), "labels")
         now = step.select("node", "label")
         if step.filter("label < was").isEmpty():
             return now
