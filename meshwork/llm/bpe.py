@@ -32,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import column, load, pieces
+from .common import column, lean, load, pieces
 
 SHORT = 128
 REMEMBER = 48_000_000
-CELLS = 2_000_000  # places of the arrays that words are merged in
+CELLS = 400_000  # places of the arrays that words are merged in
 WIDTH = 20  # bits of an id
 ROWS = 256  # rows that are decoded at once
 FILE = "word_bpe_49k.json"
@@ -273,6 +273,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text") -> DataFr
     keep = [f for f in df.schema.fields if f.name not in (text, "ids")]
     schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value)
         for b in batches:
@@ -292,6 +293,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFram
     keep = [f for f in df.schema.fields if f.name not in (ids, "text")]
     schema = T.StructType([*keep, T.StructField("text", T.StringType(), False)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value)
         for b in batches:
@@ -308,6 +310,7 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     in one pass without writing the ids out."""
     vocab = _vocabulary(df, path)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab.value)
         for b in batches:

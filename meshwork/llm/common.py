@@ -1,16 +1,25 @@
-"""Pieces that several training-data operators share: tables in the shared
-folder, and vectorised splitting and hashing of words over Arrow buffers."""
+"""Pieces that several training-data operators share: memory of the worker
+processes, and vectorised splitting and hashing of words over Arrow buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.tables import fresh_path, shared_dir, written
+
+__all__ = ["LOWER", "SPACE", "SPACE_BYTES", "UPPER", "add_at", "column", "fresh_path", "lean", "load", "mix64", "per_row", "pieces", "release", "shared_dir", "word_hashes", "word_spans", "written"]
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not the GNU C library
+    _TRIM = None
+
 #: The white space of every contract: blank and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACE.encode()
@@ -20,24 +29,26 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  The cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a temporary folder takes its place."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends
-    there, and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Gives memory that this worker process holds but does not use back to the
+    system: Arrow's pool, and the C library's heap where it can."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run: Callable) -> Callable:
+    """For functions of Arrow batches: after a task the process, which Spark
+    keeps for later tasks of any stage, holds no more memory than before."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def load(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, load, written
+from .common import column, lean, load, written
 
 LEAST, SHARE = 0.5, 0.3
 #: The usual statements of common licences.
@@ -127,6 +127,7 @@ def _frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     """Files, and files with each of the templates' terms."""
     known = set(VOCABULARY)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c: Counter = Counter()
@@ -149,6 +150,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     carried = [f for f in files.schema.fields if f.name != text and f.name not in made]
     schema = T.StructType([*carried, T.StructField("own_licence", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("share", T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scanner.value
         for batch in batches:

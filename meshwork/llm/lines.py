@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, column, load, mix64, written
+from .common import SPACE_BYTES, column, lean, load, mix64, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 50_000
@@ -100,6 +100,7 @@ class PerfectHash:
 def _probes(docs: DataFrame, min_chars: int) -> DataFrame:
     """Each document's distinct line hashes: a, b, doc_id."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, a, rows = column(batch, "doc_id"), [], []
@@ -198,6 +199,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     carried = [docs.schema["doc_id"]] if digest else [docs.schema[c] for c in names if c != "text"]
     schema = T.StructType([*carried, *counts, T.StructField("kept_sha256" if digest else "text", T.StringType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, dropped, out = [], [], []

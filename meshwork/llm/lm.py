@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, load, mix64, pieces, word_hashes, written
+from .common import column, lean, load, mix64, pieces, word_hashes, written
 
 TOP = 131_072
 ITEMS, CLASSES, DIMS, CONTEXT = 4094, 64, 16, 4
@@ -233,6 +233,7 @@ def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def word_counts(docs: DataFrame, shards: int) -> DataFrame:
     """The count of every word, packed by shard: shard, hashes, counts."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[np.ndarray] = []
@@ -257,6 +258,7 @@ def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarr
     """At most TOP words (each shard gives its share), all tokens and words."""
     share = -(-TOP // shards)
 
+    @lean
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -300,6 +302,7 @@ def train(docs: DataFrame, frequent: Frequent, unigram: np.ndarray, rounds: int
     for r in range(rounds):
         now = sc.broadcast(model.flat)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             import zlib
 
@@ -347,6 +350,7 @@ def score(docs: DataFrame, training) -> DataFrame:
     rest = np.log10(other + 0.5 * (distinct - min(ITEMS, len(n)) + 1))
     end_log, end_known = np.log10(ends + 0.5), int(ends > 0)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, f = Model(flat.value), shared.value
         log_counts = np.log10(f.counts + 0.5)
@@ -373,6 +377,7 @@ def score(docs: DataFrame, training) -> DataFrame:
     n_asks = (scored.agg(F.sum(F.octet_length("ask"))).first()[0] or 0) // 8
     split = 1 + int(n_asks // shards // SHARD_ASKS)
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, load, mix64, pieces, word_hashes, written
-from .graph import components
+from ..operators.components import components
+from .common import column, lean, load, mix64, pieces, word_hashes, written
 
 WIDTH, COLLECTIONS = 4, 20
 PERCENT = 80
@@ -75,6 +75,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (s1, s2; null if it is
     empty) and the collections' values (c)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offs in pieces(column(batch, "text")):
@@ -103,6 +104,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offs in pieces(column(batch, "text")):

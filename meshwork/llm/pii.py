@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, load, per_row, pieces, written
+from .common import column, lean, load, per_row, pieces, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, TRUST, ACCEPT = 3, 3, 0.6, 0.6
@@ -143,6 +143,7 @@ def find(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, digest string, {', '.join(f'n_{k} long' for k in KINDS)}, base string, occ array<struct<kind: string, start: long, `end`: long, instance: string, patterns: array<string>>>"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text")

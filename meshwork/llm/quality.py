@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, column, load, mix64, per_row, pieces, word_hashes, written
+from .common import SPACE, column, lean, load, mix64, per_row, pieces, word_hashes, written
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 CELL, LEAST, FEWEST = 1000, 100, 20
@@ -87,6 +87,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in COUNTS]
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = column(batch, "text")
@@ -143,6 +144,7 @@ def _concentrate(x: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray
 def _estimates(rows: DataFrame) -> DataFrame:
     """From g, mean and cov (upper triangle): g, mean, cov and inverse."""
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []

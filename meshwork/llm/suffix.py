@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, load, mix64, pieces, written
+from .common import column, lean, load, mix64, pieces, written
 
 LENGTH = 200
 GRAM = 16
@@ -296,6 +296,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + int(total * 4 // (SPAN * SHARD))
 
+    @lean
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = packs()
         for batch in batches:
@@ -312,6 +313,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     answers = written(_answers(rows.mapInArrow(ask_anchors, ASK)), "suffix-anchors")
 
+    @lean
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, said = column(batch, "text"), column(batch, "answers")
@@ -348,6 +350,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         at = np.concatenate([np.arange(a, b) for a, b in runs]) if runs else np.zeros(0, np.int64)
         return Prints(data).of(at, at + LENGTH) if len(at) else np.zeros(0, np.uint64)
 
+    @lean
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = packs()
         for batch in batches:
@@ -366,6 +369,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     last = written(_answers(open_.filter("asks > 0").select("k1", "k2", "text", "ask").mapInArrow(ask_windows, ASK)), "suffix-windows")
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
