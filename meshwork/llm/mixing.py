@@ -1,39 +1,48 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Method: multivariate-hypergeometric splitting tree.  The documents of a source
-are dealt to blocks by hash.  A source whose target is p whole passes and a
-rest takes every block p times and, in the hash order of its blocks, as many
-more as fit the rest; of the block that crosses it, the documents in hash order that
-fit, and the one that fills the gap best.  These
-exact block quotas (of documents that the rest can hold) are split over the output shards by a binary tree: a node
-deals half of its block copies to its left child by an urn draw without
-replacement over the sources (which is the multivariate hypergeometric law),
-the others to the right.  Shards then draw disjoint ranges of every source's
-permuted block copies, and order their rows by hash.
+are dealt to blocks of about ``BLOCK_DOCS`` by hash.  A source whose target is p
+whole passes and a rest takes every block p times and, in the hash order of its
+blocks, as many more as fit the rest; of the block that crosses it, the
+documents in hash order that fit, and the one that fills the gap best.  These
+exact block quotas (of documents that the rest can hold) are split over the
+output shards by a binary tree: a node deals half of its block copies to its
+left child by draws without replacement over the sources (which is the
+multivariate hypergeometric law), the others to the right.  Up to ``URN`` copies
+of a source are drawn one by one; of more, the number is drawn at once from the
+law's normal limit, within the law's bounds, so that the quotas stay exact.
+Shards then draw disjoint ranges of every source's permuted block copies, and
+order their rows by hash.  There are as many shards as hold about
+``SHARD_WORDS`` words each, and no fewer than 2 ** ``LEVELS``.
 
 All draws are hashes of names and a seed: reruns agree, whatever the
 partitions.  Only the table of sources (one row each) and that of the tree's
-nodes meet in one task; documents never do: a hot source is spread over its
-blocks, which hold about ``BLOCK_DOCS`` documents each.
+nodes meet in one task.  Documents never do: blocks are placed by ranks over the
+whole source (``ranked``), and only the documents of one block of each source,
+without their texts, are ordered by a window.
 
 Null text has size 0, a null source is a source of its own (the last), rows
 with equal ids are separate documents, and an empty table gives an empty mix.
-Columns of the input are carried; those named like a computed one are replaced.
+Columns of the input are carried; ``plan`` replaces those named like a computed
+one, ``mix`` keeps them all.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import ranked
 from .common import load, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_DOCS = 64
-MOST_BLOCKS = 65_536
-LEVELS = 4  # 16 output shards
+LEVELS, SHARD_WORDS = 4, 4_000_000
+URN = 1024
 TURNS = 3
 SEED = 20240917
 
@@ -74,34 +83,41 @@ def targets(sized: DataFrame) -> DataFrame:
 def _blocks(sized: DataFrame, per: DataFrame) -> DataFrame:
     """One row for each block: how often it is taken whole, and the words that
     its hash-ordered documents still give (``rest``, null if none)."""
-    b = sized.groupBy(*KEY, "__block").agg(F.sum(F.when(F.col("size") <= F.col("need"), F.col("size")).otherwise(0)).alias("words"))
+    b = sized.groupBy(*KEY, "__block").agg(F.sum(F.when(F.col("__size") <= F.col("need"), F.col("__size")).otherwise(0)).alias("words"))
     b = b.join(per.select(*KEY, "passes", "need"), KEY)
-    order = W.partitionBy(*KEY).orderBy(_h("block", F.col("__s"), F.col("__n"), F.col("__block")), F.col("__block"))
-    b = b.withColumn("upto", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    whole = ((F.col("upto") <= F.col("need")) & (F.col("words") > 0)).cast("int")
-    crosses = (F.col("upto") > F.col("need")) & (F.col("upto") - F.col("words") < F.col("need"))
-    return b.select(*KEY, "__block", F.col("passes").alias("__passes"), whole.alias("__more"), (F.col("passes") + whole).alias("whole"), F.when(crosses, F.col("need") - (F.col("upto") - F.col("words"))).alias("rest"))
+    b = ranked(b, [_h("block", F.col("__s"), F.col("__n"), F.col("__block")), F.col("__block")], "before", F.col("words"), by=tuple(KEY))
+    whole = ((F.col("before") + F.col("words") <= F.col("need")) & (F.col("words") > 0)).cast("int")
+    crosses = (F.col("before") + F.col("words") > F.col("need")) & (F.col("before") < F.col("need"))
+    return b.select(*KEY, "__block", F.col("passes").alias("__passes"), whole.alias("__more"), (F.col("passes") + whole).alias("whole"), F.when(crosses, F.col("need") - F.col("before")).alias("rest"))
 
 
 def _quotas(copies: DataFrame, levels: int) -> DataFrame:
     """Exact quotas of every source in every shard, by the splitting tree."""
-    per = copies.groupBy(*KEY).agg(F.count("*").cast("int").alias("q"))
+    per = copies.groupBy(*KEY).agg(F.count("*").alias("q"))
     nodes = per.agg(F.array_sort(F.collect_list(F.struct(F.col("__n"), F.col("__s"), F.col("q")))).alias("items")).select(F.lit(1).alias("node"), "items")
     for _ in range(levels):
 
+        def uniform(*names: Column | str) -> Column:
+            return F.pmod(F.xxhash64(F.lit(SEED), F.lit("urn"), F.col("node"), *(F.lit(x) if isinstance(x, str) else x for x in names)), F.lit(1 << 30)) / float(1 << 30)
+
         def draw(acc: Column, item: Column) -> Column:
             def one(a: Column, i: Column) -> Column:
-                u = F.pmod(F.xxhash64(F.lit(SEED), F.lit("urn"), F.col("node"), item["__s"], item["__n"], i), F.lit(1 << 30)) / float(1 << 30)
-                hit = F.when(u * a["room"] < a["left"], 1).otherwise(0)
+                hit = F.when(uniform(item["__s"], item["__n"], i) * a["room"] < a["left"], 1).otherwise(0)
                 return F.struct((a["took"] + hit).alias("took"), (a["left"] - hit).alias("left"), (a["room"] - 1).alias("room"))
 
-            start = F.struct(F.lit(0).alias("took"), acc["left"].alias("left"), acc["room"].alias("room"))
-            end = F.aggregate(F.when(item["q"] > 0, F.sequence(F.lit(1), item["q"])).otherwise(F.array().cast("array<int>")), start, one)
-            return F.struct(F.concat(acc["took"], F.array(end["took"])).alias("took"), end["left"].alias("left"), end["room"].alias("room"))
-
-        room = F.aggregate("items", F.lit(0), lambda a, x: a + x["q"])
+            left, room, q = acc["left"], acc["room"], item["q"]
+            start = F.struct(F.lit(0).cast("long").alias("took"), left.alias("left"), room.alias("room"))
+            few = F.aggregate(F.when((q > 0) & (q <= URN), F.sequence(F.lit(1).cast("long"), q)).otherwise(F.array().cast("array<bigint>")), start, one)["took"]
+            share = left / room
+            normal = F.sqrt(-2 * F.log(1 - uniform("radius", item["__s"], item["__n"]))) * F.cos(2 * math.pi * uniform("angle", item["__s"], item["__n"]))
+            guess = F.round(q * share + normal * F.sqrt(q * share * (1 - share) * (room - q) / F.greatest(room - 1, F.lit(1)))).cast("long")
+            many = F.least(F.greatest(guess, q - (room - left), F.lit(0)), q, left)
+            took = F.when(q <= URN, few).otherwise(many)
+            return F.struct(F.concat(acc["took"], F.array(took)).alias("took"), (left - took).alias("left"), (room - q).alias("room"))
+
+        room = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["q"])
         nodes = nodes.withColumn("room", room)
-        begin = F.struct(F.array().cast("array<int>").alias("took"), F.floor(F.col("room") / 2).cast("int").alias("left"), F.col("room").alias("room"))
+        begin = F.struct(F.array().cast("array<bigint>").alias("took"), F.floor(F.col("room") / 2).alias("left"), F.col("room").alias("room"))
         nodes = nodes.withColumn("went", F.aggregate("items", begin, draw)["took"])
         halves = F.array(
             F.struct((F.col("node") * 2).alias("node"), F.zip_with("items", "went", lambda x, t: F.struct(x["__n"].alias("__n"), x["__s"].alias("__s"), t.alias("q"))).alias("items")),
@@ -111,51 +127,86 @@ def _quotas(copies: DataFrame, levels: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << levels)).alias("shard"), F.inline("items")).filter("q > 0")
 
 
-def plan(docs: DataFrame, levels: int = LEVELS, size: Column | None = None) -> DataFrame:
-    """``docs`` with size, source_size, target, n_copies and shards (the output
-    shard of each copy).  ``size``: a document's words, counted if not given."""
-    sized = docs.withColumn("size", n_words() if size is None else size).withColumn("__s", F.coalesce("source", F.lit(""))).withColumn("__n", F.col("source").isNull())
-    per = written(targets(sized.select(*KEY, "size")), "mix-sources")
-    n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
-    sized = sized.join(per.select(*KEY, "source_size", "target", F.col("need").alias("__need"), n_blocks.alias("__n_blocks")), KEY)
-    sized = sized.withColumn("__h", _h("doc", F.col("doc_id"))).withColumn("__block", F.pmod(_h("deal", F.col("doc_id")), F.col("__n_blocks")))
-    blocks = written(_blocks(sized.select(*KEY, "__block", "size", F.col("__need").alias("need")), per), "mix-blocks")
+def _planned(docs: DataFrame, levels: int | None, size: Column | None) -> tuple[DataFrame, int]:
+    """__doc (the row of ``docs``), __size, __source_size, __target, __copies
+    and __shards of each row, and the tree's levels."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    sized = docs.select(whole.alias("__doc"), F.col("doc_id").alias("__id"), (n_words() if size is None else size).alias("__size"), F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__n"))
+    per = written(targets(sized.select(*KEY, F.col("__size").alias("size"))), "mix-sources")
+    if levels is None:
+        words = per.agg(F.sum("target")).first()[0] or 0
+        levels = max(LEVELS, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
+    n_blocks = F.ceil(F.col("docs") / BLOCK_DOCS)
+    sized = sized.join(per.select(*KEY, F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("need").alias("__need"), n_blocks.alias("__n_blocks")), KEY)
+    sized = sized.withColumn("__h", _h("doc", F.col("__id"))).withColumn("__block", F.pmod(_h("deal", F.col("__id")), F.col("__n_blocks")))
+    blocks = written(_blocks(sized.select(*KEY, "__block", "__size", F.col("__need").alias("need")), per), "mix-blocks")
     copies = blocks.select(*KEY, "__block", F.explode(F.sequence(F.lit(0), F.col("whole") + F.col("rest").isNotNull().cast("int"))).alias("copy")).filter(F.col("copy") > 0)
-    quotas = _quotas(copies, levels)
-    of_source = W.partitionBy(*KEY)
-    ranges = quotas.withColumn("till", F.sum("q").over(of_source.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    quotas = written(_quotas(copies, levels), "mix-quotas")
+    # a row for each source and shard
+    ranges = quotas.withColumn("till", F.sum("q").over(W.partitionBy(*KEY).orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)))
     bounds = ranges.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("till", "shard"))).alias("bounds"))
-    copies = copies.withColumn("__at", F.row_number().over(of_source.orderBy(_h("copy", F.col("__s"), F.col("__n"), F.col("__block"), F.col("copy")), "__block", "copy")))
-    dealt = copies.join(bounds, KEY).withColumn("shard", F.filter("bounds", lambda b: b["till"] >= F.col("__at"))[0]["shard"])
+    copies = ranked(copies, [_h("copy", F.col("__s"), F.col("__n"), F.col("__block"), F.col("copy")), F.col("__block"), F.col("copy")], "__place", by=tuple(KEY))
+    dealt = copies.join(F.broadcast(bounds), KEY).withColumn("shard", F.filter("bounds", lambda b: b["till"] > F.col("__place"))[0]["shard"])
     dealt = dealt.groupBy(*KEY, "__block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("__shards"))
     blocks = written(blocks.join(dealt, [*KEY, "__block"], "left"), "mix-shards")
-    out = sized.join(blocks, [*KEY, "__block"])
-    # the block that crosses the rest gives documents in hash order as far as they fit, by turns of those
-    # that the gap still holds, and at last the one that fills the gap best
+    parts = written(_crossing(sized.select(*KEY, "__block", "__id", "__h", "__size"), blocks), "mix-crossing")
+    out = sized.join(blocks.select(*KEY, "__block", "__passes", "__more", "__shards"), [*KEY, "__block"])
+    # of rows with equal id and size as many take part as were chosen; they are told apart by nothing else
+    same = W.partitionBy("__rs", "__rn", "__rid", "__rsize")
+    few = out.join(F.broadcast(parts.select(*KEY, "__block").distinct()), [*KEY, "__block"], "left_semi")
+    most = out.join(F.broadcast(parts.select(*KEY, "__block").distinct()), [*KEY, "__block"], "left_anti").withColumn("__part", F.lit(0))
+    few = few.select("*", F.col("__s").alias("__rs"), F.col("__n").alias("__rn"), F.col("__id").alias("__rid"), F.col("__size").alias("__rsize"))
+    few = few.withColumn("__turn", F.row_number().over(same.orderBy("__h")))
+    chosen = parts.select(*KEY, F.col("__id").alias("__cid"), F.col("__size").alias("__csize"), "__chosen")
+    few = few.join(F.broadcast(chosen), (few["__s"] == chosen["__s"]) & (few["__n"] == chosen["__n"]) & F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__size") == F.col("__csize")), "left").select(*[few[c] for c in few.columns], "__chosen")
+    few = few.withColumn("__part", (F.col("__turn") <= F.coalesce("__chosen", F.lit(0))).cast("int"))
+    names = [c for c in most.columns if c != "__part"]
+    out = most.select(*names, "__part").unionByName(few.select(*names, "__part"))
+    # a document larger than the rest of its source takes no part in it
+    more = F.when((F.col("__size") > 0) & (F.col("__size") <= F.col("__need")), F.col("__more")).otherwise(0)
+    out = out.withColumn("__copies", F.col("__passes") + more + F.col("__part"))
+    return out.withColumn("__shards", F.coalesce(F.slice("__shards", F.lit(1), F.col("__copies")), F.array().cast("array<int>"))), levels
+
+
+def _crossing(sized: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Of the block of each source that crosses its rest: how many of the rows
+    of each id and size are taken (``__chosen``; 0 too).  Documents come in hash
+    order as far as they fit, by turns of those that the gap still holds, and at
+    last the one that fills the gap best."""
+    out = sized.join(F.broadcast(blocks.filter("rest IS NOT NULL").select(*KEY, "__block", "rest")), [*KEY, "__block"])
     block = W.partitionBy(*KEY, "__block")
-    upto = block.orderBy("__h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = out.withColumn("__k", F.row_number().over(block.orderBy("__h", "doc_id", "size"))).withColumn("__gap", F.col("rest")).withColumn("__part", F.lit(False))
+    order = block.orderBy("__h", "__id", "__size")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = out.withColumn("__k", F.row_number().over(order)).withColumn("__gap", F.col("rest")).withColumn("__part", F.lit(False))
     for _ in range(TURNS):
-        able = ~F.col("__part") & (F.col("size") > 0) & (F.col("size") <= F.col("__gap"))
-        out = out.withColumn("__cum", F.when(able, F.sum(F.when(able, F.col("size"))).over(upto)))
+        able = ~F.col("__part") & (F.col("__size") > 0) & (F.col("__size") <= F.col("__gap"))
+        out = out.withColumn("__cum", F.when(able, F.sum(F.when(able, F.col("__size"))).over(upto)))
         fits = F.coalesce(F.col("__cum") <= F.col("__gap"), F.lit(False))
         filled = F.coalesce(F.max(F.when(fits, F.col("__cum"))).over(block), F.lit(0))
         out = out.withColumn("__part", F.col("__part") | fits).withColumn("__gap", F.col("__gap") - filled)
-    off = F.abs(F.col("size") - F.col("__gap"))
+    off = F.abs(F.col("__size") - F.col("__gap"))
     out = out.withColumn("__best", F.min(F.when(~F.col("__part") & (off < F.col("__gap")), F.struct(off.alias("off"), F.col("__k").alias("k")))).over(block)["k"])
-    # a document larger than the rest of its source takes no part in it
-    more = F.when((F.col("size") > 0) & (F.col("size") <= F.col("__need")), F.col("__more")).otherwise(0)
-    n = F.col("__passes") + more + F.col("__part").cast("int") + F.coalesce((F.col("__best") == F.col("__k")).cast("int"), F.lit(0))
-    out = out.withColumn("n_copies", n).withColumn("shards", F.coalesce(F.slice("__shards", F.lit(1), F.col("n_copies")), F.array().cast("array<int>")))
-    return out.drop(*KEY, "__block", "__n_blocks", "__h", "__shards", "__passes", "__more", "__need", "__k", "__cum", "__gap", "__part", "__best", "whole", "rest")
+    taken = F.col("__part") | F.coalesce(F.col("__best") == F.col("__k"), F.lit(False))
+    return out.groupBy(*KEY, "__block", "__id", "__size").agg(F.count_if(taken).alias("__chosen"))
+
+
+COMPUTED = ("size", "source_size", "target", "n_copies", "shards")
+
+
+def plan(docs: DataFrame, levels: int | None = None, size: Column | None = None) -> DataFrame:
+    """``docs`` with size, source_size, target, n_copies and shards (the output
+    shard of each copy).  ``size``: a document's words, counted if not given."""
+    out, _ = _planned(docs, levels, size)
+    made = [F.col(c).alias(n) for c, n in zip(("__size", "__source_size", "__target", "__copies", "__shards"), COMPUTED, strict=True)]
+    return out.select(*(F.col("__doc")[c].alias(c) for c in docs.columns if c not in COMPUTED), *made)
 
 
-def mix(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
+def mix(docs: DataFrame, levels: int | None = None) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each copy taken,
     dealt to the output shards and shuffled within them."""
-    names = docs.columns
-    rows = plan(docs, levels).select(*names, F.posexplode("shards").alias("__copy", "__shard"))
-    return rows.repartition(1 << levels, "__shard").sortWithinPartitions("__shard", _h("order", F.col("doc_id"), F.col("__copy"))).select(*names)
+    out, levels = _planned(docs, levels, None)
+    rows = out.select("__doc", "__id", F.posexplode("__shards").alias("__copy", "__shard"))
+    return rows.repartition(1 << levels, "__shard").sortWithinPartitions("__shard", _h("order", F.col("__id"), F.col("__copy"))).select("__doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,36 @@ def test_edges(spark):
 def test_native():
     code = inspect.getsource(mixing)
     assert not any(x in code for x in ("udf", "mapIn", "applyIn", "rdd", "toPandas", "collect()"))
+
+
+def test_columns_that_clash(spark):
+    names = ["rest", "target", "source_size", "whole", "size", "shards", "mean", "__block", "n_copies"]
+    df = table(spark, ["a b c " * 30, "d e", None, "f g h i"] * 5).withColumns({c: F.lit(f"{c}!") for c in names})
+    out = mixing.mix(df)
+    assert out.columns == df.columns and out.filter(" OR ".join(f"`{c}` <> '{c}!'" for c in names)).isEmpty()
+    plan = mixing.plan(df)
+    assert plan.count() == 20 and plan.filter("mean <> 'mean!' OR rest <> 'rest!' OR whole <> 'whole!'").isEmpty()
+    assert {f.name: f.dataType.simpleString() for f in plan.schema}["size"] == "bigint" and len(plan.columns) == len(set(plan.columns))
+    ids = df.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    assert mixing.mix(ids).columns == df.columns
+
+
+def test_many_copies_of_a_source(spark, monkeypatch):
+    """Beyond URN copies the number is drawn at once; quotas stay exact."""
+    monkeypatch.setattr(mixing, "URN", 20)
+    copies = spark.createDataFrame([("a", False)] * 4000 + [("b", True)] * 900 + [("c", False)] * 7, "__s string, __n boolean")
+    got = mixing._quotas(copies, 4).collect()
+    by, shard, a = defaultdict(int), defaultdict(int), []
+    for r in got:
+        by[r["__s"]] += r["q"]
+        shard[r["shard"]] += r["q"]
+        a += [r["q"]] if r["__s"] == "a" else []
+    assert dict(by) == {"a": 4000, "b": 900, "c": 7}
+    assert max(shard.values()) - min(shard.values()) <= 1 and all(q > 0 for q in by.values())
+    # 250 a shard, with a deviation of about 6.3
+    assert len(a) == 16 and all(abs(q - 250) < 40 for q in a) and len(set(a)) > 4
+
+
+def test_very_long_text(spark):
+    rows = mixing.plan(table(spark, ["w " * 2_000_000, "a b", "c d e"], sources=["a", "b", "b"])).collect()
+    assert {r["doc_id"]: r["size"] for r in rows} == {0: 2_000_000, 1: 2, 2: 3}
