@@ -16,7 +16,7 @@ than ``min_chars`` code points are left alone.
 
 A null text is one empty line.  Rows are documents: of rows with equal ids each
 counts, and each keeps its lines if that id is the line's last.  A null id is
-smaller than all others.  An empty table gives an empty result.  Other columns
+smaller than all others; ids may be of any type with an order.  An empty table gives an empty result.  Other columns
 are carried; those named like a computed one are replaced.
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,18 +143,23 @@ def _build(lines: DataFrame) -> DataFrame:
     return lines.groupBy("shard").applyInArrow(run, ARRAYS)
 
 
+def _name(doc_id: Column, kind: str) -> Column:
+    """A document as a 64-bit number: its id, or a hash if that is no integer."""
+    return doc_id.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(doc_id.isNotNull(), F.xxhash64(doc_id))
+
+
 def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and ``hashes``: the 16-byte hashes, end to end, of the lines that
     the document loses."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     probes = written(_probes(docs, min_chars), "line-probes")
-    lines = written(probes.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").cast("long").alias("last_doc")), "line-counts")
+    lines = written(probes.groupBy("a", "b").agg(F.count("*").alias("n"), _name(F.max("doc_id"), id_type).alias("last_doc")), "line-counts")
     n_shards = max(1, -(-lines.count() // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("a"), F.lit(n_shards)).cast("int")
     arrays = written(_build(lines.withColumn("shard", shard)), "line-arrays")
     # copies of a shard, so that none answers more than about PROBES
     copies = arrays.select("shard", F.ceil(F.col("probes") / PROBES).cast("int").alias("copies"))
-    asked = probes.withColumn("shard", shard).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "b"), F.col("copies")))
+    asked = probes.withColumn("known", _name(F.col("doc_id"), id_type)).withColumn("shard", shard).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "b"), F.col("copies")))
     served = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("probes") / PROBES).cast("int") - 1)))
 
     def answer(key: tuple, asking: pa.Table, held: pa.Table) -> pa.Table:
@@ -165,7 +170,7 @@ def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
         prints, counts, last = np.frombuffer(row["prints"], np.uint32), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["last"], np.int64)
         a, b = (asking.column(c).to_numpy() for c in ("a", "b"))
         ids = asking.column("doc_id").combine_chunks() if hasattr(asking.column("doc_id"), "combine_chunks") else asking.column("doc_id")
-        known = pc.fill_null(ids.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        known = pc.fill_null(asking.column("known"), np.iinfo(np.int64).min).to_numpy()
         slot = mph.slots(a.view(np.uint64), b.view(np.uint64))
         goes = (slot >= 0) & (prints[slot] == (b.view(np.uint64) >> np.uint64(32)).astype(np.uint32)) & (counts[slot] >= min_docs) & (last[slot] != known)
         at = np.flatnonzero(goes)

@@ -41,7 +41,7 @@ from .common import SPACE, column, lean, load, mix64, per_row, pieces, word_hash
 MIN_WORDS, MOST_REPEATED = 50, 50
 CELL, LEAST, FEWEST = 1000, 100, 20
 HALF = 0.5
-STEPS = 2
+STEPS, SETTLED = 8, 1e-4  # at most so many steps over the whole; a fall of the log determinants that ends them
 #: log of the mean word length, root of symbols a word, shares of repeated lines and words
 DIMS = 4
 FLOOR = (0.05, 0.05, 0.15, 0.10)
@@ -112,7 +112,7 @@ def _vector() -> list[Column]:
     return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.sqrt(F.col("n_symbols") / n), F.col("n_dup_lines") / F.greatest(F.col("__lines"), F.lit(1)), F.col("n_repeat_words") / n]
 
 
-def _distance(v: list[Column], mean: str = "mean", inverse: str = "inverse") -> Column:
+def _distance(v: list[Column], mean: str = "__mean", inverse: str = "__inverse") -> Column:
     """Squared Mahalanobis distance; ``inverse`` holds the upper triangle."""
     d = [v[k] - F.col(mean)[k] for k in range(DIMS)]
     total = F.lit(0.0)
@@ -142,21 +142,24 @@ def _concentrate(x: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """From g, mean and cov (upper triangle): g, mean, cov and inverse."""
+    """From g, mean and cov (upper triangle): these, the inverse and the
+    logarithm of the determinant, both with the floor."""
 
     @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
+            out: list[list[float]] = []
+            size: list[float] = []
             for flat in f["cov"]:
                 m = np.zeros((DIMS, DIMS))
                 for value, (i, j) in zip(flat, PAIRS, strict=True):
                     m[i, j] = m[j, i] = value
                 inv = _inverse(m)
                 out.append([float(inv[p]) for p in PAIRS])
-            yield f.assign(inverse=out)
+                size.append(-float(np.linalg.slogdet(inv)[1]))
+            yield f.assign(inverse=out, logdet=size)
 
-    return rows.mapInPandas(run, "g string, mean array<double>, cov array<double>, inverse array<double>")
+    return rows.mapInPandas(run, "g string, mean array<double>, cov array<double>, inverse array<double>, logdet double")
 
 
 def _moments(near: DataFrame, factor: float) -> DataFrame:
@@ -190,12 +193,17 @@ def fit(rows: DataFrame) -> DataFrame:
     cov = [F.sum(F.col("cov")[k] * F.col("size")) / F.sum("size") for k in range(len(PAIRS))]
     now = written(_estimates(starts.groupBy("g").agg(F.array(*mean).alias("mean"), F.array(*cov).alias("cov"))), "mcd-start")
     v = [F.col(c) for c in VECTOR]
+    spread = None
     for step in range(STEPS):
-        at = rows.select("g", *VECTOR).join(now, "g").select("g", *VECTOR, _distance(v).alias("d2"))
+        at = rows.select("g", *VECTOR).join(now, "g").select("g", *VECTOR, _distance(v, "mean", "inverse").alias("d2"))
         half = at.groupBy("g").agg(F.percentile_approx("d2", HALF, 10_000).alias("most"))
         near = at.join(half, "g").filter("d2 <= most")
         now = written(_estimates(_moments(near, HALF_FACTOR)), f"mcd-{step}")
-    at = rows.select("g", *VECTOR).join(now, "g").select("g", *VECTOR, _distance(v).alias("d2"))
+        # one row: the steps end when no group's determinant falls any more
+        last, spread = spread, now.agg(F.sum("logdet")).first()[0]
+        if last is not None and spread is not None and last - spread <= SETTLED * max(1.0, abs(last)):
+            break
+    at = rows.select("g", *VECTOR).join(now, "g").select("g", *VECTOR, _distance(v, "mean", "inverse").alias("d2"))
     return written(_estimates(_moments(at.filter(F.col("d2") <= MOST_GOOD), GOOD_FACTOR)), "mcd-last")
 
 
@@ -211,10 +219,10 @@ def judge(docs: DataFrame, carry: bool = True) -> DataFrame:
     good = stats.filter("NOT base_failed")
     groups = written(_groups(good), "quality-groups")
     rows = good.select("doc_id", "__key", *VECTOR).join(groups, "__key").filter(F.col("n") >= FEWEST)
-    estimates = fit(rows).select("g", "mean", "inverse").join(groups, "g").select("__key", "mean", "inverse")
+    estimates = fit(rows).join(groups, "g").select("__key", F.col("mean").alias("__mean"), F.col("inverse").alias("__inverse"))
     out = stats.join(estimates, "__key", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance([F.col(c) for c in VECTOR])))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
-    return out.drop("__key", "__lang", "__lines", "mean", "inverse", *VECTOR)
+    return out.drop("__key", "__lang", "__lines", "__mean", "__inverse", *VECTOR)
 
 
 def keep(docs: DataFrame) -> DataFrame:

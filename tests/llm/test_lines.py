@@ -6,6 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from meshwork.llm.lines import PerfectHash, dedup_lines
 
 from .helpers import empty, table
@@ -62,3 +64,12 @@ def test_perfect_hash_is_minimal(keys):
     assert sorted(mph.slots(a, b).tolist()) == list(range(len(keys)))
     again = PerfectHash.unpack(*mph.pack())
     assert again.slots(a, b).tolist() == mph.slots(a, b).tolist()
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    line = "this is a line of many documents, long enough to count " * 2
+    df = table(spark, [f"{k}\n{line}" for k in range(6)]).withColumns({c: F.lit(c) for c in ("a", "b", "n", "shard", "last_doc", "copies", "known", "hashes", "mean", "size", "target")})
+    for kind in ("string", "int", "date"):
+        ids = F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind)
+        rows = dedup_lines(df.withColumn("doc_id", ids)).orderBy("doc_id").collect()
+        assert [r["n_dropped"] for r in rows] == [1] * 5 + [0] and all(r["hashes"] == "hashes" and r["shard"] == "shard" for r in rows)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from meshwork.llm import quality
 
 from .helpers import WORD, babble, empty, table
@@ -46,3 +48,15 @@ def test_edges(spark):
     assert quality.keep(same).count() == 150 and quality.keep(same).columns == same.columns
     few = table(spark, [babble(random.Random(k), 80) for k in range(5)])
     assert quality.keep(few).count() == 5
+
+
+def test_columns_that_clash(spark):
+    rnd = random.Random(8)
+    df = table(spark, [babble(rnd, 80) for _ in range(60)] + [None, "short"], langs=["en", None])
+    names = ["mean", "inverse", "g", "n", "cov", "size", "target", "cell", "__lines2"]
+    wide = df.withColumns({c: F.lit(f"{c}!") for c in names})
+    kept = quality.keep(wide)
+    assert kept.columns == wide.columns and kept.filter(" OR ".join(f"`{c}` <> '{c}!'" for c in names)).isEmpty()
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.keep(df).collect()}
+    ids = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert quality.keep(ids).count() == kept.count()
