@@ -2,19 +2,22 @@
 
 Method: a token's context is the sum of its ``CONTEXT`` predecessors' vectors,
 each times a weight vector of its distance; a word scores by the product of the
-context with its own vector, plus a bias.  The ``ITEMS`` most frequent words,
-the end and "other" are items, dealt to ``CLASSES`` classes; classes have
-vectors too.  Both are trained in numpy by noise-contrastive estimation over
-all training tokens: every task trains on the rows it reads, Spark averages the
-parameters by tokens, and the next round (each has its share of the documents)
-goes on from there.  Scoring normalises exactly, by batched matrix products:
-over the classes, and over the items of the token's class.  A word that is no
-item takes the probability of "other" times its smoothed share of all such.
+context with its own vector, plus a bias.  Items of the model are the most
+frequent words (one for every ``TOKENS_AN_ITEM`` training tokens, from
+``FEWEST`` to ``MOST``), ``ENDINGS`` groups of the other words by their last two
+bytes, and the end.  Items are dealt to about as many classes as a class has
+items; classes have vectors too.  Both are trained in numpy by noise-contrastive
+estimation over all training tokens: every task trains on the rows it reads,
+Spark averages the parameters by tokens, and the next round (each has its share
+of the documents) goes on from there.  Scoring normalises exactly, by batched
+matrix products: over the classes, and over the items of the token's class.  A
+word that is no item takes the probability of its ending's group times its
+smoothed share of the group.
 
 Counts are exact and over all training documents.  Every batch of rows counts
-its words by 64-bit hash, shards of the hashes add the counts up.  The ``TOP``
-most frequent words (a bounded table) go to every task; rarer ones ask the
-shards for their counts.
+its words by hash (of 64 bits, the lowest ``BITS`` being its ending), shards of
+the hashes add the counts up.  The ``TOP`` most frequent words (a bounded table)
+go to every task; rarer ones ask the shards for their counts.
 
 A null text is empty; every text ends with one end token.  Rows with equal ids
 are separate documents.  Without any training document the counts are zero and
@@ -35,12 +38,45 @@ from pyspark.sql import functions as F
 from .common import column, lean, load, mix64, pieces, word_hashes, written
 
 TOP = 131_072
-ITEMS, CLASSES, DIMS, CONTEXT = 4094, 64, 16, 4
+FEWEST, MOST, TOKENS_AN_ITEM = 4094, 65_534, 20_000
+BITS = 9
+ENDINGS = 1 << BITS
+DIMS, CONTEXT = 16, 4
 NOISE, BATCH, RATE = 32, 2048, 0.1
 ROUNDS = 2
 SHARD_BYTES, SHARD_ASKS = 50_000_000, 2_000_000
 SLOTS = 20  # bits of the table of frequent words
-OTHER, END, START = ITEMS, ITEMS + 1, ITEMS + 2
+
+
+class Layout:
+    """The items' numbers: ``words`` frequent words, then the endings, then the
+    end; the start stands in contexts only."""
+
+    def __init__(self, words: int):
+        self.words, self.end, self.start = words, words + ENDINGS, words + ENDINGS + 1
+        self.items = self.end + 1
+        self.classes = 1 << max(6, round(np.log2(self.items) / 2))
+        #: Dealt to the classes by turns, so that each has frequent ones.
+        self.class_of = (np.arange(self.items) % self.classes).astype(np.int32)
+
+    @classmethod
+    def of(cls, tokens: int) -> Layout:
+        return cls(int(min(MOST, max(FEWEST, tokens // TOKENS_AN_ITEM))))
+
+
+def word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each row, and each word's hash with its ending."""
+    starts, ends, words, hashes = word_hashes(data, offs)
+    if not len(hashes):
+        return words, hashes
+    fold = _FOLD[data]
+    last = fold[ends - 1].astype(np.uint64) << np.uint64(8) | np.where(ends - starts > 1, fold[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
+    ending = mix64(last + np.uint64(1)) & np.uint64(ENDINGS - 1)
+    return words, hashes & ~np.uint64(ENDINGS - 1) | ending
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
 
 
 class Frequent:
@@ -68,10 +104,10 @@ class Frequent:
         return out
 
 
-def tokens(data: np.ndarray, offs: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offs: np.ndarray, frequent: Frequent, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of a piece with an end after each row: hashes (0 for an end),
     ranks (-2 for an end), items, and where each row begins."""
-    _, _, words, hashes = word_hashes(data, offs)
+    words, hashes = word_keys(data, offs)
     begin = np.concatenate([[0], np.cumsum(words + 1)])
     inner = np.ones(int(begin[-1]), bool)
     inner[begin[1:] - 1] = False
@@ -79,53 +115,52 @@ def tokens(data: np.ndarray, offs: np.ndarray, frequent: Frequent) -> tuple[np.n
     every[inner] = hashes
     rank = np.full(len(inner), -2, np.int32)
     rank[inner] = frequent.ranks(hashes)
-    item = np.where((rank < 0) | (rank >= ITEMS), OTHER, rank)
-    item[~inner] = END
-    return every, rank, item.astype(np.uint16), begin
+    ending = layout.words + (every & np.uint64(ENDINGS - 1)).astype(np.int32)
+    item = np.where((rank < 0) | (rank >= layout.words), ending, rank)
+    item[~inner] = layout.end
+    return every, rank, item, begin
 
 
-def contexts(item: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The preceding items of every token, nearest first; START before a row."""
+def contexts(item: np.ndarray, begin: np.ndarray, layout: Layout) -> np.ndarray:
+    """The preceding items of every token, nearest first; a start before a row."""
     n = len(item)
-    out = np.full((CONTEXT, n), START, np.uint16)
+    out = np.full((CONTEXT, n), layout.start, np.int32)
     first = np.repeat(begin[:-1], np.diff(begin))
     at = np.arange(n)
     for j in range(CONTEXT):
-        out[j, j + 1 :] = np.where(at[j + 1 :] - j - 1 >= first[j + 1 :], item[: n - j - 1] if j + 1 < n else item[:0], START)
+        out[j, j + 1 :] = np.where(at[j + 1 :] - j - 1 >= first[j + 1 :], item[: n - j - 1] if j + 1 < n else item[:0], layout.start)
     return out
 
 
-def classes() -> np.ndarray:
-    """Items are dealt to the classes by turns, so that each has frequent ones."""
-    return (np.arange(ITEMS + 2) % CLASSES).astype(np.uint8)
-
-
 class Model:
     """Parameters, as one vector of float32 for Spark to average."""
 
-    SHAPES = (("context", (ITEMS + 3, DIMS)), ("place", (CONTEXT, DIMS)), ("word", (ITEMS + 2, DIMS)), ("bias", (ITEMS + 2,)), ("group", (CLASSES, DIMS)), ("group_bias", (CLASSES,)))
-
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
-        for name, shape in self.SHAPES:
+    def __init__(self, flat: np.ndarray, layout: Layout):
+        self.flat, self.layout, at = flat, layout, 0
+        for name, shape in self.shapes(layout):
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
 
+    @staticmethod
+    def shapes(layout: Layout) -> tuple:
+        items, classes = layout.items, layout.classes
+        return ("context", (items + 1, DIMS)), ("place", (CONTEXT, DIMS)), ("word", (items, DIMS)), ("bias", (items,)), ("group", (classes, DIMS)), ("group_bias", (classes,))
+
     @classmethod
-    def size(cls) -> int:
-        return sum(int(np.prod(s)) for _, s in cls.SHAPES)
+    def size(cls, layout: Layout) -> int:
+        return sum(int(np.prod(s)) for _, s in cls.shapes(layout))
 
     @classmethod
-    def start(cls, unigram: np.ndarray) -> Model:
+    def start(cls, unigram: np.ndarray, layout: Layout) -> Model:
         """Biases from the counts, random context vectors: before training it
         is the unigram model."""
-        m = cls(np.zeros(cls.size(), np.float32))
+        m = cls(np.zeros(cls.size(layout), np.float32), layout)
         rng = np.random.default_rng(11)
         m.context[:] = rng.normal(0, 0.3, m.context.shape)
         m.place[:] = 1.0 / np.arange(1, CONTEXT + 1)[:, None] ** 0.5
         m.bias[:] = np.log(unigram)
-        m.group_bias[:] = np.log(np.bincount(classes(), unigram, CLASSES))
+        m.group_bias[:] = np.log(np.bincount(layout.class_of, unigram, layout.classes))
         return m
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
@@ -136,7 +171,7 @@ class Model:
 
     def scores(self, context: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the items, exactly normalised."""
-        cls, out = classes(), np.empty(len(item))
+        cls, out, n = self.layout.class_of, np.empty(len(item)), self.layout.classes
         for a in range(0, len(item), 32_768):
             some = item[a : a + 32_768]
             q = self.hidden(context[:, a : a + 32_768])
@@ -144,12 +179,12 @@ class Model:
             s = q @ self.group.T + self.group_bias
             part = s[np.arange(len(some)), g] - _lse(s)
             order = np.argsort(g, kind="stable")
-            cut = np.searchsorted(g[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
+            cut = np.searchsorted(g[order], np.arange(n + 1))
+            for c in range(n):
                 rows = order[cut[c] : cut[c + 1]]
                 if len(rows):
-                    w = q[rows] @ self.word[c::CLASSES].T + self.bias[c::CLASSES]
-                    part[rows] += w[np.arange(len(rows)), some[rows] // CLASSES] - _lse(w)
+                    w = q[rows] @ self.word[c::n].T + self.bias[c::n]
+                    part[rows] += w[np.arange(len(rows)), some[rows] // n] - _lse(w)
             out[a : a + len(some)] = part
         return out
 
@@ -164,9 +199,9 @@ class Trainer:
 
     def __init__(self, model: Model, unigram: np.ndarray):
         self.m, self.rng = model, np.random.default_rng(5)
-        self.past = Model(np.full(Model.size(), 1.0, np.float32))
+        self.past = Model(np.full(len(model.flat), 1.0, np.float32), model.layout)
         self.noise = (np.log(NOISE * unigram).astype(np.float32), np.cumsum(unigram))
-        groups = np.bincount(classes(), unigram, CLASSES)
+        groups = np.bincount(model.layout.class_of, unigram, model.layout.classes)
         self.group_noise = (np.log(NOISE * groups).astype(np.float32), np.cumsum(groups))
         self.seen = 0
 
@@ -196,7 +231,7 @@ class Trainer:
         return to_q
 
     def learn(self, item: np.ndarray, context: np.ndarray) -> None:
-        cls = classes()
+        cls = self.m.layout.class_of
         for a in range(0, len(item), BATCH):
             some, near = item[a : a + BATCH], context[:, a : a + BATCH]
             r = self.m.context[near]
@@ -238,7 +273,7 @@ def word_counts(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             held: list[np.ndarray] = []
             for _, _, data, offs in pieces(column(batch, "text")):
-                held.append(word_hashes(data, offs)[3])
+                held.append(word_keys(data, offs)[1])
             every = np.concatenate([np.zeros(0, np.uint64), *held])
             h, n = _added(every, np.ones(len(every), np.int64))
             rows = [(s, h[k].tobytes(), n[k].tobytes()) for s, k in _by_shard(_shard(h, shards))]
@@ -254,8 +289,9 @@ def word_counts(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, kind).groupBy("shard").applyInArrow(add, kind)
 
 
-def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """At most TOP words (each shard gives its share), all tokens and words."""
+def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """At most TOP words (each shard gives its share) and their counts, and
+    the tokens and distinct words of each ending."""
     share = -(-TOP // shards)
 
     @lean
@@ -265,14 +301,28 @@ def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarr
             for h, n in zip(column(batch, "hashes"), column(batch, "counts"), strict=True):
                 h, n = np.frombuffer(h.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64)
                 best = np.lexsort((h, -n))[:share]
-                rows.append((h[best].tobytes(), n[best].tobytes(), int(n.sum()), len(n)))
+                rows.append((h[best].tobytes(), n[best].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["h", "n", "total", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)], names=["h", "n"])
+
+    @lean
+    def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words = np.zeros(ENDINGS), np.zeros(ENDINGS, np.int64)
+        for batch in batches:
+            for h, n in zip(column(batch, "hashes"), column(batch, "counts"), strict=True):
+                e = (np.frombuffer(h.as_py(), np.uint64) & np.uint64(ENDINGS - 1)).astype(np.int64)
+                total += np.bincount(e, np.frombuffer(n.as_py(), np.int64), ENDINGS)
+                words += np.bincount(e, minlength=ENDINGS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(ENDINGS), pa.int32()), pa.array(total.astype(np.int64)), pa.array(words)], names=["ending", "total", "words"])
 
-    got = counts.mapInArrow(top, "h binary, n binary, total long, words long").collect()
+    got = counts.select("hashes", "counts").mapInArrow(top, "h binary, n binary").collect()  # TOP words
     h, n = (np.frombuffer(b"".join(bytes(r[c]) for r in got), k) for c, k in (("h", np.uint64), ("n", np.int64)))
     order = np.lexsort((h, -n))[:TOP]
-    return h[order], n[order], sum(r["total"] for r in got), sum(r["words"] for r in got)
+    sums = counts.select("hashes", "counts").mapInArrow(endings, "ending int, total long, words long").groupBy("ending").agg(F.sum("total").alias("total"), F.sum("words").alias("words")).collect()
+    total, words = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+    for r in sums:
+        total[r["ending"]], words[r["ending"]] = r["total"], r["words"]
+    return h[order], n[order], total, words
 
 
 # the model over the table
@@ -295,8 +345,8 @@ def _averaged(trained: DataFrame) -> np.ndarray | None:
 BLOCKS = 64
 
 
-def train(docs: DataFrame, frequent: Frequent, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    model = Model.start(unigram)
+def train(docs: DataFrame, frequent: Frequent, unigram: np.ndarray, layout: Layout, rounds: int = ROUNDS) -> Model:
+    model = Model.start(unigram, layout)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(frequent)
     for r in range(rounds):
@@ -306,20 +356,20 @@ def train(docs: DataFrame, frequent: Frequent, unigram: np.ndarray, rounds: int
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             import zlib
 
-            t = Trainer(Model(now.value.copy()), unigram)
+            t = Trainer(Model(now.value.copy(), layout), unigram)
             part = 0
             for batch in batches:
                 for _, _, data, offs in pieces(column(batch, "text")):
-                    hashes, _, item, begin = tokens(data, offs, shared.value)
+                    hashes, _, item, begin = tokens(data, offs, shared.value, layout)
                     part = zlib.crc32(hashes[:64].tobytes(), part)
-                    t.learn(item, contexts(item, begin))
+                    t.learn(item, contexts(item, begin, layout))
             if t.seen:
                 sums = np.array_split(t.m.flat.astype(np.float64) * t.seen, BLOCKS)
                 yield pa.RecordBatch.from_arrays([pa.array([part % 64] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([t.seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "block", "seen", "sums"])
 
         share = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
         flat = _averaged(share.mapInArrow(run, "part int, block int, seen long, sums binary"))
-        model = Model(flat) if flat is not None else model
+        model = Model(flat, layout) if flat is not None else model
     return model
 
 
@@ -334,36 +384,41 @@ def score(docs: DataFrame, training) -> DataFrame:
     shards, ends = 1 + int((size["b"] or 0) // SHARD_BYTES), size["n"]
     learnt = rows.filter(~F.col("held_out"))
     counts = written(word_counts(learnt, shards), "lm-counts")
-    h, n, total, distinct = _most_frequent(counts, shards)
+    h, n, by_ending, words_of = _most_frequent(counts, shards)
+    total, distinct = int(by_ending.sum()), int(words_of.sum())
     n_all, v_all = total + ends, distinct + (ends > 0)
-    frequent = Frequent(h, n)
-    other = total - int(n[:ITEMS].sum())
-    unigram = np.full(ITEMS + 2, 1e-6)  # items that no word takes
-    unigram[: min(ITEMS, len(n))] = n[:ITEMS] + 0.5
-    unigram[OTHER], unigram[END] = other + 0.5, ends + 0.5
+    frequent, layout = Frequent(h, n), Layout.of(n_all)
+    # tokens and words of each ending that are no items
+    of = (h[: layout.words] & np.uint64(ENDINGS - 1)).astype(np.int64)
+    other = by_ending - np.bincount(of, n[: layout.words], ENDINGS).astype(np.int64)
+    other_words = words_of - np.bincount(of, minlength=ENDINGS)
+    unigram = np.full(layout.items, 1e-6)  # items that no word takes
+    unigram[: min(layout.words, len(n))] = n[: layout.words] + 0.5
+    unigram[layout.words : layout.end], unigram[layout.end] = other + 0.5, ends + 0.5
     unigram /= unigram.sum()
-    model = train(learnt, frequent, unigram)
+    model = train(learnt, frequent, unigram, layout)
     sc = spark.sparkContext
     shared, flat = sc.broadcast(frequent), sc.broadcast(model.flat)
     ln10 = np.log(10)
     base = np.log10(n_all + 0.5 * (v_all + 1))
-    rest = np.log10(other + 0.5 * (distinct - min(ITEMS, len(n)) + 1))
+    rest = np.log10(other + 0.5 * (other_words + 1))
     end_log, end_known = np.log10(ends + 0.5), int(ends > 0)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, f = Model(flat.value), shared.value
+        m, f = Model(flat.value, layout), shared.value
         log_counts = np.log10(f.counts + 0.5)
         for batch in batches:
             for start, stop, data, offs in pieces(column(batch, "text")):
-                hashes, rank, item, begin = tokens(data, offs, f)
-                got = m.scores(contexts(item, begin), item) / ln10
+                hashes, rank, item, begin = tokens(data, offs, f, layout)
+                got = m.scores(contexts(item, begin, layout), item) / ln10
                 log_c = np.zeros(len(rank))
                 known = rank >= 0
                 log_c[known] = log_counts[rank[known]]
                 log_c[rank == -2] = end_log
-                # of a word that is no item: its share of all such, less its count's logarithm if that isn't here
-                tail = np.where(item == OTHER, log_c - rest, 0.0)
+                # of a word that is no item: its share of its ending's, less its count's logarithm if that isn't here
+                grouped = (item >= layout.words) & (item < layout.end)
+                tail = np.where(grouped, log_c - rest[np.where(grouped, item - layout.words, 0)], 0.0)
                 add = lambda x: np.add.reduceat(x, begin[:-1])
                 n_tokens = np.diff(begin)
                 asks = np.flatnonzero(rank == -1)

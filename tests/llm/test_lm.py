@@ -57,14 +57,23 @@ def test_rare_words_ask_the_shards(spark, monkeypatch):
 
 def test_normalised():
     rng = np.random.default_rng(3)
-    unigram = rng.random(lm.ITEMS + 2)
-    m = lm.Model.start(unigram / unigram.sum())
-    m.word[:] = rng.normal(0, 1, m.word.shape)
-    m.group[:] = rng.normal(0, 1, m.group.shape)
-    one = rng.integers(0, lm.ITEMS, (lm.CONTEXT, 1)).astype(np.uint16)
-    every = np.arange(lm.ITEMS + 2).astype(np.uint16)
-    p = np.exp(m.scores(np.repeat(one, len(every), axis=1), every))
-    assert abs(p.sum() - 1) < 1e-4
+    for layout in (lm.Layout.of(0), lm.Layout.of(200_000_000)):
+        unigram = rng.random(layout.items)
+        m = lm.Model.start(unigram / unigram.sum(), layout)
+        m.word[:] = rng.normal(0, 1, m.word.shape)
+        m.group[:] = rng.normal(0, 1, m.group.shape)
+        one = rng.integers(0, layout.items, (lm.CONTEXT, 1)).astype(np.int32)
+        every = np.arange(layout.items).astype(np.int32)
+        p = np.exp(m.scores(np.repeat(one, len(every), axis=1), every))
+        assert abs(p.sum() - 1) < 1e-4
+    assert lm.Layout.of(0).words == lm.FEWEST and lm.Layout.of(10**12).words == lm.MOST and lm.Layout.of(200_000_000).words == 10_000
+
+
+def test_words_of_an_ending_share_its_probability(spark):
+    """All words, items or not, and one that nobody has seen add up to one."""
+    texts = ["a b c d e f g", "h1 h2 h3 zz yz"]
+    got = [r["score"] for r in lm.score(table(spark, [*texts, *(f"q{k}" for k in range(5))]), F.col("doc_id") < 2).collect()]
+    assert all(math.isfinite(x) and x < 0 for x in got)
 
 
 def test_edges(spark):
