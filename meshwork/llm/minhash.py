@@ -10,7 +10,8 @@ Equal shingle sets are one class, named by its smallest doc_id.  A collection's
 value that only one class has can make no candidate; so tables are formed only
 from values that two classes share.  Buckets are not turned into pairs: each
 links its members to its first, and what such links reach is a cluster, whose
-documents make their full sets.  Within clusters similarity is computed exactly
+documents make their full sets.  Ten tables without a collection in common come
+first; what they connect enters the others as one.  Within clusters similarity is computed exactly
 on these, by an inverted index over blocks of members: all pairs of a small
 cluster; in a large one all members against the one that shares most buckets,
 then those that are not similar to it against all.  Tasks return the links of a
@@ -116,27 +117,54 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, members binary")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """key and node of every table entry that two classes share."""
+def _collections(classes: DataFrame) -> DataFrame:
+    """node and vs: a node's values (j, v) that another class shares."""
     single = classes.select("node", F.posexplode("c").alias("j", "v"))
     shared = single.groupBy("j", "v").agg(F.count("*").alias("n")).filter("n > 1").select("j", "v")
     left = single.join(shared, ["j", "v"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("vs"))
-    pairs = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.lit(COLLECTIONS)), lambda y: F.xxhash64(x["j"], x["v"], y["j"], y["v"]))))
-    return left.filter(F.size("vs") > 1).select("node", F.explode(pairs).alias("key"))
+    return left.filter(F.size("vs") > 1)
 
 
-def _clusters(classes: DataFrame) -> DataFrame:
-    """node, c and hits: classes that share buckets, by the smallest node that
-    such links reach, and how many companions a node meets in all its buckets."""
-    entries = written(_buckets(classes), "near-buckets")
+def _tables(left: DataFrame, first: bool) -> DataFrame:
+    """node and key of every table entry: of the ``COLLECTIONS`` / 2 tables
+    whose pairs have no collection in common, or of all others."""
+    pairs = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, F.lit(COLLECTIONS)), lambda y: F.struct(((x["j"] % 2 == 0) & (y["j"] == x["j"] + 1)).alias("first"), F.xxhash64(x["j"], x["v"], y["j"], y["v"]).alias("key")))))
+    return left.select("node", F.inline(pairs)).filter(F.col("first") if first else ~F.col("first")).select("node", "key")
+
+
+def _met(entries: DataFrame) -> DataFrame:
+    """leader (the least of a bucket) and node, of buckets with several nodes."""
     keys = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     # of buckets with the same members one is enough
     keys = keys.groupBy("n", "leader", "members").agg(F.min("key").alias("key"), F.count("*").alias("times"))
-    met = written(entries.join(keys.select("key", "leader", "n", "times"), "key").groupBy("leader", "node").agg(F.sum(F.col("n") * F.col("times")).alias("hits")), "near-met")
+    return entries.join(keys.select("key", "leader", "n", "times"), "key").groupBy("leader", "node").agg(F.sum(F.col("n") * F.col("times")).alias("hits"))
+
+
+def _reached(met: DataFrame) -> DataFrame:
+    """node and label of what such links connect."""
     # a node's leaders reach each other through the least of them: nodes share such links of leaders
     first = met.select("leader", "node", F.min("leader").over(W.partitionBy("node")).alias("a"))
-    reach = components(first.select("a", F.col("node").alias("b")).union(first.select("a", F.col("leader").alias("b"))).distinct())
-    return met.groupBy("node").agg(F.sum("hits").alias("hits")).join(reach, "node").select("node", F.col("label").alias("c"), "hits")
+    return components(first.select("a", F.col("node").alias("b")).union(first.select("a", F.col("leader").alias("b"))).distinct())
+
+
+def _clusters(classes: DataFrame) -> DataFrame:
+    """node, c and hits: classes that share buckets, by the smallest node that
+    such links reach, and how many companions a node meets in its buckets.
+
+    Near copies meet in nearly all tables.  So the few tables that have no
+    collection in common come first; what they connect enters the other tables
+    as one, once for each of its keys, and only keys of several such groups link."""
+    left = written(_collections(classes), "near-collections")
+    met = written(_met(written(_tables(left, first=True), "near-buckets")), "near-met")
+    early = written(_reached(met), "near-early")
+    others = _tables(left, first=False).join(early, "node", "left").select(F.coalesce("label", "node").alias("node"), "key").distinct()
+    links = written(_met(written(others, "near-buckets")), "near-met")
+    late = _reached(links).withColumnRenamed("node", "early").withColumnRenamed("label", "late")
+    # every node that meets another, in the first tables or by its group in the others
+    nodes = left.select("node").join(early, "node", "left").withColumn("early", F.coalesce("label", "node"))
+    nodes = nodes.join(late, "early", "left").filter("label IS NOT NULL OR late IS NOT NULL")
+    hits = met.groupBy("node").agg(F.sum("hits").alias("hits"))
+    return nodes.join(hits, "node", "left").select("node", F.coalesce("late", "early").alias("c"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
