@@ -1,7 +1,10 @@
 import math
 import random
+import textwrap
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from meshwork.llm import licences
 
 from .helpers import empty
@@ -78,3 +81,18 @@ def test_windows_as_one_by_one():
                         want = max(want, sum(w * v.get(t, 0) for t, w in mine.items()) / (size * math.sqrt(sum(w * w for w in mine.values()))))
         got = s.windows(words)[0]
         assert abs(got - want) < 1e-6 if want >= licences.LEAST else got < licences.LEAST
+
+
+def test_whole_licence_texts(spark):
+    """Whole texts, wrapped, with a copyright line and among other words; nulls, repeated rows and ties."""
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 72))
+    other = " ".join(f"word{k}" for k in range(4000))
+    files = [
+        ("a/LICENSE", "Copyright (c) 2024 Jane Doe\n\n" + wrap(licences._MIT)), ("b/COPYING", "Copyright 1999, A. B.\nAll code of this folder:\n" + wrap(licences._BSD)),
+        ("c/LICENSE", wrap(licences._ISC)), ("a/x.py", "import os"), ("b/deep/y.py", None), ("c/z.py", other + "\n" + wrap(licences._MIT) + "\n" + other), (None, "no path"), ("c/LICENSE", wrap(licences._ISC)), (None, None),
+    ]
+    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(files)], "id long, path string, text string").withColumns({c: F.lit(c) for c in ("share", "score", "depth", "up")})
+    got = {r["id"]: r for r in licences.scan(df.drop("share")).collect()}
+    assert [got[k]["licence"] for k in range(9)] == ["mit", "bsd", "isc", "mit", "bsd", "mit", None, "isc", None]
+    assert got[3]["inherited_from"] == "a" and got[4]["inherited_from"] == "b" and got[5]["inherited_from"] is None
+    assert all(got[k]["depth"] == "depth" for k in range(9))
