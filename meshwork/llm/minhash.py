@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import column, lean, load, mix64, pieces, word_hashes, written
+from .common import LOWER, UPPER, column, lean, load, mix64, pieces, word_hashes, written
 
 WIDTH, COLLECTIONS = 4, 20
 PERCENT = 80
@@ -303,3 +303,28 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir))
+
+
+#: All pairs that share a shingle, compared exactly; ids are distinct.
+OP7_SQL = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common c JOIN sizes u ON u.doc_id = a JOIN sizes v ON v.doc_id = b
+    WHERE 100 * c.n >= {PERCENT} * (u.n + v.n - c.n)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+), named AS (
+    SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM named LEFT JOIN sizes USING (doc_id)
+"""

@@ -6,11 +6,11 @@ from .bpe import op8_bpe
 from .licences import op4_licences
 from .lines import OP1_SQL, op1_line_dedup
 from .lm import op2_log_bilinear
-from .minhash import op7_minhash
+from .minhash import OP7_SQL, op7_minhash
 from .mixing import op9_mixing
 from .pii import op10_pii
 from .quality import op5_quality
-from .suffix import op6_suffix_array
+from .suffix import OP6_SQL, op6_suffix_array
 from .webp import op3_webp
 
 QUERIES = {
@@ -29,4 +29,6 @@ QUERIES = {
 #: DuckDB SQL of those queries that SQL can express.
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op6_suffix_array": OP6_SQL,
+    "op7_minhash": OP7_SQL,
 }

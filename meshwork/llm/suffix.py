@@ -392,3 +392,34 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(load(spark, sf_dir))
+
+
+#: Every string of LENGTH bytes of every document (as hex digits, two a byte)
+#: by its digest, in blocks of 1,000 starts; ids are distinct.
+OP6_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents
+), blocks AS (
+    SELECT doc_id, 1000 * b AS first, substr(h, 2000 * b + 1, 2 * {1000 + LENGTH - 1}) AS part
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS b FROM docs)
+), strings AS (
+    SELECT doc_id, first + k AS k, md5_number(substr(part, 2 * k + 1, {2 * LENGTH})) AS p
+    FROM (SELECT doc_id, first, part, unnest(range(0, length(part) // 2 - {LENGTH - 1})) AS k FROM blocks)
+), repeated AS (
+    SELECT p FROM strings GROUP BY p HAVING count(*) > 1
+), marked AS (
+    SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {LENGTH}, true) AS new FROM strings JOIN repeated USING (p)
+), numbered AS (
+    SELECT doc_id, k, sum(new::int) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked
+), runs AS (
+    SELECT doc_id, min(k) AS a, max(k) + {LENGTH} AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+    SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM runs
+), cut AS (
+    SELECT doc_id, sum(b - a)::bigint AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front
+    FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

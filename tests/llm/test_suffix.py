@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
 from meshwork.llm import suffix
 
@@ -43,6 +45,14 @@ def test_matches_brute_force(spark, monkeypatch):
         assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
+def test_sql_matches_brute_force():
+    texts = [*corpus(random.Random(3)), "".join(chr(97 + k * k % 23 + k % 3) for k in range(2500)), "q" * 2300]
+    documents = pa.table({"doc_id": range(len(texts)), "text": texts})
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        assert [r[1:] for r in sorted(con.execute(suffix.OP6_SQL).fetchall())] == brute(texts)
+
+
 def test_edges(spark):
     assert suffix.dedup_substrings(empty(spark)).count() == 0
     text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(260))
