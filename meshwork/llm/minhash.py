@@ -157,7 +157,8 @@ def _clusters(classes: DataFrame) -> DataFrame:
     left = written(_collections(classes), "near-collections")
     met = written(_met(written(_tables(left, first=True), "near-buckets")), "near-met")
     early = written(_reached(met), "near-early")
-    others = _tables(left, first=False).join(early, "node", "left").select(F.coalesce("label", "node").alias("node"), "key").distinct()
+    named = left.join(early, "node", "left").select(F.coalesce("label", "node").alias("node"), "vs")
+    others = _tables(named, first=False).distinct()
     links = written(_met(written(others, "near-buckets")), "near-met")
     late = _reached(links).withColumnRenamed("node", "early").withColumnRenamed("label", "late")
     # every node that meets another, in the first tables or by its group in the others
