@@ -62,10 +62,10 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, weight: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str, weight: Column | None = None, by: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """``df`` with ``name``, each row's position (from 0) in the order of the
     whole table, or of its group ``by``; with ``weight`` the sum of the weights
-    before it.
+    before it.  ``total`` names a column for the whole table's or group's sum.
 
     Rows are range-partitioned and sorted; the size of each group in each
     partition is added up over the partitions, and positions within a partition
@@ -78,7 +78,8 @@ def ranked(df: DataFrame, order: list[Column], name: str, weight: Column | None
     names = [f"__by{k}" for k in range(len(by))]
     sums = parts.groupBy(*keys, F.col("__part").alias("__ranked_part")).agg(F.sum("__w").alias("__sum"))
     before = (W.partitionBy(*names) if by else W.partitionBy()).orderBy("__ranked_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*names, "__ranked_part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    every = [F.sum("__sum").over(W.partitionBy(*names)).alias(total)] if total else []
+    sums = sums.select(*names, "__ranked_part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), *every)
     same = F.col("__part") == F.col("__ranked_part")
     for k, c in zip(names, by, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(k))
