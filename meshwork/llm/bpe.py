@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import column, lean, load, pieces
+from .common import column, lean, load, map_arrow, pieces
 
 SHORT = 128
 REMEMBER = 48_000_000
@@ -281,10 +281,10 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text") -> DataFr
                 got = c.packed(list(some))
                 upto = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(column(b, f.name).slice(start, end - start) for f in keep), ids], schema=pa.schema([*(b.schema.field(f.name) for f in keep), pa.field("ids", ids.type)]))
+                yield pa.RecordBatch.from_arrays([*(column(b, f.name).slice(start, end - start) for f in keep), ids], names=[*(f.name for f in keep), "ids"])
         c.forget()
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -302,7 +302,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFram
                 said = pa.array([c.decode(x.as_py() or []) for x in some.slice(start, ROWS)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(column(b, f.name).slice(start, ROWS) for f in keep), said], names=[*(f.name for f in keep), "text"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:

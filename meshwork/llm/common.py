@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tables import fresh_path, shared_dir, written
 
-__all__ = ["LOWER", "SPACE", "SPACE_BYTES", "UPPER", "add_at", "column", "fresh_path", "lean", "load", "mix64", "per_row", "pieces", "release", "shared_dir", "word_hashes", "word_spans", "written"]
+__all__ = ["LOWER", "SPACE", "SPACE_BYTES", "UPPER", "add_at", "column", "fresh_path", "lean", "load", "map_arrow", "mix64", "per_row", "pieces", "release", "shared_dir", "word_hashes", "word_spans", "written"]
 
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim
@@ -55,6 +55,17 @@ def load(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name, dots included."""
+    names = df.columns
+
+    @functools.wraps(run)
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
+
+
 def pieces(col: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string array into runs of rows of about ``most`` bytes.  Yields
     the first row, the row after the last, their UTF-8 bytes, and offsets into
