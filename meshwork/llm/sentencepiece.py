@@ -248,7 +248,8 @@ class Model:
         begin = begin - np.repeat(offs[:-1], np.diff(upto))
         lead = upto[:-1][np.diff(upto) > 0] if self.prefix else upto[:0]
         added = np.concatenate([[0], np.cumsum((np.diff(upto) > 0) & self.prefix)])
-        begin = np.insert(begin, np.concatenate([lead, upto[1:]]), np.concatenate([np.zeros(len(lead), np.int64), np.diff(offs)]))
+        # where a text ends and the next begins, the end comes first
+        begin = np.insert(begin, np.concatenate([upto[1:], lead]), np.concatenate([np.diff(offs), np.zeros(len(lead), np.int64)]))
         return np.insert(codes, lead, np.uint32(ord(BLANK if self.escape else " "))), upto + added, begin
 
     # merges
