@@ -3,16 +3,23 @@
 Method: a token's context is the sum of its ``CONTEXT`` predecessors' vectors,
 each times a weight vector of its distance; a word scores by the product of the
 context with its own vector, plus a bias.  Items of the model are the most
-frequent words (one for every ``TOKENS_AN_ITEM`` training tokens, from
-``FEWEST`` to ``MOST``), ``ENDINGS`` groups of the other words by their last two
-bytes, and the end.  Items are dealt to about as many classes as a class has
-items; classes have vectors too.  Both are trained in numpy by noise-contrastive
-estimation over all training tokens: every task trains on the rows it reads,
-Spark averages the parameters by tokens, and the next round (each has its share
-of the documents) goes on from there.  Scoring normalises exactly, by batched
-matrix products: over the classes, and over the items of the token's class.  A
-word that is no item takes the probability of its ending's group times its
-smoothed share of the group.
+frequent words (as many as a power of the training tokens, see ``Layout.of``),
+``ENDINGS`` groups of the other words by their last two bytes, and the end.
+Items are dealt to about as many classes as a class has items; classes have
+vectors too.  Both are trained in numpy by noise-contrastive estimation over all
+training tokens.  Scoring normalises exactly, by batched matrix products: over
+the classes, and over the items of the token's class.  A word that is no item
+takes the probability of its ending's group times its smoothed share of the group.
+
+Training in parallel: the corpus decides how many rounds there are and how many
+trainers a round has (``schedule``), and documents are dealt to rounds and
+trainers by hash, so neither the input's splits nor the cluster's size matter.
+In a round every trainer starts from the same parameters and the same Adagrad
+state.  Spark then averages the trainers' steps for each parameter with the
+squared gradients that they met there as weights: a vector that one trainer alone
+has moved keeps its whole step, one that all have moved takes their mean.  Sums
+go up a tree of groups of ``FAN`` trainers and blocks of ``BLOCK`` parameters, so
+that no task holds more than ``FAN`` blocks.
 
 Counts are exact and over all training documents.  Every batch of rows counts
 its words by hash (of 64 bits, the lowest ``BITS`` being its ending), shards of
@@ -38,12 +45,15 @@ from pyspark.sql import functions as F
 from .common import column, lean, load, mix64, pieces, word_hashes, written
 
 TOP = 131_072
-FEWEST, MOST, TOKENS_AN_ITEM = 4094, 65_534, 20_000
+FEWEST, GROWTH = 4094, (1.5, 0.45)
 BITS = 9
 ENDINGS = 1 << BITS
 DIMS, CONTEXT = 16, 4
 NOISE, BATCH, RATE = 32, 2048, 0.1
-ROUNDS = 2
+#: Most rounds, and the tokens of a trainer in a round: so many, and so many for each parameter.
+ROUNDS, TRAINER_TOKENS, PARAMETER_TOKENS = 8, 2_000_000, 8
+CHUNK = 65_536  # tokens that a trainer takes up at once
+FAN, BLOCK = 64, 1 << 18
 SHARD_BYTES, SHARD_ASKS = 50_000_000, 2_000_000
 SLOTS = 20  # bits of the table of frequent words
 
@@ -61,7 +71,10 @@ class Layout:
 
     @classmethod
     def of(cls, tokens: int) -> Layout:
-        return cls(int(min(MOST, max(FEWEST, tokens // TOKENS_AN_ITEM))))
+        """Items grow with the corpus, more slowly than it: 4,094 up to 4e7
+        training tokens, 35,000 at 5e9, 1.3 million (some 170 MB of parameters)
+        at 1.6e13."""
+        return cls(int(max(FEWEST, GROWTH[0] * tokens ** GROWTH[1])))
 
 
 def word_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +210,9 @@ def _lse(s: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation of items and classes, with Adagrad."""
 
-    def __init__(self, model: Model, unigram: np.ndarray):
-        self.m, self.rng = model, np.random.default_rng(5)
-        self.past = Model(np.full(len(model.flat), 1.0, np.float32), model.layout)
+    def __init__(self, model: Model, past: np.ndarray, unigram: np.ndarray, seed: int = 5):
+        self.m, self.rng = model, np.random.default_rng(seed)
+        self.past = Model(past, model.layout)
         self.noise = (np.log(NOISE * unigram).astype(np.float32), np.cumsum(unigram))
         groups = np.bincount(model.layout.class_of, unigram, model.layout.classes)
         self.group_noise = (np.log(NOISE * groups).astype(np.float32), np.cumsum(groups))
@@ -289,10 +302,9 @@ def word_counts(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, kind).groupBy("shard").applyInArrow(add, kind)
 
 
-def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """At most TOP words (each shard gives its share) and their counts, and
-    the tokens and distinct words of each ending."""
-    share = -(-TOP // shards)
+def _most_frequent(counts: DataFrame, shards: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most about ``most`` words (each shard gives its share) and their counts."""
+    share = -(-most // shards)
 
     @lean
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +317,15 @@ def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)], names=["h", "n"])
 
+    got = counts.select("hashes", "counts").mapInArrow(top, "h binary, n binary").collect()  # ``most`` words
+    h, n = (np.frombuffer(b"".join(bytes(r[c]) for r in got), k) for c, k in (("h", np.uint64), ("n", np.int64)))
+    order = np.lexsort((h, -n))[:most]
+    return h[order], n[order]
+
+
+def _endings(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each ending."""
+
     @lean
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(ENDINGS), np.zeros(ENDINGS, np.int64)
@@ -315,61 +336,116 @@ def _most_frequent(counts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarr
                 words += np.bincount(e, minlength=ENDINGS)
         yield pa.RecordBatch.from_arrays([pa.array(range(ENDINGS), pa.int32()), pa.array(total.astype(np.int64)), pa.array(words)], names=["ending", "total", "words"])
 
-    got = counts.select("hashes", "counts").mapInArrow(top, "h binary, n binary").collect()  # TOP words
-    h, n = (np.frombuffer(b"".join(bytes(r[c]) for r in got), k) for c, k in (("h", np.uint64), ("n", np.int64)))
-    order = np.lexsort((h, -n))[:TOP]
     sums = counts.select("hashes", "counts").mapInArrow(endings, "ending int, total long, words long").groupBy("ending").agg(F.sum("total").alias("total"), F.sum("words").alias("words")).collect()
     total, words = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
     for r in sums:
         total[r["ending"]], words[r["ending"]] = r["total"], r["words"]
-    return h[order], n[order], total, words
+    return total, words
 
 
 # the model over the table
 
 
-def _averaged(trained: DataFrame) -> np.ndarray | None:
-    """Mean parameters of all tasks, by their tokens; first by groups of tasks."""
+def schedule(tokens: int, parameters: int) -> tuple[int, int]:
+    """Rounds, and trainers of a round."""
+    share = max(TRAINER_TOKENS, PARAMETER_TOKENS * parameters)
+    rounds = max(1, min(ROUNDS, -(-tokens // share)))
+    return rounds, max(1, -(-tokens // (rounds * share)))
 
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py(), np.float64) for x in t.column("sums")], axis=0)
-        return pa.table({"block": pa.array([key[-1].as_py()], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    kind = "block int, seen long, sums binary"
-    some = trained.groupBy("part", "block").applyInArrow(add, kind)
-    got = some.groupBy("block").applyInArrow(add, kind).collect()  # one model, whatever the input
-    flat = np.concatenate([np.frombuffer(bytes(r["sums"]), np.float64) / max(1, r["seen"]) for r in sorted(got, key=lambda r: r["block"])]) if got else None
-    return flat.astype(np.float32) if flat is not None else None
+_SUMS = "trainer long, block int, steps binary, weights binary, squares binary"
 
 
-BLOCKS = 64
+def _averaged(trained: DataFrame, trainers: int, model: Model, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parameters and the state after a round, from the trainers' sums."""
 
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        sums = [np.sum([np.frombuffer(x.as_py(), np.float32) for x in t.column(c)], axis=0, dtype=np.float32).tobytes() for c in ("steps", "weights", "squares")]
+        return pa.table({"trainer": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(("steps", "weights", "squares"), sums, strict=True)}})
+
+    while trainers > 1:
+        trained = trained.withColumn("trainer", F.floor(F.col("trainer") / FAN)).groupBy("trainer", "block").applyInArrow(add, _SUMS)
+        trainers = -(-trainers // FAN)
+    flat, past = model.flat.copy(), past.copy()
+    for r in trained.select("block", "steps", "weights", "squares").toLocalIterator():  # the parameters of one model
+        at = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(r["steps"]) // 4)
+        steps, weights, squares = (np.frombuffer(bytes(r[c]), np.float32) for c in ("steps", "weights", "squares"))
+        some = np.maximum(weights, np.float32(1e-30))
+        flat[at] += steps / some
+        past[at] += squares / some
+    return flat, past
+
+
+def itemised(docs: DataFrame, frequent: Frequent, layout: Layout, rounds: int, trainers: int) -> DataFrame:
+    """The training documents as numbers of items, with the round and the trainer
+    that each is dealt to; a table, so that the texts are read once."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    kind = np.uint16 if layout.items < 1 << 16 else np.uint32
 
-def train(docs: DataFrame, frequent: Frequent, unigram: np.ndarray, layout: Layout, rounds: int = ROUNDS) -> Model:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, data, offs in pieces(column(batch, "text")):
+                _, _, item, begin = tokens(data, offs, shared.value, layout)
+                rows = np.split(item.astype(kind), begin[1:-1])
+                yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(start, stop - start) for c in ("round", "trainer", "k1", "k2")), pa.array([r.tobytes() for r in rows], pa.binary())], names=["round", "trainer", "k1", "k2", "items"])
+
+    deal = F.pmod(F.xxhash64("k2", "k1"), F.lit(rounds * trainers))
+    dealt = docs.select((deal % rounds).cast("int").alias("round"), F.floor(deal / rounds).alias("trainer"), "k1", "k2", "text")
+    return written(dealt.mapInArrow(run, "round int, trainer long, k1 long, k2 long, items binary"), "lm-items")
+
+
+def train(docs: DataFrame, frequent: Frequent, unigram: np.ndarray, layout: Layout, n_tokens: int) -> Model:
+    """A model of ``docs`` (k1, k2: what tells rows apart; text)."""
     model = Model.start(unigram, layout)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(frequent)
+    past = np.full(len(model.flat), 1.0, np.float32)
+    rounds, trainers = schedule(n_tokens, len(model.flat))
+    kind = np.uint16 if layout.items < 1 << 16 else np.uint32
+    items, sc = itemised(docs, frequent, layout, rounds, trainers), docs.sparkSession.sparkContext
     for r in range(rounds):
-        now = sc.broadcast(model.flat)
+        now = sc.broadcast((model.flat, past))
 
         @lean
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            import zlib
-
-            t = Trainer(Model(now.value.copy(), layout), unigram)
-            part = 0
+        def run(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:
+            def started(name: int) -> Trainer:
+                flat, past = now.value
+                return Trainer(Model(flat.copy(), layout), past.copy(), unigram, seed=(name << 8) + r)
+
+            def learn(t: Trainer, rows: list[np.ndarray]) -> None:
+                begin = np.cumsum([0, *map(len, rows)])
+                item = np.concatenate(rows).astype(np.int32)
+                t.learn(item, contexts(item, begin, layout))
+
+            def sums(t: Trainer, name: int) -> Iterator[pa.RecordBatch]:
+                flat, past = now.value
+                for k, at in enumerate(range(0, len(flat), BLOCK)):
+                    part = slice(at, at + BLOCK)
+                    weight = t.past.flat[part] - past[part]
+                    some = [weight * (t.m.flat[part] - flat[part]), weight, weight * weight]
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in some)], names=["trainer", "block", "steps", "weights", "squares"])
+
+            name, t, held, size = None, None, [], 0
             for batch in batches:
-                for _, _, data, offs in pieces(column(batch, "text")):
-                    hashes, _, item, begin = tokens(data, offs, shared.value, layout)
-                    part = zlib.crc32(hashes[:64].tobytes(), part)
-                    t.learn(item, contexts(item, begin, layout))
-            if t.seen:
-                sums = np.array_split(t.m.flat.astype(np.float64) * t.seen, BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array([part % 64] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([t.seen] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["part", "block", "seen", "sums"])
-
-        share = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
-        flat = _averaged(share.mapInArrow(run, "part int, block int, seen long, sums binary"))
-        model = Model(flat, layout) if flat is not None else model
+                for who, row in zip(column(batch, "trainer").to_pylist(), column(batch, "items"), strict=True):
+                    if who != name:
+                        if t is not None:
+                            if held:
+                                learn(t, held)
+                            yield from sums(t, name)
+                        name, t, held, size = who, started(who), [], 0
+                    held.append(np.frombuffer(row.as_py(), kind))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        learn(t, held)
+                        held, size = [], 0
+            if t is not None:
+                if held:
+                    learn(t, held)
+                yield from sums(t, name)
+
+        share = items.filter(F.col("round") == r).repartition(trainers, "trainer").sortWithinPartitions("trainer", "k1", "k2").select("trainer", "items")
+        flat, past = _averaged(share.mapInArrow(run, _SUMS), trainers, model, past)
+        model = Model(flat, layout)
     return model
 
 
@@ -384,10 +460,12 @@ def score(docs: DataFrame, training) -> DataFrame:
     shards, ends = 1 + int((size["b"] or 0) // SHARD_BYTES), size["n"]
     learnt = rows.filter(~F.col("held_out"))
     counts = written(word_counts(learnt, shards), "lm-counts")
-    h, n, by_ending, words_of = _most_frequent(counts, shards)
+    by_ending, words_of = _endings(counts)
     total, distinct = int(by_ending.sum()), int(words_of.sum())
     n_all, v_all = total + ends, distinct + (ends > 0)
-    frequent, layout = Frequent(h, n), Layout.of(n_all)
+    layout = Layout.of(n_all)
+    h, n = _most_frequent(counts, shards, max(TOP, layout.words))
+    frequent = Frequent(h, n)
     # tokens and words of each ending that are no items
     of = (h[: layout.words] & np.uint64(ENDINGS - 1)).astype(np.int64)
     other = by_ending - np.bincount(of, n[: layout.words], ENDINGS).astype(np.int64)
@@ -396,7 +474,7 @@ def score(docs: DataFrame, training) -> DataFrame:
     unigram[: min(layout.words, len(n))] = n[: layout.words] + 0.5
     unigram[layout.words : layout.end], unigram[layout.end] = other + 0.5, ends + 0.5
     unigram /= unigram.sum()
-    model = train(learnt, frequent, unigram, layout)
+    model = train(learnt, frequent, unigram, layout, n_all)
     sc = spark.sparkContext
     shared, flat = sc.broadcast(frequent), sc.broadcast(model.flat)
     ln10 = np.log(10)
