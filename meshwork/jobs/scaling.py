@@ -83,7 +83,7 @@ def volume(records: DataFrame) -> DataFrame:
     segment = F.floor(F.col("ncols_global") / cols) + (F.col("rank") % cols < F.col("ncols_global") % cols).cast("int")
     kind = F.when(F.col("comm") == "bcast", "naive").when(F.col("comm").isin("ghost_mpi", "ghost_nccl"), "ghost").when(F.col("comm").isin("checkerboard_mpi", "checkerboard_nccl"), "checkerboard")
     moved = F.when(F.col("comm") == "bcast", F.col("ncols_global")).when(kind == "ghost", F.col("n_ghost")).otherwise(segment + F.col("nrows_local"))
-    per = rows.filter(kind.isNotNull()).groupBy("matrix", "P", kind.alias("kind"), "comm").agg(F.avg(moved * 4.0).alias("bytes"), F.min(F.struct("file", "line_no")).alias("first"))
+    per = rows.filter(kind.isNotNull()).groupBy("matrix", "P", kind.alias("kind"), "comm").agg(F.avg(moved * 4.0).alias("bytes"), F.min(F.struct(*(c for c in ("path_no", "file", "line_no") if c in rows.columns))).alias("first"))
     at = lambda k: F.min_by("bytes", F.when(F.col("kind") == k, F.col("first"))).alias(f"{k}_bytes")
     per = per.groupBy("matrix", "P").agg(at("naive"), at("ghost"), at("checkerboard"))
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))

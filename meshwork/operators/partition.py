@@ -110,14 +110,13 @@ def load_balance(m: SparseMatrix, parts_list: tuple[int, ...]) -> DataFrame:
 
 
 def comm_volume(m: SparseMatrix, parts_list: tuple[int, ...]) -> DataFrame:
-    """Mean bytes of x and y a part moves each product, under full broadcast,
-    ghosts, and the checkerboard (segments of x down, of y across).  The ghosts
-    of all partitionings are counted in one scan."""
-    plain = []
-    for parts in parts_list:
-        rows, cols = grid(parts)
-        board = 4.0 * ((m.ncols / cols if rows > 1 else 0) + (m.nrows / rows if cols > 1 else 0))
-        plain.append((parts, 4.0 * m.ncols if parts > 1 else 0.0, float(board)))
+    """Mean bytes that a part moves each product: the whole x under full
+    broadcast, its ghosts, and its segments of x and y on the checkerboard; parts
+    of one move their own x and y too.  The ghosts of all partitionings are
+    counted in one scan."""
+    # over the parts of a grid, the mean of a segment is the dimension's share
+    grids = {parts: grid(parts) for parts in parts_list}
+    plain = [(parts, 4.0 * m.ncols, 4.0 * (m.ncols / cols + m.nrows / rows)) for parts, (rows, cols) in grids.items()]
     at = [F.struct(F.lit(parts).alias("P"), cyclic(F.col("i"), parts)[0].alias("part"), cyclic(F.col("j"), parts)[0].alias("owner")) for parts in parts_list]
     need = m.df.select("j", F.inline(F.array(*at))).filter("part <> owner").select("P", "part", "j").distinct().groupBy("P").agg(F.count("*").alias("n"))
     out = m.df.sparkSession.createDataFrame(plain, "P int, naive_bytes double, checkerboard_bytes double").join(need, "P", "left")

@@ -3,6 +3,8 @@ and read-benchmark records."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,15 +23,24 @@ READ_DOUBLES = ("serial_mean_ms", "serial_min_ms", "chunked_mean_ms", "chunked_m
 READ_LONGS = ("nnz_total_serial", "nnz_total_chunked", "spmv_mismatches")
 
 
+#: White space around a line that does not count.
+_AROUND = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str], prefix: str = "RESULT") -> DataFrame:
-    """file, line_no and line of text files (paths or patterns), of the lines
-    that begin with ``prefix``; line_no counts these in each file from 0.
+    """file, path_no, line_no and line of text files (paths or patterns), of the
+    lines that begin with ``prefix`` after white space; line_no counts these in
+    each file from 0.  path_no is the place of the file's path in the list given:
+    files of one path or pattern come by name.  A file that several paths name
+    counts once for each.
 
     Files are read in splits: a line's place is its split's offset and its place
     among the lines of the task, ranked within the file."""
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.ltrim(F.regexp_replace("value", r"\r$", "")).alias("line"))
-    lines = ranked(text.filter(F.startswith("line", F.lit(prefix))), [F.col("__block"), F.col("__id")], "line_no", by=("file",))
-    return lines.select("file", "line_no", "line")
+    given = [paths] if isinstance(paths, str) else list(paths)
+    texts = [spark.read.text(p).select(F.lit(k).alias("path_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.btrim("value", F.lit(_AROUND)).alias("line")) for k, p in enumerate(given)]
+    text = reduce(DataFrame.unionByName, texts)
+    lines = ranked(text.filter(F.startswith("line", F.lit(prefix))), [F.col("__block"), F.col("__id")], "line_no", by=("path_no", "file"))
+    return lines.select("file", "path_no", "line_no", "line")
 
 
 def _fields(line: Column, prefix: str, keys: tuple[str, ...]) -> Column:
@@ -44,11 +55,21 @@ def _fields(line: Column, prefix: str, keys: tuple[str, ...]) -> Column:
 
 def _typed(lines: DataFrame, prefix: str, strings: tuple, ints: tuple, longs: tuple, doubles: tuple) -> DataFrame:
     rows = lines.filter(F.startswith("line", F.lit(prefix)))
-    rows = rows.select("file", "line_no", _fields(F.col("line"), prefix, (*strings, *ints, *longs, *doubles)).alias("fields")).select("file", "line_no", "fields.*")
+    at = [c for c in ("file", "path_no", "line_no") if c in lines.columns]
+    rows = rows.select(*at, _fields(F.col("line"), prefix, (*strings, *ints, *longs, *doubles)).alias("fields")).select(*at, "fields.*")
     kinds = {**dict.fromkeys(ints, "int"), **dict.fromkeys(longs, "long"), **dict.fromkeys(doubles, "double")}
     return rows.withColumns({k: F.col(k).try_cast(kind) for k, kind in kinds.items()})
 
 
+def malformed(lines: DataFrame) -> DataFrame:
+    """file, line_no, key and value of typed values of ``RESULT `` lines that are
+    no numbers; ``parse`` gives null for these."""
+    kinds = {**dict.fromkeys(INT_KEYS, "int"), **dict.fromkeys(LONG_KEYS, "long"), **dict.fromkeys(DOUBLE_KEYS, "double")}
+    rows = lines.filter(F.startswith("line", F.lit("RESULT "))).select("file", "line_no", _fields(F.col("line"), "RESULT ", tuple(kinds)).alias("fields"))
+    wrong = [F.when(F.col(f"fields.{k}").isNotNull() & F.col(f"fields.{k}").try_cast(kind).isNull(), F.struct(F.lit(k).alias("key"), F.col(f"fields.{k}").alias("value"))) for k, kind in kinds.items()]
+    return rows.select("file", "line_no", F.inline(F.filter(F.array(*wrong), lambda x: x.isNotNull())))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Records of the lines (file, line_no, line) that begin with ``RESULT ``."""
     return _typed(lines, "RESULT ", STRING_KEYS, INT_KEYS, LONG_KEYS, DOUBLE_KEYS)
@@ -68,10 +89,11 @@ def old_reads(lines: DataFrame) -> DataFrame:
 
 
 def repetitions(records: DataFrame, keys: tuple[str, ...] = ("matrix", "comm", "kernel", "P")) -> DataFrame:
-    """Records with ``rep``: each P lines of a group, in file order, are one
-    repetition; a last one of fewer lines is dropped.  The groups are few and
+    """Records with ``rep``: each P lines of a group, in the order of the paths
+    (where they have ``path_no``), files and lines, are one repetition; a last one of fewer lines is dropped.  The groups are few and
     large: places in them come from ``ranked``."""
-    rows = ranked(records.filter(F.col("P") > 0), [F.col("file"), F.col("line_no")], "__k", by=keys).withColumn("rep", F.floor(F.col("__k") / F.col("P")))
+    order = [F.col(c) for c in ("path_no", "file", "line_no") if c in records.columns]
+    rows = ranked(records.filter(F.col("P") > 0), order, "__k", by=keys).withColumn("rep", F.floor(F.col("__k") / F.col("P")))
     return rows.withColumn("__n", F.count("*").over(W.partitionBy(*keys, "rep"))).filter(F.col("__n") == F.col("P")).drop("__k", "__n")
 
 

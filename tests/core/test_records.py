@@ -146,3 +146,20 @@ def test_odd_tokens(spark):
     assert [(r["P"], r["comm"]) for r in got] == [(None, "b"), (None, None), (2, "c"), (3, None)]
     assert (got[3]["kernel"], got[3]["matrix"], got[3]["total_avg_ms"]) == ('"a\\b"', "\u00e9", 10)
     assert results.repetitions(parsed(spark, [])).count() == 0
+
+
+def test_white_space_and_the_order_of_a_list(spark, tmp_path):
+    """Lines may be indented by any white space; files of a list come in its
+    order, not by name, so repetitions follow it."""
+    one, two = tmp_path / "a.out", tmp_path / "b.out"
+    one.write_text("".join(f"\t {x}\r\n" for x in run("m.mtx", "bcast", "acc", 1, [1])))
+    two.write_text("".join(f"\x0b{x}  \n" for x in run("m.mtx", "bcast", "acc", 1, [2])))
+    reps = lambda paths: {r["rep"]: r["total_avg_ms"] for r in results.repetitions(results.parse(results.numbered_lines(spark, paths))).collect()}
+    assert reps([str(one), str(two)]) == {0: 1, 1: 2} and reps([str(two), str(one)]) == {0: 2, 1: 1} and reps(str(tmp_path)) == {0: 1, 1: 2}
+    # a file named twice counts twice
+    assert reps([str(one), str(two), str(one)]) == {0: 1, 1: 2, 2: 1}
+
+
+def test_malformed_values_are_reported(spark):
+    lines = spark.createDataFrame([("f", 0, "RESULT P=x rank=1 gflops=1e3 nnz_local=1.5 comm=9"), ("f", 1, "RESULT P=2"), ("f", 2, "other P=y")], "file string, line_no int, line string")
+    assert sorted((r["line_no"], r["key"], r["value"]) for r in results.malformed(lines).collect()) == [(0, "P", "x"), (0, "nnz_local", "1.5")]
