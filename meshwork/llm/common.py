@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.tables import fresh_path, shared_dir, written
 
-__all__ = ["LOWER", "SPACE", "SPACE_BYTES", "UPPER", "add_at", "column", "fresh_path", "lean", "load", "map_arrow", "mix64", "per_row", "pieces", "release", "shared_dir", "word_hashes", "word_spans", "written"]
+__all__ = ["LOWER", "SPACE", "SPACE_BYTES", "UPPER", "add_at", "boxed", "column", "fresh_path", "lean", "load", "map_arrow", "mix64", "per_row", "pieces", "release", "shared_dir", "unboxed", "word_hashes", "word_spans", "written"]
 
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim
@@ -66,6 +67,20 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
 
 
+def boxed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own``, and all others, whatever their names, as ``__box``."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*own, F.struct(*(rest or [F.lit(None).cast("string").alias("none")])).alias("__box"))
+
+
+def unboxed(df: DataFrame, columns: list[str], own: tuple[str, ...], made: dict[str, Column] | None = None) -> DataFrame:
+    """The columns that ``boxed`` had, in their order; ``made`` follow and take
+    the place of those with their names."""
+    made = made or {}
+    back = [F.col(c) if c in own else F.col("__box")[c].alias(c) for c in columns if c not in made]
+    return df.select(*back, *(c.alias(n) for n, c in made.items()))
+
+
 def pieces(col: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string array into runs of rows of about ``most`` bytes.  Yields
     the first row, the row after the last, their UTF-8 bytes, and offsets into

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, lean, load, written
+from .common import boxed, column, lean, load, unboxed, written
 
 LEAST, SHARE = 0.5, 0.3
 CELLS = 1_000_000  # pairs of words that are compared at once
@@ -149,13 +149,21 @@ def _frequencies(files: DataFrame, text: str) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
+MADE = ("own_licence", "similarity", "licence_file", "licence", "inherited_from")
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``files`` without ``text``, with own_licence, similarity, licence_file,
-    licence (its own or the inherited) and inherited_from (a directory)."""
+    licence (its own or the inherited) and inherited_from (a directory).  Other
+    columns are carried under any name; those of these names are replaced."""
+    out = _scanned(boxed(files, path, text).toDF("path", "text", "__box")).withColumnRenamed("path", path)
+    return unboxed(out, [c for c in files.columns if c != text], (path,), {c: F.col(c) for c in MADE})
+
+
+def _scanned(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     spark = files.sparkSession
     scanner = spark.sparkContext.broadcast(Scanner(*_frequencies(files, text)))
-    made = ("own_licence", "similarity", "licence_file", "licence", "inherited_from")
-    carried = [f for f in files.schema.fields if f.name != text and f.name not in made]
+    carried = [f for f in files.schema.fields if f.name != text]
     schema = T.StructType([*carried, T.StructField("own_licence", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("share", T.DoubleType())])
 
     @lean

@@ -14,8 +14,8 @@ about ``PROBES`` probes, and is read one batch at a time.  A line's key is the
 line without white space at both ends and with A-Z lower-cased; keys of fewer
 than ``min_chars`` code points are left alone.
 
-A null text is one empty line.  Rows are documents: of rows with equal ids each
-counts, and each keeps its lines if that id is the line's last.  A null id is
+A null text is one empty line.  Rows with equal ids are one document when
+documents are counted, and each keeps its lines if that id is the line's last.  A null id is
 smaller than all others; ids may be of any type with an order.  An empty table gives an empty result.  Other columns
 are carried; those named like a computed one are replaced.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, column, lean, load, mix64, written
+from .common import SPACE_BYTES, boxed, column, lean, load, mix64, unboxed, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 50_000
@@ -152,7 +152,10 @@ def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     """doc_id and ``hashes``: the 16-byte hashes, end to end, of the lines that
     the document loses."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    probes = written(_probes(docs, min_chars), "line-probes")
+    probes = _probes(docs, min_chars)
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        probes = probes.distinct()  # a line counts once for an id, however many rows have it
+    probes = written(probes, "line-probes")
     lines = written(probes.groupBy("a", "b").agg(F.count("*").alias("n"), _name(F.max("doc_id"), id_type).alias("last_doc")), "line-counts")
     n_shards = max(1, -(-lines.count() // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("a"), F.lit(n_shards)).cast("int")
@@ -197,11 +200,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     """``docs`` with its texts less the lines dropped, and n_lines, n_dropped;
     with ``digest``, doc_id and kept_sha256 in place of the other columns."""
     lost = shared_lines(docs, min_docs, min_chars)
-    names = ["doc_id", "text"] if digest else [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    d = docs.select(*names).alias("d")
+    d = (docs.select("doc_id", "text") if digest else boxed(docs, "doc_id", "text")).alias("d")
     both = d.join(lost.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select("d.*", F.col("l.hashes").alias("__hashes"))
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    carried = [docs.schema["doc_id"]] if digest else [docs.schema[c] for c in names if c != "text"]
+    carried = [f for f in d.schema if f.name != "text"]
     schema = T.StructType([*carried, *counts, T.StructField("kept_sha256" if digest else "text", T.StringType())])
 
     @lean
@@ -216,7 +218,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
                 out.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode())
             yield pa.RecordBatch.from_arrays([*(column(batch, f.name) for f in carried), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(out, pa.string())], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    out = both.mapInArrow(run, schema)
+    # the text comes last, before the counts
+    columns = [*(c for c in docs.columns if c != "text"), "text"]
+    return out if digest else unboxed(out, columns, ("doc_id", "text"), {c: F.col(c) for c in ("n_lines", "n_dropped")})
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

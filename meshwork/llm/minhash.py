@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, UPPER, column, lean, load, mix64, pieces, word_hashes, written
+from .common import LOWER, UPPER, boxed, column, lean, load, mix64, pieces, unboxed, word_hashes, written
 
 WIDTH, COLLECTIONS = 4, 20
 PERCENT = 80
@@ -294,12 +294,13 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     with null or equal ids are as separate as any others; of rows that repeat
     the kept id and text, one stays."""
     at = F.col("doc_id")
-    keyed = docs.withColumn("__key", F.xxhash64(at, at.isNull(), "text", F.col("text").isNull()))
+    keyed = boxed(docs, "doc_id", "text").withColumn("__key", F.xxhash64(at, at.isNull(), "text", F.col("text").isNull()))
     groups = near_groups(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent)
     groups = groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct()
     kept = keyed.select("__key", "doc_id").join(groups, "__key").groupBy("__group").agg(F.min_by("__key", F.struct(at.isNull(), at, F.col("__key"))).alias("__key"))
     one = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
-    return keyed.join(kept.select("__key"), "__key", "left_semi").withColumn("__one", one).filter("__one = 1").select(*docs.columns)
+    out = keyed.join(kept.select("__key"), "__key", "left_semi").withColumn("__one", one).filter("__one = 1")
+    return unboxed(out, docs.columns, ("doc_id", "text"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ exact block quotas (of documents that the rest can hold) are split over the
 output shards by a binary tree: a node deals half of its block copies to its
 left child by draws without replacement over the sources (which is the
 multivariate hypergeometric law), the others to the right.  Up to ``URN`` copies
-of a source are drawn one by one; of more, the number is drawn at once from the
-law's normal limit, within the law's bounds, so that the quotas stay exact.
+of a source are drawn one by one; of more, the number is one exact draw from the
+hypergeometric law by a ratio of uniforms.
 Shards then draw disjoint ranges of every source's permuted block copies, and
 order their rows by hash.  There are as many shards as hold about
 ``SHARD_WORDS`` words each, and no fewer than 2 ** ``LEVELS``.
@@ -30,6 +30,7 @@ one, ``mix`` keeps them all.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,6 +44,8 @@ MOST = 3
 BLOCK_DOCS = 64
 LEVELS, SHARD_WORDS = 4, 4_000_000
 URN = 1024
+TRIES = 64
+SPREAD = 5
 TURNS = 3
 SEED = 20240917
 
@@ -91,11 +94,67 @@ def _blocks(sized: DataFrame, per: DataFrame) -> DataFrame:
     return b.select(*KEY, "__block", F.col("passes").alias("__passes"), whole.alias("__more"), (F.col("passes") + whole).alias("whole"), F.when(crosses, F.col("need") - F.col("before")).alias("rest"))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n!, to ten digits: Stirling's series from n + 8 on, less the factors."""
+
+    def value(x: Column) -> Column:  # n + 9
+        series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+        factors = x - 8.0
+        for k in range(1, 8):
+            factors = factors * (x - float(k))
+        return series - F.log(factors)
+
+    return _let(n + 9.0, value)
+
+
+def _many(q: Column, left: Column, room: Column, uniform: Callable[..., Column]) -> Column:
+    """How many of ``q`` copies go to the ``left`` of ``room`` places: one exact
+    hypergeometric draw by a ratio of uniforms.  Of the candidates, drawn under a
+    hat that holds the law, the first that lies under it counts (each does with a
+    probability of over two thirds; after ``TRIES`` in vain, some 1e-30, the
+    law's mode).  Logarithms of factorials stand for the law's weights."""
+
+    def weight(p: Column, z: Column) -> Column:
+        return _log_factorial(z) + _log_factorial(p["good"] - z) + _log_factorial(p["m"] - z) + _log_factorial(p["other"] - p["m"] + z)
+
+    def shape(p: Column) -> Column:
+        share = p["good"] / room
+        spread = F.sqrt((room - p["m"]) * q * share * (1 - share) / F.greatest(room - 1, F.lit(1)) + 0.5)
+        # fixed values of the hat: 2 sqrt(2/e) and 3 - 2 sqrt(3/e)
+        width = 2 * math.sqrt(2 / math.e) * spread + (3 - 2 * math.sqrt(3 / math.e))
+        mode = F.floor((p["m"] + 1.0) * (p["good"] + 1.0) / (room + 2.0))
+        return F.struct(p["m"].alias("m"), p["good"].alias("good"), p["other"].alias("other"), (p["m"] * share + 0.5).alias("middle"), width.alias("width"), mode.alias("mode"))
+
+    def drawn(p: Column, top: Column) -> Column:
+        def attempt(found: Column, k: Column) -> Column:
+            candidate = _let(F.greatest(uniform("u", k), F.lit(2.0**-31)), lambda u: F.struct(u.alias("u"), (p["middle"] + p["width"] * (uniform("v", k) - 0.5) / u).alias("w")))
+            inside = lambda c: (c["w"] >= 0) & (c["w"] < F.least(p["m"], p["good"]) + 1)
+            under = lambda c: _let(F.floor(c["w"]), lambda z: F.when(2 * F.log(c["u"]) <= top - weight(p, z), z))
+            return F.when(found.isNotNull(), found).otherwise(_let(candidate, lambda c: F.when(inside(c), under(c))))
+
+        return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("long"), attempt), p["mode"])
+
+    def back(p: Column, z: Column) -> Column:
+        z = F.when(left > room - left, p["m"] - z).otherwise(z)  # the other places were counted
+        return F.when(q > room - q, left - z).otherwise(z).cast("long")  # the copies that are not drawn were
+
+    sides = F.struct(F.least(q, room - q).alias("m"), F.least(left, room - left).alias("good"), F.greatest(left, room - left).alias("other"))
+    return _let(_let(sides, shape), lambda p: _let(_let(weight(p, p["mode"]), lambda top: drawn(p, top)), lambda z: back(p, z)))
+
+
 def _quotas(copies: DataFrame, levels: int) -> DataFrame:
-    """Exact quotas of every source in every shard, by the splitting tree."""
+    """Exact quotas of every source in every shard, by the splitting tree.  The
+    nodes of every ``SPREAD`` levels are written and dealt to tasks anew; a node
+    knows only the sources that it has copies of."""
     per = copies.groupBy(*KEY).agg(F.count("*").alias("q"))
-    nodes = per.agg(F.array_sort(F.collect_list(F.struct(F.col("__n"), F.col("__s"), F.col("q")))).alias("items")).select(F.lit(1).alias("node"), "items")
-    for _ in range(levels):
+    nodes = per.agg(F.array_sort(F.collect_list(F.struct(F.col("__n"), F.col("__s"), F.col("q")))).alias("items")).select(F.lit(1).cast("long").alias("node"), "items")
+    tasks = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for level in range(levels):
 
         def uniform(*names: Column | str) -> Column:
             return F.pmod(F.xxhash64(F.lit(SEED), F.lit("urn"), F.col("node"), *(F.lit(x) if isinstance(x, str) else x for x in names)), F.lit(1 << 30)) / float(1 << 30)
@@ -108,23 +167,23 @@ def _quotas(copies: DataFrame, levels: int) -> DataFrame:
             left, room, q = acc["left"], acc["room"], item["q"]
             start = F.struct(F.lit(0).cast("long").alias("took"), left.alias("left"), room.alias("room"))
             few = F.aggregate(F.when((q > 0) & (q <= URN), F.sequence(F.lit(1).cast("long"), q)).otherwise(F.array().cast("array<bigint>")), start, one)["took"]
-            share = left / room
-            normal = F.sqrt(-2 * F.log(1 - uniform("radius", item["__s"], item["__n"]))) * F.cos(2 * math.pi * uniform("angle", item["__s"], item["__n"]))
-            guess = F.round(q * share + normal * F.sqrt(q * share * (1 - share) * (room - q) / F.greatest(room - 1, F.lit(1)))).cast("long")
-            many = F.least(F.greatest(guess, q - (room - left), F.lit(0)), q, left)
-            took = F.when(q <= URN, few).otherwise(many)
+            many = _many(q, left, room, lambda *x: uniform(item["__s"], item["__n"], *x))
+            took = F.when(q <= URN, few).when((left > 0) & (left < room), many).otherwise(F.least(left, q))
             return F.struct(F.concat(acc["took"], F.array(took)).alias("took"), (left - took).alias("left"), (room - q).alias("room"))
 
         room = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["q"])
         nodes = nodes.withColumn("room", room)
         begin = F.struct(F.array().cast("array<bigint>").alias("took"), F.floor(F.col("room") / 2).alias("left"), F.col("room").alias("room"))
         nodes = nodes.withColumn("went", F.aggregate("items", begin, draw)["took"])
+        some = lambda items: F.filter(items, lambda x: x["q"] > 0)
         halves = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.zip_with("items", "went", lambda x, t: F.struct(x["__n"].alias("__n"), x["__s"].alias("__s"), t.alias("q"))).alias("items")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("items", "went", lambda x, t: F.struct(x["__n"].alias("__n"), x["__s"].alias("__s"), (x["q"] - t).alias("q"))).alias("items")),
+            F.struct((F.col("node") * 2).alias("node"), some(F.zip_with("items", "went", lambda x, t: F.struct(x["__n"].alias("__n"), x["__s"].alias("__s"), t.alias("q")))).alias("items")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), some(F.zip_with("items", "went", lambda x, t: F.struct(x["__n"].alias("__n"), x["__s"].alias("__s"), (x["q"] - t).alias("q")))).alias("items")),
         )
-        nodes = nodes.select(F.explode(halves).alias("half")).select("half.*")
-    return nodes.select((F.col("node") - (1 << levels)).alias("shard"), F.inline("items")).filter("q > 0")
+        nodes = nodes.select(F.explode(halves).alias("half")).select("half.*").filter(F.size("items") > 0)
+        if level % SPREAD == SPREAD - 1 and level + 1 < levels:
+            nodes = written(nodes.repartition(min(tasks, 1 << level), "node"), "mix-nodes")
+    return nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.inline("items")).filter("q > 0")
 
 
 def _planned(docs: DataFrame, levels: int | None, size: Column | None) -> tuple[DataFrame, int]:
@@ -142,23 +201,23 @@ def _planned(docs: DataFrame, levels: int | None, size: Column | None) -> tuple[
     blocks = written(_blocks(sized.select(*KEY, "__block", "__size", F.col("__need").alias("need")), per), "mix-blocks")
     copies = blocks.select(*KEY, "__block", F.explode(F.sequence(F.lit(0), F.col("whole") + F.col("rest").isNotNull().cast("int"))).alias("copy")).filter(F.col("copy") > 0)
     quotas = written(_quotas(copies, levels), "mix-quotas")
-    # a row for each source and shard
-    ranges = quotas.withColumn("till", F.sum("q").over(W.partitionBy(*KEY).orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    bounds = ranges.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("till", "shard"))).alias("bounds"))
+    # a shard's places among its source's copies: as many rows as there are copies, joined by place
+    ranges = ranked(quotas, [F.col("shard")], "from", F.col("q"), by=tuple(KEY))
+    places = ranges.select(*KEY, "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("q") - 1)).alias("__place"))
     copies = ranked(copies, [_h("copy", F.col("__s"), F.col("__n"), F.col("__block"), F.col("copy")), F.col("__block"), F.col("copy")], "__place", by=tuple(KEY))
-    dealt = copies.join(F.broadcast(bounds), KEY).withColumn("shard", F.filter("bounds", lambda b: b["till"] > F.col("__place"))[0]["shard"])
+    dealt = copies.join(places, [*KEY, "__place"])
     dealt = dealt.groupBy(*KEY, "__block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("__shards"))
     blocks = written(blocks.join(dealt, [*KEY, "__block"], "left"), "mix-shards")
     parts = written(_crossing(sized.select(*KEY, "__block", "__id", "__h", "__size"), blocks), "mix-crossing")
     out = sized.join(blocks.select(*KEY, "__block", "__passes", "__more", "__shards"), [*KEY, "__block"])
     # of rows with equal id and size as many take part as were chosen; they are told apart by nothing else
     same = W.partitionBy("__rs", "__rn", "__rid", "__rsize")
-    few = out.join(F.broadcast(parts.select(*KEY, "__block").distinct()), [*KEY, "__block"], "left_semi")
-    most = out.join(F.broadcast(parts.select(*KEY, "__block").distinct()), [*KEY, "__block"], "left_anti").withColumn("__part", F.lit(0))
+    few = out.join(parts.select(*KEY, "__block").distinct(), [*KEY, "__block"], "left_semi")
+    most = out.join(parts.select(*KEY, "__block").distinct(), [*KEY, "__block"], "left_anti").withColumn("__part", F.lit(0))
     few = few.select("*", F.col("__s").alias("__rs"), F.col("__n").alias("__rn"), F.col("__id").alias("__rid"), F.col("__size").alias("__rsize"))
     few = few.withColumn("__turn", F.row_number().over(same.orderBy("__h")))
     chosen = parts.select(*KEY, F.col("__id").alias("__cid"), F.col("__size").alias("__csize"), "__chosen")
-    few = few.join(F.broadcast(chosen), (few["__s"] == chosen["__s"]) & (few["__n"] == chosen["__n"]) & F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__size") == F.col("__csize")), "left").select(*[few[c] for c in few.columns], "__chosen")
+    few = few.join(chosen, (few["__s"] == chosen["__s"]) & (few["__n"] == chosen["__n"]) & F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__size") == F.col("__csize")), "left").select(*[few[c] for c in few.columns], "__chosen")
     few = few.withColumn("__part", (F.col("__turn") <= F.coalesce("__chosen", F.lit(0))).cast("int"))
     names = [c for c in most.columns if c != "__part"]
     out = most.select(*names, "__part").unionByName(few.select(*names, "__part"))
@@ -173,7 +232,7 @@ def _crossing(sized: DataFrame, blocks: DataFrame) -> DataFrame:
     of each id and size are taken (``__chosen``; 0 too).  Documents come in hash
     order as far as they fit, by turns of those that the gap still holds, and at
     last the one that fills the gap best."""
-    out = sized.join(F.broadcast(blocks.filter("rest IS NOT NULL").select(*KEY, "__block", "rest")), [*KEY, "__block"])
+    out = sized.join(blocks.filter("rest IS NOT NULL").select(*KEY, "__block", "rest"), [*KEY, "__block"])
     block = W.partitionBy(*KEY, "__block")
     order = block.orderBy("__h", "__id", "__size")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, column, lean, load, mix64, per_row, pieces, word_hashes, written
+from .common import SPACE, boxed, column, lean, load, mix64, per_row, pieces, unboxed, word_hashes, written
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 CELL, LEAST, FEWEST = 1000, 100, 20
@@ -207,10 +207,13 @@ def fit(rows: DataFrame) -> DataFrame:
     return written(_estimates(_moments(at.filter(F.col("d2") <= MOST_GOOD), GOOD_FACTOR)), "mcd-last")
 
 
-def judge(docs: DataFrame, carry: bool = True) -> DataFrame:
-    """``docs`` (with ``carry``, else only doc_id) with the counts,
-    base_failed, distance (null if not judged) and kept."""
-    stats = statistics(docs.select("doc_id", "lang", "source", "text") if not carry else docs)
+OWN = ("doc_id", "lang", "source", "text")
+MADE = (*COUNTS, "base_failed", "distance", "kept")
+
+
+def _judged(docs: DataFrame, carry: bool) -> DataFrame:
+    """``boxed`` rows (without ``carry``: doc_id alone) with the computed columns."""
+    stats = statistics(boxed(docs, *OWN) if carry else docs.select(*OWN))
     stats = stats.withColumn("__lines", F.when(F.col("n_dup_lines") > 0, F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0))).otherwise(1))
     stats = stats.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED))
     stats = stats.withColumn("__key", F.to_json(F.struct("lang", "source"))).withColumn("__lang", F.to_json(F.struct("lang")))
@@ -221,13 +224,20 @@ def judge(docs: DataFrame, carry: bool = True) -> DataFrame:
     rows = good.select("doc_id", "__key", *VECTOR).join(groups, "__key").filter(F.col("n") >= FEWEST)
     estimates = fit(rows).join(groups, "g").select("__key", F.col("mean").alias("__mean"), F.col("inverse").alias("__inverse"))
     out = stats.join(estimates, "__key", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance([F.col(c) for c in VECTOR])))
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
-    return out.drop("__key", "__lang", "__lines", "__mean", "__inverse", *VECTOR)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
+
+
+def judge(docs: DataFrame, carry: bool = True) -> DataFrame:
+    """``docs`` (with ``carry``, else only doc_id) with the counts, base_failed,
+    distance (null if not judged) and kept; existing columns of these names are
+    replaced, all others are carried."""
+    out = _judged(docs, carry)
+    return unboxed(out, docs.columns, OWN, {c: F.col(c) for c in MADE}) if carry else out.select("doc_id", *MADE)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    return unboxed(_judged(docs, True).filter("kept"), docs.columns, OWN)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

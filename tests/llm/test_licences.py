@@ -96,3 +96,11 @@ def test_whole_licence_texts(spark):
     assert [got[k]["licence"] for k in range(9)] == ["mit", "bsd", "isc", "mit", "bsd", "mit", None, "isc", None]
     assert got[3]["inherited_from"] == "a" and got[4]["inherited_from"] == "b" and got[5]["inherited_from"] is None
     assert all(got[k]["depth"] == "depth" for k in range(9))
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a/LICENSE", "Permission is hereby granted, free of charge, to any person"), ("a/x.py", "code"), (None, None)], "path string, text string")
+    wide = df.withColumns({c: F.lit(f"{c}!") for c in ("share", "__dir", "up", "near", "a.b", "__box", "licence")})
+    out = licences.scan(wide)
+    assert out.columns == ["path", "share", "__dir", "up", "near", "a.b", "__box", *licences.MADE]
+    assert out.count() == 3 and out.filter("share <> 'share!' OR __dir <> '__dir!' OR `a.b` <> 'a.b!'").isEmpty()

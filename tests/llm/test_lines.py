@@ -73,3 +73,16 @@ def test_ids_of_other_types_and_clashing_columns(spark):
         ids = F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind)
         rows = dedup_lines(df.withColumn("doc_id", ids)).orderBy("doc_id").collect()
         assert [r["n_dropped"] for r in rows] == [1] * 5 + [0] and all(r["hashes"] == "hashes" and r["shard"] == "shard" for r in rows)
+
+
+def test_repeated_ids_and_any_columns(spark):
+    """Rows of one id are one document when documents are counted."""
+    line = "a line that is long enough to be a key of its own, " * 2
+    three = table(spark, [line] * 5, ids=[1, 1, 1, 2, 2])
+    assert {r["n_dropped"] for r in dedup_lines(three).collect()} == {0}
+    five = table(spark, [f"{line}\nown {k}" for k in range(7)], ids=[1, 1, 2, 3, 4, 5, 5])
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in dedup_lines(five).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (5, 0)]
+    wide = five.withColumns({c: F.lit(f"{c}!") for c in ("__hashes", "hashes", "a.b", "__box", "d", "n_lines")})
+    out = dedup_lines(wide)
+    assert out.columns == [*(c for c in wide.columns if c not in ("text", "n_lines")), "text", "n_lines", "n_dropped"]
+    assert out.filter("__hashes <> '__hashes!' OR `a.b` <> 'a.b!' OR __box <> '__box!' OR d <> 'd!'").isEmpty() and out.count() == 7

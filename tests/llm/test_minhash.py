@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from meshwork.llm import minhash
 
 from .helpers import babble, empty, table, words
@@ -97,3 +99,12 @@ def test_recall_of_tables():
     p = 0.8**minhash.WIDTH
     n = minhash.COLLECTIONS
     assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) < 5e-4
+
+
+def test_columns_of_any_name(spark):
+    df = table(spark, [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(12)])
+    names = ("__lines", "__lang", "__key", "__group", "__one", "__box", "a.b", "kept", "n_words", "g", "c")
+    wide = df.withColumns({c: F.lit(f"{c}!") for c in names})
+    out = minhash.dedup(wide)
+    assert out.columns == wide.columns and out.count() == 12
+    assert out.filter(" OR ".join(f"`{c}` <> '{c}!'" for c in names)).isEmpty()

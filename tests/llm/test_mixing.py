@@ -1,4 +1,5 @@
 import inspect
+import math
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -115,3 +116,28 @@ def test_many_copies_of_a_source(spark, monkeypatch):
 def test_very_long_text(spark):
     rows = mixing.plan(table(spark, ["w " * 2_000_000, "a b", "c d e"], sources=["a", "b", "b"])).collect()
     assert {r["doc_id"]: r["size"] for r in rows} == {0: 2_000_000, 1: 2, 2: 3}
+
+
+def test_draws_follow_the_law(spark):
+    """The ratio of uniforms against the hypergeometric weights (chi square)."""
+    n = 20_000
+    for q, left, room in ((30, 40, 100), (60, 40, 100), (30, 70, 100), (70, 65, 100), (7, 50, 100)):
+        drawn = lambda *x: F.pmod(F.xxhash64("id", *(F.lit(k) if isinstance(k, str) else k for k in x)), F.lit(1 << 30)) / float(1 << 30)
+        got = spark.range(n).select(mixing._many(F.lit(q), F.lit(left), F.lit(room), drawn).alias("z")).groupBy("z").count().collect()
+        seen = {r["z"]: r["count"] for r in got}
+        law = {z: n * math.comb(left, z) * math.comb(room - left, q - z) / math.comb(room, q) for z in range(max(0, q + left - room), min(q, left) + 1)}
+        assert set(seen) <= set(law) and sum(seen.values()) == n
+        often = [z for z, e in law.items() if e >= 10]
+        chi = sum((seen.get(z, 0) - law[z]) ** 2 / law[z] for z in often)
+        assert chi < len(often) + 5 * math.sqrt(2 * len(often)), (q, left, room, chi)
+
+
+def test_many_shards(spark):
+    """2 ** 16 shards: their quotas come from several tasks and stay exact."""
+    copies = spark.range(200_000).selectExpr("concat('s', id % 3) AS __s", "id % 7 = 0 AS __n")
+    quotas = mixing.written(mixing._quotas(copies, 16), "quotas")
+    assert len(quotas.inputFiles()) > 1
+    sums = quotas.groupBy("shard").agg(F.sum("q").alias("q")).agg(F.count("*").alias("n"), F.min("q").alias("least"), F.max("q").alias("most")).first()
+    assert tuple(sums) == (1 << 16, 3, 4)
+    want = {(r["__s"], r["__n"]): r["count"] for r in copies.groupBy("__s", "__n").count().collect()}
+    assert {(r["__s"], r["__n"]): r["q"] for r in quotas.groupBy("__s", "__n").agg(F.sum("q").alias("q")).collect()} == want

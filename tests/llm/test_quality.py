@@ -60,3 +60,14 @@ def test_columns_that_clash(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.keep(df).collect()}
     ids = df.withColumn("doc_id", F.col("doc_id").cast("string"))
     assert quality.keep(ids).count() == kept.count()
+
+
+def test_columns_of_any_name(spark):
+    df = table(spark, [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(12)])
+    names = ("__lines", "__lang", "__key", "__group", "__one", "__box", "a.b", "kept", "n_words", "g", "c")
+    wide = df.withColumns({c: F.lit(f"{c}!") for c in names})
+    out = quality.keep(wide)
+    assert out.columns == wide.columns and out.count() == 12
+    assert out.filter(" OR ".join(f"`{c}` <> '{c}!'" for c in names)).isEmpty()
+    judged = quality.judge(wide)
+    assert judged.columns == [*(c for c in wide.columns if c not in quality.MADE), *quality.MADE] and judged.filter("__lines <> '__lines!' OR `a.b` <> 'a.b!'").isEmpty()
