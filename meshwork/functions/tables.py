@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 HOT = 100_000
 
 _stored: list[str] = []
+_named: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,11 +52,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
+def bucketed(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """``df`` as a table bucketed and sorted by ``keys``, with as many buckets as
+    shuffles have partitions: a join on the keys does not move it.  Its files are
+    in the shared folder; ``clear`` drops it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", fresh_path(spark, name)).saveAsTable(table)
+    _named.append(table)
+    return spark.table(table)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table of ``written`` that nothing needs any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        mine = [p for p in _stored if path.rstrip("/").endswith(p.split(":", 1)[-1].lstrip("/"))]
+        if mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(mine[0])
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _stored.remove(mine[0])
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes the tables that this driver has written so far, when no
     DataFrame of theirs is needed any more; how many there were."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = len(_stored)
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     while _stored:
         path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
         path.getFileSystem(conf).delete(path, True)

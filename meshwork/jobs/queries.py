@@ -18,42 +18,14 @@ from ..functions.tables import fresh_path
 from ..operators import matrix, partition, spmv
 from ..operators.matrix import SparseMatrix
 from ..sources import generate, mtx, results, summaries
-from . import scaling
+from . import linear, scaling
+from .matrices import PP_SQL, Query, op_matrix, pp_matrix, x_vector
+from .matrices import n_parts as _n_parts
+from .matrices import read as _read
 
-Query = Callable[[SparkSession, str], DataFrame]
 P = 4
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _n_parts(spark: SparkSession, sf_dir: str) -> int:
-    return _size(spark, sf_dir, "part", "p_partkey")
-
-
-def _size(spark: SparkSession, sf_dir: str, table: str, key: str) -> int:
-    """One more than the greatest key; 0 for an empty table."""
-    return _read(spark, sf_dir, table).agg(F.coalesce(F.max(key) + 1, F.lit(0))).first()[0]
-
-
-def op_matrix(spark: SparkSession, sf_dir: str) -> SparseMatrix:
-    df = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
-    return SparseMatrix(df, _size(spark, sf_dir, "orders", "o_orderkey"), _n_parts(spark, sf_dir))
-
-
-def pp_matrix(spark: SparkSession, sf_dir: str) -> SparseMatrix:
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    df = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i"), F.lead("l_partkey").over(order).alias("j"), F.col("l_quantity").alias("v")).filter("j IS NOT NULL")
-    n = _n_parts(spark, sf_dir)
-    return SparseMatrix(df, n, n)
-
-
-def x_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.vector(_read(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
-
-
-PP_SQL = "pp AS (SELECT i, j, v FROM (SELECT l_partkey AS i, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS j, l_quantity AS v FROM lineitem) WHERE j IS NOT NULL), n AS (SELECT max(p_partkey) + 1 AS n FROM part), x AS (SELECT p_partkey AS j, CAST((p_partkey * 7919) % 1000 - 500 AS DOUBLE) AS x FROM part)"
 SPMV_SQL = f"WITH {PP_SQL} SELECT pp.i AS i, sum(pp.v * x.x) AS y FROM pp JOIN x ON pp.j = x.j GROUP BY pp.i"
 
 
@@ -478,3 +450,6 @@ SELECT replace(m.matrix, '.mtx', '') AS matrix, c.method, k.a AS compute_ms, k.b
     "matrix_order": f"WITH {TIMES_SQL}, t AS (SELECT matrix, max(CASE WHEN comm = 'ghost_nccl' AND kernel = 'cusparse' AND \"P\" = 1 THEN tm END) AS t1 FROM times GROUP BY matrix) SELECT matrix, t1, row_number() OVER (ORDER BY t1 IS NULL, t1, matrix) AS place FROM t",
     **{f"{c}_vs_cyclic": _versus(c) for c in ("rcm", "fennel", "block")},
 }
+
+QUERIES |= linear.QUERIES
+SQL |= linear.SQL
