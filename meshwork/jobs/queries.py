@@ -18,7 +18,7 @@ from ..functions.tables import fresh_path
 from ..operators import matrix, partition, spmv
 from ..operators.matrix import SparseMatrix
 from ..sources import generate, mtx, results, summaries
-from . import linear, scaling
+from . import joins, linear, scaling
 from .matrices import PP_SQL, Query, op_matrix, pp_matrix, x_vector
 from .matrices import n_parts as _n_parts
 from .matrices import read as _read
@@ -451,5 +451,5 @@ SELECT replace(m.matrix, '.mtx', '') AS matrix, c.method, k.a AS compute_ms, k.b
     **{f"{c}_vs_cyclic": _versus(c) for c in ("rcm", "fennel", "block")},
 }
 
-QUERIES |= linear.QUERIES
-SQL |= linear.SQL
+QUERIES |= linear.QUERIES | joins.QUERIES
+SQL |= linear.SQL | joins.sql(RECORDS_SQL)
