@@ -24,7 +24,7 @@ READ_LONGS = ("nnz_total_serial", "nnz_total_chunked", "spmv_mismatches")
 
 
 #: White space around a line that does not count.
-_AROUND = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
+AROUND = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str], prefix: str = "RESULT") -> DataFrame:
@@ -37,7 +37,7 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], prefix: str = "R
     Files are read in splits: a line's place is its split's offset and its place
     among the lines of the task, ranked within the file."""
     given = [paths] if isinstance(paths, str) else list(paths)
-    texts = [spark.read.text(p).select(F.lit(k).alias("path_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.btrim("value", F.lit(_AROUND)).alias("line")) for k, p in enumerate(given)]
+    texts = [spark.read.text(p).select(F.lit(k).alias("path_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.btrim("value", F.lit(AROUND)).alias("line")) for k, p in enumerate(given)]
     text = reduce(DataFrame.unionByName, texts)
     lines = ranked(text.filter(F.startswith("line", F.lit(prefix))), [F.col("__block"), F.col("__id")], "line_no", by=("path_no", "file"))
     return lines.select("file", "path_no", "line_no", "line")
@@ -53,9 +53,9 @@ def _fields(line: Column, prefix: str, keys: tuple[str, ...]) -> Column:
     return F.from_json(F.concat(F.lit("{"), F.trim(body), F.lit('"":""}')), schema, {"allowUnquotedControlChars": "true"})
 
 
-def _typed(lines: DataFrame, prefix: str, strings: tuple, ints: tuple, longs: tuple, doubles: tuple) -> DataFrame:
+def _typed(lines: DataFrame, prefix: str, strings: tuple, ints: tuple, longs: tuple, doubles: tuple, carry: tuple = ()) -> DataFrame:
     rows = lines.filter(F.startswith("line", F.lit(prefix)))
-    at = [c for c in ("file", "path_no", "line_no") if c in lines.columns]
+    at = [c for c in ("file", "path_no", "line_no", *carry) if c in lines.columns]
     rows = rows.select(*at, _fields(F.col("line"), prefix, (*strings, *ints, *longs, *doubles)).alias("fields")).select(*at, "fields.*")
     kinds = {**dict.fromkeys(ints, "int"), **dict.fromkeys(longs, "long"), **dict.fromkeys(doubles, "double")}
     return rows.withColumns({k: F.col(k).try_cast(kind) for k, kind in kinds.items()})
@@ -70,9 +70,10 @@ def malformed(lines: DataFrame) -> DataFrame:
     return rows.select("file", "line_no", F.inline(F.filter(F.array(*wrong), lambda x: x.isNotNull())))
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Records of the lines (file, line_no, line) that begin with ``RESULT ``."""
-    return _typed(lines, "RESULT ", STRING_KEYS, INT_KEYS, LONG_KEYS, DOUBLE_KEYS)
+def parse(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Records of the lines (file, line_no, line) that begin with ``RESULT ``;
+    ``carry`` names columns of the lines that stay."""
+    return _typed(lines, "RESULT ", STRING_KEYS, INT_KEYS, LONG_KEYS, DOUBLE_KEYS, carry)
 
 
 def parse_reads(lines: DataFrame) -> DataFrame:
