@@ -29,6 +29,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +147,7 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int,
         e = m.end() - (len(word) - len(word.rstrip(_EDGES)))
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if s >= e or any(a < e and s < b for a, b in taken[k : k + 8]):
+        if s >= e or any(s < b for _, b in takewhile(lambda x: x[0] < e, islice(taken, k, None))):
             last = None
             continue
         number = bool(_NUMBER.fullmatch(word))
