@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import udtfs
 from ..operators.ranges import range_join
 from ..operators.temporal import asof_join
 from . import sketches
-from .matrices import Query, read
+from .matrices import PP_SQL, Query, pp_matrix, read
 
 #: Orders are placed within the days of the events, in microseconds.
 DAY0, SPAN = 1_704_067_200_000_000, 2_592_000
@@ -55,7 +56,36 @@ def _cube(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(*(f"a.{c}" for c in sketches.DIMENSIONS), "grouping", "n", "least", "greatest", F.round("average", 9).alias("average"), "n_matrices", near.alias("median_near"))
 
 
-QUERIES: dict[str, Query] = {"asof_orders": _asof, "asof_user_orders": _asof_user, "range_join": _ranges, "run_cube": _cube}
+def _sql_text(query: str, view: str, rows) -> Query:
+    """SQL text over a temporary view of ``rows(spark, sf)``."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        udtfs.register(spark)
+        rows(spark, sf).createOrReplaceTempView(view)
+        return spark.sql(query)
+
+    return run
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    from .queries import log_lines
+
+    return log_lines(spark, sf)
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    return pp_matrix(spark, sf).df
+
+
+QUERIES: dict[str, Query] = {
+    "sql_row_stats": _sql_text("SELECT i, sum(nnz) AS nnz, sum(total) AS total, min(low) AS low, max(high) AS high FROM row_parts(TABLE(sql_entries)) GROUP BY i", "sql_entries", _entries),
+    "sql_mirrored": _sql_text("SELECT i, j, sum(v) AS v, count(*) AS n FROM mirrored(TABLE(sql_pattern)) GROUP BY i, j", "sql_pattern", _entries),
+    "sql_records": _sql_text("SELECT comm, kernel, P, count(*) AS n, sum(nnz_local) AS nnz, max(total_avg_ms) AS most FROM result_records(TABLE(sql_lines)) GROUP BY comm, kernel, P", "sql_lines", _lines),
+    "asof_orders": _asof,
+    "asof_user_orders": _asof_user,
+    "range_join": _ranges,
+    "run_cube": _cube,
+}
 
 _ORDERS = f"orders2 AS (SELECT o_orderkey, o_custkey % 150 AS \"user\", {DAY0} + (o_orderkey * 173 % {SPAN}) * 1000000 AS at FROM orders), events2 AS (SELECT event_id, user_id, epoch_us(ts) AS ts, value FROM events)"
 
@@ -63,6 +93,9 @@ _ORDERS = f"orders2 AS (SELECT o_orderkey, o_custkey % 150 AS \"user\", {DAY0} +
 def sql(records_sql: str) -> dict[str, str]:
     dims = ", ".join(f'"{c}"' for c in sketches.DIMENSIONS)
     return {
+        "sql_row_stats": f"WITH {PP_SQL} SELECT i, count(*) AS nnz, sum(v) AS total, min(j) AS low, max(j) AS high FROM pp GROUP BY i",
+        "sql_mirrored": f"WITH {PP_SQL} SELECT i, j, sum(v) AS v, count(*) AS n FROM (SELECT i, j, v FROM pp UNION ALL SELECT j, i, v FROM pp WHERE i <> j) GROUP BY i, j",
+        "sql_records": f'WITH {records_sql} SELECT comm, kernel, "P", count(*) AS n, CAST(sum(nnz_local) AS BIGINT) AS nnz, max(total_avg_ms) AS most FROM records GROUP BY ALL',
         "asof_orders": f"WITH {_ORDERS}, e AS (SELECT ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events2 GROUP BY ts) SELECT o.o_orderkey, o.at, e.event_id, e.value FROM orders2 o ASOF LEFT JOIN e ON o.at >= e.ts",
         "asof_user_orders": f"WITH {_ORDERS}, e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events2 GROUP BY ALL) SELECT o.o_orderkey, o.\"user\", e.event_id FROM orders2 o ASOF LEFT JOIN e ON o.\"user\" = e.user_id AND o.at > e.ts",
         "range_join": "WITH p AS (SELECT p_partkey, round((p_retailprice - 900) * 4, 2) AS low, p_size FROM part), q AS (SELECT p_partkey, low, low + CASE WHEN p_size = 50 THEN 5.0::DOUBLE ELSE p_size / 100 END AS high FROM p) SELECT p_partkey, event_id FROM q JOIN events ON value >= low AND value < high",
