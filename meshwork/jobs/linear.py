@@ -10,6 +10,7 @@ from ..functions.tables import fresh_path
 from ..operators import solvers, spmm
 from ..operators.matrix import SparseMatrix
 from ..sources import blocks, datasource
+from . import phases
 from .matrices import PP_SQL, Query, pp_matrix, x_vector
 
 STEPS, CG_STEPS = 10, 6
@@ -61,7 +62,20 @@ def _source(spark: SparkSession, sf: str) -> DataFrame:
     return back.df.groupBy("i", "j").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
 
 
+PHASED = (("plain", "line"), ("broadcast", "line"), ("checkerboard", "line"), ("plain", "flat"))
+
+
+def _phases(spark: SparkSession, sf: str) -> DataFrame:
+    """Products of PP as RESULT lines in a log, and the records read back."""
+    m, x = pp_matrix(spark, sf), x_vector(spark, sf)
+    lines = [phases.product_line(m, x, "pp", exchange, kernel, 4) for exchange, kernel in PHASED]
+    rows = phases.written_lines(spark, lines, fresh_path(spark, "phases"))
+    timed = (F.col("total_avg_ms") > 0) & (F.col("compute_avg_ms") > 0) & (F.col("comm_avg_ms") >= 0) & (F.col("effective_gflops") > 0)
+    return rows.select("comm", "kernel", "matrix", "nnz_local", "nrows_local", timed.alias("timed"))
+
+
 QUERIES: dict[str, Query] = {
+    "product_phases": _phases,
     "pagerank": _pagerank,
     "power_iteration": _power,
     "conjugate_gradients": _gradients,
@@ -95,7 +109,10 @@ FROM (SELECT *, rr / sum(p * q) OVER () AS a FROM (SELECT s.j, s.x, s.r, s.p, co
 _PP = PP_SQL.replace("pp AS (", "pp AS MATERIALIZED (", 1)
 _LAP = "e AS (SELECT i AS u, j AS v FROM pp WHERE i <> j UNION SELECT j, i FROM pp WHERE i <> j), lap AS MATERIALIZED (SELECT u AS i, v AS j, -1.0::DOUBLE AS v FROM e UNION ALL SELECT g.g, g.g, 1.0::DOUBLE + coalesce(d.d, 0) FROM (SELECT unnest(range(n)) AS g FROM n) g LEFT JOIN (SELECT u, count(*) AS d FROM e GROUP BY u) d ON d.u = g.g)"
 
+_PHASED = " UNION ALL ".join(f"SELECT '{e}' AS comm, '{k}' AS kernel" for e, k in PHASED)
+
 SQL: dict[str, str] = {
+    "product_phases": f"WITH {_PP}, r AS ({_PHASED}) SELECT comm, kernel, 'pp' AS matrix, (SELECT count(*) FROM pp) AS nnz_local, (SELECT count(DISTINCT i) FROM pp) AS nrows_local, true AS timed FROM r",
     "pagerank": f"WITH {_PP}, edges AS MATERIALIZED (SELECT DISTINCT i, j FROM pp), degree AS MATERIALIZED (SELECT i, count(*) AS d FROM edges GROUP BY i), {_chain('SELECT unnest(range(n)) AS j, 1.0::DOUBLE / n AS x FROM n', _rank_step, STEPS)} SELECT j, round(x, 12) AS rank FROM r{STEPS}",
     "power_iteration": f"WITH {_PP}, {_chain('SELECT unnest(range(n)) AS j, 1.0::DOUBLE / sqrt(n) AS x, 0.0::DOUBLE AS value FROM n', _power_step, STEPS)} SELECT j, round(x, 9) AS x, round(value, 6) AS eigenvalue FROM r{STEPS}",
     "conjugate_gradients": f"WITH {_PP}, {_LAP}, {_chain('SELECT g.g AS j, 0.0::DOUBLE AS x, coalesce(x.x, 0) AS r, coalesce(x.x, 0) AS p FROM (SELECT unnest(range(n)) AS g FROM n) g LEFT JOIN x ON x.j = g.g', _gradient_step, CG_STEPS)} SELECT j, round(x, 6) AS x FROM r{CG_STEPS}",

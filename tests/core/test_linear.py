@@ -186,3 +186,17 @@ def test_source_ranges_and_errors(spark, tmp_path):
     (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate complex hermitian\n2 2 1\n2 1 1 -2\n")
     got = spark.read.format("mtx").load(str(tmp_path / "c.mtx")).collect()
     assert sorted((r["i"], r["j"], r["v"]["re"], r["v"]["im"]) for r in got) == [(0, 1, 1.0, 2.0), (1, 0, 1.0, -2.0)]
+
+
+def test_phases_are_read_back(spark, tmp_path):
+    from meshwork.jobs import phases
+
+    m, _ = matrix(spark, 40, 40, 500)
+    x = spark.range(40).selectExpr("id AS j", "1.0D AS x")
+    lines = [phases.product_line(m, x, "m", exchange, "line", 4) for exchange in ("plain", "checkerboard")]
+    rows = {r["comm"]: r for r in phases.written_lines(spark, lines, str(tmp_path / "log")).collect()}
+    assert set(rows) == {"plain", "checkerboard"}
+    for r in rows.values():
+        assert r["nnz_local"] == 500 and r["nrows_local"] == m.df.select("i").distinct().count() and r["total_avg_ms"] > 0 and r["compute_avg_ms"] > 0
+    p = phases.measured(m.df.groupBy("i").count())
+    assert p.tasks > 0 and p.shuffled > 0 and p.total_ms > 0
