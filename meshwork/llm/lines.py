@@ -15,7 +15,7 @@ line without white space at both ends and with A-Z lower-cased; keys of fewer
 than ``min_chars`` code points are left alone.
 
 A null text is one empty line.  Rows with equal ids are one document when
-documents are counted, and each keeps its lines if that id is the line's last.  A null id is
+documents are counted (null is an id), and each keeps its lines if that id is the line's last.  A null id is
 smaller than all others; ids may be of any type with an order.  An empty table gives an empty result.  Other columns
 are carried; those named like a computed one are replaced.
 """
