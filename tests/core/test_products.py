@@ -241,3 +241,11 @@ def test_components_with_hot_keys(spark, monkeypatch):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(40), 0), **dict.fromkeys(range(100, 131), 100), 50: 50, 51: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_volumes_of_a_square_matrix_against_full_broadcast(spark):
+    """The checkerboard moves x and y segments, one part its own whole vectors."""
+    m = SparseMatrix(spark.createDataFrame([(k, (k * 7 + 3) % 36, 1.0) for k in range(36)], "i long, j long, v double"), 36, 36)
+    rows = {r["P"]: r for r in partition.comm_volume(m, (1, 2, 3, 4)).collect()}
+    assert [round(rows[p]["checkerboard_over_naive"], 6) for p in (1, 2, 3, 4)] == [2.0, 1.5, 1.333333, 1.0]
+    assert {r["naive_bytes"] for r in rows.values()} == {144.0} and rows[1]["ghost_bytes"] == 0
