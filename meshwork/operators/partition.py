@@ -15,9 +15,12 @@ from ..functions.scalars import block, cyclic, grid
 from ..functions.tables import ranked, stored, written
 from .components import components
 from .matrix import SparseMatrix, adjacency, degrees, row_counts
+from .temporal import asof_join
 
 SLACK = 1.10
 CHUNKS, AGAIN = 256, 4
+#: Levels of the Cuthill-McKee order in one plan.
+WINDOW = 16
 
 
 def assign_cyclic(spark: SparkSession, n: int, parts: int) -> DataFrame:
@@ -157,36 +160,119 @@ def _vertices(m: SparseMatrix) -> DataFrame:
     return g.join(row_counts(m.df).withColumnRenamed("i", "g"), "g", "left").join(degrees(m.df).withColumnRenamed("u", "g"), "g", "left").select("g", F.coalesce("nnz", F.lit(0)).alias("nnz"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def rcm_order(m: SparseMatrix) -> DataFrame:
+def _walks(edges: DataFrame, stops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vertices with two neighbours that are not in ``stops`` (g), and the
+    walks over them: every edge (u, v) into one is followed until a vertex that
+    is none.  Of a walk: its last edge (x, b), ``steps`` after the first, and
+    whether u is such a vertex (``inner``); b is null on a ring, and ``low`` is
+    the ring's least vertex.
+
+    Walks double their lengths in every round; only the unfinished take part."""
+    through = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("n = 2").select(F.col("u").alias("g"), "lo", "hi")
+    if stops is not None:
+        through = through.join(stops.select("g"), "g", "left_anti")
+    through = written(through, "rcm-through")
+    there = lambda c: through.select(F.col("g").alias(c), F.lit(True).alias(f"is_{c}"))
+    both = through.select(F.inline(F.array(F.struct(F.col("lo").alias("u"), F.col("g").alias("v"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("u"), F.col("g").alias("v"), F.col("lo").alias("b")))))
+    both = both.join(there("u"), "u", "left").join(there("b"), "b", "left")
+    walks = both.select("u", "v", F.col("v").alias("x"), "b", F.lit(1).cast("long").alias("steps"), F.coalesce("is_u", F.lit(False)).alias("inner"), F.least("v", F.when(F.col("is_b"), F.col("b"))).alias("low"), F.col("is_b").isNull().alias("done"))
+    schema, spark = walks.schema, edges.sparkSession
+    done, left, length, most = [], stored(walks, "rcm-walks"), 1, through.count()
+    while True:
+        now = spark.read.schema(schema).parquet(left)
+        done.append(stored(now.filter("done"), "rcm-walked"))
+        open_ = now.filter("NOT done")
+        # no walk but a ring's passes more vertices than there are
+        if length > most or open_.isEmpty():
+            rings = open_.withColumn("b", F.lit(None).cast("long"))
+            return through.select("g"), written(spark.read.schema(schema).parquet(*done).unionByName(rings).drop("done"), "rcm-walked")
+        known = spark.read.schema(schema).parquet(left, *done[:-1])
+        nxt = known.select(F.col("u").alias("x"), F.col("v").alias("b"), F.col("x").alias("x2"), F.col("b").alias("b2"), F.col("steps").alias("more"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        far = open_.join(nxt, ["x", "b"]).select("u", "v", F.col("x2").alias("x"), F.col("b2").alias("b"), (F.col("steps") + F.col("more")).alias("steps"), "inner", F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+        left, length = stored(far, "rcm-walks"), 2 * length
+
+
+def _links(edges: DataFrame, through: DataFrame, walks: DataFrame) -> DataFrame:
+    """The graph of the other vertices: a, b, the length, and the first vertex f
+    after a of every walk from one to the next, in both directions."""
+    mid = lambda c: through.select(F.col("g").alias(c))
+    plain = edges.join(mid("u"), "u", "left_anti").join(mid("v"), "v", "left_anti").select(F.col("u").alias("a"), F.col("v").alias("f"), F.col("v").alias("b"), F.lit(1).cast("long").alias("len"))
+    return plain.unionByName(walks.filter("NOT inner").select(F.col("u").alias("a"), F.col("v").alias("f"), "b", (F.col("steps") + 1).alias("len")))
+
+
+def rcm_order(m: SparseMatrix, window: int = WINDOW) -> DataFrame:
     """g and pos in the reverse Cuthill-McKee order, ties by (degree, index).
 
-    Level by level: every component starts from its least (degree, index); the
-    next level's vertices come by their first parent's position, then degree,
-    then index.  Components follow each other by their starts, and the whole is
-    reversed.  A level is a join and a distributed rank."""
+    Every component starts from its least (degree, index); the next level's
+    vertices come by their first parent's position, then degree, then index.
+    Components follow each other by their starts, and the whole is reversed.
+
+    Vertices of a level are in the order of their paths from the start, a path
+    being (degree, index) of the vertices on it.  So a vertex's label is the
+    least (level, path), and no positions are needed on the way.  Where a vertex
+    has two neighbours the path has no choice: such chains are links with a
+    length.  One plan takes several levels (windows grow up to ``window``); a
+    vertex hands its label on when its level is reached, once.  Between windows
+    the paths of the links that cross over become numbers in their order, so
+    that paths stay short.  The vertices of a chain come at the end, as of the
+    last number of their link."""
     m.square()
     nodes = written(_vertices(m), "rcm-nodes")
     edges = written(adjacency(m.df), "rcm-edges")
-    comps = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "g")
-    starts = nodes.join(comps, "g", "left").withColumn("c", F.coalesce("label", "g")).groupBy("c").agg(F.min(F.struct("degree", "g")).alias("s")).select(F.col("s.g").alias("g"), F.col("s.degree").alias("degree"), "c")
-    # (component's start, level, place in the level): enough to order all
-    first = ranked(starts, [F.col("degree"), F.col("g")], "at").select("g", F.col("at").alias("part"), F.lit(0).alias("level"), "at")
-    schema, paths = first.schema, [stored(first, "rcm-level")]
-    level_at = lambda k: nodes.sparkSession.read.schema(schema).parquet(paths[k])
+    through, walks = _walks(edges)
+    comps = components(_links(edges, through, walks).select("a", "b")).select(F.col("node").alias("b"), "label")
+    inside = walks.join(comps, "b", "left").groupBy(F.col("v").alias("g")).agg(F.min(F.coalesce("label", "low")).alias("label"))
+    label = comps.withColumnRenamed("b", "g").unionByName(inside)
+    starts = nodes.join(label, "g", "left").groupBy(F.coalesce("label", "g").alias("c")).agg(F.min(F.struct("degree", "g")).alias("s")).select("s.degree", "s.g")
+    starts = written(ranked(starts, [F.col("degree"), F.col("g")], "part").select("g", "part"), "rcm-starts")
+    if not starts.join(through, "g", "left_semi").isEmpty():
+        through, walks = _walks(edges, starts)
+    links = written(_links(edges, through, walks).join(nodes.select(F.col("g").alias("f"), "degree"), "f"), "rcm-links")
+
+    none = F.array().cast("array<bigint>")
+    step = F.concat("key", F.array("degree", "f"))
+    fresh = starts.select("g", F.lit(0).cast("long").alias("level"), none.alias("key"), "part")
+    schema, spark = fresh.schema, nodes.sparkSession
+    settled, records, going = [stored(fresh, "rcm-level")], [], None
+    all_settled = lambda: spark.read.schema(schema).parquet(*settled)
+    # links among vertices without a label, and each with itself to keep labels
+    rest = nodes.select("g").join(through, "g", "left_anti")
+    live = links.unionByName(rest.select(F.lit(None).cast("long").alias("f"), F.col("g").alias("a"), F.col("g").alias("b"), F.lit(0).cast("long").alias("len"), F.lit(None).cast("long").alias("degree")))
+    end, width = 0, 1
     while True:
-        front = level_at(-1)
-        near = edges.join(front.select(F.col("g").alias("u"), "part", "at"), "u").groupBy("v").agg(F.min("at").alias("parent"), F.min("part").alias("part")).withColumnRenamed("v", "g")
-        # an edge leads to the same level, the one before or the next
-        for k in (-1, -2):
-            if len(paths) >= -k:
-                near = near.join(level_at(k).select("g"), "g", "left_anti")
-        new = near.join(nodes.select("g", "degree"), "g")
-        new = ranked(new, [F.col("part"), F.col("parent"), F.col("degree"), F.col("g")], "at").select("g", "part", F.lit(len(paths)).alias("level"), "at")
-        paths.append(stored(new, "rcm-level"))
-        if level_at(-1).isEmpty():
+        fresh = spark.read.schema(schema).parquet(settled[-1])
+        out = links.join(fresh, F.col("a") == F.col("g")).select("a", "f", "b", "len", F.col("level").alias("from"), step.alias("key"), "part")
+        out = written(out, "rcm-out")
+        records.append(out.filter((F.col("len") > 1) & (F.col("from") < end)).select("a", "f", (F.col("from") + 1).alias("since"), "key"))
+        cross = (out if going is None else out.unionByName(going)).filter(F.col("from") + F.col("len") > end)
+        seen = all_settled().select(F.col("g").alias("b"), F.lit(True).alias("seen"))
+        cross = cross.join(seen, "b", "left").filter("seen IS NULL OR len > 1")
+        cross = ranked(cross, [F.col("part"), F.col("key")], "at").withColumn("key", F.array("at")).withColumn("arrive", F.col("from") + F.col("len"))
+        cross = written(cross.drop("at"), "rcm-cross")
+        records.append(cross.filter("len > 1").select("a", "f", F.lit(end + 1).cast("long").alias("since"), "key"))
+        going = cross.select("a", "f", "b", "len", "from", "key", "part")
+        first = cross.filter("seen IS NULL").agg(F.min("arrive")).first()[0]
+        if first is None:
             break
-    seen = nodes.sparkSession.read.schema(schema).parquet(*paths[:-1])
-    placed = ranked(seen, [F.col("part"), F.col("level"), F.col("at")], "forward")
+        end = first + width
+        live = live.join(fresh.select(F.col("g").alias("a")), "a", "left_anti").join(fresh.select(F.col("g").alias("b")), "b", "left_anti")
+        live = written(live.repartition("a").select("a", "f", "b", "len", "degree"), "rcm-live")
+        best = F.min(F.struct("level", "key", "part")).alias("s")
+        state = cross.filter((F.col("arrive") <= end) & F.col("seen").isNull()).select(F.col("b").alias("g"), F.col("arrive").alias("level"), "key", "part").groupBy("g").agg(best).select("g", "s.*")
+        for level in range(first, end):
+            on = (F.col("g") == F.col("a")) & ((F.col("len") == 0) | ((F.col("level") == level) & (F.col("len") <= end - level)))
+            state = state.join(live, on).select(F.col("b").alias("g"), (F.col("level") + F.col("len")).alias("level"), F.when(F.col("len") == 0, F.col("key")).otherwise(step).alias("key"), "part").groupBy("g").agg(best).select("g", "s.*")
+        settled.append(stored(state.select(schema.names), "rcm-level"))
+        width = min(2 * width, window)
+
+    placed = all_settled()
+    inner = walks.select(F.when(F.col("inner"), F.col("u")).otherwise(F.col("v")).alias("g"), F.when(F.col("inner"), F.col("b")).otherwise(F.col("u")).alias("a"), F.when(F.col("inner"), F.col("x")).otherwise(F.col("v")).alias("f"), F.when(F.col("inner"), F.col("steps") + 1).otherwise(F.lit(1)).alias("after"))
+    if not through.isEmpty():
+        inner = inner.join(placed.select(F.col("g").alias("a"), "level", "part"), "a").withColumn("level", F.col("level") + F.col("after"))
+        inner = asof_join(inner, reduce(DataFrame.unionByName, records), "level", "since", by=(("a", "a"), ("f", "f")))
+        inner = inner.groupBy("g").agg(F.min(F.struct("level", F.col("matched.key").alias("key"), "part")).alias("s")).select("g", "s.*")
+        placed = placed.unionByName(inner)
+    placed = ranked(placed, [F.col("part"), F.col("level"), F.col("key")], "forward")
     return placed.select("g", (F.lit(m.nrows - 1) - F.col("forward")).cast("long").alias("pos"))
 
 

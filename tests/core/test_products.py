@@ -107,13 +107,33 @@ def test_rcm(m, entries):
     assert {r["g"]: r["pos"] for r in partition.rcm_order(m).collect()} == cuthill_mckee(N, [e[:2] for e in entries])
 
 
-def test_rcm_narrows_a_path(spark):
-    rnd = random.Random(1)
-    names = list(range(12))
-    rnd.shuffle(names)
-    e = [(names[k], names[k + 1], 1.0) for k in range(11)]
-    pos = {r["g"]: r["pos"] for r in partition.rcm_order(SparseMatrix(spark.createDataFrame(e, "i long, j long, v double"), 12, 12)).collect()}
-    assert all(abs(pos[a] - pos[b]) == 1 for a, b, _ in e)
+def _shapes():
+    """Edges of a long path, of rings, of chains between two hubs and of a grid."""
+    yield "path", [(k, k + 1) for k in range(3000)]
+    yield "rings", [(k, (k + 1) % 5) for k in range(5)] + [(5 + k, 5 + (k + 1) % 6) for k in range(6)]
+    chains, n = [], 2
+    for length, end in ((3, 1), (4, 1), (7, 1), (12, 1), (13, 1), (1, 1), (5, 0), (6, 0)):
+        at = 0
+        for _ in range(length):
+            chains.append((at, n))
+            at, n = n, n + 1
+        chains.append((at, end))
+    yield "chains", chains
+    yield "grid", [(12 * r + c, 12 * r + c + d) for r in range(12) for c in range(12) for d in (1, 12) if (c < 11 if d == 1 else r < 11)]
+
+
+@pytest.mark.parametrize("shape", ["path", "rings", "chains", "grid"])
+def test_rcm_over_chains(spark, shape):
+    e = dict(_shapes())[shape]
+    n = max(map(max, e)) + 2  # one vertex without edges
+    names = list(range(n))
+    random.Random(1).shuffle(names)
+    e = [(names[a], names[b]) for a, b in e]
+    m = SparseMatrix(spark.createDataFrame([(a, b, 1.0) for a, b in e], "i long, j long, v double"), n, n)
+    pos = {r["g"]: r["pos"] for r in partition.rcm_order(m, window=4).collect()}
+    assert pos == cuthill_mckee(n, e)
+    if shape == "path":
+        assert all(abs(pos[a] - pos[b]) == 1 for a, b in e)
 
 
 @pytest.mark.parametrize("nnz", [[1] * 10, [100] + [1] * 9, [1] * 9 + [100], [0] * 10, [5, 0, 0, 7, 3, 0, 1, 1, 9, 2]])
