@@ -136,6 +136,12 @@ def test_rcm_over_chains(spark, shape):
         assert all(abs(pos[a] - pos[b]) == 1 for a, b in e)
 
 
+@pytest.mark.parametrize(("n", "e"), [(0, []), (3, []), (3, [(1, 1)]), (4, [(0, 1), (1, 2), (2, 0), (2, 0), (0, 0)])])
+def test_rcm_of_few(spark, n, e):
+    m = SparseMatrix(spark.createDataFrame([(a, b, 1.0) for a, b in e], "i long, j long, v double"), n, n)
+    assert {r["g"]: r["pos"] for r in partition.rcm_order(m).collect()} == cuthill_mckee(n, e)
+
+
 @pytest.mark.parametrize("nnz", [[1] * 10, [100] + [1] * 9, [1] * 9 + [100], [0] * 10, [5, 0, 0, 7, 3, 0, 1, 1, 9, 2]])
 def test_balanced_split(spark, nnz):
     parts, total = 4, sum(nnz)
