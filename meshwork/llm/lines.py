@@ -160,13 +160,16 @@ def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     n_shards = max(1, -(-lines.count() // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("a"), F.lit(n_shards)).cast("int")
     arrays = written(_build(lines.withColumn("shard", shard)), "line-arrays")
-    # copies of a shard, so that none answers more than about PROBES
+    # copies of a shard, so that none answers more than about PROBES; shard and copy
+    # are of one type on both sides, as rows are dealt by the hash of int or long
     copies = arrays.select("shard", F.ceil(F.col("probes") / PROBES).cast("int").alias("copies"))
-    asked = probes.withColumn("known", _name(F.col("doc_id"), id_type)).withColumn("shard", shard).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "b"), F.col("copies")))
+    asked = probes.withColumn("known", _name(F.col("doc_id"), id_type)).withColumn("shard", shard).join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "b"), F.col("copies")).cast("int"))
     served = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("probes") / PROBES).cast("int") - 1)))
 
     def answer(key: tuple, asking: pa.Table, held: pa.Table) -> pa.Table:
-        if asking.num_rows == 0 or held.num_rows == 0:
+        if asking.num_rows and not held.num_rows:
+            raise ValueError("lines were sent to a task that does not hold their shard")
+        if asking.num_rows == 0:
             return pa.table({"doc_id": asking.column("doc_id").slice(0, 0), "hash": pa.array([], pa.binary())})
         row = {c: held.column(c)[0].as_py() for c in ("sizes", "levels", "prints", "counts", "last")}
         mph = PerfectHash.unpack(row["sizes"], row["levels"])

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
+from meshwork.llm import lines as module
 from meshwork.llm.lines import PerfectHash, dedup_lines
 
 from .helpers import empty, table
@@ -87,3 +88,18 @@ def test_repeated_ids_and_any_columns(spark):
     out = dedup_lines(wide)
     assert out.columns == [*(c for c in wide.columns if c not in ("text", "n_lines")), "text", "n_lines", "n_dropped"]
     assert out.filter("__hashes <> '__hashes!' OR `a.b` <> 'a.b!' OR __box <> '__box!' OR d <> 'd!'").isEmpty() and out.count() == 7
+
+
+def test_shards_and_probes_meet_in_every_partition(spark, monkeypatch):
+    """Many shards and copies, and partitions that Spark does not join into one."""
+    monkeypatch.setattr(module, "SHARD_KEYS", 9)
+    monkeypatch.setattr(module, "PROBES", 20)
+    rnd = random.Random(4)
+    shared = [f"line number {k} of those that some of the documents share" for k in range(30)]
+    texts = ["\n".join([*rnd.sample(shared, rnd.randint(0, 9)), f"only here {k} " * 5, shared[0]]) for k in range(80)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(tuple(r) for r in dedup_lines(table(spark, texts), digest=True).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(list(enumerate(texts)))
