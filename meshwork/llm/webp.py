@@ -4,14 +4,18 @@
 groups by tile), back-references, colour cache, and the inverse of the
 predictor, cross-colour, subtract-green and palette transforms; it gives an
 array of height x width x RGBA.  ``encode`` writes such files, for the tests
-with every one of these features, for texts as grey images: green holds the
-bytes, subtracting green leaves red and blue constant, so a pixel is one prefix
-code, and passages that repeat at one distance are back-references.  There the
-writer takes no colour cache and no predictor: a grey pixel is one code already.
+with every one of these features; ``encode_bytes`` writes texts as grey images
+and chooses by content: palette or subtract-green, after which a pixel is one
+prefix code; predictor modes by tiles; back-references to the nearest place with
+the same bytes; a colour cache; groups of prefix codes for bands of rows.
+Predictor, cache and groups are taken where entropies say that they shorten the
+file.  Cross-colour is never: in a grey image it can at best do what
+subtract-green does, and needs an image of its own for it.
 
 A stream with one prefix code a pixel is decoded for all bit positions at once
 (which symbol, how many bits), after which a short loop only follows the
-lengths; other streams are decoded pixel by pixel.
+lengths; other streams, those with a colour cache among them, are decoded pixel
+by pixel.
 
 A text is stored as rows of 64 bytes, and more than 16,384 rows as several
 files, end to end; a file of at most 16 different bytes has a palette.  The
@@ -21,6 +25,7 @@ are independent; equal texts give equal files.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import zlib
@@ -50,23 +55,35 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
     """Lengths of an optimal prefix code, flattened until none exceeds ``most``."""
-    counts = dict(counts)
+    symbols = sorted(counts)
+    weights = [counts[s] for s in symbols]
+    n = len(symbols)
+    if n == 1:
+        return {symbols[0]: 1}
     while True:
-        heap = [(c, s, (s,)) for s, c in sorted(counts.items())]
+        heap = [(c, k) for k, c in enumerate(weights)]
         heapq.heapify(heap)
-        depth = dict.fromkeys(counts, 0)
-        if len(heap) == 1:
-            return dict.fromkeys(counts, 1)
-        while len(heap) > 1:
-            c1, s1, a = heapq.heappop(heap)
-            c2, s2, b = heapq.heappop(heap)
-            both = a + b
-            for s in both:
-                depth[s] += 1
-            heapq.heappush(heap, (c1 + c2, min(s1, s2), both))
-        if max(depth.values()) <= most:
-            return depth
-        counts = {s: c // 2 + 1 for s, c in counts.items()}
+        above = [0] * (2 * n - 1)
+        for node in range(n, 2 * n - 1):
+            c, k = heapq.heappop(heap)
+            d, j = heap[0]
+            above[k] = above[j] = node
+            heapq.heapreplace(heap, (c + d, node))
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:n]) <= most:
+            return dict(zip(symbols, depth, strict=False))
+        weights = [c // 2 + 1 for c in weights]
+
+
+#: Numbers of 15 bits, backwards.
+_TURNED = ((np.arange(1 << 15)[:, None] >> np.arange(15) & 1) @ (1 << np.arange(14, -1, -1))).tolist()
+
+
+@functools.cache
+def _turned(bits: int) -> np.ndarray:
+    return np.array(_TURNED[: 1 << bits], np.int64) >> (15 - bits)
 
 
 def _canonical(lengths: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -74,7 +91,7 @@ def _canonical(lengths: dict[int, int]) -> list[tuple[int, int, int]]:
     out, code, before = [], 0, 0
     for s, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
         code <<= n - before
-        out.append((s, int(f"{code:0{n}b}"[::-1], 2), n))
+        out.append((s, _TURNED[code] >> (15 - n), n))
         code, before = code + 1, n
     return out
 
@@ -89,15 +106,16 @@ class Code:
         self.only = next(iter(lengths)) if len(lengths) == 1 else None
         self.bits = 0 if self.only is not None else max(lengths.values())
         self.mask = (1 << self.bits) - 1
-        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.uint8)
         if self.only is not None:
-            self.symbol[0] = self.only
+            self.symbol, self.length = np.array([self.only], np.int32), np.zeros(1, np.uint8)
             return
         if sum(1 << (self.bits - n) for n in lengths.values()) != 1 << self.bits:
             raise ValueError("the prefix code is not complete")
-        for s, code, n in _canonical(lengths):
-            self.symbol[code :: 1 << n] = s
-            self.length[code :: 1 << n] = n
+        # by canonical order the table is in the order of the bits, highest first
+        order = sorted((n, s) for s, n in lengths.items())
+        n, s = np.array(order, np.int64).T
+        at = np.repeat(np.arange(len(order)), 1 << (self.bits - n)).take(_turned(self.bits))
+        self.symbol, self.length = s.astype(np.int32).take(at), n.astype(np.uint8).take(at)
 
 
 class Bits:
@@ -182,19 +200,31 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     tokens = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths: dict[int, int] = {}
     s, before = 0, 8
+    # a token takes 14 bits at most
+    k = bits.at >> 3
+    window, p = int.from_bytes(bits.data[k : k + min(tokens, alphabet) * 14 // 8 + 9], "little"), bits.at & 7
+    symbol, size, mask = code.symbol.tolist(), code.length.tolist(), code.mask
     while s < alphabet and tokens:
         tokens -= 1
-        t = bits.symbol(code)
+        w = window >> p & mask
+        t = symbol[w]
+        p += size[w]
         if t < 16:
             if t:
                 lengths[s] = before = t
             s += 1
         elif t == 16:
-            n = 3 + bits.read(2)
+            n = 3 + (window >> p & 3)
+            p += 2
             lengths.update((k, before) for k in range(s, s + n))
             s += n
+        elif t == 17:
+            s += 3 + (window >> p & 7)
+            p += 3
         else:
-            s += 3 + bits.read(3) if t == 17 else 11 + bits.read(7)
+            s += 11 + (window >> p & 127)
+            p += 7
+    bits.at += p - (bits.at & 7)
     if s > alphabet:
         raise ValueError("more code lengths than symbols")
     return Code(lengths)
@@ -231,8 +261,7 @@ def _write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> dict[int
     count = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if s in own) + 1)
     out.put(0, 1)
     out.put(count - 4, 4)
-    for k in range(count):
-        out.put(own.get(LENGTH_ORDER[k], 0), 3)
+    out.few += [(own.get(s, 0), 3) for s in LENGTH_ORDER[:count]]
     by = {s: (c, n) for s, c, n in _canonical(own)} if len(own) > 1 else dict.fromkeys(own, (0, 0))
     if at < alphabet:
         out.put(1, 1)
@@ -243,15 +272,21 @@ def _write_code(out: Writer, lengths: dict[int, int], alphabet: int) -> dict[int
     else:
         out.put(0, 1)
     for t, extra, n in tokens:
-        out.put(*by[t])
+        out.few.append(by[t])
         if n:
-            out.put(extra, n)
+            out.few.append((extra, n))
     return {s: (c, n) for s, c, n in _canonical(lengths)} if len(lengths) > 1 else dict.fromkeys(lengths, (0, 0))
 
 
 # pixels, as 0xAARRGGBB
 
 
+@functools.cache
+def _near(width: int) -> dict[int, int]:
+    """The least code of each distance that names a near pixel."""
+    return {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(NEAR, 1)))}
+
+
 def _distance(code: int, width: int) -> int:
     if code > len(NEAR):
         return code - len(NEAR)
@@ -259,53 +294,116 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def _grey(bits: Bits, green: Code, distance: Code, constant: int, width: int, total: int) -> np.ndarray:
-    """Pixels of one prefix code each, for all bit positions at once."""
+#: Extra bits and least value of the 40 symbols of lengths and distances.
+_EXTRA = np.array([0, 0, 0, 0, *((k - 2) >> 1 for k in range(4, 40))], np.int64)
+_LEAST = np.array([1, 2, 3, 4, *(((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(4, 40))], np.int64)
+
+
+def _steps(window: np.ndarray, green: Code, distance: Code, width: int) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """For a token at every bit position: its symbol, its bits, and of those
+    that are copies the positions, lengths and distances."""
+    w = (window & np.uint32(green.mask)).astype(np.intp)
+    symbol, size = green.symbol.take(w), green.length.take(w)
+    at = np.flatnonzero(symbol >= 256)
+    if not len(at):
+        return symbol, size.tobytes(), at, at, at
+    last, kind = len(window) - 1, symbol[at] - 256
+    q = np.minimum(at + size[at], last)
+    length = _LEAST[kind] + (window[q] & ((1 << _EXTRA[kind]) - 1))
+    q = np.minimum(q + _EXTRA[kind], last)
+    w = window[q] & np.uint32(distance.mask)
+    kind = distance.symbol[w]
+    q = np.minimum(q + distance.length[w], last)
+    far = _LEAST[kind] + (window[q] & ((1 << _EXTRA[kind]) - 1))
+    size[at] = np.maximum(q + _EXTRA[kind] - at, 1)  # at the end of the data it could be none
+    near = np.array([max(1, x + y * width) for x, y in NEAR])
+    return symbol, size.tobytes(), at, length, np.where(far > len(NEAR), far - len(NEAR), near[np.minimum(far, len(NEAR)) - 1])
+
+
+def _plane(bits: Bits, codes: list[list[Code]], bands: list[int], band: int, width: int, total: int) -> np.ndarray:
+    """The green of pixels that take one prefix code each, with tokens found for
+    all bit positions at once; ``bands``: the group of every ``band`` pixels."""
     base = bits.at >> 3
     # no more bits than every pixel could take
-    data = np.frombuffer(bits.data, np.uint8)[base : base + ((bits.at & 7) + total * 48 + 7) // 8 + 8]
-    wide = np.zeros(len(data) + 2, np.uint32)
+    data = np.frombuffer(bits.data, np.uint8)[base : base + ((bits.at & 7) + total * 64 + 7) // 8 + 8]
+    wide = np.zeros(len(data) + 3, np.uint32)
     wide[: len(data)] = data
-    window = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)
-    window = ((window[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(green.mask)).reshape(-1)
-    length = green.length.copy()
-    length[green.symbol >= 256] |= 128
-    lengths = length[window].tobytes()
-    p, left, starts, copies = bits.at & 7, total, [], []
-    add = starts.append
-    while left > 0:
-        for left in range(left, 0, -1):
-            n = lengths[p]
-            if n > 127:
-                break
+    window = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    window = (window[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+    p, stop = bits.at & 7, len(window)
+    tables = {g: _steps(window, codes[g][0], codes[g][4], width) for g in set(bands)}
+    symbols, lengths, backs = [], [], []
+    if len(tables) == 1:
+        # eight tokens at a step, filled in afterwards
+        size = np.frombuffer(tables[bands[0]][1], np.uint8)
+        one = np.arange(stop + 1, dtype=np.intp if stop < 1 << 20 else np.int32)
+        one[:-1] += size
+        np.minimum(one, stop, out=one)
+        two = one.take(one)
+        four = two.take(two)
+        eight = memoryview(four.take(four))
+        steps: list[int] = []
+        add = steps.append
+        while p < stop:
             add(p)
-            p += n
-        else:
-            break
-        bits.at = 8 * base + p + (n & 127)
-        copied = _unprefix(int(green.symbol[window[p]]) - 256, bits)
-        copies.append((len(starts), copied, _distance(_unprefix(bits.symbol(distance), bits), width)))
-        p = bits.at - 8 * base
-        left -= copied
-    bits.at = 8 * base + p
-    literal = green.symbol[window[np.array(starts, np.int64)]].astype(np.uint32) << np.uint32(8) | np.uint32(constant)
-    if not copies:
-        return literal
-    out, at, done = np.empty(total, np.uint32), 0, 0
-    for upto, n, back in [*copies, (len(literal), 0, 1)]:
-        k = upto - done
-        out[at : at + k] = literal[done:upto]
-        at, done = at + k, upto
-        if at < back and n:
+            p = eight[p]
+        starts = np.array(steps, np.int64)
+        for jump in (four, two, one):
+            starts = np.stack([starts, jump[starts]], axis=1).reshape(-1)
+        starts = starts[starts < stop]
+        parts = [(bands[0], starts)]
+    else:
+        runs = {}
+        for g, (_, _, at, length, _) in tables.items():
+            run = np.ones(stop, np.int32)
+            run[at] = length
+            runs[g] = memoryview(run)
+        parts, done = [], 0
+        for k, g in enumerate(bands):
+            size, run, starts, end = tables[g][1], runs[g], [], min(total, (k + 1) * band)
+            while done < end:
+                if p >= stop:
+                    raise ValueError("the file ends early")
+                starts.append(p)
+                done += run[p]
+                p += size[p]
+            parts.append((g, np.array(starts, np.int64)))
+    for g, starts in parts:
+        symbol, _, at, length, back = tables[g]
+        symbol = symbol[starts]
+        n, far = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        which = np.flatnonzero(symbol >= 256)
+        if len(which):
+            k = np.searchsorted(at, starts[which])
+            n[which], far[which] = length[k], back[k]
+        symbols.append(symbol)
+        lengths.append(n)
+        backs.append(far)
+    symbol, n, far = np.concatenate(symbols), np.concatenate(lengths), np.concatenate(backs)
+    end = np.cumsum(n)
+    if not len(end) or end[-1] < total:
+        raise ValueError("the file ends early")
+    used = int(np.searchsorted(end, total)) + 1
+    starts, g = np.concatenate([x for _, x in parts]), parts[-1][0]
+    final = int(starts[used - 1])
+    bits.at = 8 * base + final + tables[g][1][final]
+    symbol, n, far, end = symbol[:used], n[:used], far[:used], end[:used]
+    copies = np.flatnonzero(far)
+    if not len(copies):
+        return symbol.astype(np.uint8)
+    begin, plain = end - n, far == 0
+    whole = np.zeros(total, np.uint8)
+    whole[begin[plain]] = symbol[plain]
+    out = bytearray(whole.tobytes())
+    for at, k, back in zip(begin[copies].tolist(), n[copies].tolist(), far[copies].tolist(), strict=True):
+        k = min(k, total - at)
+        if back > at:
             raise ValueError("a back-reference reaches before the image")
-        while n > 0:  # a copy may read what it has written
-            m = min(n, back, total - at)
-            if m <= 0:
-                break
-            out[at : at + m] = out[at - back : at - back + m]
-            at, n = at + m, n - m
-            back += m if n > back else 0
-    return out
+        if back >= k:
+            out[at : at + k] = out[at - back : at - back + k]
+        else:  # it reads what it has written
+            out[at : at + k] = (out[at - back : at] * (k // back + 1))[:k]
+    return np.frombuffer(out, np.uint8)
 
 
 def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
@@ -321,8 +419,11 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     total = width * height
     first = codes[0]
-    if groups == 1 and not cache_bits and all(c.only is not None for c in first[1:4]) and first[0].only is None:
-        return _grey(bits, first[0], first[4], first[3].only << 24 | first[1].only << 16 | first[2].only, width, total)
+    fixed = {tuple(c.only for c in g[1:4]) for g in codes}
+    if not cache_bits and len(fixed) == 1 and None not in (only := next(iter(fixed))) and all(g[0].only is None for g in codes) and (tiles is None or tiles.shape[1] == 1):
+        bands = [0] if tiles is None else tiles[:, 0].tolist()
+        plane = _plane(bits, codes, bands, total if tiles is None else width << tile_bits, width, total)
+        return plane.astype(np.uint32) << np.uint32(8) | np.uint32(only[2] << 24 | only[0] << 16 | only[1])
     out: list[int] = []
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
     while len(out) < total:
@@ -412,6 +513,57 @@ def _predictor(pixels: np.ndarray, modes: np.ndarray, tile_bits: int, inverse: b
     return _joined(np.array(made, np.int32).reshape(h, w, 4))
 
 
+def _guess(mode: int, left, top, corner, beyond):
+    """One channel's prediction, of numbers or arrays, by one of the 14 modes."""
+    if mode in (1, 2, 3, 4):
+        return (left, top, beyond, corner)[mode - 1]
+    if mode == 5:
+        return (((left + beyond) >> 1) + top) >> 1
+    if mode in (6, 7, 8, 9):
+        x, y = ((left, corner), (left, top), (corner, top), (top, beyond))[mode - 6]
+        return (x + y) >> 1
+    if mode == 10:
+        return (((left + corner) >> 1) + ((top + beyond) >> 1)) >> 1
+    if mode == 11:
+        return np.where(abs(top - corner) < abs(left - corner), left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    if mode == 13:
+        m = (left + top) >> 1
+        d = m - corner
+        return np.clip(m + ((d + (d < 0)) >> 1), 0, 255)  # halves are cut towards zero
+    return 0 * top
+
+
+def _unpredicted(rest: np.ndarray, modes: np.ndarray, tile_bits: int) -> np.ndarray:
+    """A plane from what its predictions left.  Rows whose modes look upwards
+    only are made at once, rows predicted from the left by sums."""
+    h, w = rest.shape
+    out = np.zeros((h, w), np.int64)
+    out[0] = np.cumsum(rest[0]) & 255
+    for y in range(1, h):
+        m = np.repeat(modes[y >> tile_bits], 1 << tile_bits)[1:w]
+        up, row = out[y - 1], rest[y].astype(np.int64)
+        row[0] = (row[0] + up[0]) & 255
+        kinds = set(m.tolist())
+        if kinds <= {1}:
+            out[y] = np.cumsum(row) & 255
+        elif kinds <= {0, 2, 3, 4, 8, 9}:
+            out[y, 0] = row[0]
+            beyond = np.append(up[2:], row[0])
+            for k in kinds:
+                some = m == k
+                out[y, 1:][some] = ((row[1:] + _guess(k, None, up[1:], up[:-1], beyond)) & 255)[some]
+        else:
+            top, left, r = [*up.tolist(), int(row[0])], int(row[0]), row.tolist()
+            made = [left]
+            for x, k in enumerate(m.tolist(), 1):
+                left = (r[x] + int(_guess(k, left, top[x], top[x - 1], top[x + 1]))) & 255
+                made.append(left)
+            out[y] = made
+    return out.astype(np.uint8)
+
+
 def _cross(pixels: np.ndarray, tiles: np.ndarray, tile_bits: int, inverse: bool) -> np.ndarray:
     """Cross-colour: red and blue by shares of green, blue also by one of red."""
     h, w = pixels.shape
@@ -482,6 +634,9 @@ def decode(data: bytes) -> np.ndarray:
             pixels = _unbundle(pixels, extra, wide)
         elif kind == CROSS:
             pixels = _cross(pixels, extra, tile_bits, True)
+        elif not (pixels & np.uint32(0xFFFF00FF)).any():  # green alone differs from black
+            modes = extra >> np.uint32(8) & np.uint32(15)
+            pixels = _unpredicted(pixels >> np.uint32(8), modes, tile_bits).astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
         else:
             pixels = _predictor(pixels, extra >> np.uint32(8) & np.uint32(15), tile_bits, True)
     return np.stack([pixels >> np.uint32(k) & np.uint32(255) for k in (16, 8, 0, 24)], axis=-1).astype(np.uint8)
@@ -613,29 +768,141 @@ def encode(rgba: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int =
     return _file(out)
 
 
-def _repeats(x: bytes, least: int = 64, probes: int = 4) -> list[tuple[int, int, int]]:
-    """Disjoint passages (start, length, distance) that repeat what stands one
-    distance before: for text made of one block over and over."""
-    for k in range(probes):
-        at = len(x) * k // probes
-        again = x.find(x[at : at + 32], at + 1)
-        if again > 0 and again + least <= len(x):
-            back = again - at
-            a = np.frombuffer(x, np.uint8)
-            same = np.concatenate([[0], (a[back:] == a[:-back]).view(np.int8), [0]])
-            step = np.diff(same)
-            starts, ends = np.flatnonzero(step == 1) + back, np.flatnonzero(step == -1) + back
-            long = ends - starts >= least
-            if long.any():
-                return [(s + d, min(4096, e - s - d), back) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True) for d in range(0, e - s, 4096)]
-    return []
+#: Bytes by which a passage is found, and the least that it must have.
+KEY, LEAST_COPY = 8, 12
+#: Longest prefix code of the writer; the format allows 15.
+LONGEST = 12
+#: Bits that a further group must save beyond its codes, and share of its bits that a cache must.
+GROUP_GAIN, CACHE_GAIN = 400, 0.03
+#: Tiles of a group span whole rows: bands of at least 64 rows.
+BAND_BITS, MOST_BANDS = 6, 32
+PREDICT_BITS = 3
+_GREY = np.arange(256, dtype=np.int64) << 8 | 0xFF000000
+#: Cache entries of grey pixels as the caches see them, by their bits and by alpha.
+_KEYS = {(b, alpha): ((_GREY & 0xFFFF | alpha << 24) * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - b) for b in (1, 2, 3, 4, 6, 8) for alpha in (0, 255)}
+_COST = np.log2(1 + np.minimum(np.arange(256), 256 - np.arange(256))).astype(np.float32)
+_LOG = np.concatenate([[0.0], np.log2(np.arange(1, 1 << 14)) * np.arange(1, 1 << 14)])
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of symbols by their counts, along the last axis."""
+    weigh = lambda n: _LOG[n] if n.max() < len(_LOG) else n * np.log2(np.maximum(n, 1))
+    return weigh(counts.sum(axis=-1)) - weigh(counts).sum(axis=-1)
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, extra bits and their numbers of lengths or distances."""
+    symbol = np.searchsorted(_LEAST, values, "right") - 1
+    return symbol, values - _LEAST[symbol], _EXTRA[symbol]
+
+
+def _copies(x: bytes) -> list[tuple[int, int, int]]:
+    """Disjoint passages (start, length, distance) that repeat the nearest
+    earlier place with the same eight bytes."""
+    n = len(x) - KEY + 1
+    if n < 2:
+        return []
+    key = np.ndarray((n,), "<u8", x, strides=(1,)).copy()
+    # a hash of 43 bits, and the place
+    both = np.sort(key * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << 64) - (1 << 21)) | np.arange(n, dtype=np.uint64))
+    place = (both & np.uint64((1 << 21) - 1)).astype(np.int64)
+    now, before = place[1:], place[:-1]
+    same = np.flatnonzero(both[1:] >> np.uint64(21) == both[:-1] >> np.uint64(21))
+    now, before = now[same], before[same]
+    good = key[now] == key[before]
+    back = np.zeros(n, np.int64)
+    back[now[good]] = (now - before)[good]
+    edges = np.flatnonzero(back[1:] != back[:-1]) + 1
+    edges = np.concatenate([[0], edges, [n]])
+    first, end, back = edges[:-1], edges[1:] + KEY - 1, back[edges[:-1]]
+    some = (back > 0) & (end - first >= LEAST_COPY)
+    out, at = [], 0
+    for s, e, d in zip(first[some].tolist(), end[some].tolist(), back[some].tolist(), strict=True):
+        if s < at:
+            s = at
+        if e - s >= LEAST_COPY:
+            if e - s <= 4096:
+                out.append((s, e - s, d))
+            else:
+                out += [(k, min(4096, e - k), d) for k in range(s, e, 4096)]
+            at = e
+    return out
+
+
+def _modes(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The best predictor modes of tiles and what they leave; None if the bytes
+    themselves are shorter, judged by left and top first, or with a cache."""
+    h, w = plane.shape
+    flat = plane.reshape(-1)
+    own = _entropy(np.bincount(flat, minlength=256))
+    if h == 1 or own < 256 or min(_entropy(np.bincount(flat[k:] - flat[:-k], minlength=256)) for k in (1, w)) > 1.05 * own:
+        return None
+    v = plane.astype(np.int64)
+    left, top, corner = v[1:, :-1], v[:-1, 1:], v[:-1, :-1]
+    beyond = np.concatenate([v[:-1, 2:], v[1:, :1]], axis=1)
+    rest = np.stack([((v[1:, 1:] - _guess(k, left, top, corner, beyond)) & 255).astype(np.uint8) for k in range(14)])
+    cost = np.zeros((14, -(-h >> PREDICT_BITS) << PREDICT_BITS, -(-w >> PREDICT_BITS) << PREDICT_BITS), np.float32)
+    cost[:, 1:h, 1:w] = _COST[rest]
+    side = 1 << PREDICT_BITS
+    modes = cost.reshape(14, cost.shape[1] // side, side, cost.shape[2] // side, side).sum(axis=(2, 4)).argmin(axis=0)
+    every = np.repeat(np.repeat(modes, side, 0), side, 1)[1:h, 1:w]
+    out = np.diff(v, axis=0, prepend=0)
+    out[0] = np.diff(v[0], prepend=0)
+    out[1:, 1:] = np.take_along_axis(rest, every[None], 0)[0]
+    out = (out & 255).astype(np.uint8)
+    bits = _entropy(np.bincount(out.reshape(-1), minlength=256)) + _entropy(np.bincount(modes.reshape(-1))) + 64
+    return (modes, out) if bits < own and bits < _cached(flat, np.arange(len(flat)), 255)[2] else None
+
+
+def _cached(a: np.ndarray, literal: np.ndarray, alpha: int) -> tuple[int, np.ndarray, float]:
+    """Bits of the best colour cache (0: none), the literals' symbols, and what
+    they take, if a cache was tried."""
+    bits, symbols = 0, a[literal].astype(np.int64)
+    # a cache gains by what came just before
+    if 4 * (np.count_nonzero(a[1:] == a[:-1]) + np.count_nonzero(a[2:] == a[:-2])) < len(a):
+        return bits, symbols, np.inf
+    counts = np.bincount(symbols)
+    own = best = _entropy(counts)
+    kinds = np.count_nonzero(counts)
+    for b in (1, 2, 3, 4, 6, 8):
+        key = _KEYS[b, alpha][a]
+        order = np.argsort(key, kind="stable")
+        now, before = order[1:], order[:-1]
+        hit = np.zeros(len(a), bool)
+        hit[now] = (key[now] == key[before]) & (a[now] == a[before])
+        some = np.where(hit, 280 + key, a)[literal]
+        cost = _entropy(counts := np.bincount(some)) + 4 * np.count_nonzero(counts) - 4 * kinds
+        if cost < min(best, (1 - CACHE_GAIN) * own):
+            best, bits, symbols = cost, b, some
+    return bits, symbols, best
+
+
+def _groups(counts: np.ndarray) -> np.ndarray:
+    """The group of each band, by counts of its symbols: a band joins the group
+    that it lengthens least, or has its own if that is shorter with its codes."""
+    held: list[np.ndarray] = []
+    out = []
+    for own in counts:
+        new = _entropy(own) + 5 * np.count_nonzero(own) + GROUP_GAIN
+        more = [_entropy(g + own) - _entropy(g) + 5 * np.count_nonzero((g == 0) & (own > 0)) for g in held]
+        if not more or new < min(more):
+            held.append(own.copy())
+            out.append(len(held) - 1)
+        else:
+            out.append(int(np.argmin(more)))
+            held[out[-1]] += own
+    return np.array(out)
 
 
 def encode_bytes(x: bytes) -> bytes:
     """A grey image of the bytes, in rows of 64: one file.
 
     By content: at most 16 different bytes become a palette, with two, four or
-    eight pixels as one; others are stored by subtract-green."""
+    eight pixels as one; others are stored by subtract-green, after which red
+    and blue are constant, so that cross-colour has nothing left to take.  A
+    predictor for each tile, a colour cache, and groups of prefix codes for
+    bands of rows are taken where they make the file shorter by its entropy;
+    passages of twelve bytes and more that stood before are back-references."""
     a = np.frombuffer(x, np.uint8)
     out = _start(ROW, len(x) // ROW, False)
     out.put(1, 1)
@@ -648,41 +915,73 @@ def encode_bytes(x: bytes) -> bytes:
         per = _bundle(len(greys))
         index = np.searchsorted(greys, a).reshape(-1, 1 << per)
         a = (index << (np.arange(1 << per) * (8 >> per))).sum(axis=1).astype(np.uint8)
-        x = a.tobytes()
     else:
         out.put(SUBTRACT, 2)
-    out.put(0, 3)  # no more transforms, no cache, one group
-    copies = _repeats(x)
-    literal = np.ones(len(a), bool)
-    marks: Counter = Counter()
-    far: Counter = Counter()
-    for start, n, back in copies:
-        literal[start : start + n] = False
-        marks[256 + _prefix(n)[0]] += 1
-        far[_prefix(back + len(NEAR))[0]] += 1
-    counts = np.bincount(a[literal] if copies else a, minlength=256)
-    seen = np.flatnonzero(counts)
-    counts = dict(zip(seen.tolist(), counts[seen].tolist(), strict=True)) | marks
-    if len(counts) == 1:
-        counts[0 if 0 not in counts else 1] = 1
-    green = _write_code(out, code_lengths(counts), ALPHABETS[0])
-    for only in (0, 0, 255):
-        _write_code(out, {only: 1}, 256)
-    distance = _write_code(out, code_lengths(far or {0: 1}), ALPHABETS[4])
-    code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    for s, (c, n) in green.items():
-        if s < 256:
-            code[s], size[s] = c, n
-    at = 0
-    for start, n, back in [*copies, (len(a), 0, 0)]:
-        some = a[at:start]
-        out.many(code[some], size[some])
-        if n:
-            for by, first, value in ((green, 256, n), (distance, 0, back + len(NEAR))):
-                s, extra, bits = _prefix(value)
-                out.put(*by[first + s])
-                out.put(extra, bits)
-        at = start + n
+    height = len(x) // ROW
+    width, alpha = len(a) // height, 255
+    if (found := _modes(a.reshape(height, width))) is not None:
+        modes, rest = found
+        out.put(1, 1)
+        out.put(PREDICTOR, 2)
+        out.put(PREDICT_BITS - 2, 3)
+        _write_pixels(out, modes.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), copies=True)
+        a, alpha = rest.reshape(-1), 0
+    out.put(0, 1)  # no more transforms
+    copies = np.array(_copies(a.tobytes()), np.int64).reshape(-1, 3)
+    start, n, back = copies.T
+    literal = np.ones(len(a) + 1, np.int8)
+    if len(copies):
+        literal = np.cumsum(np.bincount(start + n, minlength=len(a) + 1) - np.bincount(start, minlength=len(a) + 1)) == 0
+    where = np.flatnonzero(literal[:-1])
+    cache_bits, symbols, _ = _cached(a, where, alpha)
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    near = _near(width)
+    far = np.array([near.get(d, d + len(NEAR)) for d in back.tolist()], np.int64)
+    (n_symbol, n_extra, n_size), (far_symbol, far_extra, far_size) = _prefixes(n), _prefixes(far)
+    green = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
+    # bands of rows, each with a group of codes
+    band_bits = BAND_BITS
+    while height >> band_bits > MOST_BANDS and band_bits < 9:
+        band_bits += 1
+    bands = -(-height >> band_bits)
+    size = width << band_bits
+    place = lambda at, s, m: np.bincount((at // size) * m + s if bands > 1 else s, minlength=bands * m).reshape(bands, m)
+    counts, fars = place(np.concatenate([where, start]), np.concatenate([symbols, 256 + n_symbol]), green), place(start, far_symbol, 40)
+    group = _groups(counts) if bands > 1 else np.zeros(1, np.int64)
+    groups = int(group.max()) + 1
+    out.put(int(groups > 1), 1)
+    if groups > 1:
+        out.put(band_bits - 2, 3)
+        _write_pixels(out, group.astype(np.uint32)[:, None] << np.uint32(8))
+    codes, sizes = np.zeros((2, groups, green), np.int64)
+    far_codes, far_sizes = np.zeros((2, groups, 40), np.int64)
+    for g in range(groups):
+        own, mine = counts[group == g].sum(axis=0), fars[group == g].sum(axis=0)
+        seen, distant = np.flatnonzero(own), np.flatnonzero(mine)
+        by = dict(zip(seen.tolist(), own[seen].tolist(), strict=True))
+        if len(by) == 1:
+            by[0 if 0 not in by else 1] = 1
+        for s, (c, k) in _write_code(out, code_lengths(by, LONGEST), green).items():
+            codes[g, s], sizes[g, s] = c, k
+        for only in (0, 0, alpha):
+            _write_code(out, {only: 1}, 256)
+        for s, (c, k) in _write_code(out, code_lengths(dict(zip(distant.tolist(), mine[distant].tolist(), strict=True)) or {0: 1}, LONGEST), ALPHABETS[4]).items():
+            far_codes[g, s], far_sizes[g, s] = c, k
+    # literals take one place in the stream, copies four
+    values, widths = np.zeros((2, len(where) + 4 * len(copies)), np.int64)
+    many = groups > 1
+    g = group[where // size] if many else 0
+    k = np.arange(len(where))
+    if len(copies):
+        k += 4 * np.cumsum(np.bincount(start, minlength=len(a)))[where]
+    values[k], widths[k] = codes[g, symbols], sizes[g, symbols]
+    g = group[start // size] if many else 0
+    k = start + 4 * np.arange(len(copies)) - (np.cumsum(n) - n)
+    for j, (value, some) in enumerate(((codes[g, 256 + n_symbol], sizes[g, 256 + n_symbol]), (n_extra, n_size), (far_codes[g, far_symbol], far_sizes[g, far_symbol]), (far_extra, far_size))):
+        values[k + j], widths[k + j] = value, some
+    out.many(values, widths)
     return _file(out)
 
 

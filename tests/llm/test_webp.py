@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from meshwork.llm import webp
 from meshwork.llm.webp import CROSS, PALETTE, PREDICTOR, SUBTRACT
@@ -89,3 +91,54 @@ def test_limited_code_lengths():
     counts = {k: 2**k for k in range(40)}
     lengths = webp.code_lengths(counts)
     assert max(lengths.values()) <= 15 and sum(2.0**-n for n in lengths.values()) == 1
+
+
+def parts_used(data):
+    """Transforms, cache bits and groups of a file, by its own bits."""
+    bits, kinds = webp.Bits(data[21:]), []
+    bits.read(28 + 1 + 3)
+    while bits.read(1):
+        kinds.append(bits.read(2))
+        if kinds[-1] == PREDICTOR:
+            side = 1 << bits.read(3) + 2
+            webp._pixels(bits, 64 // side, -(-len(webp.decode(data)) // side), False)
+        elif kinds[-1] == PALETTE:
+            webp._pixels(bits, bits.read(8) + 1, 1, False)
+    return kinds, bits.read(4) if bits.read(1) else 0, bool(bits.read(1))
+
+
+def test_the_writer_of_texts_chooses_by_content():
+    rng = np.random.default_rng(7)
+    smooth = (np.add.outer(np.arange(64) * 2, np.arange(64) * 3) // 2 + rng.integers(0, 3, (64, 64))).astype(np.uint8)
+    recent = np.concatenate([rng.choice(rng.integers(0, 200, 2), 32) for _ in range(2 * 80)]).astype(np.uint8)
+    kinds = rng.permutation(256)
+    halves = np.concatenate([rng.choice(kinds[:40], 64 * 128), rng.choice(kinds[40:80], 64 * 128)]).astype(np.uint8)
+    prose = np.frombuffer(b"".join(rng.choice([b"some ", b"words of ", b"which a text is made, ", b"and others "], 700).tolist()).ljust(64 * 200, b".")[: 64 * 200], np.uint8)
+    noise = rng.integers(0, 256, 64 * 70).astype(np.uint8)
+    used = {}
+    for name, x in (("smooth", smooth.reshape(-1)), ("recent", recent), ("halves", halves), ("prose", prose), ("noise", noise)):
+        data = webp.encode_bytes(x.tobytes())
+        assert np.array_equal(webp.decode(data), np.stack([x.reshape(-1, 64)] * 3 + [np.full((len(x) // 64, 64), 255, np.uint8)], axis=-1))
+        used[name] = *parts_used(data), len(data) / len(x)
+    assert used["smooth"][0] == [SUBTRACT, PREDICTOR] and used["smooth"][3] < 0.4
+    assert used["recent"][1] > 0
+    assert used["halves"][2] and used["halves"][3] < 0.7
+    assert used["prose"][3] < 0.3  # passages at many distances
+    assert used["noise"][:3] == ([SUBTRACT], 0, False)
+
+
+def test_planes_are_predicted_as_pixels_are():
+    rng = np.random.default_rng(9)
+    for h, w in ((1, 8), (7, 3), (20, 16)):
+        rest = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        for modes in [np.full((5, 4), k) for k in range(14)] + [rng.integers(0, 14, (5, 4)), rng.choice([0, 2, 3, 4, 8, 9], (5, 4))]:
+            whole = webp._predictor(rest.astype(np.uint32) << np.uint32(8), modes, 2, True)
+            assert np.array_equal(webp._unpredicted(rest, modes, 2), whole >> np.uint32(8) & np.uint32(255))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=90), st.integers(1, 60)), min_size=1, max_size=12), st.integers(1, 4))
+def test_any_bytes_come_back(blocks, times):
+    x = b"".join(b * n for b, n in blocks) * times
+    x += bytes(-len(x) % 64)
+    assert webp.decode(webp.encode_bytes(x))[..., 1].tobytes() == x
