@@ -1,4 +1,7 @@
 import hashlib
+import heapq
+import random
+import sys
 import zlib
 
 import numpy as np
@@ -142,3 +145,53 @@ def test_any_bytes_come_back(blocks, times):
     x = b"".join(b * n for b, n in blocks) * times
     x += bytes(-len(x) % 64)
     assert webp.decode(webp.encode_bytes(x))[..., 1].tobytes() == x
+
+
+def calls(run):
+    """Calls of Python and built-in functions: the overhead of short texts."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_short_texts_take_few_calls():
+    """Documents of a kilobyte or two cost by the calls, not by the bytes."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("etaoinshrdlucmfwyp", k=rnd.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, k=200)) for _ in range(41)]
+    media = [webp.store(t)[1] for t in texts]
+    rows = [webp.decode(m)[..., 1] for m in media]
+    assert calls(lambda: [webp.store(t) for t in texts[1:]]) < 620 * 40
+    assert calls(lambda: [webp.decode(m) for m in media[1:]]) < 620 * 40
+    assert calls(lambda: [webp.feature(r) for r in rows[1:]]) < 60 * 40
+
+
+def test_features_are_means_of_cells():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 8, 9, 63, 200):
+        rows = rng.integers(0, 256, (n, 64)).astype(np.uint8)
+        cells = np.array([[rows[n * y // 8 : max(n * (y + 1) // 8, n * y // 8 + 1), 8 * x : 8 * x + 8].mean() for x in range(8)] for y in range(8)])
+        assert webp.feature(rows) == f"{np.packbits(cells > cells.mean()).tobytes().hex()}:{rows.mean():.3f}"
+
+
+def test_code_lengths_are_optimal():
+    rnd = random.Random(5)
+    for n in (2, 3, 19, 60, 280):
+        counts = {s: int(rnd.paretovariate(0.8)) for s in rnd.sample(range(300), n)}
+        heap, cost = list(counts.values()), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            heapq.heappush(heap, both)
+            cost += both
+        lengths = webp.code_lengths(counts, 40)
+        assert sum(counts[s] * k for s, k in lengths.items()) == cost and sum(2.0**-k for k in lengths.values()) == 1
