@@ -13,14 +13,14 @@ file.  Cross-colour is never: in a grey image it can at best do what
 subtract-green does, and needs an image of its own for it.
 
 A stream with one prefix code a pixel is decoded for all bit positions at once
-(which symbol, how many bits), after which a short loop only follows the
-lengths; other streams, those with a colour cache among them, are decoded pixel
-by pixel.
+(how many bits), after which a short loop only follows the lengths; other
+streams, those with a colour cache among them, are decoded pixel by pixel.
 
 A text is stored as rows of 64 bytes, and more than 16,384 rows as several
 files, end to end; a file of at most 16 different bytes has a palette.  The
 query stores the files as a table and reads that.  A null text is empty and stored as one row of zeros.  Rows
-are independent; equal texts give equal files.
+are independent; equal texts give equal files.  Texts of a batch are worked at
+together, 64 KB at a time, since short ones cost mostly by the numpy calls.
 """
 
 from __future__ import annotations
@@ -184,15 +184,23 @@ class Writer:
 
     def bytes(self) -> bytes:
         self._flush()
-        value, size = np.concatenate(self.values), np.concatenate(self.sizes)
-        end = np.cumsum(size)
-        at = end - size
-        total = int(end[-1]) if len(end) else 0
-        # values are disjoint bits: sums below 2**53 are exact
-        words = np.bincount(at >> 5, (value << (at & 31)).astype(np.float64), minlength=(total >> 5) + 2).astype(np.int64)
-        low = words & 0xFFFFFFFF
-        low[1:] += words[:-1] >> 32
-        return low.astype("<u4").tobytes()[: (total + 7) // 8]
+        return _packed(np.concatenate(self.values), np.concatenate(self.sizes), np.array([sum(map(len, self.values))]))[0]
+
+
+def _packed(value: np.ndarray, size: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Runs of so many values each, as bytes of their bits, lowest first."""
+    end = np.cumsum(size)
+    stop = np.concatenate([[0], end])[np.cumsum(counts)]
+    bits = np.diff(stop, prepend=0)
+    words = (bits + 31) // 32 + 1
+    base = np.cumsum(words) - words
+    at = end - size + np.repeat(32 * base - stop + bits, counts)
+    # values are disjoint bits: sums below 2**53 are exact
+    wide = np.bincount(at >> 5, (value << (at & 31)).astype(np.float64), minlength=int(words.sum())).astype(np.int64)
+    low = wide & 0xFFFFFFFF
+    low[1:] += wide[:-1] >> 32
+    data = low.astype("<u4").tobytes()
+    return [data[4 * k : 4 * k + (n + 7) // 8] for k, n in zip(base.tolist(), bits.tolist(), strict=True)]
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -432,29 +440,33 @@ def _plane(bits: Bits, codes: list[list[Code]], bands: list[int], band: int, wid
                 done += run[p]
                 p += raw[p]
             parts.append((g, np.array(starts, np.int64)))
-    symbols, lengths, backs = [], [], []
+    symbols, lengths, copies, backs, before = [], [], [], [], 0
     for g, starts in parts:
         green = codes[g][0]
         symbol = green.symbols.take(green.index.take(window.take(starts) & np.uint32(green.mask)))
-        n, far = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        which = np.flatnonzero(symbol >= 256)
+        n, which = np.ones(len(starts), np.int64), np.flatnonzero(symbol >= 256)
         if len(which):
-            n[which], far[which] = _copied(window, starts[which], green, codes[g][4], width)
+            n[which], back = _copied(window, starts[which], green, codes[g][4], width)
+            copies.append(which + before)
+            backs.append(back)
         symbols.append(symbol)
         lengths.append(n)
-        backs.append(far)
-    symbol, n, far, starts = (symbol, n, far, starts) if len(parts) == 1 else (np.concatenate(x) for x in (symbols, lengths, backs, [x for _, x in parts]))
+        before += len(starts)
+    symbol, n, starts = (symbol, n, starts) if len(parts) == 1 else (np.concatenate(x) for x in (symbols, lengths, [x for _, x in parts]))
     end = np.cumsum(n)
     if not len(end) or end[-1] < total:
         raise ValueError("the file ends early")
     used = int(np.searchsorted(end, total)) + 1
     final = int(starts[used - 1])
     bits.at = 8 * base + final + raws[parts[-1][0]][final]
-    n, far = n[:used], far[:used]
-    begin, copies = end[:used] - n, np.flatnonzero(far)
+    begin = end[:used] - n[:used]
     out = bytearray(total)
     np.frombuffer(out, np.uint8)[begin] = symbol[:used].astype(np.uint8)  # copies overwrite theirs
-    for at, k, back in zip(begin[copies].tolist(), n[copies].tolist(), far[copies].tolist(), strict=True):
+    if not copies:
+        return np.frombuffer(out, np.uint8)
+    which = np.concatenate(copies)
+    which = which[: np.searchsorted(which, used)]
+    for at, k, back in zip(begin[which].tolist(), n[which].tolist(), np.concatenate(backs)[: len(which)].tolist(), strict=True):
         k = min(k, total - at)
         if back > at:
             raise ValueError("a back-reference reaches before the image")
@@ -790,8 +802,8 @@ def _start(width: int, height: int, alpha: bool) -> Writer:
     return out
 
 
-def _file(out: Writer) -> bytes:
-    body = b"\x2f" + out.bytes()
+def _file(bits: bytes) -> bytes:
+    body = b"\x2f" + bits
     pad = b"\0" * (len(body) & 1)
     return b"RIFF" + (12 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
 
@@ -830,7 +842,7 @@ def encode(rgba: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int =
                 pixels = _cross(pixels, t, 2, False)
     out.put(0, 1)
     _write_pixels(out, pixels, cache_bits, copies, tile_bits, top=True)
-    return _file(out)
+    return _file(out.bytes())
 
 
 #: Bytes by which a passage is found, and the least that it must have.
@@ -849,10 +861,15 @@ _COST = np.log2(1 + np.minimum(np.arange(256), 256 - np.arange(256))).astype(np.
 _LOG = np.concatenate([[0.0], np.log2(np.arange(1, 1 << 14)) * np.arange(1, 1 << 14)])
 
 
+def _weighed(n: np.ndarray) -> np.ndarray:
+    """n log2 n, alike whatever stands beside it."""
+    out = _LOG.take(n, mode="clip")
+    return out if n.max() < len(_LOG) else np.where(n < len(_LOG), out, n * np.log2(np.maximum(n, 1)))
+
+
 def _entropy(counts: np.ndarray) -> np.ndarray:
     """Bits of symbols by their counts, along the last axis."""
-    weigh = lambda n: _LOG[n] if n.max() < len(_LOG) else n * np.log2(np.maximum(n, 1))
-    return weigh(counts.sum(axis=-1)) - weigh(counts).sum(axis=-1)
+    return _weighed(counts.sum(axis=-1)) - _weighed(counts).sum(axis=-1)
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -861,14 +878,13 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, values - _LEAST[symbol], _EXTRA[symbol]
 
 
-def _copies(x: bytes) -> list[tuple[int, int, int]]:
+def _copies(x: bytes, offs: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int]]:
     """Disjoint passages (start, length, distance) that repeat the nearest
-    earlier place with the same eight bytes."""
+    earlier place of their block with the same eight bytes.  ``offs``: where
+    blocks begin and end; ``owner``: the block of every byte."""
     n = len(x) - KEY + 1
-    if n < 2:
-        return []
     key = np.ndarray((n,), "<u8", x, strides=(1,)).copy()
-    # a hash of 43 bits, and the place
+    # a hash of 43 bits, and the place: places of a block follow each other
     both = key * np.uint64(0x9E3779B97F4A7C15)
     both &= np.uint64((1 << 64) - (1 << 21))
     both |= np.arange(n, dtype=np.uint64)
@@ -877,8 +893,10 @@ def _copies(x: bytes) -> list[tuple[int, int, int]]:
     if not len(same):
         return []
     now, before = ((both.take(k) & np.uint64((1 << 21) - 1)).view(np.int64) for k in (same + 1, same))
+    block = owner.take(now)
+    good = (key.take(now) == key.take(before)) & (before >= offs.take(block)) & (now + KEY <= offs.take(block + 1))
     back = np.zeros(n, np.int32)
-    back[now] = np.where(key.take(now) == key.take(before), now - before, 0)
+    back[now] = np.where(good, now - before, 0)
     edges = np.flatnonzero(back[1:] != back[:-1]) + 1
     edges = np.concatenate([[0], edges, [n]])
     first, end, back = edges[:-1], edges[1:] + KEY - 1, back[edges[:-1]]
@@ -898,13 +916,10 @@ def _copies(x: bytes) -> list[tuple[int, int, int]]:
 
 def _modes(plane: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """The best predictor modes of tiles and what they leave; None if the bytes
-    themselves, of these counts, are shorter, judged by left and top first, or with
-    a cache."""
+    themselves, of these counts, are shorter, or shorter with a cache."""
     h, w = plane.shape
     flat = plane.reshape(-1)
     own = _entropy(counts)
-    if h == 1 or own < 256 or _entropy(np.stack([np.bincount(flat[k:] - flat[:-k], minlength=256) for k in (1, w)])).min() > 1.05 * own:
-        return None
     v = plane.astype(np.int64)
     left, top, corner = v[1:, :-1], v[:-1, 1:], v[:-1, :-1]
     beyond = np.concatenate([v[:-1, 2:], v[1:, :1]], axis=1)
@@ -969,23 +984,32 @@ def _counted(counts: np.ndarray) -> dict[int, int]:
     return dict(zip(seen.tolist(), counts[seen].tolist(), strict=True))
 
 
-def _put_codes(row: np.ndarray, codes: dict[int, tuple[int, int]]) -> None:
-    row[list(codes)] = [c << 4 | n for c, n in codes.values()]
+def _put_codes(table: np.ndarray, rows: np.ndarray, codes: dict[int, tuple[int, int]]) -> None:
+    table[rows[:, None], list(codes)] = [c << 4 | n for c, n in codes.values()]
 
 
-def encode_bytes(x: bytes) -> bytes:
-    """A grey image of the bytes, in rows of 64: one file.
+def _worth_predicting(a: np.ndarray, offs: np.ndarray, owner: np.ndarray, width: int, counts: np.ndarray) -> np.ndarray:
+    """Of blocks of rows of one width and their counts of bytes: may predictors
+    shorten them, judged by left and top?"""
+    n, own = len(counts), _entropy(counts)
+    base, rows = owner * 256, a.reshape(-1, width)
+    seam, above = offs[1:-1], offs[1:-1] // width  # places and rows without one before, but for the first
+    left, top = a[1:] - a[:-1], rows[1:] - rows[:-1]
+    lefts = np.bincount(base[1:] + left, minlength=256 * n)
+    lefts[base[seam] + left[seam - 1]] -= 1
+    tops = np.bincount(base[width:] + top.reshape(-1), minlength=256 * n)
+    tops -= np.bincount((base[seam][:, None] + top[above - 1]).reshape(-1), minlength=256 * n)
+    both = _entropy(np.stack([lefts, tops]).reshape(2, n, 256)).min(axis=0)
+    return (np.diff(offs) > width) & (own >= 256) & (both <= 1.05 * own)
 
-    By content: at most 16 different bytes become a palette, with two, four or
-    eight pixels as one; others are stored by subtract-green, after which red
-    and blue are constant, so that cross-colour has nothing left to take.  A
-    predictor for each tile, a colour cache, and groups of prefix codes for
-    bands of rows are taken where they make the file shorter by its entropy;
-    passages of twelve bytes and more that stood before are back-references."""
+
+def _transformed(x: bytes, counts: np.ndarray, predict: bool) -> tuple[Writer, np.ndarray, int, int]:
+    """The head of a file up to its transforms, what these leave of the bytes,
+    pixels in a row, and alpha."""
     a = np.frombuffer(x, np.uint8)
-    out = _start(ROW, len(x) // ROW, False)
+    height, width = len(x) // ROW, ROW
+    out = _start(ROW, height, False)
     out.put(1, 1)
-    counts = np.bincount(a, minlength=256)
     greys = np.flatnonzero(counts)
     if len(greys) <= 16:
         out.put(PALETTE, 2)
@@ -995,12 +1019,13 @@ def encode_bytes(x: bytes) -> bytes:
         per = _bundle(len(greys))
         index = np.searchsorted(greys, a).reshape(-1, 1 << per)
         a = (index << (np.arange(1 << per) * (8 >> per))).sum(axis=1).astype(np.uint8)
-        counts = np.bincount(a, minlength=256)
+        width = ROW >> per
+        counts, size = np.bincount(a, minlength=256), np.array([0, len(a)])
+        predict = bool(_worth_predicting(a, size, np.zeros(len(a), np.int64), width, counts[None])[0])
     else:
         out.put(SUBTRACT, 2)
-    height = len(x) // ROW
-    width, alpha = len(a) // height, 255
-    if (found := _modes(a.reshape(height, width), counts)) is not None:
+    alpha = 255
+    if predict and (found := _modes(a.reshape(height, width), counts)) is not None:
         modes, rest = found
         out.put(1, 1)
         out.put(PREDICTOR, 2)
@@ -1008,7 +1033,37 @@ def encode_bytes(x: bytes) -> bytes:
         _write_pixels(out, modes.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), copies=True)
         a, alpha = rest.reshape(-1), 0
     out.put(0, 1)  # no more transforms
-    copies = _copies(a.tobytes())
+    return out, a, width, alpha
+
+
+def encode_bytes(x: bytes) -> bytes:
+    """A grey image of the bytes, in rows of 64: one file."""
+    return encode_blocks([x])[0]
+
+
+def encode_blocks(blocks: list[bytes]) -> list[bytes]:
+    """A grey image of each block, in rows of 64: one file each, which does not
+    depend on the other blocks; they are only worked at together, 2 MB at most.
+
+    By content: at most 16 different bytes become a palette, with two, four or
+    eight pixels as one; others are stored by subtract-green, after which red
+    and blue are constant, so that cross-colour has nothing left to take.  A
+    predictor for each tile, a colour cache, and groups of prefix codes for
+    bands of rows are taken where they make the file shorter by its entropy;
+    passages of twelve bytes and more that stood before are back-references."""
+    offs = np.cumsum([0, *map(len, blocks)])
+    if offs[-1] > 1 << 21:
+        raise ValueError("too many bytes for one call")
+    owner = np.repeat(np.arange(len(blocks)), np.diff(offs))
+    a = np.frombuffer(b"".join(blocks), np.uint8)
+    own = np.bincount(owner * 256 + a, minlength=256 * len(blocks)).reshape(-1, 256)
+    predict = _worth_predicting(a, offs, owner, ROW, own).tolist()
+    outs, planes, widths, alphas = zip(*map(_transformed, blocks, own, predict), strict=True)
+    heights = np.diff(offs) // ROW
+    width = np.array(widths)
+    a, offs = np.concatenate(planes), np.cumsum([0, *map(len, planes)])
+    owner = np.repeat(np.arange(len(blocks)), np.diff(offs))
+    copies = _copies(a.tobytes(), offs, owner)
     m = len(copies)
     start, n, back = np.array(copies, np.int64).reshape(m, 3).T
     # literals before, between and after the copies
@@ -1017,65 +1072,106 @@ def encode_bytes(x: bytes) -> bytes:
     runs[2::2], runs[-1] = runs[2::2] - start - n, len(a) - (start[-1] + n[-1] if m else 0)
     gaps = runs[::2]
     where = np.flatnonzero(np.repeat(np.arange(2 * m + 1) & 1 == 0, runs))
-    cache_bits, symbols, _ = _cached(a, where, alpha)
-    out.put(int(cache_bits > 0), 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
-    far = _near(width).take(back, mode="clip")
-    far = np.where(far, far, back + len(NEAR))
+    of, of_copy = owner.take(where), owner.take(start)
+    # a cache gains by what came just before
+    recent = np.zeros((2, len(a)), np.uint8)
+    for k in (1, 2):
+        recent[k - 1, k:] = a[k:] == a[:-k]
+        recent[k - 1, (offs[:-1, None] + np.arange(k)).reshape(-1)] = 0
+    often = np.add.reduceat(recent, offs[:-1], axis=1, dtype=np.int64).sum(axis=0)
+    symbols, caches = a.take(where).astype(np.int64), [0] * len(blocks)
+    for d in np.flatnonzero(4 * often >= np.diff(offs)).tolist():
+        low, high = np.searchsorted(where, offs[d : d + 2]).tolist()
+        caches[d], symbols[low:high], _ = _cached(planes[d], where[low:high] - offs[d], alphas[d])
+    greens = [ALPHABETS[0] + (1 << c if c else 0) for c in caches]
+    green = max(greens)
+    far = back + len(NEAR)
+    for w in set(widths):
+        near = _near(w).take(back, mode="clip")
+        far = np.where((near > 0) & (width.take(of_copy) == w), near, far)
     (n_symbol, n_extra, n_size), (far_symbol, far_extra, far_size) = _prefixes(n), _prefixes(far)
-    green = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
     # bands of rows, each with a group of codes
-    band_bits = BAND_BITS
-    while height >> band_bits > MOST_BANDS and band_bits < 9:
-        band_bits += 1
-    bands = -(-height >> band_bits)
-    size = width << band_bits
-    place = lambda at, s, most: np.bincount(at // size * most + s if bands > 1 else s, minlength=bands * most).reshape(bands, most)
-    counts, fars = place(where, symbols, green), place(start, far_symbol, 40)
-    counts += place(start, 256 + n_symbol, green)
-    group = _groups(counts) if bands > 1 else np.zeros(1, np.int64)
-    groups = int(group.max()) + 1
-    out.put(int(groups > 1), 1)
-    if groups > 1:
-        out.put(band_bits - 2, 3)
-        _write_pixels(out, group.astype(np.uint32)[:, None] << np.uint32(8))
-    # of every symbol the code, and below it its length
-    codes, far_codes = np.zeros((groups, green), np.int64), np.zeros((groups, 40), np.int64)
-    for g in range(groups):
-        own, mine = (counts[group == g].sum(axis=0), fars[group == g].sum(axis=0)) if groups > 1 else (counts.sum(axis=0), fars.sum(axis=0))
-        by = _counted(own)
-        if len(by) == 1:
-            by[0 if 0 not in by else 1] = 1
-        _put_codes(codes[g], _write_code(out, code_lengths(by, LONGEST), green))
-        for only in (0, 0, alpha):
-            _put_single(out, only)
-        _put_codes(far_codes[g], _write_code(out, code_lengths(_counted(mine) or {0: 1}, LONGEST), ALPHABETS[4]))
-    # literals take one place in the stream, copies four
-    values, widths = np.zeros((2, len(where) + 4 * m), np.int64)
-    many = groups > 1
-    code = codes[group[where // size], symbols] if many else codes[0].take(symbols)
-    k = np.arange(len(where))
-    k += np.repeat(np.arange(0, 4 * m + 4, 4), gaps)
-    values[k], widths[k] = code >> 4, code & 15
-    if m:
-        g = group[start // size] if many else 0
-        code, far_code = codes[g, 256 + n_symbol], far_codes[g, far_symbol]
-        k = np.cumsum(gaps)[:-1] + 4 * np.arange(m)
-        k = k[:, None] + np.arange(4)
-        values[k] = np.stack([code >> 4, n_extra, far_code >> 4, far_extra], axis=1)
-        widths[k] = np.stack([code & 15, n_size, far_code & 15, far_size], axis=1)
-    out.many(values, widths)
-    return _file(out)
+    band_bits = np.full(len(blocks), BAND_BITS)
+    for _ in range(BAND_BITS, 9):
+        band_bits += (heights >> band_bits > MOST_BANDS) & (band_bits < 9)
+    bands = -(-heights >> band_bits)
+    ends = np.cumsum(bands)
+    begin, band, band_copy = ends - bands, of, of_copy
+    if ends[-1] > len(blocks):
+        shift = np.log2(width).astype(np.int64) + band_bits
+        band, band_copy = (begin.take(d) + (at - offs.take(d) >> shift.take(d)) for at, d in ((where, of), (start, of_copy)))
+    # where each token has its symbols among those of all bands
+    symbols += band * green
+    n_place, far_place = band_copy * green + 256 + n_symbol, band_copy * 40 + far_symbol
+    counts = (np.bincount(symbols, minlength=int(ends[-1]) * green) + np.bincount(n_place, minlength=int(ends[-1]) * green)).reshape(-1, green)
+    fars = np.bincount(far_place, minlength=int(ends[-1]) * 40).reshape(-1, 40)
+    # of every symbol the code, and below it its length, by bands
+    codes, far_codes = np.zeros((len(counts), green), np.int64), np.zeros((len(counts), 40), np.int64)
+    for out, cache_bits, alpha, most, bits, low, high in zip(outs, caches, alphas, greens, band_bits.tolist(), begin.tolist(), ends.tolist(), strict=True):
+        out.put(int(cache_bits > 0), 1)
+        if cache_bits:
+            out.put(cache_bits, 4)
+        group = _groups(counts[low:high, :most]) if high > low + 1 else np.zeros(1, np.int64)
+        groups = int(group.max()) + 1
+        out.put(int(groups > 1), 1)
+        if groups > 1:
+            out.put(bits - 2, 3)
+            _write_pixels(out, group.astype(np.uint32)[:, None] << np.uint32(8))
+        for g in range(groups):
+            mine = low + np.flatnonzero(group == g)
+            by = _counted(counts[mine].sum(axis=0))
+            if len(by) == 1:
+                by[0 if 0 not in by else 1] = 1
+            _put_codes(codes, mine, _write_code(out, code_lengths(by, LONGEST), most))
+            for only in (0, 0, alpha):
+                _put_single(out, only)
+            _put_codes(far_codes, mine, _write_code(out, code_lengths(_counted(fars[mine].sum(axis=0)) or {0: 1}, LONGEST), ALPHABETS[4]))
+    # the heads, then literals, which take one place in the stream, and copies, which take four
+    heads = np.array([len(out.few) for out in outs])
+    before = np.cumsum(heads)
+    places = heads + np.bincount(of, minlength=len(blocks)) + 4 * np.bincount(of_copy, minlength=len(blocks))
+    values, sizes = np.zeros((2, int(places.sum())), np.int64)
+    k = np.arange(before[-1]) + np.repeat(np.cumsum(places) - places - before + heads, heads)
+    values[k], sizes[k] = [v for out in outs for v in out.few], [v for out in outs for v in out.few_sizes]
+    code = codes.reshape(-1).take(symbols)
+    k = np.arange(len(where)) + np.repeat(np.arange(0, 4 * m + 4, 4), gaps) + before.take(of)
+    values[k], sizes[k] = code >> 4, code & 15
+    code, far_code = codes.reshape(-1).take(n_place), far_codes.reshape(-1).take(far_place)
+    k = (np.cumsum(gaps)[:-1] + 4 * np.arange(m) + before.take(of_copy))[:, None] + np.arange(4)
+    values[k] = np.stack([code >> 4, n_extra, far_code >> 4, far_extra], axis=1)
+    sizes[k] = np.stack([code & 15, n_size, far_code & 15, far_size], axis=1)
+    return [_file(x) for x in _packed(values, sizes, places)]
+
+
+#: Bytes of texts that are worked at together; a longer text is alone.
+TOGETHER = 1 << 16
+
+
+def store_many(texts: list[str | None]) -> list[tuple[int, bytes]]:
+    """Of each text the number of its bytes, and the files that hold them."""
+    sizes, parts, blocks, made, held = [], [], [], [], 0
+    most = ROW * MOST_SIDE
+    for text in texts:
+        x = (text or "").encode()
+        sizes.append(len(x))
+        x += bytes(-len(x) % ROW if x else ROW)
+        parts.append(-(-len(x) // most))
+        for k in range(0, len(x), most):
+            block = x[k : k + most]
+            if blocks and held + len(block) > TOGETHER:
+                made += encode_blocks(blocks)
+                blocks, held = [], 0
+            blocks.append(block)
+            held += len(block)
+    if blocks:
+        made += encode_blocks(blocks)
+    files_of = iter(made)
+    return [(n, b"".join(next(files_of) for _ in range(k))) for n, k in zip(sizes, parts, strict=True)]
 
 
 def store(text: str | None) -> tuple[int, bytes]:
     """The bytes of a text, and the files that hold them."""
-    x = (text or "").encode()
-    n = len(x)
-    x += bytes(-n % ROW if n else ROW)
-    most = ROW * MOST_SIDE
-    return n, b"".join(encode_bytes(x[k : k + most]) for k in range(0, len(x), most))
+    return store_many([text])[0]
 
 
 def files(media: bytes) -> Iterator[bytes]:
@@ -1095,10 +1191,21 @@ def planes(media: bytes) -> Iterator[np.ndarray]:
 
 def feature(rows: np.ndarray) -> str:
     """An average hash of 8 x 8 cells, with the mean grey level."""
-    at = np.arange(9) * len(rows) >> 3
+    return features([rows])[0]
+
+
+def features(images: list[np.ndarray]) -> list[str]:
+    """``feature`` of each image, worked at together."""
+    n = np.array([len(x) for x in images])
+    rows = np.concatenate(images)
+    at = np.arange(9) * n[:, None] >> 3
+    first = np.cumsum(n) - n
     # of fewer than eight rows, a cell without one has the row at its place
-    cells = np.add.reduceat(rows, at[:-1], axis=0, dtype=np.int64).reshape(8, 8, 8).sum(axis=2) / (8 * np.maximum(np.diff(at), 1))[:, None]
-    return f"{np.packbits(cells > cells.mean()).tobytes().hex()}:{rows.sum() / rows.size:.3f}"
+    sums = np.add.reduceat(rows, (first[:, None] + at[:, :-1]).reshape(-1), axis=0, dtype=np.int64).reshape(-1, 8, 8, 8).sum(axis=3)
+    cells = (sums / (8 * np.maximum(np.diff(at), 1))[:, :, None]).reshape(-1, 64)
+    hashes = np.packbits(cells > cells.mean(axis=1, keepdims=True), axis=1).tobytes().hex()
+    means = np.add.reduceat(rows.sum(axis=1), first) / (ROW * n)
+    return [f"{hashes[16 * k : 16 * k + 16]}:{mean:.3f}" for k, mean in enumerate(means.tolist())]
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -1109,7 +1216,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = column(batch, "doc_id")
             for k in range(0, len(ids), 256):
-                got = [store(x.as_py()) for x in column(batch, "text").slice(k, 256)]
+                got = store_many(column(batch, "text").slice(k, 256).to_pylist())
                 yield pa.RecordBatch.from_arrays([ids.slice(k, 256), pa.array([n for n, _ in got], pa.int64()), pa.array([m for _, m in got], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -1123,12 +1230,19 @@ def read_media(media: DataFrame) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, held, size, hashes = [], [], 0, []
             for m in column(batch, "media"):
                 m = m.as_py()
                 rows = np.concatenate(list(planes(m)))
                 payload = rows.tobytes()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), feature(rows)))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(m), hashlib.sha256(m).hexdigest()))
+                held.append(rows)
+                size += len(payload)
+                if size >= TOGETHER:
+                    hashes += features(held)
+                    held, size = [], 0
+            hashes += features(held) if held else []
+            out = [(*x, h) for x, h in zip(out, hashes, strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=schema.names)
 
     return media.mapInArrow(run, schema)

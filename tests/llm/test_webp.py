@@ -5,9 +5,11 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshwork.llm import webp
 from meshwork.llm.webp import CROSS, PALETTE, PREDICTOR, SUBTRACT
@@ -163,16 +165,50 @@ def calls(run):
     return n
 
 
+class Frame:
+    """Stands for a DataFrame, and gives the function of batches that it is handed."""
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_bytes", LongType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
 def test_short_texts_take_few_calls():
-    """Documents of a kilobyte or two cost by the calls, not by the bytes."""
+    """Documents of a kilobyte or two cost by the calls, not by the bytes: of
+    what the query does with a batch of 200, so many for each."""
     rnd = random.Random(3)
     words = ["".join(rnd.choices("etaoinshrdlucmfwyp", k=rnd.randint(2, 9))) for _ in range(300)]
-    texts = [" ".join(rnd.choices(words, k=200)) for _ in range(41)]
-    media = [webp.store(t)[1] for t in texts]
-    rows = [webp.decode(m)[..., 1] for m in media]
-    assert calls(lambda: [webp.store(t) for t in texts[1:]]) < 620 * 40
-    assert calls(lambda: [webp.decode(m) for m in media[1:]]) < 620 * 40
-    assert calls(lambda: [webp.feature(r) for r in rows[1:]]) < 60 * 40
+    texts = [" ".join(rnd.choices(words, k=200)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    store, read, out = webp.store_texts(Frame()), webp.read_media(Frame()), []
+    out += store([batch])
+    list(read(out))  # so that what is made once is there
+    assert calls(lambda: list(store([batch]))) < 450 * 200
+    assert calls(lambda: list(read(out))) < 680 * 200
+
+
+def test_files_do_not_depend_on_what_is_stored_with_them():
+    rng = np.random.default_rng(6)
+    smooth = (np.add.outer(np.arange(64) * 2, np.arange(64) * 3) // 2 + rng.integers(0, 3, (64, 64))).astype(np.uint8)
+    recent = np.concatenate([rng.choice(rng.integers(0, 200, 2), 32) for _ in range(160)]).astype(np.uint8)
+    kinds = rng.permutation(256)
+    halves = np.concatenate([rng.choice(kinds[:40], 64 * 128), rng.choice(kinds[40:80], 64 * 128)]).astype(np.uint8)
+    passage = rng.integers(0, 256, 64 * 3).astype(np.uint8)
+    blocks = [x.tobytes() for x in (passage, smooth, recent, np.zeros(64, np.uint8), passage, halves, rng.choice([7, 9, 200], 64 * 90).astype(np.uint8), np.tile(passage, 120), passage[:64])]
+    alone = [webp.encode_bytes(x) for x in blocks]
+    assert len({parts_used(m)[0][0] for m in alone}) == 2 and len({parts_used(m)[1:] for m in alone}) > 2
+    for order in (list(range(9)), [8, 5, 2, 0, 4, 1, 7, 3, 6], [0, 4], [3, 3, 3]):
+        together = webp.encode_blocks([blocks[k] for k in order])
+        assert together == [alone[k] for k in order]
+        rows = [webp.decode(m)[..., 1] for m in together]
+        assert [x.tobytes() for x in rows] == [blocks[k] for k in order]
+        assert webp.features(rows) == [webp.feature(x) for x in rows]
+    texts = ["a b c " * 9, None, "", "long words " * 9000, "a b c " * 9, "\u00e9\n" * 40]
+    assert webp.store_many(texts) == [webp.store(t) for t in texts] and webp.store_many([]) == []
 
 
 def test_features_are_means_of_cells():
