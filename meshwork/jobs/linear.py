@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import fresh_path
+from ..functions.tables import forget, fresh_path, written
 from ..operators import solvers, spmm
 from ..operators.matrix import SparseMatrix
 from ..sources import blocks, datasource
@@ -32,8 +32,12 @@ def _gradients(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _squared(spark: SparkSession, sf: str) -> DataFrame:
+    """PP times its transpose; PP is stored, as several passes read it."""
     m = pp_matrix(spark, sf)
-    return spmm.spmm(m, spmm.transposed(m)).df
+    kept = SparseMatrix(written(m.df, "pp"), m.nrows, m.ncols)
+    out = spmm.spmm(kept, spmm.transposed(kept)).df
+    forget(kept.df)
+    return out
 
 
 def _estimate(spark: SparkSession, sf: str) -> DataFrame:

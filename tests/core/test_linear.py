@@ -103,6 +103,54 @@ def test_spmm(spark, cell):
         spmm.spmm(a, a)
 
 
+def shuffled_rows(spark):
+    """Rows that all stages of this session have shuffled so far."""
+    gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    every = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(every.apply(k).shuffleWriteRecords() for k in range(every.length()))
+
+
+def test_spmm_shuffles_entries_not_products(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(3000), k, 1.0) for k in range(40) for _ in range(120)]
+    m = SparseMatrix(spark.createDataFrame(rows, "i long, j long, v double").repartition(4), 3000, 40)
+    before = shuffled_rows(spark)
+    cells = spmm.spmm(m, spmm.transposed(m)).df.count()
+    assert cells > 20 * len(rows) and shuffled_rows(spark) - before < 6 * len(rows)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_spmm_parts_and_pieces(spark, monkeypatch, same):
+    """Many parts, ranges of rows in pieces of columns, sums in steps, nulls,
+    values and indices of all widths, duplicates."""
+    for name, n in (("RANGES", 8), ("PART", 300), ("STEP", 100), ("HELD", 150)):
+        monkeypatch.setattr(spmm, name, n)
+    rnd = random.Random(6)
+    index = lambda: rnd.choice([None, 0, 1, 1, 1, 2, 5, 7, 300, 70_000, 3 << 33, -4])
+    value = lambda: rnd.choice([None, 0.0, -0.0, 1.0, 2.0, -3.0, 0.25, 0.1, 300.0])
+    a = [(index(), rnd.choice([None, 1, 1, 2, 3, 4]), value()) for _ in range(160)]
+    b = [(j, i, v) for i, j, v in a] if same else [(rnd.choice([None, 1, 2, 9]), index(), value()) for _ in range(120)]
+    want = {}
+    for i, k, v in a:
+        for h, j, w in b:
+            if k is not None and k == h:
+                n, total = want.get((i, j), (0, 0.0))
+                want[i, j] = (n, total) if v is None or w is None else (n + 1, total + v * w)
+    m = SparseMatrix(spark.createDataFrame(a, "i long, j long, v double").repartition(3), 1 << 35, 10)
+    other = spmm.transposed(m) if same else SparseMatrix(spark.createDataFrame(b, "i long, j long, v double").repartition(2), 10, 1 << 35)
+    for cell in (4096, 20):
+        rows = spmm.spmm(m, other, cell).df.collect()
+        got = {(r["i"], r["j"]): r["v"] for r in rows}
+        assert len(got) == len(rows) and got.keys() == want.keys()
+        assert all((got[c] is None) == (n == 0) and (n == 0 or got[c] == pytest.approx(x, rel=1e-9, abs=1e-9)) for c, (n, x) in want.items())
+    empty = SparseMatrix(m.df.limit(0), m.nrows, m.ncols)
+    assert spmm.spmm(empty, spmm.transposed(empty)).df.count() == 0
+    whole = SparseMatrix(m.df.withColumn("v", F.lit(2)), m.nrows, m.ncols)
+    back = spmm.spmm(whole, spmm.transposed(whole)).df
+    assert dict(back.dtypes)["v"] == "bigint" and back.agg(F.sum("v")).first()[0] == 4 * spmm.products(whole, spmm.transposed(whole)).first()["n_products"]
+
+
 def test_blocks(spark, tmp_path):
     m, dense = matrix(spark, 100, 90, 900, hot=7)
     blocks.write(m, str(tmp_path), size=10, band=2, piece=20)
