@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import ranges
 from ..functions.tables import written
 from .matrix import ShapeError, SparseMatrix
 
@@ -61,12 +62,6 @@ def products(a: SparseMatrix, b: SparseMatrix) -> DataFrame:
     return s.withColumn("most_cells", F.least(F.col("n_products").cast("double"), F.lit(float(a.nrows) * float(b.ncols))))
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its count."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
-
-
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lists of (index, value): where each begins (and the last ends), all
     indices, all values."""
@@ -119,15 +114,15 @@ def _messages(batches: Iterator[pa.RecordBatch], width: int, first: np.ndarray,
             begin = end
             bucket = _bucket(x[some], width, len(first))
             n = pieces[bucket]
-            part = _ranges(first[bucket], n)
+            part = ranges(first[bucket], n)
             own, r = np.repeat(np.arange(some.start, some.stop), n), np.repeat(row[some], n)
-            q, piece = np.repeat(n, n), _ranges(np.zeros(len(n), np.int64), n)
+            q, piece = np.repeat(n, n), ranges(np.zeros(len(n), np.int64), n)
             order = np.lexsort((part, r))
             own, r, part, q, piece = (c[order] for c in (own, r, part, q, piece))
             heads = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (part[1:] != part[:-1]))))
             n_left = np.diff(np.append(heads, len(r)))
             n_right = lengths[r[heads]]
-            at = _ranges(ra[r[heads]], n_right)
+            at = ranges(ra[r[heads]], n_right)
             message = np.repeat(np.arange(len(heads)), n_right)
             if (q[heads] > 1).any():
                 mine = _column_piece(j[at], q[heads][message]) == piece[heads][message]
@@ -196,7 +191,7 @@ class _Held:
         made, begin, kept = np.cumsum(n), 0, None
         while begin < len(x):
             end = max(begin + 1, int(np.searchsorted(made, (made[begin - 1] if begin else 0) + step, "right")))
-            many, right = n[begin:end], _ranges(at[begin:end], n[begin:end])
+            many, right = n[begin:end], ranges(at[begin:end], n[begin:end])
             a, b = np.repeat(v[begin:end], many), w[right]
             there = (a.view(np.int64) != NO_VALUE) & (b.view(np.int64) != NO_VALUE)
             with np.errstate(all="ignore"):

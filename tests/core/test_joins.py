@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshwork.jobs import sketches
 from meshwork.operators.ranges import range_join
 from meshwork.operators.temporal import asof_join
+from tests.core.helpers import shuffled_rows
 
 
 @pytest.mark.parametrize("by", [False, True])
@@ -52,6 +53,36 @@ def test_range_join(spark, hot):
     assert range_join(p.limit(0), s, "x", "lo", "hi").count() == 0 and range_join(p, s.limit(0), "x", "lo", "hi").count() == 0
 
 
+def test_range_join_shuffles_a_point_once(spark):
+    rnd = random.Random(12)
+    points = [(k, rnd.uniform(0, 400)) for k in range(3000)]
+    spans = [(k, lo, lo + rnd.choice([0.5, 4, 20, 150])) for k in range(150) for lo in [rnd.uniform(0, 300)]]
+    p, s = spark.createDataFrame(points, "id long, x double").repartition(4), spark.createDataFrame(spans, "span long, lo double, hi double").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p, s = p.localCheckpoint(), s.localCheckpoint()
+        before = shuffled_rows(spark)
+        n = range_join(p, s, "x", "lo", "hi").count()
+        assert n == sum(lo <= x < hi for _, x in points for _, lo, hi in spans) and shuffled_rows(spark) - before < 1.5 * len(points)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("kind", ["long", "decimal(38,2)", "double"])
+@pytest.mark.parametrize("hot", [7, 10**6])
+def test_range_join_hot_on_both_sides(spark, kind, hot, monkeypatch):
+    """One value and one interval many times, numbers that doubles don't tell
+    apart, cells in pieces on both sides."""
+    monkeypatch.setattr("meshwork.operators.ranges.PAIRS", 50)
+    rnd = random.Random(13)
+    far = 0 if kind == "double" else 1 << 60
+    points = [(k, rnd.choice([far + 10, far + 10, far + rnd.randrange(60), rnd.randrange(-50, 50)])) for k in range(200)]
+    spans = [(k, lo, lo + rnd.choice([1, 2, 30])) for k in range(120) for lo in [rnd.choice([far + 10, far + rnd.randrange(-5, 60), rnd.randrange(-60, 50)])]]
+    p, s = spark.createDataFrame(points, "id long, x long").withColumn("x", F.col("x").cast(kind)), spark.createDataFrame(spans, "span long, lo long, hi long").withColumns({c: F.col(c).cast(kind) for c in ("lo", "hi")})
+    got = sorted((r["id"], r["span"]) for r in range_join(p.repartition(3), s.repartition(2), "x", "lo", "hi", hot).collect())
+    assert got == sorted((k, j) for k, x in points for j, lo, hi in spans if lo <= x < hi)
+
+
 def test_sketches_merge_like_the_records(spark):
     rnd = random.Random(2)
     rows = [(f"m{rnd.randrange(4)}", rnd.choice(["bcast", "ghost"]), "acc", rnd.choice([1, 2, 4]), rnd.lognormvariate(2, 1)) for _ in range(6000)]

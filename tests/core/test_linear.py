@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meshwork.operators import solvers, spmm
 from meshwork.operators.matrix import ShapeError, SparseMatrix
 from meshwork.sources import blocks, datasource
+from tests.core.helpers import shuffled_rows
 
 
 def matrix(spark, n, m, nnz, seed=1, hot=None):
@@ -103,14 +104,6 @@ def test_spmm(spark, cell):
         spmm.spmm(a, a)
 
 
-def shuffled_rows(spark):
-    """Rows that all stages of this session have shuffled so far."""
-    gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
-    sc.listenerBus().waitUntilEmpty()
-    every = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-    return sum(every.apply(k).shuffleWriteRecords() for k in range(every.length()))
-
-
 def test_spmm_shuffles_entries_not_products(spark):
     rnd = random.Random(4)
     rows = [(rnd.randrange(3000), k, 1.0) for k in range(40) for _ in range(120)]
