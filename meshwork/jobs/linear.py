@@ -36,7 +36,8 @@ def _squared(spark: SparkSession, sf: str) -> DataFrame:
     m = pp_matrix(spark, sf)
     kept = SparseMatrix(written(m.df, "pp"), m.nrows, m.ncols)
     out = spmm.spmm(kept, spmm.transposed(kept)).df
-    forget(kept.df)
+    if not {*kept.df.inputFiles()} & {*out.inputFiles()}:
+        forget(kept.df)
     return out
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshwork.jobs import linear
 from meshwork.operators import solvers, spmm
 from meshwork.operators.matrix import ShapeError, SparseMatrix
 from meshwork.sources import blocks, datasource
@@ -144,6 +145,23 @@ def test_spmm_parts_and_pieces(spark, monkeypatch, same):
     assert dict(back.dtypes)["v"] == "bigint" and back.agg(F.sum("v")).first()[0] == 4 * spmm.products(whole, spmm.transposed(whole)).first()["n_products"]
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(12,2)"])
+def test_spmm_transpose_of_any_quantity(spark, tmp_path, kind):
+    """The stored PP goes only when the result needs it no more."""
+    rows = [(k // 3, k % 7, 0, k % 3, float(k % 5), 1.0) for k in range(60)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, names).withColumn("l_quantity", F.col("l_quantity").cast(kind)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(7).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    pp = [(i, j, v) for (o, i, _, _, v, _), (q, j, *_) in zip(rows, rows[1:], strict=False) if o == q]
+    want = {}
+    for i, k, v in pp:
+        for j, h, w in pp:
+            if k == h:
+                want[i, j] = want.get((i, j), 0) + v * w
+    got = linear.QUERIES["spmm_transpose"](spark, str(tmp_path)).collect()
+    assert {(r["i"], r["j"]): float(r["v"]) for r in got} == want and len(got) == len(want)
+
+
 def test_blocks(spark, tmp_path):
     m, dense = matrix(spark, 100, 90, 900, hot=7)
     blocks.write(m, str(tmp_path), size=10, band=2, piece=20)
